@@ -20,6 +20,7 @@ def build_session(app: str = "kpiscope", master: str | None = None) -> SparkSess
     if master:
         builder = (
             builder.master(master)
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.ui.enabled", "false")
             .config("spark.driver.memory", os.environ.get("KPISCOPE_DRIVER_MEMORY", "12g"))
