@@ -46,17 +46,25 @@ def deseasonalize(panel: DataFrame, season: int = SEASON_HOURS) -> DataFrame:
     return smooth.withColumn("i", F.row_number().over(series_window()) - 1)
 
 
-def islands(flags: DataFrame, mask: str | Column, keys: tuple[str, ...], order: str, min_duration: int = 1) -> DataFrame:
+def islands(
+    flags: DataFrame,
+    mask: str | Column,
+    keys: tuple[str, ...],
+    order: str,
+    min_duration: int = 1,
+    extra: tuple[Column, ...] = (),
+) -> DataFrame:
     """Runs of consecutive flagged hours as (keys, t_start, t_end), both ends included.
 
     Only flagged rows enter the window, so the shuffle carries the islands and nothing else.
+    `extra` holds further aggregates to take over each run.
     """
-    on = flags.filter(col(mask)).select(*keys, F.col(order).alias("_t"))
+    on = flags.filter(col(mask)).withColumn("_t", F.col(order))
     run = F.col("_t") - F.row_number().over(Window.partitionBy(*keys).orderBy("_t"))
     return (
         on.withColumn("_run", run)
         .groupBy(*keys, "_run")
-        .agg(F.min("_t").alias("t_start"), F.max("_t").alias("t_end"), F.count("*").alias("duration"))
+        .agg(F.min("_t").alias("t_start"), F.max("_t").alias("t_end"), F.count("*").alias("duration"), *extra)
         .filter(F.col("duration") >= min_duration)
         .drop("_run")
     )

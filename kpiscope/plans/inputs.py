@@ -36,6 +36,15 @@ def baseline(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def timeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Observed week (h < 0) and held-out week (h >= 0) in one frame, from one read of the panel."""
+    return (
+        event_panel(spark, sf)
+        .filter(F.col("t") >= BASE_START)
+        .select("station_id", "kpi", (F.col("t") - SPLIT_HOUR).alias("h"), F.col("value").alias("pred"))
+    )
+
+
 def forecast(spark: SparkSession, sf: str) -> DataFrame:
     """Daily seasonal-naive forecast of the held-out week."""
     return fc.seasonal_naive(inputs(spark, sf), horizon=168, season=24)
