@@ -67,3 +67,38 @@ def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """Fail the job on the first row that breaks the condition; otherwise pass rows through."""
     checked = F.when(condition, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
     return df.filter(checked)
+
+
+def first_per(df: DataFrame, keys: list[str], order: str | Column, last: bool = False) -> DataFrame:
+    """First (or last) row of each key by an order column.
+
+    A min_by over the row struct combines on the map side, so a key that holds a third of all rows
+    still sends one row per task; a ranked window would move the whole group to one task.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*rest)
+    pick = F.max_by(row, col(order)) if last else F.min_by(row, col(order))
+    return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
+def global_position(df: DataFrame, bucket: Column, order: list, name: str = "position") -> DataFrame:
+    """Exact rank over the whole table (1-based) and the table size as `total`.
+
+    `bucket` is a coarse key of bounded cardinality that agrees with `order`. Ranks are taken inside
+    buckets and shifted by the sizes of the buckets before, so no task sees the whole table.
+    """
+    keyed = df.withColumn("_bucket", bucket)
+    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    running = Window.partitionBy(F.lit(0)).orderBy("_bucket")
+    sizes = sizes.select(
+        "_bucket",
+        (F.sum("_size").over(running) - F.col("_size")).alias("_before"),
+        F.sum("_size").over(Window.partitionBy(F.lit(0))).alias("total"),
+    )  # one row per bucket
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return (
+        keyed.withColumn("_within", within)
+        .join(F.broadcast(sizes), "_bucket")
+        .withColumn(name, F.col("_before") + F.col("_within"))
+        .drop("_bucket", "_before", "_within")
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiscope.functions.catalog import HORIZON_HOURS, TRAIN_END, VAL_END
-from kpiscope.functions.exprs import SERIES, col, require, series_window
+from kpiscope.functions.exprs import SERIES, col, global_position, require, series_window
 
 
 def select_stations(panel: DataFrame, wanted: DataFrame, prefix: str = "station_") -> DataFrame:
@@ -105,25 +105,14 @@ def seeded_order(key: str | Column, seed: int) -> Column:
 def slice_train_val(slices: DataFrame, val_fraction: float = 0.15, seed: int = 42) -> DataFrame:
     """Shuffle slices by a seeded hash; the last ceil(fraction * n) become validation.
 
-    The cut is a global rank. Ranks inside 256 hash ranges plus the running totals of those ranges
-    give it without sorting all slices in one task.
+    The first two hex digits of the hash are the buckets of the global rank.
     """
     hashed = slices.withColumn("_hash", seeded_order("station_id", seed))
-    hashed = hashed.withColumn("_range", F.substring("_hash", 1, 2))
-    order = Window.orderBy("_range")
-    sizes = hashed.groupBy("_range").agg(F.count("*").alias("_size"))
-    sizes = sizes.select(
-        "_range",
-        (F.sum("_size").over(order) - F.col("_size")).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(F.lit(0))).alias("_total"),
-    )  # at most 256 rows
-    within = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", "station_id"))
-    ranked = hashed.withColumn("_within", within).join(F.broadcast(sizes), "_range")
-    n_val = F.ceil(F.lit(val_fraction) * F.col("_total"))
-    ranked = require(ranked, (n_val >= 1) & (F.col("_total") - n_val >= 1), "too few slices to split")
-    position = F.col("_before") + F.col("_within")
-    part = F.when(position > F.col("_total") - n_val, "val").otherwise("train")
-    return ranked.withColumn("part", part).drop("_hash", "_range", "_before", "_total", "_within")
+    ranked = global_position(hashed, F.substring("_hash", 1, 2), ["_hash", "station_id"], "_pos")
+    n_val = F.ceil(F.lit(val_fraction) * F.col("total"))
+    ranked = require(ranked, (n_val >= 1) & (F.col("total") - n_val >= 1), "too few slices to split")
+    part = F.when(F.col("_pos") > F.col("total") - n_val, "val").otherwise("train")
+    return ranked.withColumn("part", part).drop("_hash", "_pos", "total")
 
 
 def regime_label(weeks: str | Column) -> Column:
