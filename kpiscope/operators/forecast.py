@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +82,9 @@ def external(inputs: DataFrame, model: Callable, horizon: int = 168, keys: tuple
     Spark groups the series; each call sees one series. Wrong length or non-finite output fails
     the job, as a silent gap would corrupt every metric downstream.
     """
-    import pandas as pd
-
     names = list(keys)
 
-    def score(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         history = pdf.sort_values("t")["value"].to_numpy()
         pred = np.asarray(model(history, horizon), dtype=float)
         if check and pred.shape != (horizon,):
@@ -146,3 +144,93 @@ def evaluation_truth(panel: DataFrame, train_end: int, val_end: int, horizon: in
         .filter(F.col("split").isNotNull() & (F.col("h") < horizon))
         .select("split", *SERIES, "h", F.col("value").alias("truth"))
     )
+
+
+def lag_regression(
+    inputs: DataFrame,
+    kpis: list[str],
+    horizon: int = 168,
+    context_h: int = 24,
+    stride_h: int = 24,
+    ridge: float = 1.0,
+) -> DataFrame:
+    """Direct multi-horizon ridge regression on lag features, one model per station.
+
+    Features are the flattened context over all channels with mean, deviation and last value, so
+    channels inform each other. The rows of a station are bounded by its hours; Spark spreads the
+    stations. Fewer windows than features are the rule, so the dual form is solved.
+    """
+    names = list(kpis)
+    station_type = inputs.schema["station_id"].dataType.simpleString()
+
+    def features(w: np.ndarray) -> np.ndarray:
+        return np.concatenate([w.reshape(-1), w.mean(axis=0), w.std(axis=0), w[-1]])
+
+    def station(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot(index="t", columns="kpi", values="value").sort_index().reindex(columns=names).to_numpy()
+        if not np.isfinite(x).all():
+            raise ValueError("station has missing hours or KPIs")
+        starts = range(0, len(x) - context_h - horizon + 1, stride_h)
+        if not len(starts):
+            raise ValueError("history too short for one training window")
+        a = np.stack([features(x[s : s + context_h]) for s in starts])
+        y = np.stack([x[s + context_h : s + context_h + horizon].reshape(-1) for s in starts])
+        am, ym = a.mean(axis=0), y.mean(axis=0)
+        ac, yc = a - am, y - ym
+        dual = np.linalg.solve(ac @ ac.T + ridge * np.eye(len(ac)), yc)
+        pred = ((features(x[-context_h:]) - am) @ ac.T @ dual + ym).reshape(horizon, len(names))
+        return pd.DataFrame(
+            {
+                "station_id": pdf["station_id"].iloc[0],
+                "kpi": np.tile(names, horizon),
+                "h": np.repeat(np.arange(horizon, dtype="int32"), len(names)),
+                "pred": pred.reshape(-1),
+            }
+        )
+
+    schema = f"station_id {station_type}, kpi string, h int, pred double"
+    return inputs.select("station_id", "kpi", "t", "value").groupBy("station_id").applyInPandas(station, schema)
+
+
+def pooled_regression(
+    inputs: DataFrame,
+    kind: str = "random_forest",
+    horizon: int = 168,
+    context_h: int = 24,
+    stride_h: int = 24,
+    **params,
+) -> DataFrame:
+    """Learners of the ML library on pooled windows of all series, horizon hour as a feature.
+
+    kinds: ridge, lasso, elasticnet, random_forest, gbt. Every window yields one training row per
+    hour ahead; the learners aggregate their statistics over partitions.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+
+    from kpiscope.operators.features import lag_features, supervised_windows
+
+    makers = {
+        "ridge": lambda **p: LinearRegression(elasticNetParam=0.0, **{"regParam": 1.0, **p}),
+        "lasso": lambda **p: LinearRegression(elasticNetParam=1.0, **{"regParam": 0.1, **p}),
+        "elasticnet": lambda **p: LinearRegression(elasticNetParam=0.5, **{"regParam": 0.1, **p}),
+        "random_forest": lambda **p: RandomForestRegressor(**{"numTrees": 20, "maxDepth": 6, "seed": 42, **p}),
+        "gbt": lambda **p: GBTRegressor(**{"maxIter": 10, "maxDepth": 4, "seed": 42, **p}),
+    }
+    if kind not in makers:
+        raise ValueError(f"unknown learner: {kind}")
+
+    def assembled(windows: DataFrame) -> DataFrame:
+        named = windows.withColumn("lags", array_to_vector("x")).withColumn("phase", (F.col("h") % 24).cast("double"))
+        named = named.withColumn("ahead", F.col("h").cast("double"))
+        cols = ["lags", "x_mean", "x_std", "x_last", "phase", "ahead"]
+        return VectorAssembler(inputCols=cols, outputCol="features").transform(named)
+
+    train = lag_features(supervised_windows(inputs, context_h, horizon, stride_h))
+    rows = train.select(*SERIES, "x", "x_mean", "x_std", "x_last", F.posexplode("y").alias("h", "label"))
+    model = makers[kind](featuresCol="features", labelCol="label", predictionCol="pred", **params).fit(assembled(rows))
+    last = F.max("t").over(Window.partitionBy(*SERIES))
+    tail = inputs.withColumn("_last", last).filter(F.col("t") > F.col("_last") - context_h).drop("_last")
+    now = lag_features(supervised_windows(tail, context_h, 0, 1))
+    return model.transform(assembled(horizon_steps(now, horizon))).select(*SERIES, "h", "pred")

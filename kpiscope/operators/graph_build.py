@@ -107,25 +107,31 @@ def embed_align(entities: DataFrame, ontology: DataFrame, block_size: int = 512)
     hit; more blocks are met by an equality join on the block number, again keeping one best hit per
     entity and block. No entity-vector pair is ever a row.
     """
-    norm = F.sqrt(_dot(F.col("vec"), F.col("vec")))
-    unit = F.transform("vec", lambda v: v / F.when(norm < 1e-12, 1.0).otherwise(norm))
-    onto = ontology.withColumn("vec", F.col("vec").cast("array<double>")).select("name", unit.alias("vec"))
-    n = onto.count()
-    blocks = max(1, -(-n // block_size))
+    def norm(v: Column) -> Column:
+        n = F.sqrt(_dot(v, v))
+        return F.when(n < 1e-12, 1.0).otherwise(n)
+
+    onto = ontology.select("name", F.col("vec").cast("array<double>").alias("vec"))
+    onto = onto.select("name", "vec", norm(F.col("vec")).alias("len"))
+    blocks = max(1, -(-onto.count() // block_size))
     packed = onto.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")).groupBy("block").agg(
-        F.collect_list(F.struct("name", "vec")).alias("refs")
+        F.collect_list(F.struct("name", "vec", "len")).alias("refs")
     )
-    ents = entities.withColumn("vec", F.col("vec").cast("array<double>")).select("entity_id", unit.alias("vec"))
+    ents = entities.select("entity_id", F.col("vec").cast("array<double>").alias("vec"))
     if blocks == 1:
         met = ents.withColumn("refs", packed.select("refs").scalar())
     else:
         met = ents.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
-    # similarity first, so that the largest struct is the nearest name; ties go to the first name
-    scored = F.transform("refs", lambda r: F.struct((-_dot(F.col("vec"), r["vec"])).alias("neg"), r["name"].alias("name")))
-    best = met.select("entity_id", F.array_min(scored).alias("b"))
+    # smallest negative product first, so the smallest struct is the nearest name; ties go to the first name
+    scored = F.transform(
+        "refs", lambda r: F.struct((-_dot(F.col("vec"), r["vec"]) / r["len"]).alias("neg"), r["name"].alias("name"))
+    )
+    best = met.select("entity_id", F.array_min(scored).alias("b"), norm(F.col("vec")).alias("len"))
     if blocks > 1:
-        best = best.groupBy("entity_id").agg(F.min("b").alias("b"))
-    return best.select("entity_id", F.col("b.name").alias("aligned_name"), (1 + F.col("b.neg")).alias("distance"))
+        best = best.groupBy("entity_id").agg(F.min("b").alias("b"), F.max("len").alias("len"))
+    return best.select(
+        "entity_id", F.col("b.name").alias("aligned_name"), (1 + F.col("b.neg") / F.col("len")).alias("distance")
+    )
 
 
 def conflict_candidates(aligned: DataFrame, cap: int = 10) -> DataFrame:

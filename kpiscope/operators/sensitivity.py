@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,14 +222,10 @@ def matrix_sensitivity(
     Spark groups one station per call; the perturbed copies are those of `variants`, written for a
     matrix. Output (station_id, src, tgt, ptype, s_raw).
     """
-    import pandas as pd
-
     names = list(kpis)
     station_type = inputs.schema["station_id"].dataType.simpleString()
 
     def station(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         wide = pdf.pivot(index="t", columns="kpi", values="value").sort_index()
         x = wide.reindex(columns=names).to_numpy()
         if not np.isfinite(x).all():

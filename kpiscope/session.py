@@ -39,3 +39,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """Fresh folder name below the cluster's shared checkpoint folder; /tmp only for local sessions."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        return tempfile.mkdtemp(prefix="spark-", dir="/tmp") + f"/{prefix}"
+    return f"{shared.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"

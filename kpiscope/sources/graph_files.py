@@ -20,12 +20,12 @@ CHAIN = "struct<name: string, description: string, steps: array<string>, trigger
 SCHEMA = f"nodes array<{NODE}>, edges array<{EDGE}>, links array<{EDGE}>, causal_chains array<{CHAIN}>"
 
 
-def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_graph(spark: SparkSession, path: str, multiline: bool = True) -> dict[str, DataFrame]:
     """Nodes, edges, chains and steps of node-link files; edges may be called `edges` or `links`.
 
     `ord` is the position in the file, which first-wins rules refer to.
     """
-    doc = spark.read.schema(SCHEMA).option("multiLine", True).json(path)
+    doc = spark.read.schema(SCHEMA).option("multiLine", multiline).json(path)
     nodes = doc.select(F.posexplode("nodes").alias("ord", "n")).select("ord", "n.*")
     links = F.when(F.size(F.coalesce("edges", F.array().cast(f"array<{EDGE}>"))) > 0, F.col("edges")).otherwise(F.col("links"))
     edges = doc.select(F.posexplode(links).alias("ord", "e")).select("ord", "e.*")

@@ -72,6 +72,11 @@ def read_run_results(spark: SparkSession, path: str, family: str | None = None,
         .json(path)
         .withColumn("run_name", F.regexp_extract("_metadata.file_path", r"([^/]+)/result\.json$", 1))
     )
+    return run_rows(docs, family, prefix)
+
+
+def run_rows(docs: DataFrame, family: str | None = None, prefix: str | None = None) -> DataFrame:
+    """(run, kpi) rows of run documents, chosen by model family and run name."""
     if family is not None:
         docs = docs.filter(F.col("model.model_family") == family)
     if prefix is not None:
