@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kpiscope.functions.exprs import small_table
+
 # KPI contract in canonical order.
 # (name, physical cap, column header in the raw station files, integer valued)
 KPIS = (
@@ -46,4 +48,4 @@ KPI_SCHEMA = "kpi string, ord int, cap double, is_integer boolean, aliases array
 def kpi_dim(spark: SparkSession) -> DataFrame:
     """The seven-KPI contract as a table."""
     rows = [(k, i, cap, is_int, KPI_ALIASES[k]) for i, (k, cap, _, is_int) in enumerate(KPIS)]
-    return spark.createDataFrame(rows, KPI_SCHEMA)
+    return small_table(spark, rows, KPI_SCHEMA)

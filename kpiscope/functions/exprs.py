@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SERIES = ("station_id", "kpi")
 
@@ -102,3 +103,22 @@ def global_position(df: DataFrame, bucket: Column, order: list, name: str = "pos
         .withColumn(name, F.col("_before") + F.col("_within"))
         .drop("_bucket", "_before", "_within")
     )
+
+
+def _literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, (list, tuple)):
+        return f"array({', '.join(_literal(x) for x in v)})"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(v)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Fixed rows as a VALUES relation, which the optimizer folds and broadcasts without a job."""
+    fields = T.StructType.fromDDL(schema).fields
+    values = ", ".join("(" + ", ".join(_literal(v) for v in r) + ")" for r in rows)
+    names = [f"c{i}" for i in range(len(fields))]
+    casts = [f"CAST({n} AS {f.dataType.simpleString()}) AS {f.name}" for n, f in zip(names, fields)]
+    return spark.sql(f"SELECT {', '.join(casts)} FROM VALUES {values} AS v({', '.join(names)})")

@@ -63,21 +63,26 @@ def hour_marks(
     def positive(c: Column) -> Column:
         return F.when(c == 0, F.lit(floor)).otherwise(c)
 
+    # one select per window specification keeps them in one Window node each
     moving = F.when(F.col("h") >= width - 1, F.avg("pred").over(ordered.rowsBetween(-(width - 1), 0)))
     marks = (
-        line.withColumn("diff", F.col("pred") - F.lag("pred").over(ordered))
-        .withColumn("moving", moving)
+        line.withColumns({"diff": F.col("pred") - F.lag("pred").over(ordered), "moving": moving})
         .withColumn("slope", F.col("moving") - F.lag("moving").over(ordered))
-        .withColumn("before", F.lag("slope").over(ordered))
-        .withColumn("mu", F.avg(F.when(past, F.col("pred"))).over(whole))
-        .withColumn("sd", F.stddev_pop(F.when(past, F.col("pred"))).over(whole))
-        .withColumn("dsigma", positive(F.stddev_pop(F.when(past, F.col("diff"))).over(whole)))
+        .withColumns(
+            {
+                "before": F.lag("slope").over(ordered),
+                "mu": F.avg(F.when(past, F.col("pred"))).over(whole),
+                "sd": F.stddev_pop(F.when(past, F.col("pred"))).over(whole),
+                "dsigma": positive(F.stddev_pop(F.when(past, F.col("diff"))).over(whole)),
+            }
+        )
         .filter(~past)
     )
     return (
         marks.withColumn("z", (F.col("pred") - F.col("mu")) / positive(F.col("sd")))
-        .withColumn("is_level", F.abs("z") > z_threshold)
-        .withColumn("is_spike", F.abs("diff") > delta_threshold * F.col("dsigma"))
+        .withColumns(
+            {"is_level": F.abs("z") > z_threshold, "is_spike": F.abs("diff") > delta_threshold * F.col("dsigma")}
+        )
         .drop("moving")
     )
 
@@ -103,15 +108,25 @@ def channel_events(marks: DataFrame, horizon: int = 168, min_duration: int = 2,
     signed z at its first peak. A trend break is a sign change of the rolling slope that swings by
     more than the usual step; horizons shorter than two slope windows have none.
     """
-    runs = Window.partitionBy(*SERIES, "is_level").orderBy("h")
-    run = Window.partitionBy(*SERIES, "is_level", "_run")
+    ordered = series_window("h")
     h = F.col("h")
+    opens = F.col("is_level") & ~F.coalesce(F.lag("is_level").over(ordered), F.lit(False))
+    run = Window.partitionBy(*SERIES, "_run")
+    inside = F.col("is_level")
+    deviation = F.when(inside, F.abs(F.col("pred") - F.col("mu")))
+    peak = F.when(inside, F.struct(F.abs("z"), -h))
+    # hours after a run carry its number too, so every aggregate looks at flagged hours only
     seen = (
-        marks.withColumn("_run", h - F.row_number().over(runs))
-        .withColumn("_start", F.min("h").over(run))
-        .withColumn("_end", F.max("h").over(run))
-        .withColumn("_size", F.max(F.abs(F.col("pred") - F.col("mu"))).over(run))
-        .withColumn("_peak", F.max_by("z", F.struct(F.abs("z"), -h)).over(run))
+        marks.withColumn("_opens", opens.cast("int"))
+        .withColumn("_run", F.sum("_opens").over(ordered))
+        .withColumns(
+            {
+                "_start": F.min(F.when(inside, h)).over(run),
+                "_end": F.max(F.when(inside, h)).over(run),
+                "_size": F.max(deviation).over(run),
+                "_peak": F.max_by("z", peak).over(run),
+            }
+        )
     )
     long_run = F.col("_end") - F.col("_start") + 1 >= min_duration
     level = F.when(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiscope.functions.catalog import HORIZON_HOURS, TRAIN_END, VAL_END
-from kpiscope.functions.exprs import SERIES, col, global_position, require, series_window
+from kpiscope.functions.exprs import SERIES, col, global_position, require, series_window, small_table
 
 
 def select_stations(panel: DataFrame, wanted: DataFrame, prefix: str = "station_") -> DataFrame:
@@ -48,7 +48,7 @@ def context_horizon_grid(
 ) -> DataFrame:
     """Feasible (horizon, context) pairs; explicitly asked contexts outside the range are an error."""
     asked = sorted(set(context_days)) if context_days is not None else None
-    rows = spark.createDataFrame([(int(h),) for h in sorted(set(horizons))], "horizon_days int")
+    rows = small_table(spark, [(int(h),) for h in sorted(set(horizons))], "horizon_days int")
     rows = require(rows, F.col("horizon_days") < total_days, "horizon leaves no room for input")
     room = F.lit(total_days) - F.col("horizon_days")
     days = F.array(*[F.lit(d) for d in asked]) if asked is not None else F.sequence(F.lit(1), room)

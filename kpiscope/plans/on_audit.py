@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kpiscope.functions.exprs import small_table
 from kpiscope.operators import audit as au
 from kpiscope.operators import judge as jd
 from kpiscope.operators import metrics as acc
@@ -281,7 +282,7 @@ def cl_verify(spark, sf):
         F.element_at(k, (turn % 5 + 1).cast("int")).alias("src"),
         F.element_at(k, ((turn + 1) % 5 + 1).cast("int")).alias("tgt"),
     )
-    rules = spark.createDataFrame([r[:3] for r in RULES], "source string, target string, coupling string")
+    rules = small_table(spark, [r[:3] for r in RULES], "source string, target string, coupling string")
     grounded = conv.filter("conv_id % 4 <> 0").select(F.col("conv_id").alias("station_id"))
     out = au.verify_claims(claims(spark, sf), causes, rules, grounded, KPIS)
     return out.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kpiscope.functions.exprs import settle
+from kpiscope.functions.exprs import settle, small_table
 from kpiscope.operators import causes as cz
 from kpiscope.operators import environment as env
 from kpiscope.operators import events as ev
@@ -29,7 +29,7 @@ KPI_EDGES = (
 
 def edges(spark):
     rows = [(*e, i) for i, e in enumerate(KPI_EDGES)]
-    return spark.createDataFrame(rows, "source_kpi string, target_kpi string, relation_type string, strength string, edge_ord int")
+    return small_table(spark, rows, "source_kpi string, target_kpi string, relation_type string, strength string, edge_ord int")
 
 
 def line(spark, sf):

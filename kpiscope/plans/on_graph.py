@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kpiscope.functions.exprs import settle
+from kpiscope.functions.exprs import settle, small_table
 from kpiscope.operators import graph_build as gb
 from kpiscope.operators import graph_load as gl
 from kpiscope.operators import graph_query as gq
@@ -670,8 +670,8 @@ RULES = (
       CASE WHEN (s > 0) = (coupling = 'positive') THEN '↑' ELSE '↓' END AS expected_direction, CASE WHEN (s > 0) = (coupling = 'positive') THEN '↓' ELSE '↑' END AS actual_direction FROM ag""",
 )
 def kg_directional_check(spark, sf):
-    rules = spark.createDataFrame(
-        list(RULES), "source string, target string, coupling string, strength string, min_pct_source double, min_pct_target double, condition string"
+    rules = small_table(
+        spark, list(RULES), "source string, target string, coupling string, strength string, min_pct_source double, min_pct_target double, condition string"
     )
     week = src.target(spark, sf).withColumnRenamed("truth", "pred")
     out = gq.directional_check(src.inputs(spark, sf), week, rules)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kpiscope.functions.exprs import small_table
+
 #: Geometry of the panel derived from the event log: 30 days, the last week held out.
 PANEL_HOURS = 720
 SPLIT_HOUR = 552
@@ -21,7 +23,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def panel_dim(spark: SparkSession) -> DataFrame:
     """Catalogue of the panel's channels, in the shape of the KPI contract."""
     rows = [(k, i, PANEL_CAP, k == PANEL_INTEGER_KPI) for i, k in enumerate(PANEL_KPIS)]
-    return spark.createDataFrame(rows, "kpi string, ord int, cap double, is_integer boolean")
+    return small_table(spark, rows, "kpi string, ord int, cap double, is_integer boolean")
 
 
 def hourly_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
