@@ -235,11 +235,12 @@ def cause_rank(spark, sf):
 @query(
     "cause_multi",
     CAUSES + f""", mc AS (SELECT t.station_id, t.event_idx, e.*, row_number() OVER (PARTITION BY t.station_id, t.event_idx ORDER BY {RANK} DESC, source_kpi, target_kpi) AS rnk
-      FROM topev t JOIN edge e ON list_contains(string_split(t.co, ','), e.source_kpi) AND list_contains(string_split(t.co, ','), e.target_kpi) WHERE t.type = 'multi_kpi')
+      FROM rk t JOIN edge e ON list_contains(string_split(t.co, ','), e.source_kpi) AND list_contains(string_split(t.co, ','), e.target_kpi) WHERE t.type = 'multi_kpi')
     SELECT station_id, CAST(event_idx AS INTEGER) AS event_idx, CAST(rnk AS INTEGER) AS rank, source_kpi, target_kpi, relation_type, strength FROM mc WHERE rnk <= 5""",
 )
 def cause_multi(spark, sf):
-    return cz.multi_causes(kept_events(spark, sf), edges(spark))
+    every = ev.rank_topn(all_events(spark, sf), src.dim(spark), top_n=100_000)
+    return cz.multi_causes(every, edges(spark))
 
 
 @query(

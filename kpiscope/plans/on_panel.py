@@ -85,7 +85,7 @@ def context_horizon_grid(spark, sf):
       UNION ALL SELECT station_id, 'full', t FROM panel WHERE t < 552),
     per AS (SELECT weeks, station_id, count(DISTINCT t) AS hours FROM cut GROUP BY 1, 2)
     SELECT weeks, station_id, hours, CAST(greatest(0, (hours - 336) // 24 + 1) AS INTEGER) AS n_windows,
-      sum(CAST(greatest(0, (hours - 336) // 24 + 1) AS INTEGER)) OVER (PARTITION BY weeks) AS total_windows
+      sum(CAST(greatest(0, (hours - 336) // 24 + 1) AS INTEGER)) OVER (PARTITION BY weeks)::BIGINT AS total_windows
     FROM per""",
 )
 def finetune_slices(spark, sf):
@@ -175,7 +175,7 @@ def revin(spark, sf):
     PANEL + f""", s AS (SELECT station_id, kpi, min(value) AS lo, max(value) AS hi, median(value) AS center,
       quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS spread FROM panel WHERE t < 552 GROUP BY 1, 2)
     SELECT station_id, kpi, {rnd('0.5 * (hi - lo) + lo', 4)} AS min_max, {rnd('0.5 * spread + center', 4)} AS robust,
-      0.5 AS identity FROM s""",
+      0.5::DOUBLE AS identity FROM s""",
 )
 def scaler_inverse(spark, sf):
     scales = ops.series_scales(src.inputs(spark, sf)).withColumn("r", F.lit(0.5))

@@ -136,7 +136,7 @@ def scan_reports(spark, sf):
 
 @query(
     "stage_cache",
-    T + "SELECT th AS theta, count(*) FILTER (score + 1e-9 >= th) AS approved, count(*) AS validated FROM v, (VALUES (0.7), (0.8), (0.9)) t(th) GROUP BY 1",
+    T + "SELECT th::DOUBLE AS theta, count(*) FILTER (score + 1e-9 >= th) AS approved, count(*) AS validated FROM v, (VALUES (0.7), (0.8), (0.9)) t(th) GROUP BY 1",
 )
 def stage_cache(spark, sf):
     """Scores staged once, thresholds applied to the stage afterwards."""
