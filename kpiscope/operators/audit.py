@@ -37,8 +37,7 @@ def parts(report: str | Column) -> Column:
 
 def section(report: str | Column, n: int) -> Column:
     """Text of section n, heading included; the last one wins, no section gives an empty text."""
-    hits = F.filter(parts(report), lambda p: p.rlike(rf"^#{{1,6}}\s*§{n}\b"))
-    return F.when(F.size(hits) > 0, F.element_at(hits, -1)).otherwise("")
+    return _last(parts(report), n)
 
 
 def sections(reports: DataFrame) -> DataFrame:
@@ -314,17 +313,26 @@ def parse_result_line(text: str | Column) -> Column:
     )
 
 
+def _last(cut: Column, n: int) -> Column:
+    hits = F.filter(cut, lambda p: p.rlike(rf"^#{{1,6}}\s*§{n}\b"))
+    return F.when(F.size(hits) > 0, F.element_at(hits, -1)).otherwise("")
+
+
+def _row_matches(text: Column) -> Column:
+    """First three cells of every table row."""
+    rows = F.regexp_extract_all(text, F.lit(ROW), F.lit(0))
+    return F.transform(rows, lambda r: F.transform(F.slice(F.split(r, r"\|"), 2, 3), lambda c: F.trim(c)))
+
+
 def atomic_claims(reports: DataFrame, min_length: int = 10) -> DataFrame:
-    """Claims of a report in order: coupling rows, tagged bullets, action rows."""
+    """Claims of a report in order: coupling rows, tagged bullets, action rows.
 
-    def row_parts(n: int) -> Column:
-        text = section("report", n)
-        return F.arrays_zip(
-            *[F.transform(F.regexp_extract_all(text, F.lit(ROW), F.lit(i)), lambda s: F.trim(s)).alias(f"c{i}") for i in (1, 2, 3)]
-        )
+    The report is cut once; sections and rows are columns of their own, so no pattern runs twice
+    over a text.
+    """
 
     def coupling(r: Column) -> Column:
-        a, b, c = r["c1"], r["c2"], r["c3"]
+        a, b, c = r[0], r[1], r[2]
         skip = a.rlike(r"^[-: ]+$") | F.lower(a).isin("source", "kpi", "") | (
             F.lower(b).isin("target", "relationship", "") & F.lower(c).isin("mechanism", "strength", "description", "")
         )
@@ -332,17 +340,21 @@ def atomic_claims(reports: DataFrame, min_length: int = 10) -> DataFrame:
         return F.when(~skip, full)
 
     def action(r: Column) -> Column:
-        a = r["c1"]
+        a = r[0]
         return F.when(~(a.rlike(r"^[-: ]+$") | F.lower(a).isin("action", "priority", "")), a)
 
-    bullet = rf"(?m)^\s*[-*]\s+(.+\[(?:{TAGS})(?:[^\]]*)\].*)$"
+    tag = rf"\[(?:{TAGS})(?:[^\]]*)\]"
+    lines = F.filter(F.split("_s4", r"\n"), lambda s: s.rlike(r"^\s*[-*]\s+.") & s.rlike(rf".{tag}"))
     bullets = F.transform(
-        F.regexp_extract_all(section("report", 4), F.lit(bullet), F.lit(1)),
-        lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.trim(s), rf"\[(?:{TAGS})(?:[^\]]*)\]", "")), r"\s{2,}", " "),
+        F.transform(lines, lambda s: F.regexp_replace(s, r"^\s*[-*]\s+", "")),
+        lambda s: F.regexp_replace(F.trim(F.regexp_replace(F.trim(s), tag, "")), r"\s{2,}", " "),
     )
-    claims = F.concat(F.transform(row_parts(2), coupling), bullets, F.transform(row_parts(5), action))
+    cut = reports.select(*ID, parts("report").alias("_p"))
+    split = cut.select(*ID, *[_last(F.col("_p"), n).alias(f"_s{n}") for n in (2, 4, 5)])
+    rows = split.select(*ID, _row_matches(F.col("_s2")).alias("_r2"), bullets.alias("_b"), _row_matches(F.col("_s5")).alias("_r5"))
+    claims = F.concat(F.transform("_r2", coupling), F.col("_b"), F.transform("_r5", action))
     kept = F.filter(claims, lambda c: c.isNotNull() & (F.length(c) >= min_length))
-    return reports.select(*ID, F.posexplode(kept).alias("claim_no", "claim"))
+    return rows.select(*ID, F.posexplode(kept).alias("claim_no", "claim"))
 
 
 def evidence_contexts(reports: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from kpiscope.functions import labels
 from kpiscope.functions.exprs import SERIES, series_window, settle
-from kpiscope.operators.features import islands
 
 # Emission order of the event types inside one KPI.
 TYPE_ORDER = {"level_shift": 0, "spike": 1, "trend_break": 2, "multi_kpi": 3}
@@ -41,8 +40,7 @@ def baseline_moments(baseline: DataFrame, floor: float = 1e-8) -> DataFrame:
 def timeline(forecast: DataFrame, baseline: DataFrame) -> DataFrame:
     """One frame (station_id, kpi, h, pred): the observed week at h < 0, the forecast from h = 0 on.
 
-    With both parts in one series, moments, steps and slopes are windows of a single partitioning
-    and nothing has to be joined. Baseline hours t count up to the hour before the forecast.
+    With both parts in one series, moments, steps and slopes are windows and nothing is joined. Baseline hours t count up to the hour before the forecast.
     """
     last = F.max("t").over(Window.partitionBy(*SERIES))
     past = baseline.select(*SERIES, (F.col("t") - last - 1).alias("h"), F.col("value").alias("pred"))
@@ -54,8 +52,8 @@ def hour_marks(
 ) -> DataFrame:
     """Per forecast hour: z-score, step, slope swing and the level and spike flags.
 
-    Every window is partitioned by the series, so the whole frame costs one shuffle. The first
-    forecast step is measured from the last observed value.
+    Every window is partitioned by the series. The first forecast step is measured from the last
+    observed value.
     """
     whole, ordered = Window.partitionBy(*SERIES), series_window("h")
     past = F.col("h") < 0
@@ -87,54 +85,63 @@ def hour_marks(
     )
 
 
-_EVENT = "struct<type:string,t_start:int,t_end:int,magnitude:double,z_score:double,direction:string>"
+_EVENT = (
+    "struct<kpi:string,type:string,t_start:int,t_end:int,magnitude:double,z_score:double,direction:string,"
+    "co_occurring_kpis:array<string>>"
+)
 
 
-def _record(kind: str, start: Column, end: Column, magnitude: Column, z: Column, up: Column) -> Column:
+def _record(kind: str, start: Column, end: Column, magnitude: Column, z: Column, direction: Column, kpis: Column | None = None) -> Column:
+    joint = kpis is not None
     return F.struct(
-        F.lit(kind).alias("type"),
-        start.cast("int").alias("t_start"),
-        end.cast("int").alias("t_end"),
-        magnitude.alias("magnitude"),
-        z.alias("z_score"),
-        F.when(up, "up").otherwise("down").alias("direction"),
+        F.lit("MULTI") if joint else F.col("kpi"),
+        F.lit(kind),
+        start.cast("int"),
+        end.cast("int"),
+        magnitude.cast("double"),
+        z.cast("double"),
+        direction,
+        kpis if joint else F.array().cast("array<string>"),
     ).cast(_EVENT)
 
 
-def channel_events(marks: DataFrame, horizon: int = 168, min_duration: int = 2, width: int = 12, multiple: float = 2.0) -> DataFrame:
-    """Level shifts, spikes and trend breaks of single KPIs, read off the marks in one pass.
+def _up(c: Column) -> Column:
+    return F.when(c > 0, "up").otherwise("down")
 
-    A level shift is a run of far-off hours: it is emitted at the last hour of its run with the
-    signed z at its first peak. A trend break is a sign change of the rolling slope that swings by
-    more than the usual step; horizons shorter than two slope windows have none.
-    """
-    ordered = series_window("h")
+
+def _runs(flag: str, keys: tuple[str, ...], run: str, opens: str):
+    """Running number of the current run of flagged hours, as two steps over one window."""
+    ordered = Window.partitionBy(*keys).orderBy("h")
+    first = F.col(flag) & ~F.coalesce(F.lag(flag).over(ordered), F.lit(False))
+    return (opens, first.cast("int")), (run, F.sum(opens).over(ordered))
+
+
+def _channel_records(marks: DataFrame, horizon: int, min_duration: int, width: int, multiple: float) -> tuple[DataFrame, list[Column]]:
+    """Marks with run aggregates, and the records of single-KPI events read off each hour."""
     h = F.col("h")
-    opens = F.col("is_level") & ~F.coalesce(F.lag("is_level").over(ordered), F.lit(False))
+    step1, step2 = _runs("is_level", SERIES, "_run", "_opens")
     run = Window.partitionBy(*SERIES, "_run")
     inside = F.col("is_level")
-    deviation = F.when(inside, F.abs(F.col("pred") - F.col("mu")))
-    peak = F.when(inside, F.struct(F.abs("z"), -h))
     # hours after a run carry its number too, so every aggregate looks at flagged hours only
     seen = (
-        marks.withColumn("_opens", opens.cast("int"))
-        .withColumn("_run", F.sum("_opens").over(ordered))
+        marks.withColumn(*step1)
+        .withColumn(*step2)
         .withColumns(
             {
                 "_start": F.min(F.when(inside, h)).over(run),
                 "_end": F.max(F.when(inside, h)).over(run),
-                "_size": F.max(deviation).over(run),
-                "_peak": F.max_by("z", peak).over(run),
+                "_size": F.max(F.when(inside, F.abs(F.col("pred") - F.col("mu")))).over(run),
+                "_peak": F.max_by("z", F.when(inside, F.struct(F.abs("z"), -h))).over(run),
             }
         )
+        .drop("_opens", "_run")
     )
-    long_run = F.col("_end") - F.col("_start") + 1 >= min_duration
+    whole = inside & (h == F.col("_end")) & (F.col("_end") - F.col("_start") + 1 >= min_duration)
     level = F.when(
-        F.col("is_level") & (h == F.col("_end")) & long_run,
-        _record("level_shift", F.col("_start"), F.col("_end"), F.col("_size"), F.col("_peak"), F.col("_peak") > 0),
+        whole, _record("level_shift", F.col("_start"), F.col("_end"), F.col("_size"), F.col("_peak"), _up(F.col("_peak")))
     )
     spike = F.when(
-        F.col("is_spike"), _record("spike", h, h, F.abs("diff"), F.col("diff") / F.col("dsigma"), F.col("diff") > 0)
+        F.col("is_spike"), _record("spike", h, h, F.abs("diff"), F.col("diff") / F.col("dsigma"), _up(F.col("diff")))
     )
     swing = F.col("slope") - F.col("before")
     center = h - width + width // 2
@@ -152,66 +159,68 @@ def channel_events(marks: DataFrame, horizon: int = 168, min_duration: int = 2,
             F.least(F.lit(horizon - 1), center + 2),
             F.abs(swing),
             swing / F.col("dsigma"),
-            F.col("slope") > 0,
+            _up(F.col("slope")),
         ),
     )
-    none = F.array().cast("array<string>")
-    return seen.select(*SERIES, F.inline(F.array_compact(F.array(level, spike, trend)))).withColumn(
-        "co_occurring_kpis", none
-    ).select(*EVENT_COLUMNS)
-
+    return seen, [level, spike, trend]
 
-def level_shifts(marks: DataFrame, min_duration: int = 2) -> DataFrame:
-    return channel_events(marks, min_duration=min_duration).filter("type = 'level_shift'")
-
-
-def spikes(marks: DataFrame) -> DataFrame:
-    return channel_events(marks).filter("type = 'spike'")
 
+def _joint_records(marks: DataFrame, dim: DataFrame, min_kpis: int) -> tuple[DataFrame, list[Column]]:
+    """Marks with the runs of hours in which several KPIs are off, carried by one row per hour."""
+    h = F.col("h")
+    hour = Window.partitionBy("station_id", "h")
+    off = F.col("is_level") | F.col("is_spike")
+    named = marks.join(F.broadcast(dim.select("kpi", "ord")), "kpi", "left")
+    covered = named.withColumns(
+        {
+            "_cover": F.sum(off.cast("int")).over(hour),
+            "_kpis": F.collect_set(F.when(off, F.struct("ord", "kpi"))).over(hour),
+            "_lead": F.col("kpi") == F.min("kpi").over(hour),
+        }
+    ).withColumn("_hot", F.col("_lead") & (F.col("_cover") >= min_kpis))
+    step1, step2 = _runs("_hot", ("station_id", "_lead"), "_jrun", "_jopens")
+    run = Window.partitionBy("station_id", "_lead", "_jrun")
+    hot = F.col("_hot")
+    seen = (
+        covered.withColumn(*step1)
+        .withColumn(*step2)
+        .withColumns(
+            {
+                "_jstart": F.min(F.when(hot, h)).over(run),
+                "_jend": F.max(F.when(hot, h)).over(run),
+                "_jcover": F.max(F.when(hot, F.col("_cover"))).over(run),
+                "_jkpis": F.collect_set(F.when(hot, F.col("_kpis"))).over(run),
+            }
+        )
+        .drop("_jopens", "_jrun", "_lead", "_kpis", "_cover", "ord")
+    )
+    names = F.transform(F.array_sort(F.array_distinct(F.flatten("_jkpis"))), lambda s: s["kpi"])
+    record = F.when(
+        hot & (h == F.col("_jend")),
+        _record("multi_kpi", F.col("_jstart"), F.col("_jend"), F.col("_jcover"), F.col("_jcover"), F.lit("mixed"), names),
+    )
+    return seen, [record]
 
-def trend_breaks(marks: DataFrame, horizon: int = 168) -> DataFrame:
-    return channel_events(marks, horizon).filter("type = 'trend_break'")
 
+def detect(line: DataFrame, dim: DataFrame, horizon: int = 168, min_duration: int = 2, min_kpis: int = 3, width: int = 12, multiple: float = 2.0) -> DataFrame:
+    """All events of all stations from a timeline, not yet ranked.
 
-def multi_kpi(marks: DataFrame, dim: DataFrame, min_kpis: int = 3) -> DataFrame:
-    """Runs of hours in which several KPIs of a station are off at once.
+    * level shift: run of far-off hours, emitted at its last hour, signed z at the first peak;
+    * spike: one hour whose step is large against the usual step;
+    * trend break: sign change of the rolling slope that swings by more than the usual step;
+    * multi_kpi: run of hours in which at least min_kpis KPIs are off, whatever their runs.
 
-    An hour carries the KPIs that are off, in catalogue order and never more than the catalogue holds.
+    A station's hours meet in one task, which its catalogue and horizon bound. Every window below
+    is partitioned by the station or finer, so this is the only shuffle, ranking included.
     """
-    hours = (
-        marks.filter("is_level OR is_spike")
-        .join(F.broadcast(dim.select("kpi", "ord")), "kpi")
-        .groupBy("station_id", "h")
-        .agg(F.collect_set(F.struct("ord", "kpi")).alias("kpis"), F.count("*").alias("coverage"))
-    )
-    runs = islands(
-        hours,
-        F.col("coverage") >= min_kpis,
-        ("station_id",),
-        "h",
-        1,
-        extra=(
-            F.max("coverage").cast("double").alias("magnitude"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("kpis")))).alias("_kpis"),
-        ),
-    )
-    return runs.select(
-        "station_id",
-        F.lit("MULTI").alias("kpi"),
-        F.lit("multi_kpi").alias("type"),
-        "t_start",
-        "t_end",
-        "magnitude",
-        F.col("magnitude").alias("z_score"),
-        F.lit("mixed").alias("direction"),
-        F.transform("_kpis", lambda s: s["kpi"]).alias("co_occurring_kpis"),
-    )
+    marks = hour_marks(line.repartition("station_id"), width=width)
+    seen, single = _channel_records(marks, horizon, min_duration, width, multiple)
+    seen, joint = _joint_records(seen, dim, min_kpis)
+    return seen.select("station_id", F.inline(F.array_compact(F.array(*single, *joint))))
 
 
-def detect(line: DataFrame, dim: DataFrame, horizon: int = 168, min_duration: int = 2, min_kpis: int = 3) -> DataFrame:
-    """All events of all stations from a timeline, not yet ranked."""
-    marks = hour_marks(line)
-    return channel_events(marks, horizon, min_duration).unionByName(multi_kpi(marks, dim, min_kpis))
+def of_type(line: DataFrame, dim: DataFrame, kind: str) -> DataFrame:
+    return detect(line, dim).filter(F.col("type") == kind)
 
 
 def rank_topn(events: DataFrame, dim: DataFrame, top_n: int = 10, boost: float = 1.5) -> DataFrame:

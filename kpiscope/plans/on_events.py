@@ -103,22 +103,22 @@ def _marks(spark, sf):
 
 @query("ev_level_shift", EVENTS + f"SELECT {COLS} FROM allev WHERE type = 'level_shift'")
 def ev_level_shift(spark, sf):
-    return show(ev.level_shifts(_marks(spark, sf)))
+    return show(ev.of_type(line(spark, sf), src.dim(spark), "level_shift"))
 
 
 @query("ev_spike", EVENTS + f"SELECT {COLS} FROM allev WHERE type = 'spike'")
 def ev_spike(spark, sf):
-    return show(ev.spikes(_marks(spark, sf)))
+    return show(ev.of_type(line(spark, sf), src.dim(spark), "spike"))
 
 
 @query("ev_trend_break", EVENTS + f"SELECT {COLS} FROM allev WHERE type = 'trend_break'")
 def ev_trend_break(spark, sf):
-    return show(ev.trend_breaks(_marks(spark, sf)))
+    return show(ev.of_type(line(spark, sf), src.dim(spark), "trend_break"))
 
 
 @query("ev_multi_kpi", EVENTS + f"SELECT {COLS} FROM allev WHERE type = 'multi_kpi'")
 def ev_multi_kpi(spark, sf):
-    return show(ev.multi_kpi(_marks(spark, sf), src.dim(spark)))
+    return show(ev.of_type(line(spark, sf), src.dim(spark), "multi_kpi"))
 
 
 @query("ev_rank_topn", EVENTS + f"SELECT CAST(event_idx AS INTEGER) AS event_idx, {COLS} FROM topev")
