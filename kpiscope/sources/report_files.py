@@ -10,10 +10,9 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """(station_id, arm, report) from <station>/<arm>/explanation.md files."""
     pattern = r"([^/]+)/([^/]+)/explanation\.md$"
     return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "explanation.md")
-        .text(path)
+        .text(path, wholetext=True)
         .select(
             F.regexp_extract("_metadata.file_path", pattern, 1).alias("station_id"),
             F.regexp_extract("_metadata.file_path", pattern, 2).alias("arm"),
