@@ -86,7 +86,8 @@ def run_rows(docs: DataFrame, family: str | None = None, prefix: str | None = No
         "run_name",
         "model.*",
         F.col("test.mean_MAE").alias("test_mean_mae"),
-        F.explode("test.per_kpi").alias("kpi", "m"),
+        # a plain explode would let the optimizer drop documents without the block before the check
+        F.explode_outer("test.per_kpi").alias("kpi", "m"),
     ).select("*", "m.*").drop("m")
 
 
