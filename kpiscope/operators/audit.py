@@ -392,7 +392,7 @@ def directional_issues(claims: DataFrame, rules: DataFrame, kpis: list[str]) ->
     listed = claims.withColumn("_a", arrows).filter(F.size("_a") >= 2)
     each = listed.select("station_id", "claim_no", F.posexplode("_a").alias("pos", "a")).filter(F.col("a.kpi").isin(kpis))
     last = each.groupBy("station_id", "claim_no", F.col("a.kpi").alias("kpi")).agg(F.max_by("a.arrow", "pos").alias("arrow"))
-    r = F.broadcast(rules.select("source", "target", "coupling"))  # KPI-level rules
+    r = rules.select("source", "target", "coupling")  # KPI-level rules
     src = last.select("station_id", "claim_no", F.col("kpi").alias("source"), F.col("arrow").alias("sa")).join(r, "source")
     tgt = last.select("station_id", "claim_no", F.col("kpi").alias("target"), F.col("arrow").alias("ta"))
     same = F.col("sa") == F.col("ta")

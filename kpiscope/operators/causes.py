@@ -1,7 +1,6 @@
 """Candidate causes of events from a KPI relationship graph.
 
-edges is (source_kpi, target_kpi, relation_type, strength, edge_ord): a KPI-level ontology, a few
-hundred rows at most, so it is broadcast. Events come ranked (see events.rank_topn), which bounds
+edges is (source_kpi, target_kpi, relation_type, strength, edge_ord), a KPI-level ontology. Events come ranked (see events.rank_topn), which bounds
 the rows per station before anything is joined.
 """
 
@@ -28,7 +27,7 @@ def direction_consistency(relation: str, source_dir: str, target_dir: str) -> Co
 
 def _event_edges(events: DataFrame, edges: DataFrame) -> DataFrame:
     """Every single-KPI event beside the edges that point at its KPI."""
-    e = F.broadcast(edges.filter("source_kpi <> target_kpi"))
+    e = edges.filter("source_kpi <> target_kpi")
     return events.filter("kpi <> 'MULTI'").join(e, F.col("kpi") == F.col("target_kpi")).drop("target_kpi")
 
 
@@ -118,7 +117,7 @@ def multi_causes(events: DataFrame, edges: DataFrame, top_k: int = 5) -> DataFra
     fan = events.filter((F.col("type") == "multi_kpi") & (F.size("co_occurring_kpis") >= 2)).select(
         "station_id", "event_idx", "co_occurring_kpis", F.posexplode("co_occurring_kpis").alias("a", "source_kpi")
     )
-    hit = fan.join(F.broadcast(distinct), "source_kpi").filter(
+    hit = fan.join(distinct, "source_kpi").filter(
         (F.col("source_kpi") != F.col("target_kpi")) & F.array_contains("co_occurring_kpis", F.col("target_kpi"))
     )
     w = Window.partitionBy("station_id", "event_idx").orderBy(

@@ -170,7 +170,7 @@ def _joint_records(marks: DataFrame, dim: DataFrame, min_kpis: int) -> tuple[Dat
     h = F.col("h")
     hour = Window.partitionBy("station_id", "h")
     off = F.col("is_level") | F.col("is_spike")
-    named = marks.join(F.broadcast(dim.select("kpi", "ord")), "kpi", "left")
+    named = marks.join(dim.select("kpi", "ord"), "kpi", "left")
     covered = named.withColumns(
         {
             "_cover": F.sum(off.cast("int")).over(hour),
@@ -234,7 +234,7 @@ def rank_topn(events: DataFrame, dim: DataFrame, top_n: int = 10, boost: float =
     w = Window.partitionBy("station_id").orderBy(
         F.round(score, 9).desc(), F.coalesce(F.col("_ord"), F.lit(1 << 30)), order, "t_start"
     )
-    ranked = events.join(F.broadcast(dim.select("kpi", F.col("ord").alias("_ord"))), "kpi", "left")
+    ranked = events.join(dim.select("kpi", F.col("ord").alias("_ord")), "kpi", "left")
     return (
         ranked.withColumn("event_idx", F.row_number().over(w) - 1)
         .filter(F.col("event_idx") < top_n)

@@ -195,7 +195,7 @@ def directional_check(inputs: DataFrame, forecast: DataFrame, rules: DataFrame,
         .select(*SERIES, "h", "pct")
     )
     r = rules.select("source", "target", "coupling", "strength", "min_pct_source", "min_pct_target", "condition")
-    src = pct.select("station_id", F.col("kpi").alias("source"), "h", F.col("pct").alias("src_pct")).join(F.broadcast(r), "source")
+    src = pct.select("station_id", F.col("kpi").alias("source"), "h", F.col("pct").alias("src_pct")).join(r, "source")
     tgt = pct.select("station_id", F.col("kpi").alias("target"), "h", F.col("pct").alias("tgt_pct"))
     s, t = F.col("src_pct"), F.col("tgt_pct")
     down, up = t < -F.col("min_pct_target"), t > F.col("min_pct_target")

@@ -140,11 +140,8 @@ def cumulative_group_split(stations: DataFrame, train_groups: Iterable[int], see
     if any(g < 0 for g in wanted):
         raise ValueError("number of training groups must be >= 0")
     groups = stations.select("site_group").distinct().withColumn("_key", seeded_order("site_group", seed))
-    order = Window.orderBy("_key", "site_group")
-    ranked = groups.select(
-        "site_group", F.row_number().over(order).alias("group_rank"), F.count("*").over(Window.partitionBy()).alias("n_groups")
-    )
-    ranked = require(ranked, F.col("n_groups") > max(wanted), "no groups left to test")
+    ranked = global_position(groups, F.substring("_key", 1, 2), ["_key", "site_group"], "group_rank")
+    ranked = require(ranked, F.col("total") > max(wanted), "no groups left to test")
     fan = stations.join(ranked, "site_group").select(
         "station_id", "site_group", "group_rank", F.explode(F.array(*[F.lit(g) for g in wanted])).alias("n_train_groups")
     )
@@ -206,10 +203,10 @@ def scaler_inverse(result: str | Column, scaler: str) -> Column:
 def physical_clamp(df: DataFrame, dim: DataFrame, value: str = "pred", round_integers: bool = False) -> DataFrame:
     """Clip to [0, cap] of the KPI and optionally round integer KPIs half to even.
 
-    dim is the KPI contract, one row per KPI, so it is broadcast. An unknown KPI is an error.
+    dim is the KPI contract, one row per KPI. An unknown KPI is an error.
     """
     small = dim.select("kpi", F.col("cap").alias("_cap"), F.col("is_integer").alias("_int"))
-    joined = require(df.join(F.broadcast(small), "kpi", "left"), F.col("_cap").isNotNull(), "unknown KPI")
+    joined = require(df.join(small, "kpi", "left"), F.col("_cap").isNotNull(), "unknown KPI")
     clipped = F.least(F.greatest(F.col(value), F.lit(0.0)), F.col("_cap"))
     if round_integers:
         clipped = F.when(F.col("_int"), F.bround(clipped, 0)).otherwise(clipped)
@@ -221,7 +218,7 @@ def usable_factors(factors: DataFrame, dim: DataFrame, low: float = 0.85, high:
     f = F.col("factor").try_cast("double")
     finite = f.isNotNull() & ~F.isnan(f) & (F.abs(f) < float("inf"))
     return (
-        factors.join(F.broadcast(dim.select("kpi")), "kpi", "left_semi")
+        factors.join(dim.select("kpi"), "kpi", "left_semi")
         .filter(finite)
         .withColumn("factor", F.least(F.greatest(f, F.lit(low)), F.lit(high)))
         .filter(F.abs(F.col("factor") - 1) >= 1e-6)
@@ -287,7 +284,7 @@ def panel_violations(panel: DataFrame, dim: DataFrame, hours: int) -> DataFrame:
     """Counts of everything that makes a station unusable, one row per station."""
     v = F.col("value")
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    known = panel.join(F.broadcast(dim.select("kpi", F.lit(True).alias("_known"))), "kpi", "left")
+    known = panel.join(dim.select("kpi", F.lit(True).alias("_known")), "kpi", "left")
     per_series = known.groupBy("station_id", "kpi").agg(
         F.sum(bad.cast("int")).alias("bad"),
         F.count("*").alias("rows"),

@@ -159,7 +159,7 @@ def largest_change(summary: DataFrame, dim: DataFrame) -> DataFrame:
     s = (
         summary.filter(F.abs("baseline_mean") > 1e-8)
         .withColumn("pct", settle("increase_pct", 2))
-        .join(F.broadcast(dim.select("kpi", "ord")), "kpi")
+        .join(dim.select("kpi", "ord"), "kpi")
     )
     row = F.struct("kpi", "pct")
     return s.groupBy("station_id").agg(
@@ -302,7 +302,7 @@ def forecast_window_days(stations: DataFrame, start_weekday: str = "start_weekda
 def report_flags(summary: DataFrame, metrics: DataFrame, ranges: DataFrame) -> DataFrame:
     """Warnings a report must print: weak accuracy and values outside the valid range of the KPI."""
     joined = summary.join(metrics.select(*SERIES, "mase"), list(SERIES), "left").join(
-        F.broadcast(ranges.select("kpi", "lo", "hi")), "kpi", "left"
+        ranges.select("kpi", "lo", "hi"), "kpi", "left"
     )
     no = F.lit(False)
     return (

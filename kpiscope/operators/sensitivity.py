@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiscope.functions import labels
-from kpiscope.functions.exprs import SERIES
-from kpiscope.operators.features import array_mean, deseasonalize
+from kpiscope.functions.exprs import SERIES, series_window
+from kpiscope.operators.features import array_mean
 
 # Perturbation strengths, shape of the local window, lower bound of variance scaling.
 SCALES = (-0.10, -0.05, -0.01, 0.01, 0.05, 0.10)
@@ -46,9 +46,15 @@ def trend_slopes(inputs: DataFrame, window: int | None = None, season: int = 24)
     if window is not None:
         last = F.max("t").over(Window.partitionBy(*SERIES))
         cut = inputs.withColumn("_last", last).filter(F.col("t") > F.col("_last") - window)
-    return deseasonalize(cut, season).groupBy(*SERIES).agg(
-        F.regr_slope("moving_avg", F.col("i").cast("double")).alias("slope")
+    # a running sum and its value one season ago give every moving mean in one pass over the series
+    w = series_window()
+    total = cut.withColumn("_sum", F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    moving = total.select(
+        *SERIES, "t", ((F.col("_sum") - F.coalesce(F.lag("_sum", season).over(w), F.lit(0.0))) / season).alias("m"),
+        F.row_number().over(w).alias("_i"),
     )
+    full = moving.filter(F.col("_i") >= season)
+    return full.groupBy(*SERIES).agg(F.regr_slope("m", F.col("_i").cast("double")).alias("slope"))
 
 
 def _scales(scales: Sequence[float]) -> Column:
@@ -60,7 +66,7 @@ def event_centers(events: DataFrame, dim: DataFrame, input_length: int, horizon:
     center = F.lit(input_length - horizon) + F.floor((F.col("t_start") + F.col("t_end")) / 2).cast("int")
     return (
         events.filter((F.col("t_start") >= 0) & (F.col("t_end") >= F.col("t_start")))
-        .join(F.broadcast(dim.select("kpi")), "kpi", "left_semi")
+        .join(dim.select("kpi"), "kpi", "left_semi")
         .withColumn("t_center", center)
         .filter((F.col("t_center") >= 0) & (F.col("t_center") < input_length))
         .select("station_id", "event_idx", "kpi", "t_start", "t_end", "t_center")
@@ -262,8 +268,8 @@ def normalize(sens: DataFrame, dim: DataFrame) -> DataFrame:
     src = caps.select(F.col("kpi").alias("src"), F.col("cap").alias("_cs"))
     tgt = caps.select(F.col("kpi").alias("tgt"), F.col("cap").alias("_ct"))
     return (
-        sens.join(F.broadcast(src), "src")
-        .join(F.broadcast(tgt), "tgt")
+        sens.join(src, "src")
+        .join(tgt, "tgt")
         .withColumn("s_norm", F.col("s_raw") * F.col("_cs") / F.col("_ct"))
         .drop("_cs", "_ct")
         .withColumn("magnitude", labels.sensitivity_magnitude("s_norm"))
@@ -278,8 +284,8 @@ def topk_pairs(sens: DataFrame, dim: DataFrame, k: int = 5, target: str | None =
     if ptype is not None:
         rows = rows.filter(F.col("ptype") == ptype)
     ords = dim.select("kpi", "ord")
-    rows = rows.join(F.broadcast(ords.select(F.col("kpi").alias("src"), F.col("ord").alias("_so"))), "src").join(
-        F.broadcast(ords.select(F.col("kpi").alias("tgt"), F.col("ord").alias("_to"))), "tgt"
+    rows = rows.join(ords.select(F.col("kpi").alias("src"), F.col("ord").alias("_so")), "src").join(
+        ords.select(F.col("kpi").alias("tgt"), F.col("ord").alias("_to")), "tgt"
     )
     place = F.array_position(F.array(*[F.lit(p) for p in PTYPES]), F.col("ptype"))
     w = Window.partitionBy("station_id").orderBy(F.round(F.abs("s_norm"), 6).desc(), "_so", "_to", place)
@@ -300,7 +306,7 @@ def local_topk(local: DataFrame, dim: DataFrame, k: int = 3) -> DataFrame:
     any_effect = F.max(F.abs("s_norm")).over(Window.partitionBy("station_id", "event_idx")) > 0
     w = Window.partitionBy("station_id", "event_idx").orderBy(F.round(F.abs("s_norm"), 6).desc(), "_so")
     return (
-        local.join(F.broadcast(ords), "src")
+        local.join(ords, "src")
         .withColumn("_any", any_effect)
         .filter("_any")
         .withColumn("rank", F.row_number().over(w))

@@ -266,7 +266,7 @@ def claims(spark, sf):
     "cl_verify",
     """WITH k AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'] AS k),
     c AS (SELECT conv_id AS station_id, turn AS claim_no, k[turn % 5 + 1] AS s, k[(turn + 1 + conv_id % 3) % 5 + 1] AS t, CASE WHEN conv_id % 2 = 0 THEN '↓' ELSE '↑' END AS ta, role, conv_id % 3 AS e FROM conversations, k),
-    ca AS (SELECT DISTINCT conv_id AS station_id, k[turn % 5 + 1] AS s, k[(turn + 1) % 5 + 1] AS t FROM conversations, k WHERE turn % 2 = 0),
+    ca AS (SELECT DISTINCT conv_id AS station_id, k[turn % 5 + 1] AS s, k[(turn + 1) % 5 + 1] AS t FROM conversations, k WHERE role = 'user'),
     ru AS (SELECT * FROM (VALUES ('click', 'purchase', 'positive'), ('error', 'view', 'negative'), ('view', 'signup', 'positive'), ('signup', 'click', 'negative')) r(source, target, coupling)),
     i AS (SELECT c.*, (SELECT count(*) FROM ru WHERE ((ru.source = c.s AND ru.target = c.t) OR (ru.source = c.t AND ru.target = c.s)) AND (CASE WHEN coupling = 'positive' THEN c.ta <> '↑' ELSE c.ta = '↑' END)) AS issues FROM c)
     SELECT i.station_id, i.claim_no, 1 AS pairs, CASE WHEN ca.s IS NOT NULL THEN 1 ELSE 0 END AS pairs_verified, CASE WHEN ca.s IS NOT NULL THEN 0 ELSE 1 END AS pairs_unsupported, issues,
@@ -277,7 +277,7 @@ def cl_verify(spark, sf):
     k = F.array(*[F.lit(x) for x in KPIS])
     conv = load(spark, sf, "conversations")
     turn = F.col("turn")
-    causes = conv.filter(turn % 2 == 0).select(
+    causes = conv.filter("role = 'user'").select(
         F.col("conv_id").alias("station_id"),
         F.element_at(k, (turn % 5 + 1).cast("int")).alias("src"),
         F.element_at(k, ((turn + 1) % 5 + 1).cast("int")).alias("tgt"),
@@ -292,15 +292,15 @@ def cl_verify(spark, sf):
 
 @query(
     "cl_missing_kpis",
-    """WITH k AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'] AS k), e AS (SELECT conv_id, k[turn % 5 + 1] AS kpi, turn FROM conversations, k)
-    SELECT DISTINCT conv_id AS station_id, kpi FROM e WHERE (conv_id, kpi) NOT IN (SELECT (conv_id, kpi) FROM e WHERE turn % 3 = 1)""",
+    """WITH k AS (SELECT ['click', 'error', 'purchase', 'signup', 'view'] AS k), e AS (SELECT conv_id, k[turn % 5 + 1] AS kpi, role FROM conversations, k)
+    SELECT DISTINCT conv_id AS station_id, kpi FROM e WHERE (conv_id, kpi) NOT IN (SELECT (conv_id, kpi) FROM e WHERE role = 'assistant')""",
 )
 def cl_missing_kpis(spark, sf):
     k = F.array(*[F.lit(x) for x in KPIS])
     e = load(spark, sf, "conversations").select(
-        F.col("conv_id").alias("station_id"), F.element_at(k, (F.col("turn") % 5 + 1).cast("int")).alias("kpi"), "turn"
+        F.col("conv_id").alias("station_id"), F.element_at(k, (F.col("turn") % 5 + 1).cast("int")).alias("kpi"), "role"
     )
-    return au.missing_kpis(e, e.filter("turn % 3 = 1").select("station_id", "kpi"))
+    return au.missing_kpis(e, e.filter("role = 'assistant'").select("station_id", "kpi"))
 
 
 def answers(spark, sf):

@@ -420,13 +420,12 @@ def kg_related(spark, sf):
 
 @query(
     "kg_neighbourhood",
-    E + """, thin AS (SELECT * FROM rel WHERE (s * 7 + t) % 11 = 3), un AS (SELECT source AS a, target AS b FROM thin UNION SELECT target, source FROM thin),
+    E + """, thin AS (SELECT * FROM rel WHERE strength = 'critical' AND relation_type = 'LIMITS'), un AS (SELECT source AS a, target AS b FROM thin UNION SELECT target, source FROM thin),
     n1 AS (SELECT 'NATION_3' AS n UNION SELECT b FROM un WHERE a = 'NATION_3'), n2 AS (SELECT n FROM n1 UNION SELECT b FROM un JOIN n1 ON a = n)
     SELECT source, target, relation_type, strength FROM thin WHERE source IN (SELECT n FROM n2) OR target IN (SELECT n FROM n2)""",
 )
 def kg_neighbourhood(spark, sf):
-    key = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("int")
-    thin = rels(spark, sf).filter((key("source") * 7 + key("target")) % 11 == 3)
+    thin = rels(spark, sf).filter("strength = 'critical' AND relation_type = 'LIMITS'")
     start = load(spark, sf, "nation").filter("n_name = 'NATION_3'").select(F.col("n_name").alias("name"))
     return gq.neighbourhood(thin, start).select("source", "target", "relation_type", "strength")
 
@@ -561,11 +560,11 @@ def kg_lookup_tables(spark, sf):
 
 def merged_nodes(spark, sf):
     nodes = part_nodes(spark, sf).withColumnRenamed("aligned_name", "name")
-    base = nodes.filter("ord % 3 <> 0").groupBy("name").agg(
+    base = nodes.filter("node_type = 'KPIDefinition'").groupBy("name").agg(
         F.min("node_type").alias("node_type"), F.min("formula").alias("formula"), F.min("description").alias("description")
     )
     fresh = load(spark, sf, "part").withColumn("ord", F.col("p_partkey")).join(nodes.select("ord", "name", "node_type", "formula", "description"), "ord")
-    extracted = fresh.filter("ord % 2 = 0").groupBy("name").agg(
+    extracted = fresh.filter("p_size >= 20").groupBy("name").agg(
         F.min("node_type").alias("node_type"),
         F.max("formula").alias("formula"),
         F.max("description").alias("description"),
@@ -576,8 +575,8 @@ def merged_nodes(spark, sf):
 
 
 MERGE = PN + """, pp AS (SELECT pn.*, p_retailprice FROM pn JOIN part ON p_partkey = ord),
-  b AS (SELECT aligned_name AS name, min(node_type) AS node_type, min(formula) AS formula, min(description) AS description FROM pp WHERE ord % 3 <> 0 GROUP BY 1),
-  x AS (SELECT aligned_name AS name, min(node_type) AS node_type, max(formula) AS formula, max(description) AS description, max(p_retailprice) / 2000 >= 0.5 AS ok FROM pp WHERE ord % 2 = 0 GROUP BY 1),
+  b AS (SELECT aligned_name AS name, min(node_type) AS node_type, min(formula) AS formula, min(description) AS description FROM pp WHERE node_type = 'KPIDefinition' GROUP BY 1),
+  x AS (SELECT aligned_name AS name, min(node_type) AS node_type, max(formula) AS formula, max(description) AS description, max(p_retailprice) / 2000 >= 0.5 AS ok FROM pp WHERE p_size >= 20 GROUP BY 1),
   mg AS (SELECT coalesce(b.name, x.name) AS name, coalesce(b.node_type, CASE WHEN ok THEN x.node_type END) AS node_type, coalesce(CASE WHEN ok THEN x.formula END, b.formula) AS formula,
     coalesce(CASE WHEN ok THEN x.description END, b.description) AS description, CASE WHEN ok IS NULL THEN 'untouched' WHEN NOT ok THEN 'skipped' WHEN b.name IS NOT NULL THEN 'enriched' ELSE 'added' END AS outcome
     FROM b FULL OUTER JOIN x ON b.name = x.name)
@@ -596,17 +595,16 @@ def kg_merge_counts(spark, sf):
 
 @query(
     "kg_upsert_typed",
-    E + f""", al AS (SELECT source, target, upper(regexp_replace(raw_type, '[^A-Za-z0-9_]', '_', 'g')) AS label, triple_type, confidence, reason AS note, s, t FROM ne),
-    o AS (SELECT * FROM al WHERE s % 2 = 0), i AS (SELECT * FROM al WHERE t % 2 = 0 AND confidence >= 0.95)
+    E + f""", al AS (SELECT source, target, upper(regexp_replace(raw_type, '[^A-Za-z0-9_]', '_', 'g')) AS label, triple_type, confidence, reason AS note, weight FROM ne),
+    o AS (SELECT * FROM al WHERE confidence < 0.955), i AS (SELECT * FROM al WHERE weight > 1 AND confidence >= 0.95)
     SELECT coalesce(o.source, i.source) AS source, coalesce(o.target, i.target) AS target, coalesce(o.label, i.label) AS label, coalesce(i.triple_type, o.triple_type) AS triple_type,
       {rnd('coalesce(i.confidence, o.confidence)', 5)} AS confidence, CASE WHEN i.source IS NULL THEN 'kept' WHEN o.source IS NULL THEN 'created' ELSE 'updated' END AS outcome
     FROM o FULL OUTER JOIN i ON o.source = i.source AND o.target = i.target AND o.label = i.label""",
 )
 def kg_upsert_typed(spark, sf):
     all_edges = nation_edges(spark, sf).withColumn("label", gq.sanitize_label("relation_type")).withColumn("note", F.col("reason"))
-    key = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("int")
-    base = all_edges.filter(key("source") % 2 == 0)
-    incoming = all_edges.filter(key("target") % 2 == 0)
+    base = all_edges.filter("confidence < 0.955")
+    incoming = all_edges.filter("weight > 1")
     out = gq.upsert_typed(base, incoming, 0.95).drop("note")
     return tidy(out, "confidence", digits=5)
 
