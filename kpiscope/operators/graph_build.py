@@ -134,35 +134,43 @@ def embed_align(entities: DataFrame, ontology: DataFrame, block_size: int = 512)
     )
 
 
-def conflict_candidates(aligned: DataFrame, cap: int = 10) -> DataFrame:
-    """Rows that may contradict each other, numbered inside their (aligned_name, predicate) group.
+def conflict_groups(aligned: DataFrame, cap: int = 10) -> DataFrame:
+    """Rows of the same (aligned_name, predicate) that may contradict each other, as a short array.
 
-    Groups above the cap keep their most probable rows, then the longest clause. The rank filter
-    runs before the shuffle as well, so a hot group never travels whole. Small groups keep
-    extraction order.
+    Groups above the cap keep their most probable rows, then the longest clause; small groups keep
+    extraction order. One row more than the cap tells the two apart, so the group size needs no
+    second pass. The rank filter also runs before the shuffle: a hot group never travels whole.
     """
     by_prob = Window.partitionBy("aligned_name", "predicate").orderBy(
         F.col("relation_prob").desc(), F.length(F.coalesce("source_clause", F.lit(""))).desc(), "ord"
     )
-    sizes = aligned.groupBy("aligned_name", "predicate").agg(F.count("*").alias("group_size"))
-    kept = aligned.withColumn("_r", F.row_number().over(by_prob)).filter(F.col("_r") <= cap)
-    kept = kept.join(sizes.filter("group_size > 1"), ["aligned_name", "predicate"])
-    by_ord = F.row_number().over(Window.partitionBy("aligned_name", "predicate").orderBy("ord"))
-    return kept.withColumn("_o", by_ord).withColumn(
-        "place", F.when(F.col("group_size") > cap, F.col("_r")).otherwise(F.col("_o"))
-    ).drop("_r", "_o")
+    fields = ("ord", "object", "relation_prob", "source_clause")
+    kept = (
+        aligned.select("aligned_name", "predicate", *fields)
+        .withColumn("_r", F.row_number().over(by_prob))
+        .filter(F.col("_r") <= cap + 1)
+    )
+    ranked = kept.groupBy("aligned_name", "predicate").agg(
+        F.array_sort(F.collect_list(F.struct("_r", *fields))).alias("_g")
+    )  # at most cap + 1 entries
+
+    def plain(rows: Column) -> Column:
+        return F.transform(rows, lambda r: F.struct(*[r[f].alias(f) for f in fields]))
+
+    rows = F.when(F.size("_g") > cap, plain(F.slice("_g", 1, cap))).otherwise(F.array_sort(plain(F.col("_g"))))
+    return ranked.filter(F.size("_g") > 1).select("aligned_name", "predicate", rows.alias("rows"))
 
 
 def conflict_pairs(aligned: DataFrame, cap: int = 10) -> DataFrame:
-    """Pairs of the same subject and predicate with different objects (at most cap rows per group)."""
-    c = conflict_candidates(aligned, cap).select(
-        "aligned_name", "predicate", "place", F.struct("ord", "object", "relation_prob", "source_clause").alias("r")
+    """Pairs of the same subject and predicate with different objects, read off the short arrays."""
+    later = lambda a, i: F.transform(
+        F.slice("rows", i + 2, F.size("rows")),
+        lambda b, j: F.struct((i + 1).alias("i"), (i + j + 2).alias("j"), a.alias("a"), b.alias("b")),
     )
-    left = c.withColumnsRenamed({"place": "i", "r": "a"})
-    right = c.withColumnsRenamed({"place": "j", "r": "b"})
-    return left.join(right, ["aligned_name", "predicate"]).filter(
-        (F.col("i") < F.col("j")) & (F.trim("a.object") != F.trim("b.object"))
+    pairs = conflict_groups(aligned, cap).select(
+        "aligned_name", "predicate", F.inline(F.flatten(F.transform("rows", later)))
     )
+    return pairs.filter(F.trim("a.object") != F.trim("b.object"))
 
 
 def conflict_resolve(aligned: DataFrame, verdicts: DataFrame, cap: int = 10) -> DataFrame:
@@ -188,19 +196,23 @@ def conflict_resolve(aligned: DataFrame, verdicts: DataFrame, cap: int = 10) ->
     a_loses = (F.col("a.relation_prob") < F.col("b.relation_prob")) | (
         (F.col("a.relation_prob") == F.col("b.relation_prob")) & (depth("a.source_clause") < depth("b.source_clause"))
     )
+    loser = F.when(a_loses, F.struct(F.col("i").alias("at"), F.col("a.ord").alias("ord"))).otherwise(
+        F.struct(F.col("j").alias("at"), F.col("b.ord").alias("ord"))
+    )
     queue = told.groupBy("aligned_name", "predicate").agg(
-        F.array_sort(F.collect_list(F.struct("i", "j", F.when(a_loses, F.col("i")).otherwise(F.col("j")).alias("loser")))).alias("q")
+        F.array_sort(F.collect_list(F.struct("i", "j", loser.alias("loser")))).alias("q")
     )
     lost = F.aggregate(
         "q",
         F.array().cast("array<int>"),
         lambda out, p: F.when(
             F.array_contains(out, p["i"]) | F.array_contains(out, p["j"]), out
-        ).otherwise(F.concat(out, F.array(p["loser"]))),
+        ).otherwise(F.concat(out, F.array(p["loser"]["at"]))),
+    )
+    gone = queue.withColumn("_lost", lost).select(
+        F.explode(F.filter("q", lambda p: F.array_contains("_lost", p["loser"]["at"]))).alias("p")
     )
-    dropped = queue.select("aligned_name", "predicate", F.explode(lost).alias("place"))
-    gone = conflict_candidates(aligned, cap).join(dropped, ["aligned_name", "predicate", "place"], "left_semi").select("ord")
-    return aligned.join(gone, "ord", "left_anti")
+    return aligned.join(gone.select(F.col("p.loser.ord").alias("ord")), "ord", "left_anti")
 
 
 def integrate_scores(evaluated: DataFrame) -> DataFrame:

@@ -193,13 +193,13 @@ def test_run_results(spark, tmp_path):
         folder.mkdir(parents=True)
         (folder / f"{kind}.json").write_text(json.dumps(doc))
 
-    good = {"model": {"model_family": "chronos"}, "test": {"per_kpi": {"DL_CQI": {"sMAPE": 1.0, "MAE": 2.0}}}}
+    good = {"model": {"model_family": "foundation"}, "test": {"per_kpi": {"DL_CQI": {"sMAPE": 1.0, "MAE": 2.0}}}}
     put("ft_w0", good)
     put("cum_3", good)
     put("other", {"model": {"model_family": "x"}})
     put("gone", {"model_family": "x", "reason": "no gpu"}, "skipped")
     path = str(tmp_path / "runs")
-    rows = results.read_run_results(spark, path, "chronos", "ft_").collect()
+    rows = results.read_run_results(spark, path, "foundation", "ft_").collect()
     assert [(r["run_name"], r["kpi"], r["MAE"]) for r in rows] == [("ft_w0", "DL_CQI", 2.0)]
     with pytest.raises(Exception, match="no test per-KPI block"):
         results.read_run_results(spark, path).collect()
