@@ -1,8 +1,11 @@
 """Language identification by compression.
 
 For every language a zstandard raw-content dictionary holds sample text. A text is compressed in blocks with each
-dictionary; the smallest sum names the language. Narrow margins are rejected. Case and everything but letters is evened out
-first, so that punctuation or capitals don't drown the language.
+dictionary; the smallest sum names the language, of equal ones that with more training documents. Case and everything but
+letters is evened out first, so that punctuation or capitals don't drown the language. Short texts are compressed after a run of
+spaces, else zstandard would store them as they are.
+
+Narrow margins are rejected, but for texts under LEAST_BYTES: these are too short to tell a narrow margin from chance.
 
 The dictionaries are fitted on a bounded sample: of each language about SAMPLE_DOCS documents chosen by a hash of doc_id, of
 each the first SLICE_CHARS characters, DICT_BYTES in all. Predictions read whole texts.
@@ -27,10 +30,11 @@ from pyspark.sql import types as T
 
 from kpiscope.llm.shared import bounded_batches
 
-SAMPLE_DOCS, SLICE_CHARS, DICT_BYTES = 150, 1500, 100_000
-LEVEL, BLOCK = 3, 2048
+SAMPLE_DOCS, SLICE_CHARS, DICT_BYTES = 200, 1500, 1 << 17
+LEVEL, BLOCK, SHORT = 6, 2048, 600
+PADDING = b" " * 1024
 #: Relative gain of the best over the second language below which a document is rejected.
-LEAST_MARGIN = 0.001
+LEAST_MARGIN, LEAST_BYTES = 0.001, 64
 MOST_LANGUAGES = 500
 FOLDS = 5
 SPACES = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -47,7 +51,7 @@ def evened(text: str) -> bytes:
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionaries by language, from documents that are not held out."""
+    """Dictionaries by language, most frequent first, from documents that are not held out."""
     rows = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
@@ -60,7 +64,8 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     texts = defaultdict(list)
     for r in picked.select("lang", "place", F.substring("text", 1, SLICE_CHARS).alias("text")).collect():
         texts[r["lang"]].append((r["place"], r["text"]))
-    return {lang: b"\n".join(evened(t) for _, t in sorted(texts[lang])[:SAMPLE_DOCS])[:DICT_BYTES] for lang in sorted(texts)}
+    order = sorted(texts, key=lambda lang: (-counts[lang], lang))
+    return {lang: b"\n".join(evened(t) for _, t in sorted(texts[lang])[:SAMPLE_DOCS])[:DICT_BYTES] for lang in order}
 
 
 @lru_cache(4)
@@ -78,10 +83,12 @@ def judge(text: str | None, tools: list) -> tuple[str, float, float, bool]:
     if text is None or not tools:
         return "und", 0.0, 0.0, True
     data = evened(text)
-    sizes = sorted((sum(len(z.compress(data[k : k + BLOCK])) for k in range(0, len(data), BLOCK)), lang) for lang, z in tools)
+    read = PADDING + data if len(data) < SHORT else data
+    sizes = sorted((sum(len(z.compress(read[k : k + BLOCK])) for k in range(0, len(read), BLOCK)), place) for place, (_, z) in enumerate(tools))
     best = sizes[0][0]
     margin = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
-    return sizes[0][1], 1 / sum(math.exp((best - s) / 2) for s, _ in sizes), margin, margin < LEAST_MARGIN
+    score = 1 / sum(math.exp((best - s) / 2) for s, _ in sizes)
+    return tools[sizes[0][1]][0], score, margin, margin < LEAST_MARGIN and len(data) >= LEAST_BYTES
 
 
 def predict(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:

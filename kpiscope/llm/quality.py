@@ -19,31 +19,22 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.llm.shared import BLANK, WORD, words
+from kpiscope.llm.shared import WORD, words
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 SMOOTHING = 1.0
 UNIT = 1 << 20
 #: Mean log ratio of an n-gram that a document needs.
-LEAST_SCORE = -0.5
+LEAST_SCORE = -0.45
 #: Trusted ids up to this number (32 MB) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 4_000_000
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
 
 
-def pairs(h: Column) -> Column:
-    """Hash of each element with its successor."""
-    return F.when(F.size(h) > 1, F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
-
-
-def windows(two: Column, n: Column) -> Column:
-    """Hashes of all windows of eight words, from the hashes of pairs of neighbours; n words."""
-
-    def joined(h: Column, step: int) -> Column:
-        size = F.size(h) - step
-        return F.zip_with(F.slice(h, 1, size), F.slice(h, step + 1, size), lambda a, b: F.xxhash64(a, b))
-
-    return F.when(n >= 8, joined(joined(two, 2), 4)).otherwise(F.array().cast("array<bigint>"))
+def spread(h: Column, step: int) -> Column:
+    """Hash of each element with the one `step` places on."""
+    n = F.greatest(F.size(h) - step, F.lit(0))
+    return F.zip_with(F.slice(h, 1, n), F.slice(h, step + 1, n), lambda a, b: F.xxhash64(a, b))
 
 
 def bucket(h: Column, buckets: int = BUCKETS) -> Column:
@@ -51,8 +42,9 @@ def bucket(h: Column, buckets: int = BUCKETS) -> Column:
 
 
 def ngrams(df: DataFrame, text: str) -> DataFrame:
-    """df with hashes of its words (_one) and of pairs of them (_two)."""
-    return df.withColumn("_one", F.transform(words(F.col(text)), lambda w: F.xxhash64(w))).withColumn("_two", pairs(F.col("_one")))
+    """df with its words (_words), their hashes (_one) and those of pairs of neighbours (_two)."""
+    df = df.withColumn("_words", words(F.col(text)))
+    return df.withColumn("_one", F.transform("_words", lambda w: F.xxhash64(w))).withColumn("_two", spread(F.col("_one"), 1))
 
 
 def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[int]:
@@ -74,23 +66,23 @@ def fit(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets: int =
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base columns and, for scores, _one and _two."""
-    rows = ngrams(docs, text).withColumn("_windows", windows(F.col("_two"), F.size("_one")))
-    n = F.size("_one").cast("long")
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(WORD))
-    symbols = F.length(F.regexp_replace(F.col(text), r"[^#*$%&|<>]+", ""))
+    # hashes of windows of eight words, from those of two and of four
+    rows = ngrams(docs, text).withColumn("_four", spread(F.col("_two"), 2)).withColumn("_windows", spread(F.col("_four"), 4))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    rows = rows.withColumn("_lines", F.filter(lines, lambda x: x.rlike(WORD)))
     rows = rows.withColumns({
-        "n_words": n,
-        "word_chars": F.coalesce(F.length(F.regexp_replace(F.col(text), f"{BLANK}+", "")), F.lit(0)).cast("long"),
-        "n_symbols": F.coalesce(symbols, F.lit(0)).cast("long"),
-        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_words": F.size("_one").cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.coalesce(F.length(F.regexp_replace(F.col(text), r"[^#*$%&|<>]+", "")), F.lit(0)).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "_again": F.size(F.array_distinct("_windows")) < F.size("_windows"),
     })
-    # places of windows that are found again, in order; only texts with a repeated window are looked at
-    again = F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.array_sort(F.zip_with("_windows", F.sequence(F.lit(0), F.greatest(F.size("_windows") - 1, F.lit(0))), lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    # explode keeps the sorted list a column of its own, so that the functions below read it and don't make it again
-    rows = rows.withColumn("_sorted", F.explode(F.array(again)))
-    twice = F.filter("_sorted", lambda x, k: (F.get(F.col("_sorted.h"), k - 1) == x["h"]) | (F.get(F.col("_sorted.h"), k + 1) == x["h"]))
-    places = F.array_sort(F.transform(twice, lambda x: x["i"]))
-    rows = rows.withColumn("_places", F.explode(F.array(places)))
+    # windows with their places, sorted; only texts with a repeated window are looked at
+    placed = F.array_sort(F.zip_with("_windows", F.sequence(F.lit(0), F.size("_windows") - 1), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    # explode keeps a list a column of its own, so that functions read it and don't make it again for each element
+    rows = rows.withColumn("_sorted", F.explode(F.array(F.when(F.col("_again"), placed))))
+    twice = F.filter("_sorted", lambda x, k: (F.get("_sorted", k - 1)["h"] == x["h"]) | (F.get("_sorted", k + 1)["h"] == x["h"]))
+    rows = rows.withColumn("_places", F.explode(F.array(F.array_sort(F.transform(twice, lambda x: x["i"])))))
     covered = F.aggregate(F.transform("_places", lambda p, k: F.least(F.lit(8), F.coalesce(F.get("_places", k + 1) - p, F.lit(8)))), F.lit(0), lambda a, x: a + x)
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
 
