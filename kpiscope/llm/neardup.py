@@ -7,12 +7,12 @@ above 15 with a chance of about 1e-6. Links are confirmed on the full shingle se
 
 Copies and hot groups:
 - Documents with equal sets become one node before anything else.
-- In a bucket (documents of one key) signatures are compared in blocks inside a task; only pairs under the distance leave
-  it. Buckets of more than CELL documents are dealt out to cells, one for each pair of their parts.
-- First each bucket gives a spanning forest of its nearest pairs, fewer than it has documents. These are confirmed and
-  their components found. Then only pairs between different components are confirmed; each by one bucket, the first
-  it shares. A group of thousands of near copies so costs links in proportion to its size, and no link between different
-  components is lost.
+- In a bucket (documents of one key) signatures are compared in blocks inside a task; only a spanning forest of the pairs
+  under the distance leaves it, fewer pairs than documents. Buckets of more than CELL documents are dealt out to cells, one for each
+  pair of their parts. The components of all forests are the groups: every pair under the distance is inside one.
+- The full sets of a group's documents meet once. Pairs under the distance that aren't connected yet are compared, and
+  again a forest of the confirmed links leaves the task, so the components stay whole and no group is written out in pairs.
+  Groups of more than CELL_SHINGLES shingles are dealt out to cells in the same way.
 
 Nulls: a null text, or one without words, has an empty set, links with nothing and is its own component. A null doc_id
 has a null component unless a linked document has an id, and is kept only as a text of its own. Repeated rows are copies;
@@ -33,7 +33,9 @@ from kpiscope.llm.shared import bounded_batches, lower_ascii, stash, words
 
 ENTRIES, CHUNKS, MOST_APART, SHINGLE = 32, 8, 15, 5
 WIDTH = ENTRIES // CHUNKS
-CELL = 4096
+CELL, CELL_SHINGLES = 4096, 1_000_000
+#: 32 MB of ids.
+MOST_BROADCAST_IDS = 4_000_000
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 RESULT = ["n_shingles", "component_id", "kept"]
@@ -124,31 +126,21 @@ def keys_of(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The place of the first key that pairs of signatures share."""
-    apart = (a != b).reshape(len(a), CHUNKS, WIDTH)
-    wrong = apart.sum(axis=2)
-    chunk = (wrong <= 1).argmax(axis=1)
-    return chunk * WIDTH + apart[np.arange(len(a)), chunk].argmax(axis=1)
-
-
-def near_pairs(sig: np.ndarray, first: np.ndarray | None, second: np.ndarray | None, comp: np.ndarray | None, step: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places and distances of pairs under the distance, in blocks: among all, or between two parts; in different components only."""
-    rows = np.arange(len(sig)) if first is None else first
-    cols = np.arange(len(sig)) if second is None else second
+def near_pairs(sig: np.ndarray, side: np.ndarray, step: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and distances of pairs under the distance, in blocks: among all (side 0), or between sides 1 and 2."""
+    alone = not side[0]
+    rows, cols = (np.arange(len(sig)),) * 2 if alone else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
     for k in range(0, len(rows), step):
         i = rows[k : k + step]
-        j = cols[cols > i[0]] if first is None else cols
+        j = cols[cols > i[0]] if alone else cols
         if not len(j):
             continue
         apart = np.zeros((len(i), len(j)), np.uint8)
         for e in range(ENTRIES):
             apart += sig[i, e][:, None] != sig[j, e][None, :]
         ok = apart <= MOST_APART
-        if first is None:
+        if alone:
             ok &= i[:, None] < j[None, :]
-        if comp is not None:
-            ok &= comp[i][:, None] != comp[j][None, :]
         x, y = np.nonzero(ok)
         yield i[x], j[y], apart[x, y]
 
@@ -174,89 +166,94 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
     return held[:2]
 
 
-def _paired(cells: DataFrame, spanning: bool) -> DataFrame:
-    """Candidates (x < y) from rows (key, cell, side, uid, sig, comp) that stand together by key and cell.
+def links_of(sig: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links among a cell's documents: pairs under the distance, confirmed on the full sets."""
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark, label = np.zeros(len(ids), bool), np.arange(len(sets))
+    left, right = [], []
+    for i in np.flatnonzero(side != 2).tolist():
+        j = np.arange(i + 1, len(sets)) if not side[i] else np.flatnonzero(side == 2)
+        j = j[label[j] != label[i]]
+        j = j[(sig[j] != sig[i]).sum(axis=1) <= MOST_APART]
+        if not len(j):
+            continue
+        own = ids[start[i] : start[i] + size[i]]
+        mark[own] = True
+        end = np.cumsum(size[j])
+        places = np.arange(end[-1]) + np.repeat(start[j] - end + size[j], size[j])
+        same = np.add.reduceat(mark[ids[places]], end - size[j], dtype=np.int64)
+        mark[own] = False
+        for k in j[100 * same >= PERCENT * (size[i] + size[j] - same)].tolist():
+            if label[k] != label[i]:
+                left.append(i)
+                right.append(k)
+                label[label == label[k]] = label[i]
+    return left, right
+
+
+def _paired(cells: DataFrame, confirm: bool) -> DataFrame:
+    """Pairs (x < y) from rows (key, cell, side, uid, sig, and to confirm found) that stand together by key and cell.
 
     side is 0 in a cell of one part, else 1 or 2 for the parts that meet in it.
     """
-    rows = cells.repartition("key", "cell").sortWithinPartitions("key", "cell", "uid")
+    names = ["key", "cell", "side", "uid", "sig"] + ["found"] * confirm
+    rows = cells.select(*names).repartition("key", "cell").sortWithinPartitions("key", "cell", "uid")
 
-    def one(uid, key, side, sig, comp):
-        if len(uid) < 2:
+    def pairs(held: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
+        if len(held) < 2:
             return None
-        a, b = (None, None) if side[0] == 0 else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-        pairs = near_pairs(sig, a, b, None if spanning else comp)
-        if spanning:
-            i, j = forest(len(uid), pairs)
-        else:
-            got = []
-            for i, j, _ in pairs:
-                place = first_shared(sig[i], sig[j])
-                own = keys_of(sig[i].astype(np.uint64))[np.arange(len(i)), place].view(np.int64) == key if len(i) else np.zeros(0, bool)
-                got.append((i[own], j[own]))
-            i, j = (np.concatenate(x) for x in zip(*got, strict=True)) if got else ([], [])
+        side, uid = (np.array([r[k] for r in held]) for k in (0, 1))
+        sig = np.frombuffer(b"".join([r[2] for r in held]), np.uint16).reshape(-1, ENTRIES)
+        i, j = links_of(sig, side, [np.frombuffer(r[3], np.uint64) for r in held]) if confirm else forest(len(uid), near_pairs(sig, side))
         return (np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, at = [], None
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "side", "uid", "comp")]
-            cols.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, ENTRIES))
-            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            starts = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]) if len(cols[0]) else np.zeros(0, int)
-            held = [c[starts[-1] :] for c in cols] if len(starts) else cols
-            yield from emit(cols, starts)
-        if held is not None and len(held[0]):
-            yield from emit(held, np.array([0, len(held[0])]))
-
-    def emit(cols, starts):
-        key, _, side, uid, comp, sig = cols
-        out = [found for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if (found := one(uid[a:b], key[a], side[a:b], sig[a:b], comp[a:b]))]
+            out = []
+            for key, cell, *row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if (key, cell) != at:
+                    out.append(pairs(held))
+                    held, at = [], (key, cell)
+                held.append(row)
+            yield from emit(out)
+        yield from emit([pairs(held)])
+
+    def emit(out):
+        out = [x for x in out if x]
         if out:
-            yield pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate([x for x, _ in out])), "y": pa.array(np.concatenate([y for _, y in out]))})
+            yield pa.RecordBatch.from_pydict({"x": pa.array(np.concatenate([x for x, _ in out]), pa.int64()), "y": pa.array(np.concatenate([y for _, y in out]), pa.int64())})
 
     return rows.mapInArrow(run, "x long, y long")
 
 
-def _cells(filed: DataFrame, shared: DataFrame, nodes: DataFrame, cell: int) -> DataFrame:
-    """Rows of the buckets with two documents at least, with signatures; large buckets dealt out to cells."""
-    rows = filed.join(shared, "key")
-    g = F.ceil(F.col("n") / cell).cast("int")
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows (key, uid, parts) by cell and side: one cell for a single part, else one for each pair of parts."""
+    g = F.col("parts")
     part = F.pmod(F.xxhash64("uid", "key"), g).cast("int")
     lone = F.array(F.struct(F.lit(0).alias("cell"), F.lit(0).alias("side")))
     low, high = (lambda p: F.least(F.col("part"), p)), (lambda p: F.greatest(F.col("part"), p))
     number = lambda p: (low(p) * g + high(p) + 1).cast("int")
     side = lambda p: F.when(p == F.col("part"), 0).when(F.col("part") < p, 1).otherwise(2)
     many = F.transform(F.sequence(F.lit(0), g - 1), lambda p: F.struct(number(p).alias("cell"), side(p).alias("side")))
-    rows = rows.withColumn("part", part).select("key", "uid", F.inline(F.when(g == 1, lone).otherwise(many)))
-    return rows.join(nodes.select("uid", "sig"), "uid")
-
+    return rows.withColumn("part", part).select("key", "uid", F.inline(F.when(g == 1, lone).otherwise(many)))
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (x, y): pairs whose full sets are alike enough. The words of documents in no pair are not hashed."""
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct()
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(_sets(batch))
-            yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "found": pa.array([f.tobytes() for f in found], pa.binary())})
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """uid, found (the full set) of the documents in ids (no repeats).
 
-    sets = stash(_hashed(docs.join(ids, "uid", "left_semi")).mapInArrow(whole, "uid long, found binary"), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"uid": "x", "found": "fx"}), "x").join(sets.withColumnsRenamed({"uid": "y", "found": "fy"}), "y")
+    Up to MOST_BROADCAST_IDS ids are broadcast, so that the other texts aren't moved; more are joined by a shuffle.
+    """
+    if ids.count() <= MOST_BROADCAST_IDS:
+        ids = F.broadcast(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for fx, fy in zip(batch.column("fx"), batch.column("fy"), strict=True):
-                a, b = (np.frombuffer(f.as_buffer(), np.uint64) for f in (fx, fy))
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                same = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                ok.append(100 * same >= PERCENT * (len(a) + len(b) - same))
-            yield batch.select(["x", "y"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "found": pa.array([f.tobytes() for f in _sets(batch)], pa.binary())})
 
-    return both.select("x", "y", "fx", "fy").mapInArrow(run, "x long, y long")
+    return _hashed(docs.join(ids, "uid", "left_semi")).mapInArrow(whole, "uid long, found binary")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -264,7 +261,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round every node takes the smallest label among itself and its neighbours, and then its label's label.
     """
-    edges = stash(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))).distinct(), "links")
+    edges = stash(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))), "edges")
     label = stash(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("uid"), F.least("x", "m").alias("comp")), "labels")
     for _ in range(most_rounds):
         near = edges.join(label.withColumnsRenamed({"uid": "y"}), "y").groupBy("x").agg(F.min("comp").alias("m"))
@@ -277,30 +274,26 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def linked(docs: DataFrame, cell: int = CELL) -> DataFrame:
-    """docs with uid (a number for each row), n_shingles and comp (the smallest uid of the component), as a written table.
-
-    Comes without the text; join it by uid to the second result, the documents with uid.
-    """
+def linked(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """uid, n_shingles and comp (the smallest uid of the component) for docs with uid and text, as a written table."""
     bounded_batches(docs.sparkSession)
     sets = stash(_signed(_hashed(docs)), "signatures")
-    copies = stash(sets.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "copies")
-    member = sets.select("uid", "n_shingles", "a", "b").join(copies, ["a", "b", "n_shingles"], "left").select("uid", "n_shingles", F.coalesce("rep", "uid").alias("rep"))
-    member = stash(member, "members")
-    nodes = sets.filter("n_shingles > 0").select("uid", "sig").join(member.filter("uid <> rep").select("uid"), "uid", "left_anti")
+    copies = sets.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n"))
+    copies = stash(copies.filter("n > 1").drop("n"), "copies")
+    member = sets.select("uid", "n_shingles", "a", "b").join(copies, ["a", "b", "n_shingles"], "left")
+    member = stash(member.select("uid", "n_shingles", F.coalesce("rep", "uid").alias("rep")), "members")
+    nodes = sets.filter("n_shingles > 0").select("uid", "n_shingles", "sig").join(member.filter("uid <> rep").select("uid"), "uid", "left_anti")
     nodes = stash(nodes, "nodes")
     filed = _filed(nodes)
-    shared = stash(filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-keys")
-    cells = stash(_cells(filed, shared, nodes, cell), "buckets")
-    near = stash(_paired(cells.withColumn("comp", F.lit(0).cast("long")), True).distinct(), "forest")
-    links = stash(_confirmed(near, docs), "confirmed")
-    comp = components(links)
-    other = stash(cells.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid")), "parted")
-    spread = stash(other.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "open-keys")
-    rest = stash(_paired(other.join(spread, "key", "left_semi"), False).join(near, ["x", "y"], "left_anti"), "rest")
-    more = _confirmed(rest, docs)
-    final = components(links.union(more))
-    out = member.join(final.withColumnsRenamed({"uid": "rep"}), "rep", "left").select("uid", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
+    shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = stash(shared.select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts")), "shared-keys")
+    near = _paired(_cells(filed.join(shared, "key")).join(nodes, "uid"), False)
+    group = stash(components(stash(near.distinct(), "near")).withColumnRenamed("comp", "key").join(nodes, "uid"), "groups")
+    parts = group.groupBy("key").agg(F.ceil(F.sum("n_shingles") / cell_shingles).cast("int").alias("parts"))
+    dealt = _cells(group.select("key", "uid").join(stash(parts, "parts"), "key")).join(group.select("uid", "sig"), "uid")
+    links = _paired(dealt.join(_sets_of(docs, group.select("uid")), "uid"), True)
+    final = components(stash(links.distinct(), "links")).withColumnsRenamed({"uid": "rep"})
+    out = member.join(final, "rep", "left").select("uid", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     return stash(out, "components")
 
 
@@ -309,14 +302,14 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stash(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
 
 
-def dedup(docs: DataFrame, cell: int = CELL) -> DataFrame:
+def dedup(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """Add n_shingles, component_id (the smallest doc_id of the component), kept (it is this document's) and first.
 
     first is true for exactly one row of each component, also where rows repeat an id.
     """
     kept = [c for c in docs.columns if c not in (*RESULT, "first")]
     rows = numbered(docs.select(*(F.col(f"`{c}`") for c in kept)))
-    found = linked(rows.select("uid", "text"), cell).join(rows.select("uid", "doc_id"), "uid")
+    found = linked(rows.select("uid", "text"), cell, cell_shingles).join(rows.select("uid", "doc_id"), "uid")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     leader = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("o"))
     leader = stash(leader.select("comp", "component_id", F.col("o.uid").alias("first_uid")), "leaders")
