@@ -25,7 +25,7 @@ from kpiscope.llm.pretokens import Memo
 from kpiscope.llm.shared import bounded_batches
 
 #: So many characters are encoded at a time.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 2_000_000
 #: Bits of a rank beside its pair; a pair then has 43 bits, enough for vocabularies of 2.9 million tokens.
 RANK_BITS = 20
 RANK_MASK = (1 << RANK_BITS) - 1

@@ -39,7 +39,7 @@ MAGIC, HEAD, BLOCK_HEAD = b"PFR1", 20, 7
 BLOCK, PERCENTILE = 128, 95
 NO_ID = -(2**63)
 #: So many characters make a segment, one document at least.
-SEGMENT_CHARS = 4_000_000
+SEGMENT_CHARS = 2_000_000
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
