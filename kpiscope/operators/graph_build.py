@@ -35,16 +35,21 @@ EDGE_FIELDS = (
 )
 
 
+def clipped(v: Column, high: float) -> Column:
+    """v between 0 and high; NULL and NaN stay."""
+    return F.when(v.isNull() | F.isnan(v), v).when(v < 0, F.lit(0.0)).when(v > high, F.lit(high)).otherwise(v)
+
+
 def unit_interval(c: str | Column, default: float | None = None) -> Column:
     v = (F.col(c) if isinstance(c, str) else c).try_cast("double")
     if default is not None:
         v = F.coalesce(v, F.lit(default))
-    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
+    return clipped(v, 1.0)
 
 
 def _percent(c: str) -> Column:
     v = F.col(c).try_cast("double")
-    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(100.0)))
+    return clipped(v, 100.0)
 
 
 def normalize_triples(raw: DataFrame) -> DataFrame:
@@ -54,7 +59,6 @@ def normalize_triples(raw: DataFrame) -> DataFrame:
         .withColumn("min_pct_source", _percent("min_pct_source"))
         .withColumn("min_pct_target", _percent("min_pct_target"))
         .withColumn("triple_type", F.coalesce("triple_type", F.lit("relationship")))
-        .withColumn("raw_text", F.substring("raw_text", 1, 200))
         .na.fill("", ["subject", "predicate", "object"])
     )
 

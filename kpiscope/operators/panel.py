@@ -203,11 +203,13 @@ def scaler_inverse(result: str | Column, scaler: str) -> Column:
 def physical_clamp(df: DataFrame, dim: DataFrame, value: str = "pred", round_integers: bool = False) -> DataFrame:
     """Clip to [0, cap] of the KPI and optionally round integer KPIs half to even.
 
-    dim is the KPI contract, one row per KPI. An unknown KPI is an error.
+    dim is the KPI contract, one row per KPI. An unknown KPI is an error. NULL and NaN stay what they are, so a broken
+    forecast is not repaired unnoticed; infinities are clipped.
     """
     small = dim.select("kpi", F.col("cap").alias("_cap"), F.col("is_integer").alias("_int"))
     joined = require(df.join(small, "kpi", "left"), F.col("_cap").isNotNull(), "unknown KPI")
-    clipped = F.least(F.greatest(F.col(value), F.lit(0.0)), F.col("_cap"))
+    v = F.col(value)
+    clipped = F.when(v.isNull() | F.isnan(v), v).when(v < 0, F.lit(0.0)).when(v > F.col("_cap"), F.col("_cap")).otherwise(v)
     if round_integers:
         clipped = F.when(F.col("_int"), F.bround(clipped, 0)).otherwise(clipped)
     return joined.withColumn(value, clipped).drop("_cap", "_int")

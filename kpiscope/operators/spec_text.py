@@ -5,6 +5,9 @@ Pages are (file, page, text). Sections may run over page borders.
 
 from __future__ import annotations
 
+import bisect
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,18 +21,14 @@ HEADING_LINE = rf"(?m)^{HEADING}$"
 
 
 def spec_id(name: str | Column) -> Column:
-    """Specification number told by a file name; the name itself when there is none."""
-    n = col(name)
-    etsi = r"(?i)ts_1(\d{2})(\d{3})v\d+p"
-    plain = r"(?i)ts[_\s]?(\d{2})\.(\d{3})"
+    """Specification number told by a file name; the name itself when there is none.
 
-    def number(pattern: str) -> Column:
-        return F.when(
-            n.rlike(pattern),
-            F.concat(F.lit("TS "), F.regexp_extract(n, pattern, 1), F.lit("."), F.regexp_extract(n, pattern, 2)),
-        )
-
-    return F.coalesce(number(etsi), number(plain), n)
+    After `ts` and at most one separator stand two digits, a dot and three; or, with a leading 1 and a version, five digits.
+    """
+    n = col(name)
+    tail = F.regexp_extract(F.lower(n), r"ts[_\s]?(1\d{5}v\d+p|\d\d\.\d{3})", 1)
+    digits = F.regexp_replace(F.when(tail.contains("."), tail).otherwise(F.substring(tail, 2, 5)), r"\.", "")
+    return F.when(tail == "", n).otherwise(F.concat(F.lit("TS "), F.substring(digits, 1, 2), F.lit("."), F.substring(digits, 3, 3)))
 
 
 def page_parts(pages: DataFrame) -> DataFrame:
@@ -89,20 +88,23 @@ def section_tables(secs: DataFrame, tables: DataFrame) -> DataFrame:
     return pages.join(tables, ["file", "page"])
 
 
+#: Where a part may end, best first: before an empty line, before the full stop of a sentence.
+BREAKS = (re.compile(r"\n(?=\n)"), re.compile(r"\.(?=[ \n])"))
+
+
 def _split_body(body: str, limit: int, overlap: int) -> list[str]:
-    """Parts of at most `limit` characters, cut at a paragraph, else a sentence, else hard."""
-    parts, start = [], 0
-    while len(body) - start > limit:
-        end = start + limit
-        cut = body.rfind("\n\n", start, end) - start
-        if cut < limit // 2:
-            cut = max(body.rfind(". ", start, end), body.rfind(".\n", start, end)) - start
-        if cut < limit // 2:
-            cut = limit
-        parts.append(body[start : start + cut].strip())
-        start += max(0, cut - overlap)
-    parts.append(body[start:].strip())
-    return [p for p in parts if p] if len(parts) > 1 else [body]
+    """Parts of at most `limit` characters. Every break of the body is found once; a part ends at the last one of the best
+    kind in its second half, else at its limit, and the next part begins `overlap` before that."""
+    marks = [[m.start() for m in pattern.finditer(body)] for pattern in BREAKS]
+    spans, start = [], 0
+    while start + limit < len(body):
+        low, high = start + limit // 2, start + limit
+        ends = [places[k - 1] for places in marks if (k := bisect.bisect_left(places, high - 1)) and places[k - 1] >= low]
+        end = ends[0] if ends else high
+        spans.append((start, end))
+        start = max(start, end - overlap)
+    texts = [body[a:b].strip() for a, b in (*spans, (start, len(body)))]
+    return [t for t in texts if t] if spans else [body]
 
 
 def split_long(secs: DataFrame, max_chars: int, overlap: int = 200) -> DataFrame:

@@ -203,3 +203,12 @@ def test_validation_raises(spark):
         panel.assert_valid_panel(good, dim, 6)
     with pytest.raises(ValueError, match="unknown_kpis"):
         panel.assert_valid_panel(series(spark, range(5), kpi="x"), dim, 5)
+
+
+def test_clamp_keeps_what_is_no_number(spark):
+    from kpiscope.operators import panel
+
+    rows = [("k", None), ("k", float("nan")), ("k", float("inf")), ("k", float("-inf")), ("k", -1.0), ("k", 20.0), ("k", 7.5)]
+    dim = spark.createDataFrame([("k", 15.0, False)], "kpi string, cap double, is_integer boolean")
+    got = [r["pred"] for r in panel.physical_clamp(spark.createDataFrame(rows, "kpi string, pred double").coalesce(1), dim).collect()]
+    assert sorted(map(str, got)) == sorted(["None", "nan", "15.0", "0.0", "0.0", "15.0", "7.5"])
