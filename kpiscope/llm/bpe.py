@@ -25,7 +25,7 @@ from kpiscope.llm.pretokens import Memo
 from kpiscope.llm.shared import bounded_batches
 
 #: So many characters are encoded at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 #: Bits of a rank beside its pair; a pair then has 43 bits, enough for vocabularies of 2.9 million tokens.
 RANK_BITS = 20
 RANK_MASK = (1 << RANK_BITS) - 1
@@ -77,6 +77,10 @@ class Vocabulary:
         self.bytes = [b""] * self.size
         for token, r in ranks.items():
             self.bytes[r] = token
+        self.slots = None  # decoding needs no pairs
+
+    def _prepare(self) -> None:
+        ranks = self.ranks
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         pairs = {}
         for token, r in ranks.items():
@@ -116,6 +120,8 @@ class Vocabulary:
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian int32; nothing merges across pieces."""
+        if self.slots is None:
+            self._prepare()
         out = [b""] * len(pieces)
         many = []
         for i, piece in enumerate(pieces):

@@ -302,19 +302,33 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stash(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
 
 
-def dedup(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """Add n_shingles, component_id (the smallest doc_id of the component), kept (it is this document's) and first.
-
-    first is true for exactly one row of each component, also where rows repeat an id.
-    """
-    kept = [c for c in docs.columns if c not in (*RESULT, "first")]
-    rows = numbered(docs.select(*(F.col(f"`{c}`") for c in kept)))
+def _judged(docs: DataFrame, cell: int, cell_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with uid, and by uid: n_shingles, component_id, first."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*RESULT, "first")]
+    rows = numbered(docs.select(*kept))
     found = linked(rows.select("uid", "text"), cell, cell_shingles).join(rows.select("uid", "doc_id"), "uid")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     leader = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("o"))
     leader = stash(leader.select("comp", "component_id", F.col("o.uid").alias("first_uid")), "leaders")
     found = found.join(leader, "comp").select("uid", "n_shingles", "component_id", (F.col("uid") == F.col("first_uid")).alias("first"))
+    return rows, stash(found, "near-duplicates")
+
+
+def dedup(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """Add n_shingles, component_id (the smallest doc_id of the component), kept (it is this document's) and first.
+
+    first is true for exactly one row of each component, also where rows repeat an id.
+    """
+    rows, found = _judged(docs, cell, cell_shingles)
     same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first"))
-    out = rows.join(stash(found, "near-duplicates"), "uid").withColumn("kept", same)
-    return out.select(*(F.col(f"`{c}`") for c in kept), *RESULT, "first")
+    out = rows.join(found, "uid").withColumn("kept", same)
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns if c != "uid"), *RESULT, "first")
+
 
+def firsts(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """One row of each component, with the columns of docs. What goes is broadcast if few enough, so that texts stay in place."""
+    rows, found = _judged(docs, cell, cell_shingles)
+    others = found.filter(~F.col("first")).select("uid")
+    if others.count() <= MOST_BROADCAST_IDS:
+        others = F.broadcast(others)
+    return rows.join(others, "uid", "left_anti").drop("uid")

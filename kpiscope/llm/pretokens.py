@@ -29,7 +29,7 @@ class Memo:
     limit bounds the number of pieces kept between batches, not what is encoded.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], whole: bool = False, limit: int = 300_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], whole: bool = False, limit: int = 150_000):
         self.split = (lambda t: [t]) if whole else splitter(pattern)
         self.encode, self.whole, self.limit = encode, whole, limit
         self.spaced: dict[str, bytes] = {}  # pieces that follow a space
