@@ -25,6 +25,11 @@ def settle(c: str | Column, digits: int) -> Column:
     return F.round(col(c) + F.lit(1e-9), digits)
 
 
+def settle_wide(c: str | Column, digits: int) -> Column:
+    """settle for ratios without a bound: from a million on, digits count from the millions."""
+    return F.when(F.abs(col(c)) >= 1e6, settle(col(c) / 1e6, digits) * 1e6).otherwise(settle(c, digits))
+
+
 def series_window(order: str = "t", keys: tuple[str, ...] = SERIES):
     return Window.partitionBy(*keys).orderBy(order)
 

@@ -223,8 +223,8 @@ def of_type(line: DataFrame, dim: DataFrame, kind: str) -> DataFrame:
     return detect(line, dim).filter(F.col("type") == kind)
 
 
-def rank_topn(events: DataFrame, dim: DataFrame, top_n: int = 10, boost: float = 1.5) -> DataFrame:
-    """Strongest events per station; events over several KPIs count 1.5 fold.
+def rank_topn(events: DataFrame, dim: DataFrame, top_n: int | None = 10, boost: float = 1.5) -> DataFrame:
+    """Strongest events per station, or all of them by rank (top_n None); events over several KPIs count 1.5 fold.
 
     Ties keep emission order: catalogue order of the KPI, type, start. The rank filter lets Spark
     cut each partition to top_n per station before the shuffle.
@@ -235,11 +235,10 @@ def rank_topn(events: DataFrame, dim: DataFrame, top_n: int = 10, boost: float =
         F.round(score, 9).desc(), F.coalesce(F.col("_ord"), F.lit(1 << 30)), order, "t_start"
     )
     ranked = events.join(dim.select("kpi", F.col("ord").alias("_ord")), "kpi", "left")
-    return (
-        ranked.withColumn("event_idx", F.row_number().over(w) - 1)
-        .filter(F.col("event_idx") < top_n)
-        .select("station_id", "event_idx", *EVENT_COLUMNS[1:])
-    )
+    ranked = ranked.withColumn("event_idx", F.row_number().over(w) - 1)
+    if top_n is not None:
+        ranked = ranked.filter(F.col("event_idx") < top_n)
+    return ranked.select("station_id", "event_idx", *EVENT_COLUMNS[1:])
 
 
 def serialize(events: DataFrame) -> DataFrame:

@@ -65,8 +65,8 @@ def kpi_summary(inputs: DataFrame) -> DataFrame:
     return s.withColumn("trend_pct", pct).withColumn("trend", trend)
 
 
-def daily_means(df: DataFrame, value: str = "value", order: str = "t", max_days: int | None = 7) -> DataFrame:
-    """Mean of every complete day, counted from hour 0 of the frame."""
+def daily_means(df: DataFrame, value: str = "value", order: str = "t", max_days: int | None = None) -> DataFrame:
+    """Mean of every complete day, counted from hour 0 of the frame; max_days cuts to a horizon."""
     days = (
         df.groupBy(*SERIES, F.floor(F.col(order) / 24).cast("int").alias("day"))
         .agg(F.avg(value).alias("day_mean"), F.count("*").alias("_n"))
@@ -202,7 +202,7 @@ def daily_summary(forecast: DataFrame, baseline: DataFrame | None = None, start_
             earliest_argmin("hour", "pred").alias("trough_hour"),
             F.count("*").alias("_n"),
         )
-        .filter("_n = 24 AND d < 7")
+        .filter("_n = 24")
         .drop("_n")
         .withColumn("day", F.col("d") + 1)
         .withColumn("weekday", labels.weekday_name("d", start_weekday))

@@ -46,8 +46,8 @@ def top_events(spark, sf):
 
 
 def kept_events(spark, sf):
-    """Ranked events, materialised once: at most ten rows per station that several joins read."""
-    return cut_lineage(top_events(spark, sf))
+    """All events by rank, materialised once because several joins read them."""
+    return cut_lineage(ev.rank_topn(all_events(spark, sf), src.dim(spark), top_n=None))
 
 
 MARKS = MOMENTS + """, wk AS (SELECT station_id, kpi, h, truth AS pred FROM fc),
@@ -168,10 +168,10 @@ def _edge_values():
 RANK = "CASE strength WHEN 'critical' THEN 4 WHEN 'strong' THEN 3 WHEN 'moderate' THEN 2 WHEN 'weak' THEN 1 WHEN 'extracted' THEN 1 ELSE 0 END"
 
 CAUSES = EVENTS + f""", edge AS (SELECT * FROM (VALUES {_edge_values()}) e(source_kpi, target_kpi, relation_type, strength, edge_ord)),
-  te AS (SELECT t.station_id, t.event_idx, t.t_start, t.t_end, t.direction AS target_direction, e.* FROM topev t JOIN edge e ON t.kpi = e.target_kpi WHERE t.kpi <> 'MULTI'),
+  te AS (SELECT t.station_id, t.event_idx, t.t_start, t.t_end, t.direction AS target_direction, e.* FROM rk t JOIN edge e ON t.kpi = e.target_kpi WHERE t.kpi <> 'MULTI'),
   cp AS (SELECT te.*, s.type AS src_type, s.t_start AS src_t_start, s.t_end AS src_t_end, {rnd('s.magnitude', 4)} AS src_magnitude, {rnd('s.z_score', 3)} AS src_z_score, s.direction AS src_direction,
       s.t_start - te.t_start AS lag_hours, row_number() OVER (PARTITION BY te.station_id, te.event_idx, te.edge_ord ORDER BY abs(s.z_score) DESC, s.event_idx) AS r
-    FROM te JOIN topev s ON s.station_id = te.station_id AND s.kpi = te.source_kpi AND s.t_end + 6 >= te.t_start AND s.t_start - 6 <= te.t_end),
+    FROM te JOIN rk s ON s.station_id = te.station_id AND s.kpi = te.source_kpi AND s.t_end + 6 >= te.t_start AND s.t_start - 6 <= te.t_end),
   conc AS (SELECT *, CASE WHEN src_direction = 'mixed' OR target_direction = 'mixed' THEN NULL WHEN relation_type IN ('DECREASES', 'LIMITS') THEN src_direction <> target_direction
       WHEN relation_type IN ('INCREASES', 'DETERMINES', 'CAUSES') THEN src_direction = target_direction END AS consistent FROM cp WHERE r = 1),
   bg0 AS (SELECT te.station_id, te.event_idx, te.edge_ord, te.source_kpi, te.relation_type, te.strength, avg(w.pred) AS mean_during_event FROM te
@@ -239,13 +239,13 @@ def cause_rank(spark, sf):
     SELECT station_id, CAST(event_idx AS INTEGER) AS event_idx, CAST(rnk AS INTEGER) AS rank, source_kpi, target_kpi, relation_type, strength FROM mc WHERE rnk <= 5""",
 )
 def cause_multi(spark, sf):
-    every = ev.rank_topn(all_events(spark, sf), src.dim(spark), top_n=100_000)
+    every = ev.rank_topn(all_events(spark, sf), src.dim(spark), top_n=None)
     return cz.multi_causes(every, edges(spark))
 
 
 @query(
     "pairs_from_causes",
-    CAUSES + "SELECT DISTINCT c.station_id, c.source_kpi, t.kpi AS target_kpi FROM cr2 c JOIN topev t ON t.station_id = c.station_id AND t.event_idx = c.event_idx WHERE rnk <= 5",
+    CAUSES + "SELECT DISTINCT c.station_id, c.source_kpi, t.kpi AS target_kpi FROM cr2 c JOIN rk t ON t.station_id = c.station_id AND t.event_idx = c.event_idx WHERE rnk <= 5",
 )
 def pairs_from_causes(spark, sf):
     events = kept_events(spark, sf)

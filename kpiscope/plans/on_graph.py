@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kpiscope.functions.exprs import settle, small_table
+from kpiscope.functions.exprs import settle, settle_wide, small_table
 from kpiscope.operators import graph_build as gb
 from kpiscope.operators import graph_load as gl
 from kpiscope.operators import graph_query as gq
 from kpiscope.plans import inputs as src
 from kpiscope.plans.on_profiles import tidy
-from kpiscope.plans.registry import FORECAST, query, rnd
+from kpiscope.plans.registry import FORECAST, query, rnd, rnd_wide
 from kpiscope.sources.tables import load
 
 
@@ -664,7 +664,7 @@ RULES = (
       WHERE abs(a.pct) >= ps AND CASE WHEN coupling = 'positive' THEN (a.pct > 0 AND b.pct < -pt) OR (a.pct < 0 AND b.pct > pt) ELSE (a.pct > 0 AND b.pct > pt) OR (a.pct < 0 AND b.pct < -pt) END
       AND (op IS NULL OR (op = '>' AND im.m > lim) OR (op = '<' AND im.m < lim))),
     ag AS (SELECT station_id, source, target, coupling, strength, count(*) AS violating_hours, min(h) AS first_hour, max(h) AS last_hour, avg(sp) AS s, avg(tp) AS t FROM hit GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 8)
-    SELECT station_id, source, target, coupling, strength, violating_hours, first_hour, last_hour, {rnd('least(s, 1e6)', 1)} AS mean_source_pct, {rnd('least(t, 1e6)', 1)} AS mean_target_pct,
+    SELECT station_id, source, target, coupling, strength, violating_hours, first_hour, last_hour, {rnd_wide('s', 1)} AS mean_source_pct, {rnd_wide('t', 1)} AS mean_target_pct,
       CASE WHEN (s > 0) = (coupling = 'positive') THEN '↑' ELSE '↓' END AS expected_direction, CASE WHEN (s > 0) = (coupling = 'positive') THEN '↓' ELSE '↑' END AS actual_direction FROM ag""",
 )
 def kg_directional_check(spark, sf):
@@ -673,6 +673,4 @@ def kg_directional_check(spark, sf):
     )
     week = src.target(spark, sf).withColumnRenamed("truth", "pred")
     out = gq.directional_check(src.inputs(spark, sf), week, rules)
-    cap = lambda c: F.least(F.col(c), F.lit(1e6))
-    out = out.withColumn("mean_source_pct", cap("mean_source_pct")).withColumn("mean_target_pct", cap("mean_target_pct"))
-    return tidy(out, "mean_source_pct", "mean_target_pct", digits=1)
+    return out.withColumns({c: settle_wide(c, 1) for c in ("mean_source_pct", "mean_target_pct")})

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kpiscope.functions.exprs import settle
+from kpiscope.functions.exprs import settle, settle_wide
 from kpiscope.operators import boards
 from kpiscope.operators import forecast as fc
 from kpiscope.operators import metrics as ops
 from kpiscope.operators import panel as shape
 from kpiscope.plans import inputs as src
 from kpiscope.plans.on_profiles import tidy
-from kpiscope.plans.registry import FORECAST, PANEL, query, rnd
+from kpiscope.plans.registry import FORECAST, PANEL, query, rnd, rnd_wide
 from kpiscope.sources.tables import PANEL_KPIS, load
 
 CONTEXTS = [24, 72, 168, 336, 552]
@@ -72,13 +72,13 @@ def metric_truth_mase(spark, sf):
 
 @query(
     "metric_eps",
-    TRUTH_SCALE + f"""SELECT f.station_id, f.kpi, {rnd('least(avg(abs(pred - truth)) / (max(scale) + 1e-8), 1e6)', 4)} AS mase,
+    TRUTH_SCALE + f"""SELECT f.station_id, f.kpi, {rnd_wide('avg(abs(pred - truth)) / (max(scale) + 1e-8)', 4)} AS mase,
       {rnd('avg(200 * abs(pred - truth) / (abs(pred) + abs(truth) + 1e-8))', 3)} AS smape
     FROM fc f JOIN scale s ON f.station_id = s.station_id AND f.kpi = s.kpi GROUP BY 1, 2""",
 )
 def metric_eps(spark, sf):
-    out = ops.score_eps(src.scored(spark, sf)).withColumn("mase", F.least("mase", F.lit(1e6)))
-    return tidy(tidy(out.select("station_id", "kpi", "mase", "smape"), "mase"), "smape", digits=3)
+    out = ops.score_eps(src.scored(spark, sf))
+    return out.select("station_id", "kpi", settle_wide("mase", 4).alias("mase"), settle("smape", 3).alias("smape"))
 
 
 @query(

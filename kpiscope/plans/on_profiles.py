@@ -46,7 +46,7 @@ def kpi_summary(spark, sf):
 
 @query(
     "daily_means",
-    PANEL + f"""SELECT station_id, kpi, t // 24 AS day, {rnd('avg(value)', 4)} AS day_mean FROM panel WHERE t < 552 AND t // 24 < 7 GROUP BY 1, 2, 3""",
+    PANEL + f"""SELECT station_id, kpi, t // 24 AS day, {rnd('avg(value)', 4)} AS day_mean FROM panel WHERE t < 552 GROUP BY 1, 2, 3""",
 )
 def daily_means(spark, sf):
     return tidy(ops.daily_means(src.inputs(spark, sf)), "day_mean")

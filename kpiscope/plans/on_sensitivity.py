@@ -142,7 +142,7 @@ def pt_grid(spark, sf):
     return tidy(sn.grid(sn.normalize(coupled(spark, sf), caps(spark)), PANEL_KPIS), *PANEL_KPIS)
 
 
-LOCAL = EVENTS + f""", ctr AS (SELECT station_id, event_idx, kpi, t_start, t_end, 552 - 168 + (t_start + t_end) // 2 AS t_center FROM topev WHERE kpi <> 'MULTI'),
+LOCAL = EVENTS + f""", ctr AS (SELECT station_id, event_idx, kpi, t_start, t_end, 552 - 168 + (t_start + t_end) // 2 AS t_center FROM rk WHERE kpi <> 'MULTI'),
   inp AS (SELECT * FROM panel WHERE t < 552),
   env0 AS (SELECT c.station_id, c.event_idx, p.kpi AS src, p.t, exp(-1.0 * pow((p.t - c.t_center) / 2.0, 2)) * (least(abs(p.value), abs(q.value)) / (greatest(abs(p.value), abs(q.value)) + 1e-8)) * p.value AS envelope
     FROM ctr c JOIN inp p ON p.station_id = c.station_id AND p.t BETWEEN c.t_center - 2 AND c.t_center + 2
@@ -199,7 +199,7 @@ def pt_local_topk(spark, sf):
 
 @query(
     "pt_summary",
-    LOCAL + """, n AS (SELECT station_id, count(*) AS n_events FROM topev GROUP BY 1), c AS (SELECT station_id, count(*) AS n_centers FROM ctr GROUP BY 1)
+    LOCAL + """, n AS (SELECT station_id, count(*) AS n_events FROM rk GROUP BY 1), c AS (SELECT station_id, count(*) AS n_centers FROM ctr GROUP BY 1)
     SELECT n.station_id, n_events, coalesce(n_centers, 0) AS n_centers, 90 + coalesce(n_centers, 0) * 30 AS n_perturbations FROM n LEFT JOIN c ON n.station_id = c.station_id""",
 )
 def pt_summary(spark, sf):

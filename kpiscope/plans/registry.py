@@ -31,6 +31,11 @@ def rnd(expr: str, digits: int) -> str:
     return f"(round(({expr}) + 1e-9, {digits}) + 0.0)"
 
 
+def rnd_wide(expr: str, digits: int) -> str:
+    """SQL twin of functions.exprs.settle_wide."""
+    return f"(CASE WHEN abs({expr}) >= 1e6 THEN {rnd(f'({expr}) / 1e6', digits)} * 1e6 ELSE {rnd(expr, digits)} END)"
+
+
 #: Hourly panel with gaps filled by the last known value.
 PANEL = """WITH obs AS (
   SELECT user_id // 5 AS station_id, event_type AS kpi,
