@@ -78,6 +78,7 @@ class Vocabulary:
         for token, r in ranks.items():
             self.bytes[r] = token
         self.slots = None  # decoding needs no pairs
+        self.tokens = None  # and encoding no bytes
 
     def _prepare(self) -> None:
         ranks = self.ranks
@@ -203,8 +204,15 @@ class Vocabulary:
                 put(changed)
         return alive
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """Bytes of each list of ids, as slices of one buffer."""
+        if self.tokens is None:
+            self.tokens = pa.array(self.bytes, pa.large_binary())
+        lists = lists.fill_null([]) if lists.null_count else lists
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        taken = self.tokens.take(lists.values.slice(ends[0], ends[-1] - ends[0]))
+        at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][ends - ends[0]]
+        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at.tobytes()), taken.buffers()[2]]).cast(pa.binary())
 
 
 @lru_cache(2)
@@ -260,5 +268,5 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes the ids stand for; null ids give no bytes."""
-    return _with(df, out, T.BinaryType(), ids, lambda col: pa.array([vocabulary(path).decode(x or []) for x in col.to_pylist()], pa.binary()))
+    return _with(df, out, T.BinaryType(), ids, vocabulary(path).decode)
 
