@@ -13,6 +13,8 @@ from collections.abc import Callable
 import regex
 
 ODD_SPACES = re.compile(r" (?:\s|\Z)|[^\S ] ")
+#: All white space but the space and the line feed; most texts have none.
+RARE_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: White space as the tokenizers' libraries see it (the Unicode property), spelled out.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -22,6 +24,12 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(spelled).findall
 
 
+def has_odd_spaces(text: str) -> bool:
+    """Whether ODD_SPACES is found; searches for fixed strings first, which is much faster."""
+    maybe = "  " in text or " \n" in text or "\n " in text or text.endswith(" ") or any(c in text for c in RARE_WHITE)
+    return maybe and ODD_SPACES.search(text) is not None
+
+
 class Memo:
     """Ids (little-endian int32) of texts; encode takes distinct strings and returns the ids of each.
 
@@ -40,7 +48,7 @@ class Memo:
             to.update(zip(new, self.encode([before + piece for piece in new]), strict=True))
             return
         cut = [self.split(before + piece) for piece in new]
-        unknown = list(set().union(*cut) - self.plain.keys())
+        unknown = list(set().union(*cut).difference(self.plain))
         self.plain.update(zip(unknown, self.encode(unknown), strict=True))
         get = self.plain.__getitem__
         to.update((piece, get(ts[0]) if len(ts) == 1 else b"".join(map(get, ts))) for piece, ts in zip(new, cut, strict=True))
@@ -51,14 +59,14 @@ class Memo:
             self.plain.clear()
         plain, rest = [], []
         for t in texts:
-            if t and ODD_SPACES.search(t):
+            if t and has_odd_spaces(t):
                 plain.append(self.split(t))
                 rest.append([])
             else:
                 head, *tail = (t or "").split(" ")
                 plain.append([head] if head else [])
                 rest.append(tail)
-        self._learn(list(set().union(*plain) - self.plain.keys()), self.plain, "")
-        self._learn(list(set().union(*rest) - self.spaced.keys()), self.spaced, " ")
+        self._learn(list(set().union(*plain).difference(self.plain)), self.plain, "")
+        self._learn(list(set().union(*rest).difference(self.spaced)), self.spaced, " ")
         a, b = self.plain.__getitem__, self.spaced.__getitem__
         return [b"".join(map(a, x)) + b"".join(map(b, y)) for x, y in zip(plain, rest, strict=True)]

@@ -40,6 +40,38 @@ BLOCK, PERCENTILE = 128, 95
 NO_ID = -(2**63)
 #: So many characters make a segment, one document at least.
 SEGMENT_CHARS = 2_000_000
+#: Pieces whose ids a worker remembers; all pieces are encoded.
+MEMO_PIECES = 1_500_000
+#: Fixed by byte-level vocabularies: how they spell a space.
+SPACE = "\u0120"
+
+
+def to_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Bytes of each row's values, `width` low bits of each; all rows at once, one column after the other."""
+    rows, n = values.shape
+    columns = np.ascontiguousarray(values.T).astype(np.uint64) & np.uint64((1 << width) - 1)
+    words = np.zeros((-(-n * width // 64), rows), np.uint64)
+    for k in range(n):
+        word, shift = divmod(k * width, 64)
+        words[word] |= columns[k] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= columns[k] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).astype("<u8").view(np.uint8)[:, : (n * width + 7) // 8]
+
+
+def from_bits(packed: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The n values of each row that to_bits packed."""
+    padded = np.zeros((len(packed), 8 * -(-n * width // 64)), np.uint8)
+    padded[:, : packed.shape[1]] = packed
+    words = np.ascontiguousarray(padded.view("<u8").T).astype(np.uint64)
+    columns, mask = np.empty((n, len(packed)), np.uint32), np.uint64((1 << width) - 1)
+    for k in range(n):
+        word, shift = divmod(k * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= words[word + 1] << np.uint64(64 - shift)
+        columns[k] = value & mask
+    return columns.T
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
@@ -68,8 +100,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, block: int =
     out[index[:-1, None] + np.arange(BLOCK_HEAD)] = heads
     for w in np.unique(width[width > 0]).tolist():
         which = np.flatnonzero(width == w)
-        bits = (rest[which][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-        packed = np.packbits(bits.astype(np.uint8).reshape(len(which), -1), axis=1, bitorder="little")
+        packed = to_bits(rest[which], w)
         out[index[which][:, None] + BLOCK_HEAD + np.arange(packed.shape[1])] = packed
     b, p = np.nonzero(over)
     if len(b):
@@ -100,11 +131,7 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> tuple[np.
     for w in np.unique(width[width > 0]).tolist():
         which = np.flatnonzero(width == w)
         packed = data[index[which][:, None] + BLOCK_HEAD + np.arange((block * w + 7) // 8)]
-        bits = np.unpackbits(packed, axis=1, count=block * w, bitorder="little").reshape(len(which), block, w)
-        whole = np.zeros((len(which), block), np.uint32)
-        for k in range(w):
-            whole |= bits[:, :, k].astype(np.uint32) << np.uint32(k)
-        out[which] = whole
+        out[which] = from_bits(packed, w, block)
     b = np.repeat(np.arange(len(index)), extra)
     if len(b):
         k = np.arange(len(b)) - (np.cumsum(extra) - extra)[b]
@@ -115,14 +142,51 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> tuple[np.
     return doc_ids, lengths, out.reshape(-1)[: n - first * block]
 
 
+def spaced(text: str) -> bool:
+    """Whether it is a space and a piece without any, which white space neither begins nor ends."""
+    return text.rfind(" ") == 0 and not (text[-1].isspace() or text[1].isspace())
+
+
+class Encoder:
+    """Ids of strings by the tokenizers library.
+
+    Strings with a space in front and none inside go through the library as one text: a space starts a match of the
+    pattern wherever something other than white space follows, so the ids that begin with a space tell them apart again.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocab = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.starts[[i for token, i in vocab.items() if token[0] == SPACE]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        joined = [i for i, t in enumerate(texts) if spaced(t)]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([texts[i] for i in joined])], add_special_tokens=False)[0].ids, "<i4")
+        at = np.flatnonzero(self.starts[ids])
+        if len(at) == len(joined) and (not len(at) or at[0] == 0):
+            raw, ends = ids.tobytes(), (4 * np.r_[at[1:], len(ids)]).tolist()
+            for i, start, end in zip(joined, (4 * at).tolist(), ends if joined else [], strict=True):
+                out[i] = raw[start:end]
+        else:  # another kind of vocabulary
+            joined = []
+        alone = sorted(set(range(len(texts))) - set(joined))
+        for i, one in zip(alone, self._each([texts[i] for i in alone]), strict=True):
+            out[i] = one
+        return out
+
+
 @lru_cache(2)
 def memo(path: str, pattern: str) -> Memo:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return Memo(pattern, lambda texts: [np.array(e.ids, "<i4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)], whole=True)
+    return Memo(pattern, Encoder(path).encode, whole=True, limit=MEMO_PIECES)
 
 
 def write(docs: DataFrame, path: str, pattern: str, end_id: int = 0, block: int = BLOCK, percentile: int = PERCENTILE) -> DataFrame:
