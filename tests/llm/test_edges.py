@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import brute
@@ -9,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from kpiscope.llm import bpe, decontam, html, language, lines, neardup, quality, token_files, urls, warc
+from kpiscope.llm import bpe, decontam, html, language, lines, neardup, pretokens, quality, token_files, urls, warc
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 PATTERN = public_tokenizers.PATTERN
@@ -223,3 +224,16 @@ def test_real_archive_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(raw)
     got = warc.read(spark.read.format("binaryFile").load(str(tmp_path))).first()
     assert (got["page_id"], bytes(got["payload"]), got["payload_digest"]) == (9, b"hi", warc.digest(b"hi"))
+
+
+def test_odd_spaces_are_those_of_the_pattern():
+    parts = ["a", "é", " ", "\n", "\t", "\x85", " ", " ", "　", "\x1c", "中", ""]
+    for text in ("".join(some) for some in itertools.product(parts, repeat=4)):
+        assert pretokens.has_odd_spaces(text) == (pretokens.ODD_SPACES.search(text) is not None), repr(text)
+
+
+def test_joined_pieces_have_the_ids_of_single_ones():
+    encoder = token_files.Encoder(JSON)
+    texts = ["", " ", " a", "a", "  a", " a b", " a\n", " \na", " é中", " don't", " x.\n\ny", " 12ab", " <|endoftext|>", " Ġx", " a "]
+    for some in (texts, texts[2:3], texts[:2], []):
+        assert encoder.encode(some) == encoder._each(some)
