@@ -18,6 +18,8 @@ from kpiscope.llm.queries import bpe_digests
 from kpiscope.llm.shared import load, stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least similarity of near copies at this stage; op2's contract has its own.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    return neardup.firsts(docs).select(*COLUMNS)
+    """One document of each group of near copies (NEAR_PERCENT of their shingles of five words): that with the smallest id."""
+    return neardup.firsts(docs, percent=NEAR_PERCENT).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

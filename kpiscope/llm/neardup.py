@@ -1,9 +1,10 @@
 """Near-duplicate documents: MinHash signatures joined by a multi-index Hamming join.
 
-A signature has 32 entries of 16 bits. Two documents whose signatures differ in at most 15 entries differ in at most one
-entry of one of eight chunks (pigeonhole), so every document is filed under each chunk with each entry left out: the
-allowed chunk errors, enumerated. Every pair under the distance shares a key. A pair of Jaccard similarity 0.85 has a distance
-above 15 with a chance of about 1e-6. Links are confirmed on the full shingle sets.
+A signature has chunks of four entries of 16 bits. Two documents whose signatures differ in fewer than twice as many entries as
+there are chunks differ in at most one entry of some chunk (pigeonhole), so every document is filed under each chunk with each entry
+left out: the allowed chunk errors, enumerated. Every pair under the distance shares a key. entries_for() takes as many entries as
+the least similarity of a link (percent) needs, so that a pair just at it is missed with a chance of MOST_MISSED at most. Links are
+confirmed on the full shingle sets.
 
 Copies and hot groups:
 - Documents with equal sets become one node before anything else.
@@ -22,6 +23,7 @@ pass through; input columns named like the results are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,21 +33,39 @@ from pyspark.sql import functions as F
 
 from kpiscope.llm.shared import bounded_batches, lower_ascii, stash, words
 
-ENTRIES, CHUNKS, MOST_APART, SHINGLE = 32, 8, 15, 5
-WIDTH = ENTRIES // CHUNKS
+WIDTH, SHINGLE = 4, 5
+LEAST_ENTRIES, MOST_ENTRIES, MOST_MISSED = 32, 128, 4e-6
 CELL, CELL_SHINGLES = 4096, 1_000_000
 #: 32 MB of ids.
 MOST_BROADCAST_IDS = 4_000_000
-#: Links have 100 * intersection >= PERCENT * union.
+#: Links have 100 * intersection >= percent * union; the contract of op2 fixes this one.
 PERCENT = 85
 RESULT = ["n_shingles", "component_id", "kept"]
 
 _rng = np.random.default_rng(20240101)
-MULTIPLY = _rng.integers(1, 2**63, ENTRIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ADD = _rng.integers(0, 2**63, ENTRIES, dtype=np.uint64)
+MULTIPLY = _rng.integers(1, 2**63, MOST_ENTRIES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ADD = _rng.integers(0, 2**63, MOST_ENTRIES, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def most_apart(entries: int) -> int:
+    return 2 * (entries // WIDTH) - 1
+
+
+def missed(percent: int, entries: int) -> float:
+    """Chance that the signatures of a pair of that similarity are too far apart."""
+    p = 1 - percent / 100
+    return sum(math.comb(entries, k) * p**k * (1 - p) ** (entries - k) for k in range(most_apart(entries) + 1, entries + 1))
+
+
+def entries_for(percent: int) -> int:
+    """Entries of a signature that finds pairs of this similarity."""
+    for entries in range(LEAST_ENTRIES, MOST_ENTRIES + 1, WIDTH):
+        if missed(percent, entries) <= MOST_MISSED:
+            return entries
+    raise ValueError(f"links of {percent} per cent need longer signatures")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -63,12 +83,12 @@ def shingles(hashes: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return np.unique(acc)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The low 16 bits of the least hash under each of ENTRIES functions."""
-    out = np.empty(ENTRIES, np.uint16)
-    for k in range(ENTRIES):
+def signature(found: np.ndarray, entries: int) -> np.ndarray:
+    """The low 16 bits of the least hash under each of so many functions."""
+    out = np.empty(entries, np.uint16)
+    for k in range(entries):
         x = (found ^ ADD[k]) * MULTIPLY[k]
-        x = (x ^ (x >> np.uint64(31))) * MULTIPLY[ENTRIES - 1 - k]
+        x = (x ^ (x >> np.uint64(31))) * MULTIPLY[MOST_ENTRIES - 1 - k]
         out[k] = (x ^ (x >> np.uint64(33))).min() & np.uint64(0xFFFF)
     return out
 
@@ -84,7 +104,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield shingles(flat[a:b])
 
 
-def _signed(rows: DataFrame) -> DataFrame:
+def _signed(rows: DataFrame, entries: int) -> DataFrame:
     """uid, n_shingles, a 128-bit mark of the set (a, b), the signature; an empty set has no signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,18 +114,18 @@ def _signed(rows: DataFrame) -> DataFrame:
                 n.append(len(found))
                 a.append(int(mixed(found).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(mixed(found * STEP + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
-                sig.append(signature(found).tobytes() if len(found) else None)
+                sig.append(signature(found, entries).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_pydict({"uid": batch.column("uid"), "n_shingles": pa.array(n, pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sig": pa.array(sig, pa.binary())})
 
     return rows.mapInArrow(run, "uid long, n_shingles long, a long, b long, sig binary")
 
 
-def _filed(nodes: DataFrame) -> DataFrame:
+def _filed(nodes: DataFrame, entries: int) -> DataFrame:
     """A row for each node, chunk and entry left out: key, uid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, ENTRIES).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, entries).astype(np.uint64)
             keys = keys_of(sig)
             uid = np.repeat(batch.column("uid").to_numpy(), keys.shape[1])
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys.reshape(-1).view(np.int64)), "uid": pa.array(uid)})
@@ -115,8 +135,8 @@ def _filed(nodes: DataFrame) -> DataFrame:
 
 def keys_of(sig: np.ndarray) -> np.ndarray:
     """Keys of each signature: chunk by chunk, and in it by the entry left out."""
-    out = np.empty((len(sig), ENTRIES), np.uint64)
-    for chunk in range(CHUNKS):
+    out = np.empty(sig.shape, np.uint64)
+    for chunk in range(sig.shape[1] // WIDTH):
         for left_out in range(WIDTH):
             acc = np.full(len(sig), chunk * WIDTH + left_out + 1, np.uint64)
             for k in range(WIDTH):
@@ -136,9 +156,9 @@ def near_pairs(sig: np.ndarray, side: np.ndarray, step: int = 128) -> Iterator[t
         if not len(j):
             continue
         apart = np.zeros((len(i), len(j)), np.uint8)
-        for e in range(ENTRIES):
+        for e in range(sig.shape[1]):
             apart += sig[i, e][:, None] != sig[j, e][None, :]
-        ok = apart <= MOST_APART
+        ok = apart <= most_apart(sig.shape[1])
         if alone:
             ok &= i[:, None] < j[None, :]
         x, y = np.nonzero(ok)
@@ -166,7 +186,7 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
     return held[:2]
 
 
-def links_of(sig: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+def links_of(sig: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
     """A spanning forest of the links among a cell's documents: pairs under the distance, confirmed on the full sets."""
     size = np.array([len(x) for x in sets])
     start = np.cumsum(size) - size
@@ -176,7 +196,7 @@ def links_of(sig: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple
     for i in np.flatnonzero(side != 2).tolist():
         j = np.arange(i + 1, len(sets)) if not side[i] else np.flatnonzero(side == 2)
         j = j[label[j] != label[i]]
-        j = j[(sig[j] != sig[i]).sum(axis=1) <= MOST_APART]
+        j = j[(sig[j] != sig[i]).sum(axis=1) <= most_apart(sig.shape[1])]
         if not len(j):
             continue
         own = ids[start[i] : start[i] + size[i]]
@@ -185,7 +205,7 @@ def links_of(sig: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple
         places = np.arange(end[-1]) + np.repeat(start[j] - end + size[j], size[j])
         same = np.add.reduceat(mark[ids[places]], end - size[j], dtype=np.int64)
         mark[own] = False
-        for k in j[100 * same >= PERCENT * (size[i] + size[j] - same)].tolist():
+        for k in j[100 * same >= percent * (size[i] + size[j] - same)].tolist():
             if label[k] != label[i]:
                 left.append(i)
                 right.append(k)
@@ -193,11 +213,12 @@ def links_of(sig: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple
     return left, right
 
 
-def _paired(cells: DataFrame, confirm: bool) -> DataFrame:
+def _paired(cells: DataFrame, confirm: bool, percent: int) -> DataFrame:
     """Pairs (x < y) from rows (key, cell, side, uid, sig, and to confirm found) that stand together by key and cell.
 
     side is 0 in a cell of one part, else 1 or 2 for the parts that meet in it.
     """
+    entries = entries_for(percent)
     names = ["key", "cell", "side", "uid", "sig"] + ["found"] * confirm
     rows = cells.select(*names).repartition("key", "cell").sortWithinPartitions("key", "cell", "uid")
 
@@ -205,8 +226,8 @@ def _paired(cells: DataFrame, confirm: bool) -> DataFrame:
         if len(held) < 2:
             return None
         side, uid = (np.array([r[k] for r in held]) for k in (0, 1))
-        sig = np.frombuffer(b"".join([r[2] for r in held]), np.uint16).reshape(-1, ENTRIES)
-        i, j = links_of(sig, side, [np.frombuffer(r[3], np.uint64) for r in held]) if confirm else forest(len(uid), near_pairs(sig, side))
+        sig = np.frombuffer(b"".join([r[2] for r in held]), np.uint16).reshape(-1, entries)
+        i, j = links_of(sig, side, [np.frombuffer(r[3], np.uint64) for r in held], percent) if confirm else forest(len(uid), near_pairs(sig, side))
         return (np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])) if len(i) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,24 +295,25 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def linked(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def linked(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES, percent: int = PERCENT) -> DataFrame:
     """uid, n_shingles and comp (the smallest uid of the component) for docs with uid and text, as a written table."""
     bounded_batches(docs.sparkSession)
-    sets = stash(_signed(_hashed(docs)), "signatures")
+    entries = entries_for(percent)
+    sets = stash(_signed(_hashed(docs), entries), "signatures")
     copies = sets.filter("n_shingles > 0").groupBy("a", "b", "n_shingles").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("n"))
     copies = stash(copies.filter("n > 1").drop("n"), "copies")
     member = sets.select("uid", "n_shingles", "a", "b").join(copies, ["a", "b", "n_shingles"], "left")
     member = stash(member.select("uid", "n_shingles", F.coalesce("rep", "uid").alias("rep")), "members")
     nodes = sets.filter("n_shingles > 0").select("uid", "n_shingles", "sig").join(member.filter("uid <> rep").select("uid"), "uid", "left_anti")
     nodes = stash(nodes, "nodes")
-    filed = _filed(nodes)
+    filed = _filed(nodes, entries)
     shared = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = stash(shared.select("key", F.ceil(F.col("n") / cell).cast("int").alias("parts")), "shared-keys")
-    near = _paired(_cells(filed.join(shared, "key")).join(nodes, "uid"), False)
+    near = _paired(_cells(filed.join(shared, "key")).join(nodes, "uid"), False, percent)
     group = stash(components(stash(near.distinct(), "near")).withColumnRenamed("comp", "key").join(nodes, "uid"), "groups")
     parts = group.groupBy("key").agg(F.ceil(F.sum("n_shingles") / cell_shingles).cast("int").alias("parts"))
     dealt = _cells(group.select("key", "uid").join(stash(parts, "parts"), "key")).join(group.select("uid", "sig"), "uid")
-    links = _paired(dealt.join(_sets_of(docs, group.select("uid")), "uid"), True)
+    links = _paired(dealt.join(_sets_of(docs, group.select("uid")), "uid"), True, percent)
     final = components(stash(links.distinct(), "links")).withColumnsRenamed({"uid": "rep"})
     out = member.join(final, "rep", "left").select("uid", "n_shingles", F.coalesce("comp", "rep").alias("comp"))
     return stash(out, "components")
@@ -302,11 +324,11 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stash(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
 
 
-def _judged(docs: DataFrame, cell: int, cell_shingles: int) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, cell: int, cell_shingles: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The rows with uid, and by uid: n_shingles, component_id, first."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*RESULT, "first")]
     rows = numbered(docs.select(*kept))
-    found = linked(rows.select("uid", "text"), cell, cell_shingles).join(rows.select("uid", "doc_id"), "uid")
+    found = linked(rows.select("uid", "text"), cell, cell_shingles, percent).join(rows.select("uid", "doc_id"), "uid")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     leader = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("o"))
     leader = stash(leader.select("comp", "component_id", F.col("o.uid").alias("first_uid")), "leaders")
@@ -314,20 +336,20 @@ def _judged(docs: DataFrame, cell: int, cell_shingles: int) -> tuple[DataFrame,
     return rows, stash(found, "near-duplicates")
 
 
-def dedup(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def dedup(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES, percent: int = PERCENT) -> DataFrame:
     """Add n_shingles, component_id (the smallest doc_id of the component), kept (it is this document's) and first.
 
     first is true for exactly one row of each component, also where rows repeat an id.
     """
-    rows, found = _judged(docs, cell, cell_shingles)
+    rows, found = _judged(docs, cell, cell_shingles, percent)
     same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first"))
     out = rows.join(found, "uid").withColumn("kept", same)
     return out.select(*(F.col(f"`{c}`") for c in rows.columns if c != "uid"), *RESULT, "first")
 
 
-def firsts(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def firsts(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with the columns of docs. What goes is broadcast if few enough, so that texts stay in place."""
-    rows, found = _judged(docs, cell, cell_shingles)
+    rows, found = _judged(docs, cell, cell_shingles, percent)
     others = found.filter(~F.col("first")).select("uid")
     if others.count() <= MOST_BROADCAST_IDS:
         others = F.broadcast(others)
