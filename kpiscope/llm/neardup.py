@@ -277,22 +277,25 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return _hashed(docs.join(ids, "uid", "left_semi")).mapInArrow(whole, "uid long, found binary")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """uid, comp for every node of a link; comp is the component's smallest uid.
 
-    Each round every node takes the smallest label among itself and its neighbours, and then its label's label.
+    Each round every node offers the smallest label among its neighbours to itself and to the node its label names, takes the
+    least offer, and then its label's label. Labels only fall, so the rounds end by themselves, when none has changed; as whole
+    trees are hooked, chains in any order need about as many rounds as the logarithm of their length.
     """
     edges = stash(links.select("x", "y").union(links.select(F.col("y"), F.col("x"))), "edges")
     label = stash(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("uid"), F.least("x", "m").alias("comp")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(label.withColumnsRenamed({"uid": "y"}), "y").groupBy("x").agg(F.min("comp").alias("m"))
-        step = label.join(near.withColumnRenamed("x", "uid"), "uid").select("uid", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        near = stash(label.join(near.withColumnRenamed("x", "uid"), "uid").select("uid", "comp", "m"), "offers")
+        offers = near.select("uid", "m").union(near.filter("m < comp").select("comp", "m")).groupBy("uid").agg(F.min("m").alias("m"))
+        step = label.join(offers, "uid").select("uid", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         jump = step.select(F.col("uid").alias("comp"), F.col("comp").alias("further"))
         new = stash(step.join(jump, "comp").select("uid", "old", F.col("further").alias("comp")), "labels")
         label = new.select("uid", "comp")
         if new.filter("comp <> old").isEmpty():
             return label
-    raise RuntimeError("components did not settle")
 
 
 def linked(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES, percent: int = PERCENT) -> DataFrame:

@@ -36,3 +36,13 @@ def test_the_stage_joins_near_copies_from_four_fifths(spark, docs_of):
     assert any(0.80 <= s < 0.85 for s in share)
     for percent, kept in ((85, neardup.firsts(docs)), (80, corpus_pipeline.near_dedup(spark, docs, ""))):
         assert {r["doc_id"] for r in kept.collect()} == {i for i, (_, _, k) in brute.components(rows, percent).items() if k}
+
+
+def test_components_of_a_shuffled_chain(spark):
+    """Revisions linked only to the one before, with ids in any order; and pairs beside them."""
+    ids = list(range(1000, 1400))
+    random.Random(8).shuffle(ids)
+    links = list(zip(ids, ids[1:], strict=False)) + [(2 * k, 2 * k + 1) for k in range(50)]
+    links = spark.createDataFrame([(min(p), max(p)) for p in links], "x long, y long").repartition(3)
+    got = {r["uid"]: r["comp"] for r in neardup.components(links).collect()}
+    assert got == {**dict.fromkeys(ids, 1000), **{2 * k + b: 2 * k for k in range(50) for b in (0, 1)}}
