@@ -4,7 +4,9 @@ Tokens are runs of letters and digits, lower-cased. A seed is the hash of the to
 tokens. The two masks together find every window of 13 tokens with at most two substitutions. Seeds of all documents
 are joined with those of all benchmark items. Around a hit the windows of 13 tokens that hold the seed are compared
 token by token; one with 11 equal tokens contaminates the document. Items of 5 to 12 tokens are one window as a whole, of which four fifths
-must be equal; items below nine tokens are sought by all their tokens. Items of fewer than five tokens are too common and never match.
+must be equal. Each such length has masks of its own: its places are cut into blocks, and a mask keeps all but as many blocks as
+substitutions are allowed, so that some mask keeps none of the substituted places. They lie at fixed places of the item and have no
+outer zeros, so they also fit where a text starts or ends inside the item. Items of fewer than five tokens are too common and never match.
 
 The seeds of the benchmark are counted first. Up to MOST_SEEDS (about 100 MB) they are broadcast; a longer benchmark is taken
 in slices of that size, each with its own pass over the documents. No seed or hit is left out.
@@ -16,6 +18,8 @@ small table. Extra columns pass through; input columns named like the results ar
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,8 @@ from kpiscope.llm.shared import hash64, stash
 
 MASKS = ("111101001", "100110111")
 SPAN, WINDOW, EQUAL = 9, 13, 0.8
-LEAST_ITEM = 5
+#: Tokens of the shortest items, and tokens that a mask of a short item keeps at least.
+LEAST_ITEM, LEAST_KEPT = 5, 4
 MOST_SEEDS = 3_000_000
 RESULT = ["n_items", "first_item", "best_equal", "contaminated", "kept"]
 
@@ -34,9 +39,18 @@ def tokens(text: Column) -> Column:
     return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda t: F.xxhash64(t))
 
 
-def masks(lengths: list[int]) -> list[str]:
-    """The spaced masks, and solid ones for items too short for them."""
-    return [*MASKS, *("1" * n for n in sorted(set(lengths)) if n < SPAN)]
+def short_masks(n: int) -> list[tuple[str, int]]:
+    """Masks for items of n tokens (under WINDOW) and where each lies; any allowed substitutions leave one of them whole."""
+    wrong = n // 5
+    for blocks in range(wrong + 1, n + 1):
+        ends = [n * k // blocks for k in range(blocks + 1)]
+        out = []
+        for left_out in combinations(range(blocks), wrong):
+            mask = "".join("0" if any(ends[b] <= k < ends[b + 1] for b in left_out) else "1" for k in range(n))
+            out.append((mask.strip("0"), mask.index("1")))
+        if all(mask.count("1") >= LEAST_KEPT for mask, _ in out):
+            return out
+    raise ValueError(f"no masks for {n} tokens")
 
 
 def seed(h: Column, i: Column, mask: str) -> Column:
@@ -68,10 +82,14 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_seeds:
     """Contaminated texts by their hash (a, b): n_items, first_item, best_equal."""
     items = benchmark.select("item_id", tokens(F.col("text")).alias("h")).filter(F.size("h") >= LEAST_ITEM)
     items = stash(items.withColumn("item", F.xxhash64("item_id", "h")), "items")
-    lengths = [r[0] for r in items.filter(F.size("h") < SPAN).select(F.size("h")).distinct().collect()]  # four at most
-    kinds = masks(lengths)
-    # a solid mask is for items of just its length; the spaced ones are for the longer items
-    theirs = seeds(items, kinds).filter("seed is not null").select("seed", "item", F.col("i").alias("j"), "h")
+    lengths = [r[0] for r in items.filter(F.size("h") < WINDOW).select(F.size("h")).distinct().collect()]  # eight at most
+    short = [(n, mask, at) for n in sorted(lengths) for mask, at in short_masks(n)]
+    kinds = [*MASKS, *sorted({mask for _, mask, _ in short})]
+    theirs = seeds(items.filter(F.size("h") >= WINDOW), list(MASKS)).filter("seed is not null").select("seed", "item", F.col("i").alias("j"))
+    if short:
+        one = [F.when(F.size("h") == n, F.struct(seed(F.col("h"), F.lit(at), mask).alias("seed"), F.lit(at).alias("j"))) for n, mask, at in short]
+        own = items.filter(F.size("h") < WINDOW).select("item", F.explode(F.array(*one)).alias("s")).filter("s is not null")
+        theirs = theirs.union(own.select("s.seed", "item", "s.j"))
     theirs = stash(theirs.select("seed", "item", "j").distinct(), "item-seeds")
     slices = max(1, -(-theirs.count() // most_seeds))
     whole = items.select("item", "item_id", F.col("h").alias("item_h")).dropDuplicates(["item"])
