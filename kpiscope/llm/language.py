@@ -5,7 +5,11 @@ dictionary; the smallest sum names the language, of equal ones that with more tr
 letters is evened out first, so that punctuation or capitals don't drown the language. Short texts are compressed after a run of
 spaces, else zstandard would store them as they are.
 
-Narrow margins are rejected, but for texts under LEAST_BYTES: these are too short to tell a narrow margin from chance.
+Narrow margins are rejected, but for texts under LEAST_BYTES, ties included: sizes are whole bytes, and these are too short to
+tell a narrow margin from chance. What is narrow is learned for each language from its training documents: each half of the samples
+in the dictionaries is judged with dictionaries of the other halves, and a margin under MARGIN_SHARE of the language's median
+is narrow. The median isn't moved by some mixed or wrongly labelled documents. Texts in a language without training rows gain little from any
+dictionary over the others and so have narrow margins.
 
 The dictionaries are fitted on a bounded sample: of each language about SAMPLE_DOCS documents chosen by a hash of doc_id, of
 each the first SLICE_CHARS characters, DICT_BYTES in all. Predictions read whole texts.
@@ -21,6 +25,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from statistics import median
 
 import pyarrow as pa
 import zstandard
@@ -33,8 +38,9 @@ from kpiscope.llm.shared import bounded_batches
 SAMPLE_DOCS, SLICE_CHARS, DICT_BYTES = 200, 1500, 1 << 17
 LEVEL, BLOCK, SHORT = 6, 2048, 600
 PADDING = b" " * 1024
-#: Relative gain of the best over the second language below which a document is rejected.
-LEAST_MARGIN, LEAST_BYTES = 0.001, 64
+#: A document is rejected if the relative gain of its best over its second language is below this share of the usual gain; where
+#: no usual gain is known, because no language has two samples of LEAST_BYTES, below LEAST_MARGIN.
+MARGIN_SHARE, LEAST_MARGIN, LEAST_BYTES = 0.2, 0.001, 64
 MOST_LANGUAGES = 500
 FOLDS = 5
 SPACES = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -78,23 +84,49 @@ def compressors(model: tuple[tuple[str, bytes], ...]) -> list[tuple[str, zstanda
     return out
 
 
-def judge(text: str | None, tools: list) -> tuple[str, float, float, bool]:
+def ranked(data: bytes, tools: list) -> list[tuple[int, int]]:
+    """Compressed sizes of an evened text with the place of their language, smallest first."""
+    read = PADDING + data if len(data) < SHORT else data
+    return sorted((sum(len(z.compress(read[k : k + BLOCK])) for k in range(0, len(read), BLOCK)), place) for place, (_, z) in enumerate(tools))
+
+
+def gain(sizes: list[tuple[int, int]]) -> float:
+    return (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
+
+
+def least_margins(model: dict[str, bytes]) -> dict[str, float]:
+    """The narrowest margin of each language that is accepted, from the samples in its dictionary (a line each)."""
+    lines = {lang: sample.split(b"\n") for lang, sample in model.items()}
+    found = defaultdict(list)
+    for half in (0, 1):
+        tools = compressors(tuple((lang, b"\n".join(rows[1 - half :: 2])) for lang, rows in lines.items()))
+        for place, (lang, rows) in enumerate(lines.items()):
+            for row in rows[half::2] if len(rows) > 1 else ():
+                if len(row) >= LEAST_BYTES:
+                    sizes = ranked(row, tools)
+                    # a sample told wrong has no margin
+                    found[lang].append(gain(sizes) if sizes[0][1] == place else 0.0)
+    known = {lang: MARGIN_SHARE * median(margins) for lang, margins in found.items()}
+    other = min(known.values(), default=LEAST_MARGIN)
+    return {lang: max(LEAST_MARGIN, known.get(lang, other)) for lang in model}
+
+
+def judge(text: str | None, tools: list, least: dict[str, float]) -> tuple[str, float, float, bool]:
     """Language, score, margin and whether it is rejected, for a text with a letter or None."""
     if text is None or not tools:
         return "und", 0.0, 0.0, True
     data = evened(text)
-    read = PADDING + data if len(data) < SHORT else data
-    sizes = sorted((sum(len(z.compress(read[k : k + BLOCK])) for k in range(0, len(read), BLOCK)), place) for place, (_, z) in enumerate(tools))
-    best = sizes[0][0]
-    margin = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
-    score = 1 / sum(math.exp((best - s) / 2) for s, _ in sizes)
-    return tools[sizes[0][1]][0], score, margin, margin < LEAST_MARGIN and len(data) >= LEAST_BYTES
+    sizes = ranked(data, tools)
+    margin = gain(sizes)
+    score = 1 / sum(math.exp((sizes[0][0] - s) / 2) for s, _ in sizes)
+    lang = tools[sizes[0][1]][0]
+    return lang, score, margin, margin < least[lang] and len(data) >= LEAST_BYTES
 
 
 def predict(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     """Add lang_pred, score, margin and rejected, from the text alone."""
     bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(tuple(model.items()))
+    held = docs.sparkSession.sparkContext.broadcast((tuple(model.items()), least_margins(model)))
     kept = [f for f in docs.schema.fields if f.name not in RESULT]
     names = [f.name for f in kept]
     kinds = [("lang_pred", pa.string(), T.StringType()), ("score", pa.float64(), T.DoubleType()), ("margin", pa.float64(), T.DoubleType()), ("rejected", pa.bool_(), T.BooleanType())]
@@ -102,9 +134,10 @@ def predict(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     rows = docs.select(*(F.col(f"`{n}`") for n in names), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_read"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = compressors(held.value)
+        languages, least = held.value
+        tools = compressors(languages)
         for batch in batches:
-            found = [judge(t.as_py(), tools) for t in batch.column("_read")]
+            found = [judge(t.as_py(), tools, least) for t in batch.column("_read")]
             cols = [pa.array(list(c), kind) for c, (_, kind, _) in zip(zip(*found, strict=True) if found else [()] * 4, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *cols], names=schema.names)
 
