@@ -4,7 +4,10 @@ An archive is a row (path, content), the columns of Spark's binaryFile source, s
 and `spark.read.format("binaryFile")` over real .warc or .warc.gz files alike. The writer's table is committed by Spark.
 
 The reader checks each record (gzip member, version line, headers, lengths, end mark, payload digest). After a failed check it
-searches for the next valid gzip member or version line, goes on from there, and logs the bytes between as a gap.
+searches for the next valid gzip member or version line, goes on from there, and logs the bytes between as a gap. Inside a gzip member
+it does the same with the inflated bytes, those before a failed check or a cut included; gaps there count inflated bytes and name
+the member's place in the column `inside`. Where a member of several records fails its check, records that pass their own are given and the failure is logged
+as a gap, empty if no bytes are left; a member with a single record then is a gap as a whole.
 
 Nulls: a null html is an empty payload, a null url an empty target, a null page_id is written as `none` and read as null.
 Of repeated rows with the largest page_id each is a response. Other columns of the input are left out.
@@ -33,7 +36,7 @@ VERSION = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVES = pa.schema([("path", pa.string()), ("content", pa.binary())])
-FOUND = "path string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, gap_start long, gap_bytes long, reason string"
+FOUND = "path string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, gap_start long, gap_bytes long, inside long, reason string"
 FIELDS = [f.split()[0] for f in FOUND.split(", ")]
 
 
@@ -127,51 +130,99 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, int]:
     }, start + size + 4
 
 
-def member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The gzip member at a place, and where it ends."""
+FAILED = "a gzip member fails its check"
+
+
+def member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str | None]:
+    """What the gzip member at a place inflates to, where it ends or fails, and why it fails."""
     z, out = zlib.decompressobj(31), []
-    try:
-        while not z.eof:
-            if at >= len(data):
-                raise Bad("a gzip member is cut short")
+    while not z.eof:
+        if at >= len(data):
+            return b"".join(out), at, "a gzip member is cut short"
+        held = z.copy() if step > 1 else None
+        try:
             out.append(z.decompress(data[at : at + step]))
-            at = min(at + step, len(data))
-    except zlib.error as e:
-        raise Bad("a gzip member fails its check") from e
-    return b"".join(out), at - len(z.unused_data)
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), at, FAILED
+            z, step = held, 1  # byte by byte, for all that comes before the error
+            continue
+        at = min(at + step, len(data))
+    return b"".join(out), at - len(z.unused_data), None
+
+
+def inner(raw: bytes, inside: int) -> Iterator[dict]:
+    """Records of a member's inflated bytes; a gap for each stretch between them that could not be read."""
+    at = 0
+    while at < len(raw):
+        try:
+            row, at = parse(raw, at)
+            yield row
+        except Bad as why:
+            found = next_record(raw, at + 1)
+            yield {"gap_start": at, "gap_bytes": found - at, "inside": inside, "reason": str(why)}
+            at = found
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive in order; rows with gap_bytes stand for bytes that could not be read."""
     at, size = 0, len(data)
     while at < size:
-        try:
-            if data.startswith(b"\x1f\x8b", at):
-                raw, end = member(data, at)
-                inner, rows = 0, []
-                while inner < len(raw):
-                    row, inner = parse(raw, inner)
-                    rows.append(row)
+        if data.startswith(b"\x1f\x8b", at):
+            raw, end, why = member(data, at)
+            if not raw and why is None:  # an empty member
+                at = end
+                continue
+            if holds(raw, why):
+                yield from inner(raw, at)
+                at = end
+                if why is None:
+                    continue
+                search = at  # may be the end; the gap then is empty and says why
             else:
-                row, end = parse(data, at)
-                rows = [row]
-            yield from rows
-            at = end
-        except Bad as why:
-            found = following(data, at + 1)
-            yield {"gap_start": at, "gap_bytes": found - at, "reason": str(why)}
-            at = found
+                why, search = why or "a gzip member holds no record", at + 1
+        else:
+            try:
+                row, at = parse(data, at)
+                yield row
+                continue
+            except Bad as e:
+                why, search = str(e), at + 1
+        found = following(data, search)
+        yield {"gap_start": at, "gap_bytes": found - at, "reason": why}
+        at = found
+
+
+def holds(raw: bytes, why: str | None) -> bool:
+    """Whether records of a member can be read. A failed check is that of its record, if there is only one."""
+    at = next_record(raw, 0)
+    if at == len(raw) or why != FAILED:
+        return at < len(raw)
+    return next_record(raw, parse(raw, at)[1]) < len(raw)
+
+
+def next_record(raw: bytes, at: int) -> int:
+    """The next place with a record; else the end."""
+    for m in re.compile(rb"WARC/1\.").finditer(raw, at):
+        try:
+            parse(raw, m.start())
+        except Bad:
+            continue
+        return m.start()
+    return len(raw)
 
 
 def following(data: bytes, at: int) -> int:
     """The next place with a gzip member that holds a record, or with a record; else the end."""
     for m in re.compile(rb"\x1f\x8b\x08|WARC/1\.").finditer(data, at):
         place = m.start()
+        if m[0] == b"\x1f\x8b\x08":
+            raw, _, why = member(data, place)
+            if holds(raw, why):
+                return place
+            continue
         try:
-            if m[0] == b"\x1f\x8b\x08":
-                parse(member(data, place)[0])
-            else:
-                parse(data, place)
+            parse(data, place)
         except Bad:
             continue
         return place
