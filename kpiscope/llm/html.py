@@ -1,6 +1,8 @@
 """Main text of HTML pages, with removal of site templates.
 
-Pages are read into elements. Elements that are never main text go by their tag, role, class or id. What a site repeats goes
+Pages are read into elements. Elements that are never main text go by their tag, role, class or id. A class or id
+counts only if each of its words is in DROPPED_NAMES (`cookie-notice`, but not `with-sidebar` or `post-header`), and drops no element that holds an
+article or main part. What a site repeats goes
 by counting: the subtree of every block element is hashed, Spark counts the different pages of each host that hold the hash, and subtrees that recur
 on many pages of their host are deleted. If a page marks articles (or else a main part), only these are read.
 
@@ -51,12 +53,15 @@ WHOLE = {"html", "body", "article", "main"}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "drop", "inside", "digest", "hash", "attributes")
+    __slots__ = ("tag", "parent", "drop", "inside", "digest", "hash", "attributes", "at", "hard", "soft")
 
-    def __init__(self, tag: str, parent: Element | None, attributes: str):
+    def __init__(self, tag: str, parent: Element | None, attributes: str, at: int = -1, spared: frozenset[int] = frozenset()):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.inside = "article" if tag == "article" or parent and parent.inside == "article" else "main" if tag == "main" or parent and parent.inside == "main" else ""
-        self.drop = bool(parent and parent.drop) or unwanted(tag, attributes, self.inside)
+        self.at = at
+        self.hard = bool(parent and parent.hard) or unwanted(tag, attributes, self.inside)
+        self.soft = not self.hard and at not in spared and named(tag, attributes, self.inside)
+        self.drop = bool(parent and parent.drop) or self.hard or self.soft
         self.digest = None if tag in INLINE or self.drop else xxhash.xxh64(tag)
         self.hash = 0
 
@@ -72,18 +77,29 @@ def unwanted(tag: str, attributes: str, inside: str) -> bool:
             return True
         if name == "role" and value in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and (tag not in WHOLE or name == "class" and "comment" in value) and not DROPPED_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
     return False
 
 
-def read(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
+def named(tag: str, attributes: str, inside: str) -> bool:
+    """Whether a class or id says that the element is never main text; headers of articles are."""
+    for name, value in ATTRIBUTE.findall(attributes) if attributes and not attributes.isspace() else ():
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name in ("class", "id") and (tag not in WHOLE or name == "class" and "comment" in value):
+            for token in value.split():
+                words = {x for x in re.split(r"[^a-z]+", token) if x}
+                if words and words <= DROPPED_NAMES and not (inside and words == {"header"}):
+                    return True
+    return False
+
+
+def read(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[Element, str]], list[Element]]:
     """Texts with the element they stand in, in page order, and all block elements; dropped parts are left out.
 
     A text of "" with a block element marks where a block starts or ends.
     """
     root = Element("", None, "")
     here, texts, blocks, at = root, [], [], 0
+    found: set[int] = set()
 
     def close(upto: Element) -> None:
         nonlocal here
@@ -133,7 +149,13 @@ def read(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             if tag in ("br", "hr") and not here.drop:
                 texts.append((here, " "))
             continue
-        node = Element(tag, here, m[3])
+        node = Element(tag, here, m[3], m.start(), spared)
+        if tag in ("article", "main") and node.drop and not node.hard and not node.soft:
+            up = here
+            while up is not None:
+                if up.soft:
+                    found.add(up.at)
+                up = up.parent
         if node.digest is not None:
             texts.append((node, ""))
         if m[3].endswith("/") and tag not in INLINE and tag in ("svg", "math", "path"):
@@ -144,7 +166,7 @@ def read(page: str) -> tuple[list[tuple[Element, str]], list[Element]]:
             at = end.start() if end else len(page)
     while here is not root:
         close(here)
-    return texts, blocks
+    return read(page, spared | found) if found else (texts, blocks)
 
 
 def enclosing(node: Element | None) -> Element | None:
