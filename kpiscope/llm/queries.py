@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiscope.llm import bpe, decontam, html, language, lines, neardup, quality, token_files, urls, warc
+from kpiscope.llm import bpe, centroids, decontam, html, infill, language, lines, neardup, quality, token_counts, token_files, urls, warc
 from kpiscope.llm.shared import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,23 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_items", "first_item", "contaminated", "kept")
 
 
+def op11_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    out = token_counts.count(load(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+    return out.select("doc_id", *token_counts.RESULT)
+
+
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    out = centroids.cluster(load(spark, sf, "embeddings").select("vec_id", "embedding"), k=40, rounds=5, dims=64)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_infill(spark: SparkSession, sf: str) -> DataFrame:
+    out = infill.transform(load(spark, sf, "documents").select("doc_id", "text"))
+    restored = infill.restore(F.col("output"), F.col("form"))
+    digests = [F.sha2(F.encode(c, "UTF-8"), 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (restored, "restored_sha256"))]
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +99,10 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_quality_llr, op2_minhash_near_dedup, op3_html_text, op4_url_filter, op5_byte_bpe, op6_token_files, op7_line_dedup, op8_warc, op9_language_id, op10_decontamination, pipeline)
+    for f in (
+        op1_quality_llr, op2_minhash_near_dedup, op3_html_text, op4_url_filter, op5_byte_bpe, op6_token_files, op7_line_dedup,
+        op8_warc, op9_language_id, op10_decontamination, op11_token_counts, op12_centroids, op13_infill, pipeline,
+    )
 }
 
 URL_PARTS = r"""
@@ -94,7 +114,43 @@ split AS (SELECT page_id,
 
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+ROUNDS = 5
+
+
+def clusters_sql() -> str:
+    """Rounds of assigning and moving, written out one after the other."""
+    away = "list_sum(list_transform(range(64), lambda i: (p[i + 1] - c[i + 1]) * (p[i + 1] - c[i + 1])))"
+    parts = ["""
+points AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, sha256('2:' || vec_id) AS h, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS p
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, p) - 1 AS k, p AS c FROM points QUALIFY k < 40)"""]
+    for n in range(ROUNDS + 1):
+        parts.append(f"""
+near{n} AS MATERIALIZED (SELECT r, vec_id, p, k, d FROM (SELECT r, vec_id, p, k, {away} AS d FROM points, c{n})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if n < ROUNDS:
+            parts.append(f"""
+mean{n} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS m
+  FROM (SELECT k, i, sum(v) AS s, count(*) AS n FROM (SELECT k, unnest(p) AS v, unnest(range(64)) AS i FROM near{n}) GROUP BY k, i)) GROUP BY k),
+c{n + 1} AS MATERIALIZED (SELECT a.k, coalesce(b.c, a.c) AS c FROM c{n} a LEFT JOIN mean{n} b ON a.k = b.k)""")
+    return f"""WITH{",".join(parts)}
+SELECT vec_id, n.k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY n.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near{ROUNDS} n JOIN c{ROUNDS} f ON f.k = n.k"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_centroids": clusters_sql(),
+    "op13_infill": r"""
+WITH cut AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM cut),
+formed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts""",
     "op4_url_filter": f"""
 WITH rules(verdict, rule_host, rule_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 {URL_PARTS},
