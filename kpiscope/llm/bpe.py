@@ -12,7 +12,8 @@ each. Extra columns pass through; an input column with the name of the result is
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,6 +29,8 @@ from kpiscope.llm.shared import bounded_batches
 CHUNK_CHARS = 2_000_000
 #: Bits of a rank beside its pair; a pair then has 43 bits, enough for vocabularies of 2.9 million tokens.
 RANK_BITS = 20
+#: A worker remembers pieces of this size in all.
+MEMO_BYTES = 48 << 20
 RANK_MASK = (1 << RANK_BITS) - 1
 
 
@@ -223,7 +226,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(2)
 def memo(path: str, pattern: str) -> Memo:
-    return Memo(pattern, lambda ts: vocabulary(path).encode([t.encode() for t in ts]))
+    return Memo(pattern, lambda ts: vocabulary(path).encode([t.encode() for t in ts]), most_bytes=MEMO_BYTES)
 
 
 def int_lists(rows: list[bytes]) -> pa.Array:
@@ -244,11 +247,11 @@ def slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.R
         yield batch.slice(start)
 
 
-def _with(df: DataFrame, column: str, kind: T.DataType, source: str, fn) -> DataFrame:
-    """df with a column made from column `source` of each batch."""
+def _with(df: DataFrame, new: list[T.StructField], source: str, fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """df with the columns `new` made from column `source` of each batch."""
     bounded_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name != column]
-    schema = T.StructType([*kept, T.StructField(column, kind)])
+    added = [f.name for f in new]
+    kept = [f for f in df.schema.fields if f.name not in added]
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,17 +259,30 @@ def _with(df: DataFrame, column: str, kind: T.DataType, source: str, fn) -> Data
             lists = pa.types.is_list(batch.column(source).type)
             sizes = (batch.column(source).value_lengths() if lists else pc.binary_length(batch.column(source))).fill_null(0).to_numpy(zero_copy_only=False)
             for part in slices(batch, sizes, CHUNK_CHARS):
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), fn(part.column(source))], names=[*names, column])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *fn(part.column(source))], names=[*names, *added])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*kept, *new]))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """Add the ids of each whole text, as the rank file at `path` and the pattern give them."""
-    return _with(df, out, T.ArrayType(T.IntegerType()), text, lambda col: int_lists(memo(path, pattern).ids(col.to_pylist())))
+    return _with(df, [T.StructField(out, T.ArrayType(T.IntegerType()))], text, lambda col: [int_lists(memo(path, pattern).ids(col.to_pylist()))])
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the bytes the ids stand for; null ids give no bytes."""
-    return _with(df, out, T.BinaryType(), ids, vocabulary(path).decode)
+    return _with(df, [T.StructField(out, T.BinaryType())], ids, lambda col: [vocabulary(path).decode(col)])
 
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", digest: str = "decoded_sha256") -> DataFrame:
+    """Add the ids of each whole text and the SHA-256 of the bytes they decode to.
+
+    One function does both, so a core has one worker with one vocabulary, and decoded bytes stay in it.
+    """
+
+    def both(col: pa.Array) -> list[pa.Array]:
+        found = int_lists(memo(path, pattern).ids(col.to_pylist()))
+        back = vocabulary(path).decode(found)
+        return [found, pa.array([hashlib.sha256(b.as_buffer()).hexdigest() for b in back], pa.string())]
+
+    return _with(df, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(digest, T.StringType())], text, both)

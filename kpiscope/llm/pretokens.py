@@ -16,6 +16,8 @@ ODD_SPACES = re.compile(r" (?:\s|\Z)|[^\S ] ")
 #: All white space but the space and the line feed; most texts have none.
 RARE_WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 #: White space as the tokenizers' libraries see it (the Unicode property), spelled out.
+#: What an entry of the memo takes beside its characters: two objects and a place in a dictionary.
+ENTRY_BYTES = 200
 WHITE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -34,29 +36,33 @@ class Memo:
     """Ids (little-endian int32) of texts; encode takes distinct strings and returns the ids of each.
 
     It gets pre-tokens, or with whole=True the pieces between single spaces and texts with odd white space as they are.
-    limit bounds the number of pieces kept between batches, not what is encoded.
+    limit bounds the number of pieces kept between batches and most_bytes their size, not what is encoded.
     """
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], whole: bool = False, limit: int = 300_000):
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], whole: bool = False, limit: int = 300_000, most_bytes: int = 1 << 62):
         self.split = (lambda t: [t]) if whole else splitter(pattern)
-        self.encode, self.whole, self.limit = encode, whole, limit
+        self.encode, self.whole, self.limit, self.most_bytes = encode, whole, limit, most_bytes
+        self.held = 0
         self.spaced: dict[str, bytes] = {}  # pieces that follow a space
         self.plain: dict[str, bytes] = {}  # pieces at the start, and pre-tokens
 
     def _learn(self, new: list[str], to: dict[str, bytes], before: str) -> None:
+        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
         if self.whole:
             to.update(zip(new, self.encode([before + piece for piece in new]), strict=True))
             return
         cut = [self.split(before + piece) for piece in new]
         unknown = list(set().union(*cut).difference(self.plain))
+        self.held += sum(map(len, unknown)) + ENTRY_BYTES * len(unknown)
         self.plain.update(zip(unknown, self.encode(unknown), strict=True))
         get = self.plain.__getitem__
         to.update((piece, get(ts[0]) if len(ts) == 1 else b"".join(map(get, ts))) for piece, ts in zip(new, cut, strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.spaced) + len(self.plain) > self.limit:
+        if len(self.spaced) + len(self.plain) > self.limit or self.held > self.most_bytes:
             self.spaced.clear()
             self.plain.clear()
+            self.held = 0
         plain, rest = [], []
         for t in texts:
             if t and has_odd_spaces(t):

@@ -37,15 +37,15 @@ def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(load(spark, sf, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).select("doc_id", "token_ids")
-    both = bpe.decode(ids, ranks)
-    return both.select("doc_id", *bpe_digests())
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    both = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return both.select("doc_id", *bpe_digests(), "decoded_sha256")
 
 
 def bpe_digests() -> list:
+    """Number and digest of the ids."""
     joined = F.array_join(F.col("token_ids").cast("array<string>"), " ")
-    return [F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")]
+    return [F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256")]
 
 
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:

@@ -159,7 +159,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab()
         self.starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.starts[[i for token, i in vocab.items() if token[0] == SPACE]] = True

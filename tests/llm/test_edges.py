@@ -232,6 +232,32 @@ def test_odd_spaces_are_those_of_the_pattern():
         assert pretokens.has_odd_spaces(text) == (pretokens.ODD_SPACES.search(text) is not None), repr(text)
 
 
+def test_ids_are_those_of_the_library_with_special_strings_in_texts(docs_of):
+    from tokenizers import Tokenizer
+
+    own, rng = Tokenizer.from_file(JSON), random.Random(3)
+    parts = ["<|endoftext|>", " ", "a", "  ", "\n", "é", " b", "<|", "|>"]
+    rows = [(0, "a <|endoftext|> b"), *((i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(1, 400))]
+    got = {r["doc_id"]: r["ids"] for r in token_files.read(token_files.write(docs_of(rows), JSON, PATTERN)).collect()}
+    assert got == {i: [*own.encode(t, add_special_tokens=False).ids, 0] for i, t in rows} and got[0] == [64, 220, 50256, 275, 0]
+
+
+def test_the_round_trip_in_one_pass_is_encoding_and_decoding(docs):
+    both = bpe.round_trip(docs.withColumnRenamed("part", "token_ids"), RANKS, PATTERN)
+    want = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS).selectExpr("doc_id", "token_ids", "sha2(decoded, 256) d")
+    assert named(both, "doc_id", "token_ids", "decoded_sha256") == named(want, *want.columns)
+    assert bpe.round_trip(docs.limit(0), RANKS, PATTERN).count() == 0
+
+
+def test_a_memo_bounded_by_bytes_gives_the_same_ids():
+    texts = [f"word{i} other{i % 7} é{i}" for i in range(500)]
+    encode = lambda ts: bpe.vocabulary(RANKS).encode([t.encode() for t in ts])
+    small, large = (pretokens.Memo(PATTERN, encode, most_bytes=n) for n in (2000, 1 << 30))
+    for i in range(0, 500, 20):
+        assert small.ids(texts[i : i + 20]) == large.ids(texts[i : i + 20])
+    assert len(small.plain) + len(small.spaced) < 200 < len(large.plain) + len(large.spaced)
+
+
 def test_joined_pieces_have_the_ids_of_single_ones():
     encoder = token_files.Encoder(JSON)
     texts = ["", " ", " a", "a", "  a", " a b", " a\n", " \na", " é中", " don't", " x.\n\ny", " 12ab", " <|endoftext|>", " Ġx", " a "]

@@ -128,7 +128,7 @@ def test_pipeline(spark, sf, tables):
     split = [(t or "").split("\n") for _, t in docs]
     keys = brute.Counter(k for ls in split for k in {x.strip(brute.BLANK).translate(brute.LOWER) for x in ls})
     docs = [(i, "\n".join(x for x in ls if not (k := x.strip(brute.BLANK).translate(brute.LOWER)) or keys[k] < 10)) for (i, _), ls in zip(docs, split, strict=True)]
-    one = brute.components(docs)
+    one = brute.components(docs, corpus_pipeline.NEAR_PERCENT)
     docs = [d for d in docs if one[d[0]][2]]
     items = [(b[0], b[1]) for b in tables["benchmark"]]
     docs = [d for d in docs if not brute.leaking(d[1], items)]
