@@ -44,9 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids, with digests of the ids and of the text they decode to."""
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs.select("doc_id", "text", "lang", "source"), ranks, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, ranks).select("doc_id", "lang", "source", "token_ids", *bpe_digests())
+    both = bpe.round_trip(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return both.select("doc_id", "lang", "source", "token_ids", *bpe_digests(), "decoded_sha256")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
