@@ -13,7 +13,7 @@ in slices of that size, each with its own pass over the documents. No seed or hi
 
 Nulls: a null text or item has no tokens; hits of an item with a null id are counted under null. Repeated documents get the same
 findings: these are kept by a hash of the text, so a text with many copies is reported once and joined as a
-small table. Extra columns pass through; input columns named like the results are replaced. An empty benchmark leaves all documents clean.
+small table. Extra columns pass through; input columns named like the results are replaced, any other name is free. An empty benchmark leaves all documents clean.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.llm.shared import hash64, stash
+from kpiscope.llm.shared import hash64, sheltered, stash
 
 MASKS = ("111101001", "100110111")
 SPAN, WINDOW, EQUAL = 9, 13, 0.8
@@ -106,6 +106,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_seeds:
     return hits.groupBy("a", "b").agg(F.countDistinct("item_id").alias("n_items"), F.min("item_id").alias("first_item"), F.max("equal").alias("best_equal"))
 
 
+@sheltered("_a", "_b")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_seeds: int = MOST_SEEDS) -> DataFrame:
     """Add n_items, first_item, best_equal, contaminated and kept to every document."""
     found = stash(find(docs, benchmark, text, most_seeds), "contaminated")

@@ -16,7 +16,7 @@ each the first SLICE_CHARS characters, DICT_BYTES in all. Predictions read whole
 
 Nulls: without text or without a letter a document gets `und`, score 0, and is rejected. Training rows with a null text,
 lang or doc_id are left out; without any training row every document gets `und`. Repeated rows are judged each. Extra
-columns pass through; input columns named like the results are replaced.
+columns pass through; input columns named like the results are replaced, any other name is free.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiscope.llm.shared import bounded_batches
+from kpiscope.llm.shared import bounded_batches, sheltered
 
 SAMPLE_DOCS, SLICE_CHARS, DICT_BYTES = 200, 1500, 1 << 17
 LEVEL, BLOCK, SHORT = 6, 2048, 600
@@ -123,6 +123,7 @@ def judge(text: str | None, tools: list, least: dict[str, float]) -> tuple[str,
     return lang, score, margin, margin < least[lang] and len(data) >= LEAST_BYTES
 
 
+@sheltered("_read")
 def predict(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     """Add lang_pred, score, margin and rejected, from the text alone."""
     bounded_batches(docs.sparkSession)

@@ -18,7 +18,8 @@ Copies and hot groups:
 Nulls: a null text, or one without words, has an empty set, links with nothing and is its own component. A null doc_id
 has a null component unless a linked document has an id, and is kept only as a text of its own. Repeated rows are copies;
 repeated ids with different texts are documents of their own that share an id. Very long texts are whole. Extra columns
-pass through; input columns named like the results are replaced.
+pass through; input columns named like the results are replaced (firsts() keeps them), any other name is free. An empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.llm.shared import bounded_batches, lower_ascii, stash, words
+from kpiscope.llm.shared import bounded_batches, lower_ascii, sheltered, stash, words
 
 WIDTH, SHINGLE = 4, 5
 LEAST_ENTRIES, MOST_ENTRIES, MOST_MISSED = 32, 128, 4e-6
@@ -339,6 +340,7 @@ def _judged(docs: DataFrame, cell: int, cell_shingles: int, percent: int) -> tup
     return rows, stash(found, "near-duplicates")
 
 
+@sheltered("uid")
 def dedup(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES, percent: int = PERCENT) -> DataFrame:
     """Add n_shingles, component_id (the smallest doc_id of the component), kept (it is this document's) and first.
 
@@ -350,6 +352,7 @@ def dedup(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES,
     return out.select(*(F.col(f"`{c}`") for c in rows.columns if c != "uid"), *RESULT, "first")
 
 
+@sheltered("uid", "n_shingles", "component_id", "kept", "first")
 def firsts(docs: DataFrame, cell: int = CELL, cell_shingles: int = CELL_SHINGLES, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with the columns of docs. What goes is broadcast if few enough, so that texts stay in place."""
     rows, found = _judged(docs, cell, cell_shingles, percent)

@@ -8,7 +8,8 @@ The counts cover all documents. The model has one number a bucket, whatever the
 
 Nulls: a null or empty text has no words and fails the base rules. Labels with a null id are ignored, repeated ones count once; without a
 trusted document all ratios are 0 and only the base rules decide. Repeated documents are judged each. Extra columns
-pass through; input columns named like the results are replaced.
+pass through; input columns named like the results are replaced, any other name is free. An empty table gives an empty table. A very long text
+is one row of arrays as long as its words.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.llm.shared import WORD, words
+from kpiscope.llm.shared import WORD, sheltered, words
 
 BUCKETS = 1 << 18
 SMOOTHING = 1.0
@@ -87,6 +88,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
 
 
+@sheltered("_words", "_one", "_two", "_four", "_windows", "_lines", "_again", "_sorted", "_places", "_sum", "_n")
 def judge(docs: DataFrame, ratios: list[int], text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """Add RESULT to every document: the base columns, the mean log ratio, base_failed and kept."""
     names = [F.col(f"`{c}`") for c in docs.columns if c not in RESULT]

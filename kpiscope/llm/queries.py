@@ -170,19 +170,13 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (drop_i
 FROM marked GROUP BY r""",
     "op10_decontamination": r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS h FROM documents),
-items AS (SELECT * FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS h FROM benchmark) WHERE len(h) >= 5),
-masks AS (SELECT unnest(['111101001', '100110111']) AS mask UNION SELECT repeat('1', len(h)) FROM items WHERE len(h) < 9),
-ours AS (SELECT r, mask, i, array_to_string(list_transform(list_filter(range(length(mask)), lambda k: mask[k + 1] = '1'), lambda k: h[i + k + 1]), ' ') AS seed
-  FROM (SELECT r, h, mask, unnest(range(len(h) - length(mask) + 1)) AS i FROM docs, masks)),
-theirs AS (SELECT item_id, mask, j, array_to_string(list_transform(list_filter(range(length(mask)), lambda k: mask[k + 1] = '1'), lambda k: h[j + k + 1]), ' ') AS seed
-  FROM (SELECT item_id, h, mask, unnest(range(len(h) - length(mask) + 1)) AS j FROM items, masks)),
-hits AS (SELECT DISTINCT o.r, t.item_id, o.i, t.j FROM ours o JOIN theirs t USING (mask, seed)),
-laid AS (SELECT r, item_id, i, j, d.h AS h, b.h AS item, least(13, len(b.h)) AS size,
-  greatest(0, least(j + least(9, len(b.h)) - least(13, len(b.h)), len(b.h) - least(13, len(b.h)))) AS low
-  FROM hits JOIN docs d USING (r) JOIN items b USING (item_id)),
-starts AS (SELECT *, unnest(range(low, greatest(low, least(j, len(item) - size)) + 1)) AS s FROM laid),
-equal AS (SELECT r, item_id, list_sum(list_transform(range(size), lambda k: CASE WHEN i - j + s + k >= 0 AND i - j + s + k < len(h) AND h[i - j + s + k + 1] = item[s + k + 1] THEN 1 ELSE 0 END)) / size AS share FROM starts),
-found AS (SELECT r, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item FROM equal WHERE share >= 0.8 GROUP BY r)
+items AS (SELECT * FROM (SELECT row_number() OVER () AS b, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS h FROM benchmark) WHERE len(h) >= 5),
+ours AS (SELECT r, unnest(h) AS w, unnest(range(len(h))) AS i FROM docs),
+theirs AS (SELECT b, least(13, len(h)) AS size, unnest(h) AS w, unnest(range(len(h))) AS j FROM items),
+laid AS (SELECT r, b, size, i - j AS off, j FROM ours JOIN theirs USING (w)),
+often AS (SELECT *, count(*) OVER (PARTITION BY r, b, off) AS n FROM laid QUALIFY n >= 0.8 * least(size, 7)),
+windows AS (SELECT r, b, size, count(*) OVER (PARTITION BY r, b, off ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS same FROM often),
+found AS (SELECT r, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item FROM windows JOIN items USING (b) WHERE same >= 0.8 * size GROUP BY r)
 SELECT doc_id, coalesce(n_items, 0) AS n_items, first_item, n_items IS NOT NULL AS contaminated, n_items IS NULL AS kept
 FROM docs LEFT JOIN found USING (r)""",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = 4 << 20
 
 
+def sheltered(*helpers: str) -> Callable:
+    """Decorator: input columns named like an operator's helper columns bear other names while it works."""
+
+    def decorate(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **more) -> DataFrame:
+            taken = [c for c in docs.columns if c.lower() in helpers]
+            if not taken:
+                return operator(docs, *args, **more)
+            away = {c: f"input column {k}: {c}" for k, c in enumerate(taken)}
+            out = operator(docs.withColumnsRenamed(away), *args, **more)
+            return out.withColumnsRenamed({new: old for old, new in away.items()})
+
+        return run
+
+    return decorate
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiscope.llm.shared import LOWER, UPPER
+from kpiscope.llm.shared import LOWER, UPPER, sheltered
 
 #: At about 1 kB a rule in Python, a worker holds 200 MB at most.
 MOST_RULES = 200_000
@@ -77,6 +77,7 @@ class Trie:
         return best
 
 
+@sheltered("_found", "_n")
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", most: int = MOST_RULES) -> DataFrame:
     """Add host, path, rule (null if none fits) and verdict."""
     df = parts(df, url)
@@ -105,7 +106,8 @@ def _joined(df: DataFrame, rules: list[Rule], default: str) -> DataFrame:
     urls = df.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.transform(F.sequence(F.lit(0), F.length("path")), lambda i: F.substring(F.col("path"), F.lit(1), i))
+    sizes = F.array(*(F.lit(n) for n in sorted({len(path) for _, _, path in rules})))
+    starts = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     wide = urls.select("host", "path", F.explode(suffix).alias("rule_host")).withColumn("rule_path", F.explode(starts))
     order = Window.partitionBy("host", "path").orderBy(F.length("rule_host").desc(), F.length("rule_path").desc())
     best = wide.join(table, ["rule_host", "rule_path"]).withColumn("_n", F.row_number().over(order)).filter("_n = 1")

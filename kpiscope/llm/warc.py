@@ -122,7 +122,7 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, int]:
     if head.get("warc-type") == "response" and said and said != digest(payload):
         raise Bad("the payload does not match its digest")
     length = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-    page, refers = (re.search(r"urn:page:(\d+)", head.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
+    page, refers = (re.search(r"urn:page:(-?\d+)", head.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
     return {
         "page_id": int(page[1]) if page else None, "url": head.get("warc-target-uri"), "record_type": head.get("warc-type"),
         "payload_bytes": int(length[1]) if length and head.get("warc-type") == "revisit" else len(payload),

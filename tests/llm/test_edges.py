@@ -10,6 +10,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 
+from pyspark.sql import functions as F
+
 from kpiscope.llm import bpe, decontam, html, language, lines, neardup, pretokens, quality, token_files, urls, warc
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -99,6 +101,63 @@ def test_decontamination_of_substituted_passages(spark, docs_of):
     assert decontam.decontaminate(docs_of(rows), bench.limit(0)).filter("kept").count() == len(rows)
 
 
+HELPERS = ["_a", "_b", "_lines", "_stay", "_drop", "_words", "_one", "_two", "_four", "_windows", "_again", "_sorted", "_places", "_sum", "_n", "uid", "_read", "_host", "host", "page", "row", "_found", "key", "a", "b", "h", "i", "seed", "item", "UID2"]
+
+
+def test_columns_named_like_helpers_keep_their_values(spark):
+    values = {c: f"my {c}" for c in HELPERS}
+    docs = spark.createDataFrame([(i, f"line {i % 2} has some words\nand another line {i}", f"http://h{i}/p", "<p>x", *values.values()) for i in range(4)], "doc_id long, text string, url string, html string, " + ", ".join(f"`{c}` string" for c in HELPERS))
+    bench = spark.createDataFrame([(1, "line 0 has some words and")], "item_id long, text string")
+    free = lambda *taken: {c: v for c, v in values.items() if c not in taken}
+    for out, want in (
+        (lines.dedup(docs, 2), values),
+        (quality.judge(docs, quality.fit(docs, docs.select("doc_id"))), values),
+        (neardup.dedup(docs), values),
+        (neardup.firsts(docs.withColumn("kept", F.lit("my kept"))), {**values, "kept": "my kept"}),
+        (decontam.decontaminate(docs, bench), values),
+        (language.predict(docs, {"a": b"line has some words"}), values),
+        (html.extract(docs.withColumnRenamed("doc_id", "page_id").drop("text")), values),
+        (urls.judge(docs, [("block", "h1", "/")]), free("host")),
+        (urls.judge(docs, [("block", "h1", "/")], most=0), free("host")),
+        (bpe.round_trip(docs, RANKS, PATTERN), values),
+    ):
+        got = [r.asDict() for r in out.collect()]
+        assert got and all(want.items() <= r.items() for r in got)
+
+
+def test_negative_page_ids(spark):
+    pages = spark.createDataFrame([(-5, "http://a", "<p>same"), (-9, "http://b", "<p>same")], "page_id long, url string, html string")
+    got = named(warc.read(warc.write(pages)), "page_id", "record_type", "refers_to")
+    assert got == [(-5, "response", None), (-9, "revisit", -5)]
+
+
+def test_sql_of_short_items_finds_every_substitution(spark, tmp_path):
+    """The SQL counts equal tokens of every laying; it knows no masks."""
+    import duckdb
+
+    from kpiscope.llm.queries import ORACLES
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((4, 5, 7, 9, 10, 11, 12, 13, 25))]
+    rows = []
+    for _, text in items:
+        for hits in range(4):
+            two = text.split()
+            for p in rng.sample(range(min(13, len(two))), min(hits, len(two))):
+                two[p] = word()
+            rows.append((len(rows), " ".join([word(), *two[:13], word()])))
+    con = duckdb.connect()
+    for name, key, table in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", table)
+    sql = {r[0]: (r[1], r[2]) for r in con.execute(ORACLES["op10_decontamination"]).fetchall()}
+    want = {i: brute.leaking(t, items) for i, t in rows}
+    assert sql == {i: (len(found), min(found, default=None)) for i, found in want.items()}
+    docs, bench = (spark.createDataFrame(t, f"{k} long, text string") for k, t in (("doc_id", rows), ("item_id", items)))
+    assert {r["doc_id"]: (r["n_items"], r["first_item"]) for r in decontam.decontaminate(docs, bench).collect()} == sql
+
+
 def test_tokens_round_trip(docs):
     both = bpe.decode(bpe.encode(docs.withColumnRenamed("part", "token_ids"), RANKS, PATTERN), RANKS)
     assert named(both, "doc_id", "decoded") == sorted(((i, bytearray((t or "").encode())) for i, t in ROWS), key=repr)

@@ -110,6 +110,29 @@ def test_op9_on_held_out_documents(spark, sf, tables):
     assert not any(r["rejected"] for r in got if r["lang_pred"] == lang[r["doc_id"]])
 
 
+def test_op9_is_the_smallest_output_of_a_plain_loop(spark, sf, tables):
+    import zstandard
+
+    from kpiscope.llm import language
+    from kpiscope.llm.shared import load
+
+    model = language.fit(load(spark, sf, "documents"))
+    made = [(lang, zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for lang, sample in model.items()]
+    got = {r["doc_id"]: r for r in rows(spark, sf, "op9")}
+    for i, text, *_ in tables["documents"]:
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        data = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in text.lower().encode())
+        data = b" " * 1024 + data if len(data) < 600 else data
+        sizes = []
+        for lang, raw in made:
+            tool = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=raw, write_content_size=False, write_dict_id=False)
+            sizes.append((sum(len(tool.compress(data[k : k + 2048])) for k in range(0, len(data), 2048)), len(sizes), lang))
+        first, second = sorted(sizes)[:2]
+        assert (got[i]["lang_pred"], round(got[i]["margin"], 9)) == (first[2], round((second[0] - first[0]) / second[0], 9)), i
+
+
 def test_op10(spark, sf, tables):
     items = [(b[0], b[1]) for b in tables["benchmark"]]
     got = {r["doc_id"]: r for r in rows(spark, sf, "op10")}
