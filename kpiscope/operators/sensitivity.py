@@ -1,11 +1,12 @@
 """Cross-KPI sensitivity: perturb one input channel, forecast again, compare forecast means.
 
-Each series is held as one array (bounded by its hours) and every perturbed copy is an array
-expression over it, so a station's variants are generated, forecast and reduced in one narrow
-stage without ever becoming hourly rows. Two forecaster kinds are supported:
+Three kinds of forecasters:
 
-* an array expression over one channel (`expr_model`), evaluated inside Spark;
-* a supplied matrix function over all channels (`matrix_model`), called once per station.
+* a linear response (`level_response`, `seasonal_response`, or any table of that form): weights (src, tgt, lag, phase, weight) that
+  say how far an input hour of one channel moves the forecast of another. Perturbations are sparse deltas or moments of a
+  series, and their effect on every channel is a join with the weights and a sum; nothing is forecast twice;
+* an array expression over one channel (`expr_window_average` and the like), evaluated inside Spark on whole series;
+* a supplied matrix function over all channels, called once per station (`matrix_sensitivity`, a hook for outside models).
 """
 
 from __future__ import annotations
@@ -73,25 +74,30 @@ def event_centers(events: DataFrame, dim: DataFrame, input_length: int, horizon:
     )
 
 
-def local_deltas(centers: DataFrame, series: DataFrame, scales: Sequence[float] = SCALES, width: int = LOCAL_WIDTH, softness: float = LOCAL_SOFTNESS) -> DataFrame:
-    """Sparse local perturbations: only the few hours around an event centre that change.
+def local_envelopes(centers: DataFrame, series: DataFrame, width: int = LOCAL_WIDTH, softness: float = LOCAL_SOFTNESS) -> DataFrame:
+    """The few hours around an event centre that a local perturbation changes, on every channel: (.., src, t, lag, envelope).
 
-    Weight = gaussian in time x amplitude ratio to the centre value.
+    Weight = gaussian in time x amplitude ratio to the centre value. lag counts back from the end of the input (1 is its last hour).
     """
     src = series.select("station_id", F.col("kpi").alias("src"), "x")
-    fan = centers.select("station_id", "event_idx", "t_center").join(src, "station_id")
+    fan = centers.join(src, "station_id")
     near = F.filter(
         F.sequence(F.col("t_center") - width, F.col("t_center") + width), lambda i: (i >= 0) & (i < F.size("x"))
     )
-    at = fan.select("station_id", "event_idx", "src", "t_center", "x", F.explode(near).alias("t"))
+    at = fan.select("station_id", "event_idx", F.col("kpi").alias("tgt"), "t_start", "t_end", "src", "t_center", "x", F.explode(near).alias("t"))
     v = F.element_at("x", F.col("t") + 1)
     c = F.element_at("x", F.col("t_center") + 1)
     gauss = F.exp(-softness * F.pow((F.col("t") - F.col("t_center")) / width, 2))
     ratio = F.least(F.abs(v), F.abs(c)) / (F.greatest(F.abs(v), F.abs(c)) + AMPLITUDE_EPS)
-    env = at.select("station_id", "event_idx", "src", "t", (gauss * ratio * v).alias("envelope"))
-    return env.select(
-        "station_id", "event_idx", "src", F.explode(_scales(scales)).alias("alpha"), "t", "envelope"
-    ).withColumn("delta", F.col("alpha") * F.col("envelope"))
+    return at.select(
+        "station_id", "event_idx", "tgt", "t_start", "t_end", "src", "t", (F.size("x") - F.col("t")).alias("lag"), (gauss * ratio * v).alias("envelope")
+    )
+
+
+def local_deltas(envelopes: DataFrame, scales: Sequence[float] = SCALES) -> DataFrame:
+    """Sparse local perturbations of every strength."""
+    fan = envelopes.select("station_id", "event_idx", "src", F.explode(_scales(scales)).alias("alpha"), "t", "envelope")
+    return fan.withColumn("delta", F.col("alpha") * F.col("envelope")).drop("envelope")
 
 
 def _tail(x: Column, window: int | None) -> Column:
@@ -164,60 +170,97 @@ def fanout_forecast(perturbed: DataFrame, model: ExprModel) -> DataFrame:
     return perturbed.withColumn("base", model(F.col("x"))).withColumn("pred", model(F.col("y"))).drop("x", "y")
 
 
-def _signed(delta: Column) -> Column:
-    """Mean over scales of the change, signed by the direction of the push."""
-    return F.avg(F.signum("alpha") * delta)
+# Linear responses.
 
 
-def _fill_targets(diag: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
-    """A one-channel model cannot move other channels: their cells are exactly 0."""
-    all_kpis = dim.agg(F.array_sort(F.collect_list("kpi")).alias("kpis"))
-    kpis = F.lit([r for r in all_kpis.first()["kpis"]])  # catalogue size
-    return diag.select(
-        *keys, F.col("kpi").alias("src"), F.explode(kpis).alias("tgt"), "s_own"
-    ).withColumn("s_raw", F.when(F.col("src") == F.col("tgt"), F.col("s_own")).otherwise(0.0)).drop("s_own")
+def level_response(weights: DataFrame, window: int) -> DataFrame:
+    """Response of a model whose forecast is level: weights (src, tgt, weight) of the mean of the last `window` hours."""
+    lags = F.explode(F.sequence(F.lit(1), F.lit(window))).alias("lag")
+    return weights.select("src", "tgt", lags, F.lit(0).alias("phase"), (F.col("weight") / window).alias("weight"))
 
 
-def global_sensitivity(forecasts: DataFrame, dim: DataFrame) -> DataFrame:
-    """(station_id, src, tgt, ptype, s_raw) of a one-channel model."""
-    delta = array_mean(F.col("pred")) - array_mean(F.col("base"))
-    own = (
-        forecasts.select(*SERIES, "ptype", "alpha", delta.alias("d"))
-        .groupBy(*SERIES, "ptype")
-        .agg(_signed(F.col("d")).alias("s_own"))
-    )
-    return _fill_targets(own, dim, ["station_id", "ptype"])
+def seasonal_response(weights: DataFrame, season: int = 24) -> DataFrame:
+    """Response of a model that repeats the last season: hour h takes the hour of the same phase."""
+    phases = weights.select("src", "tgt", "weight", F.explode(F.sequence(F.lit(0), F.lit(season - 1))).alias("phase"))
+    return phases.select("src", "tgt", (season - F.col("phase")).alias("lag"), "phase", "weight")
+
+
+def phase_share(t_start: Column, t_end: Column, phase: Column, period: int) -> Column:
+    """Share of the forecast hours t_start..t_end that have a phase."""
+    upto = lambda t: F.floor((t - phase) / period)
+    return (upto(t_end) - upto(t_start - 1)) / (t_end - t_start + 1)
+
+
+def push_size(scales: Sequence[float]) -> float:
+    """Mean over the scales of the change per unit, signed by the direction of the push, of what grows with the scale."""
+    return sum(abs(a) for a in scales) / len(scales)
+
+
+def stretch_size(scales: Sequence[float]) -> float:
+    """The same of a deviation stretched by sqrt(1 + scale)."""
+    if min(scales) <= VARIANCE_FLOOR:
+        raise ValueError("variance scale would fold through zero")
+    return sum((1 if a > 0 else -1 if a < 0 else 0) * ((1 + a) ** 0.5 - 1) for a in scales) / len(scales)
 
 
-def local_sensitivity(centers: DataFrame, series: DataFrame, deltas: DataFrame, model: ExprModel, dim: DataFrame) -> DataFrame:
-    """(station_id, event_idx, tgt, src, s_raw): effect on the event's KPI inside the event window.
+def response_moments(inputs: DataFrame, slopes: DataFrame, response: DataFrame, horizon: int = 168, period: int = 1, window: int | None = None) -> DataFrame:
+    """(station_id, src, tgt, w_level, w_time, w_value, mu, slope): the response's weights over a series, summed plainly, times the
+    hour and times the value; with mean and slope of the perturbation window.
 
-    A one-channel model answers only to the event's own KPI, so only that channel is forecast.
+    Hours of the window meet the weights on (source, lag): a response reaches back a fixed number of hours, so a series of any
+    length brings only these, and partial sums leave the tasks.
     """
-    own = deltas.join(
-        centers.select("station_id", "event_idx", F.col("kpi").alias("src"), "t_start", "t_end"),
-        ["station_id", "event_idx", "src"],
+    last = F.max("t").over(Window.partitionBy(*SERIES))
+    aged = inputs.withColumn("lag", last - F.col("t") + 1)
+    recent = aged if window is None else aged.filter(F.col("lag") <= window)
+    whole = Window.partitionBy(*SERIES)
+    hours = recent.select("station_id", F.col("kpi").alias("src"), "lag", "value", F.avg("value").over(whole).alias("mu"), F.row_number().over(series_window()).alias("i"))
+    share = phase_share(F.lit(0), F.lit(horizon - 1), F.col("phase"), period)
+    met = hours.join(response.select("src", "tgt", "lag", (F.col("weight") * share).alias("w")), ["src", "lag"])
+    sums = met.groupBy("station_id", "src", "tgt").agg(
+        F.sum("w").alias("w_level"), F.sum(F.col("w") * (F.col("i") - 1)).alias("w_time"), F.sum(F.col("w") * F.col("value")).alias("w_value"), F.first("mu").alias("mu")
     )
-    changed = own.groupBy("station_id", "event_idx", "src", "alpha", "t_start", "t_end").agg(
-        F.map_from_entries(F.collect_list(F.struct("t", "delta"))).alias("moves")  # at most 2 * width + 1 hours
-    )
-    x = series.select("station_id", F.col("kpi").alias("src"), "x")
-    y = F.transform("x", lambda v, i: v + F.coalesce(F.try_element_at("moves", i), F.lit(0.0)))
-
-    def window_mean(a: Column) -> Column:
-        return array_mean(F.slice(a, F.col("t_start") + 1, F.col("t_end") - F.col("t_start") + 1))
-
-    both = changed.join(x, ["station_id", "src"]).withColumn("y", y)
-    d = window_mean(model(F.col("y"))) - window_mean(model(F.col("x")))
-    scored = (
-        both.select("station_id", "event_idx", "src", "alpha", d.alias("d"))
-        .groupBy("station_id", "event_idx", "src")
-        .agg(_signed(F.col("d")).alias("s_own"))
-        .withColumnRenamed("src", "kpi")
-    )
-    filled = _fill_targets(scored, dim, ["station_id", "event_idx"])
-    # the filled axis is the source here, the event's own KPI is the target
-    return filled.select("station_id", "event_idx", F.col("src").alias("tgt"), F.col("tgt").alias("src"), "s_raw")
+    return sums.join(slopes.withColumnRenamed("kpi", "src"), ["station_id", "src"])
+
+
+def _units() -> dict[str, Column]:
+    """Change of the forecast mean per unit of each perturbation."""
+    return {
+        "mean": F.col("mu") * F.col("w_level"),
+        "variance": F.col("w_value") - F.col("mu") * F.col("w_level"),
+        "trend": F.abs("slope") * F.col("w_time"),
+    }
+
+
+def fanout_response(moments: DataFrame, scales: Sequence[float] = SCALES) -> DataFrame:
+    """(station_id, src, tgt, ptype, alpha, base_mean, pred_mean): forecast mean of every channel under every perturbation."""
+    base = moments.groupBy("station_id", "tgt").agg(F.sum("w_value").alias("base_mean"))
+    units = _units()
+    kinds = F.array(*[F.struct(F.lit(p).alias("ptype"), units[p].alias("unit")) for p in PTYPES])
+    fan = moments.select("station_id", "src", "tgt", F.inline(kinds)).withColumn("alpha", F.explode(_scales(scales)))
+    step = F.when(F.col("ptype") == "variance", F.sqrt(1 + F.col("alpha")) - 1).otherwise(F.col("alpha"))
+    moved = fan.withColumn("change", step * F.col("unit")).join(base, ["station_id", "tgt"])
+    return moved.select("station_id", "src", "tgt", "ptype", "alpha", "base_mean", (F.col("base_mean") + F.col("change")).alias("pred_mean"))
+
+
+def global_sensitivity(moments: DataFrame, scales: Sequence[float] = SCALES) -> DataFrame:
+    """(station_id, src, tgt, ptype, s_raw): effect of every channel on every one it reaches, in closed form."""
+    size = {p: stretch_size(scales) if p == "variance" else push_size(scales) for p in PTYPES}
+    units = _units()
+    cells = F.array(*[F.struct(F.lit(p).alias("ptype"), (size[p] * units[p]).alias("s_raw")) for p in PTYPES])
+    return moments.select("station_id", "src", "tgt", F.inline(cells))
+
+
+def local_sensitivity(envelopes: DataFrame, response: DataFrame, period: int = 1, scales: Sequence[float] = SCALES) -> DataFrame:
+    """(station_id, event_idx, tgt, src, s_raw): effect of every channel on the event's KPI inside the event window.
+
+    A delta meets the weights that lead from its channel to the event's KPI on (source, target, lag). The response is linear, so
+    the scales only multiply the sum.
+    """
+    share = phase_share(F.col("t_start"), F.col("t_end"), F.col("phase"), period)
+    met = envelopes.join(response, ["src", "tgt", "lag"], "left")
+    effect = F.coalesce(F.sum(F.col("envelope") * F.col("weight") * share), F.lit(0.0))  # no delta in reach, no effect
+    return met.groupBy("station_id", "event_idx", "tgt", "src").agg((push_size(scales) * effect).alias("s_raw"))
 
 
 def matrix_sensitivity(
@@ -225,7 +268,7 @@ def matrix_sensitivity(
 ) -> DataFrame:
     """Global sensitivity of a supplied model over all channels: matrix (L, C) -> matrix (H, C).
 
-    Spark groups one station per call; the perturbed copies are those of `variants`, written for a
+    A hook for models outside of Spark: it groups one station per call; the perturbed copies are those of `variants`, written for a
     matrix. Output (station_id, src, tgt, ptype, s_raw).
     """
     names = list(kpis)
@@ -277,7 +320,7 @@ def normalize(sens: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def topk_pairs(sens: DataFrame, dim: DataFrame, k: int = 5, target: str | None = None, ptype: str | None = None) -> DataFrame:
-    """Strongest off-diagonal cells per station; catalogue order breaks ties."""
+    """Strongest off-diagonal cells per station; catalogue order breaks ties (ten digits: beyond is summation noise)."""
     rows = sens.filter("src <> tgt")
     if target is not None:
         rows = rows.filter(F.col("tgt") == target)
@@ -288,7 +331,7 @@ def topk_pairs(sens: DataFrame, dim: DataFrame, k: int = 5, target: str | None =
         ords.select(F.col("kpi").alias("tgt"), F.col("ord").alias("_to")), "tgt"
     )
     place = F.array_position(F.array(*[F.lit(p) for p in PTYPES]), F.col("ptype"))
-    w = Window.partitionBy("station_id").orderBy(F.round(F.abs("s_norm"), 6).desc(), "_so", "_to", place)
+    w = Window.partitionBy("station_id").orderBy(F.round(F.abs("s_norm"), 10).desc(), "_so", "_to", place)
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_so", "_to")
 
 
@@ -304,7 +347,7 @@ def local_topk(local: DataFrame, dim: DataFrame, k: int = 3) -> DataFrame:
     """Strongest sources per event; events without any effect are left out."""
     ords = dim.select(F.col("kpi").alias("src"), F.col("ord").alias("_so"))
     any_effect = F.max(F.abs("s_norm")).over(Window.partitionBy("station_id", "event_idx")) > 0
-    w = Window.partitionBy("station_id", "event_idx").orderBy(F.round(F.abs("s_norm"), 6).desc(), "_so")
+    w = Window.partitionBy("station_id", "event_idx").orderBy(F.round(F.abs("s_norm"), 10).desc(), "_so")
     return (
         local.join(ords, "src")
         .withColumn("_any", any_effect)

@@ -11,7 +11,6 @@ from kpiscope.operators import events as ev
 from kpiscope.plans import inputs as src
 from kpiscope.plans.on_profiles import tidy
 from kpiscope.plans.registry import MOMENTS, query, rnd
-from kpiscope.session import cut_lineage
 from kpiscope.sources.tables import load
 
 # KPI-level relationship graph over the panel's channels.
@@ -45,9 +44,9 @@ def top_events(spark, sf):
     return ev.rank_topn(all_events(spark, sf), src.dim(spark))
 
 
-def kept_events(spark, sf):
-    """All events by rank, materialised once because several joins read them."""
-    return cut_lineage(ev.rank_topn(all_events(spark, sf), src.dim(spark), top_n=None))
+def all_ranked(spark, sf):
+    """All events by rank. Joins that read them twice share the exchange, or detect again where it differs."""
+    return ev.rank_topn(all_events(spark, sf), src.dim(spark), top_n=None)
 
 
 MARKS = MOMENTS + """, wk AS (SELECT station_id, kpi, h, truth AS pred FROM fc),
@@ -192,14 +191,14 @@ CAUSES = EVENTS + f""", edge AS (SELECT * FROM (VALUES {_edge_values()}) e(sourc
     CAUSES + "SELECT station_id, CAST(event_idx AS INTEGER) AS event_idx, source_kpi, src_type, src_t_start, src_t_end, src_magnitude, src_z_score, src_direction, lag_hours FROM conc",
 )
 def cause_concurrent(spark, sf):
-    return cz.concurrent(kept_events(spark, sf), edges(spark)).select(
+    return cz.concurrent(all_ranked(spark, sf), edges(spark)).select(
         "station_id", "event_idx", "source_kpi", "src_type", "src_t_start", "src_t_end", "src_magnitude", "src_z_score", "src_direction", "lag_hours"
     )
 
 
 @query("cause_direction", CAUSES + "SELECT station_id, CAST(event_idx AS INTEGER) AS event_idx, source_kpi, relation_type, src_direction, target_direction, consistent FROM conc")
 def cause_direction(spark, sf):
-    return cz.concurrent(kept_events(spark, sf), edges(spark)).select(
+    return cz.concurrent(all_ranked(spark, sf), edges(spark)).select(
         "station_id", "event_idx", "source_kpi", "relation_type", "src_direction", "target_direction", "consistent"
     )
 
@@ -209,14 +208,14 @@ def cause_direction(spark, sf):
     CAUSES + f"SELECT station_id, CAST(event_idx AS INTEGER) AS event_idx, source_kpi, {rnd('mean_during_event', 4)} AS mean_during_event, {rnd('baseline_mean', 4)} AS baseline_mean, {rnd('z_deviation', 3)} AS z_deviation FROM bg",
 )
 def cause_background(spark, sf):
-    events, e = kept_events(spark, sf), edges(spark)
+    events, e = all_ranked(spark, sf), edges(spark)
     out = cz.background(events, e, _marks(spark, sf), cz.concurrent(events, e))
     out = tidy(tidy(out, "mean_during_event", "baseline_mean"), "z_deviation", digits=3)
     return out.select("station_id", "event_idx", "source_kpi", "mean_during_event", "baseline_mean", "z_deviation")
 
 
 def _single(spark, sf, events=None):
-    events, e = events or kept_events(spark, sf), edges(spark)
+    events, e = events or all_ranked(spark, sf), edges(spark)
     found = cz.concurrent(events, e)
     return cz.rank_causes(found, cz.background(events, e, _marks(spark, sf), found))
 
@@ -248,7 +247,7 @@ def cause_multi(spark, sf):
     CAUSES + "SELECT DISTINCT c.station_id, c.source_kpi, t.kpi AS target_kpi FROM cr2 c JOIN rk t ON t.station_id = c.station_id AND t.event_idx = c.event_idx WHERE rnk <= 5",
 )
 def pairs_from_causes(spark, sf):
-    events = kept_events(spark, sf)
+    events = all_ranked(spark, sf)
     return cz.pairs_from_causes(events, _single(spark, sf, events))
 
 

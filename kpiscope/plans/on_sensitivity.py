@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kpiscope.functions.exprs import settle
+from kpiscope.functions.exprs import settle, small_table
 from kpiscope.operators import sensitivity as sn
 from kpiscope.operators.features import array_mean
 from kpiscope.plans import inputs as src
-from kpiscope.plans.on_events import EVENTS, kept_events
+from kpiscope.plans.on_events import EVENTS, all_ranked
 from kpiscope.plans.on_profiles import tidy
 from kpiscope.plans.registry import PANEL, query, rnd
 from kpiscope.sources.tables import PANEL_KPIS, SPLIT_HOUR
 
-MODEL = sn.expr_window_average(168)
+def response(spark):
+    """Every channel follows the mean of its last week, and a share of every other channel's."""
+    place = {k: i + 1 for i, k in enumerate(PANEL_KPIS)}
+    rows = [(s, t, 1.0 if s == t else place[t] / (10.0 * place[s])) for s in PANEL_KPIS for t in PANEL_KPIS]
+    return sn.level_response(small_table(spark, rows, "src string, tgt string, weight double"), 168)
 
 
 def caps(spark):
@@ -35,7 +39,6 @@ VARIANTS = PANEL + f""", inp AS (SELECT * FROM panel WHERE t < 552),
     (VALUES ('mean'), ('variance'), ('trend')) p(ptype)),
   vf AS (SELECT station_id, kpi, ptype, alpha, avg(y) FILTER (t >= 384) AS pred, avg(value) FILTER (t >= 384) AS base, avg(y) AS y_mean, stddev_pop(y) AS y_std FROM var GROUP BY 1, 2, 3, 4),
   own AS (SELECT station_id, kpi, ptype, avg(sign(alpha) * (pred - base)) AS s_own FROM vf GROUP BY 1, 2, 3),
-  gl AS (SELECT o.station_id, o.kpi AS src, k.k AS tgt, o.ptype, CASE WHEN o.kpi = k.k THEN s_own ELSE 0.0 END AS s_raw FROM own o, {KPI_ROWS} k(k)),
   cpl AS (SELECT o.station_id, o.kpi AS src, k.k AS tgt, o.ptype, s_own * CASE WHEN o.kpi = k.k THEN 1.0 ELSE {ORD.format(k='k.k')} / (10.0 * {ORD.format(k='o.kpi')}) END AS s_raw FROM own o, {KPI_ROWS} k(k)),
   nrm AS (SELECT *, s_raw * {ORD.format(k='src')} / {ORD.format(k='tgt')} AS s_norm FROM cpl)
 """
@@ -63,8 +66,13 @@ def coupled_week_mean(x):
     return np.tile(week @ share, (168, 1))
 
 
+def moments(spark, sf):
+    inputs = src.inputs(spark, sf)
+    return sn.response_moments(inputs, sn.trend_slopes(inputs), response(spark))
+
+
 def coupled(spark, sf):
-    return sn.matrix_sensitivity(src.inputs(spark, sf), PANEL_KPIS, coupled_week_mean)
+    return sn.global_sensitivity(moments(spark, sf))
 
 
 def _perturbation_query(name, ptype):
@@ -85,27 +93,28 @@ pt_variance = _perturbation_query("pt_variance", "variance")
 pt_trend = _perturbation_query("pt_trend", "trend")
 
 
+SHARE = f"CASE WHEN v.kpi = k.k THEN 1.0 ELSE {ORD.format(k='k.k')} / (10.0 * {ORD.format(k='v.kpi')}) END"
+
+
 @query(
     "pt_fanout_forecast",
-    VARIANTS + f"SELECT station_id, kpi, ptype, alpha, {rnd('pred', 4)} AS pred_mean, {rnd('base', 4)} AS base_mean FROM vf",
+    VARIANTS + f""", bs AS (SELECT v.station_id, k.k AS tgt, sum(v.base * {SHARE}) AS base_mean FROM (SELECT DISTINCT station_id, kpi, base FROM vf) v, {KPI_ROWS} k(k) GROUP BY 1, 2)
+    SELECT v.station_id, v.kpi AS src, k.k AS tgt, ptype, alpha, {rnd('base_mean + (pred - base) * ' + SHARE, 4)} AS pred_mean, {rnd('base_mean', 4)} AS base_mean
+    FROM vf v, {KPI_ROWS} k(k) JOIN bs ON bs.tgt = k.k WHERE bs.station_id = v.station_id""",
 )
 def pt_fanout_forecast(spark, sf):
-    out = sn.fanout_forecast(perturbed(spark, sf), MODEL)
-    out = out.select(
-        "station_id", "kpi", "ptype", "alpha", array_mean(F.col("pred")).alias("pred_mean"), array_mean(F.col("base")).alias("base_mean")
-    )
-    return tidy(out, "pred_mean", "base_mean")
+    return tidy(sn.fanout_response(moments(spark, sf)), "pred_mean", "base_mean")
 
 
-@query("pt_global", VARIANTS + f"SELECT station_id, src, tgt, ptype, {rnd('s_raw', 5)} AS s_raw FROM gl")
+@query("pt_global", VARIANTS + f"SELECT station_id, src, tgt, ptype, {rnd('s_raw', 5)} AS s_raw FROM cpl")
 def pt_global(spark, sf):
-    out = sn.global_sensitivity(sn.fanout_forecast(perturbed(spark, sf), MODEL), src.dim(spark))
-    return tidy(out, "s_raw", digits=5)
+    return tidy(coupled(spark, sf), "s_raw", digits=5)
 
 
 @query("pt_global_matrix", VARIANTS + f"SELECT station_id, src, tgt, ptype, {rnd('s_raw', 5)} AS s_raw FROM cpl")
 def pt_global_matrix(spark, sf):
-    return tidy(coupled(spark, sf), "s_raw", digits=5)
+    """The hook for outside models, with the same model as a matrix function."""
+    return tidy(sn.matrix_sensitivity(src.inputs(spark, sf), PANEL_KPIS, coupled_week_mean), "s_raw", digits=5)
 
 
 @query("pt_norm", VARIANTS + f"SELECT station_id, src, tgt, ptype, {rnd('s_norm', 5)} AS s_norm FROM nrm")
@@ -124,7 +133,7 @@ PT_ORDER = "CASE ptype WHEN 'mean' THEN 0 WHEN 'variance' THEN 1 ELSE 2 END"
 
 @query(
     "pt_topk",
-    VARIANTS + f""", r AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY round(abs(s_norm), 6) DESC, src, tgt, {PT_ORDER}) AS rank FROM nrm WHERE src <> tgt)
+    VARIANTS + f""", r AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY round(abs(s_norm), 10) DESC, src, tgt, {PT_ORDER}) AS rank FROM nrm WHERE src <> tgt)
     SELECT station_id, CAST(rank AS INTEGER) AS rank, src, tgt, ptype, {rnd('s_norm', 5)} AS s_norm FROM r WHERE rank <= 5""",
 )
 def pt_topk(spark, sf):
@@ -148,9 +157,10 @@ LOCAL = EVENTS + f""", ctr AS (SELECT station_id, event_idx, kpi, t_start, t_end
     FROM ctr c JOIN inp p ON p.station_id = c.station_id AND p.t BETWEEN c.t_center - 2 AND c.t_center + 2
     JOIN inp q ON q.station_id = p.station_id AND q.kpi = p.kpi AND q.t = c.t_center),
   dl AS (SELECT *, CAST(sc.a AS DOUBLE) AS alpha, CAST(sc.a AS DOUBLE) * envelope AS delta FROM env0, {SC}),
-  lc0 AS (SELECT d.station_id, d.event_idx, d.src, alpha, sum(delta) FILTER (t >= 384) / 168 AS d FROM dl d JOIN ctr c ON c.station_id = d.station_id AND c.event_idx = d.event_idx AND c.kpi = d.src GROUP BY 1, 2, 3, 4),
+  lc0 AS (SELECT station_id, event_idx, src, alpha, sum(delta) FILTER (t >= 384) / 168 AS d FROM dl GROUP BY 1, 2, 3, 4),
   lc1 AS (SELECT station_id, event_idx, src, avg(sign(alpha) * coalesce(d, 0)) AS s_own FROM lc0 GROUP BY 1, 2, 3),
-  lc AS (SELECT l.station_id, l.event_idx, l.src AS tgt, k.k AS src, CASE WHEN l.src = k.k THEN s_own ELSE 0.0 END AS s_raw FROM lc1 l, {KPI_ROWS} k(k)),
+  lc AS (SELECT l.station_id, l.event_idx, c.kpi AS tgt, l.src, s_own * CASE WHEN l.src = c.kpi THEN 1.0 ELSE {ORD.format(k='c.kpi')} / (10.0 * {ORD.format(k='l.src')}) END AS s_raw
+    FROM lc1 l JOIN ctr c ON c.station_id = l.station_id AND c.event_idx = l.event_idx),
   lcn AS (SELECT *, s_raw * {ORD.format(k='src')} / {ORD.format(k='tgt')} AS s_norm FROM lc)
 """
 
@@ -164,7 +174,7 @@ def centers(spark, events):
     LOCAL + "SELECT station_id, CAST(event_idx AS INTEGER) AS event_idx, kpi, t_start, t_end, t_center FROM ctr",
 )
 def pt_event_centers(spark, sf):
-    return centers(spark, kept_events(spark, sf))
+    return centers(spark, all_ranked(spark, sf))
 
 
 @query(
@@ -172,13 +182,15 @@ def pt_event_centers(spark, sf):
     LOCAL + f"SELECT station_id, CAST(event_idx AS INTEGER) AS event_idx, src, t, alpha, {rnd('delta', 5)} AS delta FROM dl",
 )
 def pt_type1_local(spark, sf):
-    out = sn.local_deltas(centers(spark, kept_events(spark, sf)), series(spark, sf)).drop("envelope")
-    return tidy(out, "delta", digits=5)
+    return tidy(sn.local_deltas(envelopes(spark, sf)), "delta", digits=5)
+
+
+def envelopes(spark, sf):
+    return sn.local_envelopes(centers(spark, all_ranked(spark, sf)), series(spark, sf))
 
 
 def local_of(spark, sf):
-    c, s = centers(spark, kept_events(spark, sf)), series(spark, sf)
-    return sn.local_sensitivity(c, s, sn.local_deltas(c, s), MODEL, src.dim(spark))
+    return sn.local_sensitivity(envelopes(spark, sf), response(spark))
 
 
 @query("pt_local", LOCAL + f"SELECT station_id, CAST(event_idx AS INTEGER) AS event_idx, tgt, src, {rnd('s_raw', 6)} AS s_raw FROM lc")
@@ -189,7 +201,7 @@ def pt_local(spark, sf):
 @query(
     "pt_local_topk",
     LOCAL + f""", a AS (SELECT *, max(abs(s_norm)) OVER (PARTITION BY station_id, event_idx) AS mx FROM lcn),
-    r AS (SELECT *, row_number() OVER (PARTITION BY station_id, event_idx ORDER BY round(abs(s_norm), 6) DESC, src) AS rank FROM a WHERE mx > 0)
+    r AS (SELECT *, row_number() OVER (PARTITION BY station_id, event_idx ORDER BY round(abs(s_norm), 10) DESC, src) AS rank FROM a WHERE mx > 0)
     SELECT station_id, CAST(event_idx AS INTEGER) AS event_idx, CAST(rank AS INTEGER) AS rank, src, tgt, {rnd('s_norm', 6)} AS s_norm FROM r WHERE rank <= 3""",
 )
 def pt_local_topk(spark, sf):
@@ -203,7 +215,7 @@ def pt_local_topk(spark, sf):
     SELECT n.station_id, n_events, coalesce(n_centers, 0) AS n_centers, 90 + coalesce(n_centers, 0) * 30 AS n_perturbations FROM n LEFT JOIN c ON n.station_id = c.station_id""",
 )
 def pt_summary(spark, sf):
-    events = kept_events(spark, sf)
+    events = all_ranked(spark, sf)
     return sn.summary(events, centers(spark, events), src.dim(spark))
 
 

@@ -153,30 +153,83 @@ def inputs(spark, n=120):
     return spark.createDataFrame(rows, BASE), x
 
 
-def test_mean_sensitivity_of_history_mean(spark):
+def moments_of(spark, df, response, **more):
+    window = more.get("window")
+    return sensitivity.response_moments(df, sensitivity.trend_slopes(df, window), response, **more)
+
+
+def test_mean_sensitivity_of_a_level_response(spark):
     df, x = inputs(spark)
-    dim = catalog.kpi_dim(spark).filter("kpi IN ('RRC_Conn', 'DL_CQI')")
-    v = sensitivity.variants(sensitivity.series_arrays(df), sensitivity.trend_slopes(df))
-    g = sensitivity.global_sensitivity(sensitivity.fanout_forecast(v, sensitivity.expr_historic_average()), dim)
-    for r in g.filter("ptype = 'mean'").collect():
-        want = 0.16 / 3 * x[r["src"]].mean() if r["src"] == r["tgt"] else 0.0
-        assert r["s_raw"] == pytest.approx(want)
-    assert g.filter("src <> tgt").agg(F.max(F.abs("s_raw"))).first()[0] == 0
+    weights = spark.createDataFrame([(k, k, 1.0) for k in x], "src string, tgt string, weight double")
+    g = sensitivity.global_sensitivity(moments_of(spark, df, sensitivity.level_response(weights, 120)))
+    got = {(r["src"], r["tgt"]): r["s_raw"] for r in g.filter("ptype = 'mean'").collect()}
+    assert got == {(k, k): pytest.approx(0.16 / 3 * x[k].mean()) for k in x}
     norm = sensitivity.normalize(g, catalog.kpi_dim(spark)).filter("src = 'RRC_Conn' AND tgt = 'RRC_Conn' AND ptype = 'mean'").first()
     assert norm["s_norm"] == pytest.approx(norm["s_raw"])
 
 
-def test_matrix_and_expression_paths_agree(spark):
+COUPLING = {("RRC_Conn", "RRC_Conn"): 0.9, ("RRC_Conn", "DL_CQI"): -0.2, ("DL_CQI", "RRC_Conn"): 1.7}
+
+
+def coupled_model(level):
+    """The same two models as plain matrix functions."""
+    names = ["RRC_Conn", "DL_CQI"]
+    w = np.array([[COUPLING.get((s, t), 0.0) for t in names] for s in names])
+    return lambda x: np.tile(x[-30:].mean(axis=0) @ w, (168, 1)) if level else np.stack([x[len(x) - 24 + h % 24] @ w for h in range(168)])
+
+
+@pytest.mark.parametrize("level", [True, False])
+@pytest.mark.parametrize("window", [None, 60])
+def test_responses_agree_with_perturbed_forecasts(spark, level, window):
     df, _ = inputs(spark)
-    dim = catalog.kpi_dim(spark).filter("kpi IN ('RRC_Conn', 'DL_CQI')")
-    kpis = ["RRC_Conn", "DL_CQI"]
-    m = sensitivity.matrix_sensitivity(df, kpis, lambda x: np.tile(x[-30:].mean(axis=0), (168, 1)))
-    v = sensitivity.variants(sensitivity.series_arrays(df), sensitivity.trend_slopes(df))
-    g = sensitivity.global_sensitivity(sensitivity.fanout_forecast(v, sensitivity.expr_window_average(30)), dim)
+    weights = spark.createDataFrame([(*k, w) for k, w in COUPLING.items()], "src string, tgt string, weight double")
+    response, period = (sensitivity.level_response(weights, 30), 1) if level else (sensitivity.seasonal_response(weights), 24)
+    m = sensitivity.matrix_sensitivity(df, ["RRC_Conn", "DL_CQI"], coupled_model(level), window=window)
+    moments = moments_of(spark, df, response, period=period, window=window)
     a = {(r["src"], r["tgt"], r["ptype"]): r["s_raw"] for r in m.collect()}
-    b = {(r["src"], r["tgt"], r["ptype"]): r["s_raw"] for r in g.collect()}
-    assert a.keys() == b.keys()
-    assert all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+    b = {(r["src"], r["tgt"], r["ptype"]): r["s_raw"] for r in sensitivity.global_sensitivity(moments).collect()}
+    assert all(a[k] == pytest.approx(b.get(k, 0.0), abs=1e-9) for k in a) and len(b) == 9
+    f = sensitivity.fanout_response(moments).groupBy("src", "tgt", "ptype").agg(F.avg(F.signum("alpha") * (F.col("pred_mean") - F.col("base_mean"))).alias("s"))
+    assert {(r["src"], r["tgt"], r["ptype"]): r["s"] for r in f.collect()} == {k: pytest.approx(v, abs=1e-9) for k, v in b.items()}
+
+
+def test_positive_trend_pushes_upward_whatever_the_slope(spark):
+    rows = [("s", k, t, 500.0 + sign * t) for k, sign in (("up", 1.0), ("down", -1.0)) for t in range(120)]
+    df = spark.createDataFrame(rows, BASE)
+    weights = spark.createDataFrame([("up", "up", 1.0), ("down", "down", 1.0)], "src string, tgt string, weight double")
+    fan = sensitivity.fanout_response(moments_of(spark, df, sensitivity.level_response(weights, 24)), scales=(-0.1, 0.1))
+    for r in fan.filter("ptype = 'trend'").collect():
+        assert r["pred_mean"] - r["base_mean"] == pytest.approx(r["alpha"] * 107.5)
+
+
+@pytest.mark.parametrize("level", [True, False])
+def test_local_effects_reach_other_channels(spark, level):
+    """Every channel perturbed and forecast again by a plain loop."""
+    df, x = inputs(spark, 200)
+    names = ["RRC_Conn", "DL_CQI"]
+    weights = spark.createDataFrame([(*k, w) for k, w in COUPLING.items()], "src string, tgt string, weight double")
+    response, period = (sensitivity.level_response(weights, 30), 1) if level else (sensitivity.seasonal_response(weights), 24)
+    rows = [("s", 0, "DL_CQI", 160, 163), ("s", 1, "RRC_Conn", 150, 167), ("s", 2, "RRC_Conn", 166, 167), ("s", 3, "DL_CQI", 10, 12)]
+    ev = spark.createDataFrame(rows, "station_id string, event_idx int, kpi string, t_start int, t_end int")
+    centers = sensitivity.event_centers(ev, catalog.kpi_dim(spark), 200)
+    env = sensitivity.local_envelopes(centers, sensitivity.series_arrays(df))
+    got = {(r["event_idx"], r["tgt"], r["src"]): r["s_raw"] for r in sensitivity.local_sensitivity(env, response, period).collect()}
+    model, matrix, want = coupled_model(level), np.stack([x[k] for k in names], axis=1), {}
+    for _, idx, kpi, first, last in rows:
+        c, part = 32 + (first + last) // 2, slice(first, last + 1)
+        base = model(matrix)
+        for s, name in enumerate(names):
+            total = 0.0
+            for a in sensitivity.SCALES:
+                y = matrix.copy()
+                for t in range(max(0, c - 2), min(200, c + 3)):
+                    near, mid = abs(matrix[t, s]), abs(matrix[c, s])
+                    y[t, s] += a * np.exp(-(((t - c) / 2) ** 2)) * min(near, mid) / (max(near, mid) + 1e-8) * matrix[t, s]
+                k = names.index(kpi)
+                total += np.sign(a) * (model(y)[part, k].mean() - base[part, k].mean())
+            want[idx, kpi, name] = total / len(sensitivity.SCALES)
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in want.items()}
+    assert any(v for (_, t, s), v in got.items() if s != t)
 
 
 def test_osm(spark):
