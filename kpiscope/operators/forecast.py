@@ -101,31 +101,6 @@ def external(inputs: DataFrame, model: Callable, horizon: int = 168, keys: tuple
     return inputs.select(*names, "t", "value").groupBy(*names).applyInPandas(score, schema)
 
 
-def fan_contexts(inputs: DataFrame, contexts: list[int], strict: bool = True) -> DataFrame:
-    """Copy every series once per context length, each copy cut to its trailing hours.
-
-    Hours outside a context are dropped before the copy, so a row is emitted only for the contexts
-    that contain it.
-    """
-    age = F.max("t").over(Window.partitionBy(*SERIES)) - F.col("t")
-    wanted = F.array(*[F.lit(int(c)) for c in sorted(contexts)])
-    aged = inputs.withColumn("_age", age)
-    return aged.withColumn("_ctx", F.filter(wanted, lambda c: c > F.col("_age"))).select(
-        F.explode("_ctx").alias("context_h"), *SERIES, "t", "value"
-    )
-
-
-def sweep(inputs: DataFrame, contexts: list[int], models: dict[str, Callable[[DataFrame, tuple[str, ...]], DataFrame]]) -> DataFrame:
-    """contexts x stations x models as one plan: (model, context_h, station_id, kpi, h, pred)."""
-    fan = fan_contexts(inputs, contexts)
-    keys = ("context_h", *SERIES)
-    parts = [m(fan, keys).withColumn("model", F.lit(name)) for name, m in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def evaluation_histories(panel: DataFrame, train_end: int, val_end: int) -> DataFrame:
     """Histories of both evaluations: val sees train, test sees train + val."""
     both = F.when(F.col("t") < train_end, F.array(F.lit("val"), F.lit("test"))).when(
@@ -146,52 +121,6 @@ def evaluation_truth(panel: DataFrame, train_end: int, val_end: int, horizon: in
     )
 
 
-def lag_regression(
-    inputs: DataFrame,
-    kpis: list[str],
-    horizon: int = 168,
-    context_h: int = 24,
-    stride_h: int = 24,
-    ridge: float = 1.0,
-) -> DataFrame:
-    """Direct multi-horizon ridge regression on lag features, one model per station.
-
-    Features are the flattened context over all channels with mean, deviation and last value, so
-    channels inform each other. The rows of a station are bounded by its hours; Spark spreads the
-    stations. Fewer windows than features are the rule, so the dual form is solved.
-    """
-    names = list(kpis)
-    station_type = inputs.schema["station_id"].dataType.simpleString()
-
-    def features(w: np.ndarray) -> np.ndarray:
-        return np.concatenate([w.reshape(-1), w.mean(axis=0), w.std(axis=0), w[-1]])
-
-    def station(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot(index="t", columns="kpi", values="value").sort_index().reindex(columns=names).to_numpy()
-        if not np.isfinite(x).all():
-            raise ValueError("station has missing hours or KPIs")
-        starts = range(0, len(x) - context_h - horizon + 1, stride_h)
-        if not len(starts):
-            raise ValueError("history too short for one training window")
-        a = np.stack([features(x[s : s + context_h]) for s in starts])
-        y = np.stack([x[s + context_h : s + context_h + horizon].reshape(-1) for s in starts])
-        am, ym = a.mean(axis=0), y.mean(axis=0)
-        ac, yc = a - am, y - ym
-        dual = np.linalg.solve(ac @ ac.T + ridge * np.eye(len(ac)), yc)
-        pred = ((features(x[-context_h:]) - am) @ ac.T @ dual + ym).reshape(horizon, len(names))
-        return pd.DataFrame(
-            {
-                "station_id": pdf["station_id"].iloc[0],
-                "kpi": np.tile(names, horizon),
-                "h": np.repeat(np.arange(horizon, dtype="int32"), len(names)),
-                "pred": pred.reshape(-1),
-            }
-        )
-
-    schema = f"station_id {station_type}, kpi string, h int, pred double"
-    return inputs.select("station_id", "kpi", "t", "value").groupBy("station_id").applyInPandas(station, schema)
-
-
 def pooled_regression(
     inputs: DataFrame,
     kind: str = "random_forest",

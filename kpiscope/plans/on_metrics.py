@@ -9,12 +9,11 @@ from kpiscope.operators import boards
 from kpiscope.operators import forecast as fc
 from kpiscope.operators import metrics as ops
 from kpiscope.operators import panel as shape
+from kpiscope.operators import sweeps
 from kpiscope.plans import inputs as src
 from kpiscope.plans.on_profiles import tidy
 from kpiscope.plans.registry import FORECAST, PANEL, query, rnd, rnd_wide
-from kpiscope.sources.tables import PANEL_KPIS, load
-
-CONTEXTS = [24, 72, 168, 336, 552]
+from kpiscope.sources.tables import PANEL_KPIS, SPLIT_HOUR, load
 
 SCORES = FORECAST + """, sd AS (SELECT station_id, kpi, abs(value - lag(value, 24) OVER (PARTITION BY station_id, kpi ORDER BY t)) AS d FROM panel WHERE t < 552),
   scale AS (SELECT station_id, kpi, avg(d) AS scale FROM sd GROUP BY 1, 2),
@@ -112,28 +111,17 @@ def batch_status(spark, sf):
     return ops.batch_status(results).withColumn("avg_sec", settle(F.col("avg_sec").cast("double"), 2))
 
 
-def sweep_of(spark, sf):
-    models = {
-        "window_average": lambda d, k: fc.window_average(d, 24, keys=k),
-        "historic_average": lambda d, k: fc.historic_average(d, keys=k),
-        "seasonal_naive": lambda d, k: fc.seasonal_naive(d, keys=k),
-    }
-    return fc.sweep(src.inputs(spark, sf), CONTEXTS, models)
-
-
-def sweep_scores(spark, sf):
-    joined = sweep_of(spark, sf).join(src.target(spark, sf), ["station_id", "kpi", "h"])
-    return ops.score(joined, ops.season_scale(src.inputs(spark, sf)), ("model", "context_h", "station_id", "kpi"))
+def sweep_scores(spark, sf, contexts=None):
+    """Scores of three forecasters over every context the history has, one more day each."""
+    return sweeps.sweep_scores(src.panel(spark, sf), SPLIT_HOUR, contexts=contexts)
 
 
-def average_scores(spark, sf):
+def average_scores(spark, sf, contexts=None):
     """Context sweep of the history mean, the one model here whose result depends on the context."""
-    only = {"historic_average": lambda d, k: fc.historic_average(d, keys=k)}
-    joined = fc.sweep(src.inputs(spark, sf), CONTEXTS, only).join(src.target(spark, sf), ["station_id", "kpi", "h"])
-    return ops.score(joined, ops.season_scale(src.inputs(spark, sf)), ("context_h", "station_id", "kpi"))
+    return sweeps.sweep_scores(src.panel(spark, sf), SPLIT_HOUR, contexts=contexts, models=(sweeps.HISTORY_MEAN,))
 
 
-SWEEP = SCORES + """, ctx AS (SELECT * FROM (VALUES (24), (72), (168), (336), (552)) c(context_h)),
+SWEEP = SCORES + """, ctx AS (SELECT CAST(24 * d AS INTEGER) AS context_h FROM range(1, 24) r(d)),
   ha AS (SELECT c.context_h, p.station_id, p.kpi, avg(p.value) AS pred FROM ctx c JOIN panel p ON p.t < 552 AND p.t >= 552 - c.context_h GROUP BY 1, 2, 3),
   wa AS (SELECT station_id, kpi, avg(value) AS pred FROM panel WHERE t >= 528 AND t < 552 GROUP BY 1, 2),
   swp AS (SELECT 'historic_average' AS model, context_h, f.station_id, f.kpi, h, ha.pred, truth FROM fc f JOIN ha ON f.station_id = ha.station_id AND f.kpi = ha.kpi
@@ -191,12 +179,11 @@ def nmae_nrmse_mean(spark, sf):
 
 @query(
     "sem_by_context",
-    SWEEP + f"""SELECT context_h, {rnd('avg(mase)', 4)} AS mean, count(*) AS n, {rnd('CASE WHEN count(*) > 1 THEN stddev_samp(mase) / sqrt(count(*)) ELSE 0 END', 4)} AS sem
-    FROM hav WHERE kpi = 'click' GROUP BY 1""",
+    SWEEP + f"""SELECT context_h, kpi, {rnd('avg(mase)', 4)} AS mean, count(*) AS n, {rnd('CASE WHEN count(*) > 1 THEN stddev_samp(mase) / sqrt(count(*)) ELSE 0 END', 4)} AS sem
+    FROM hav GROUP BY 1, 2""",
 )
 def sem_by_context(spark, sf):
-    clicks = average_scores(spark, sf).filter("kpi = 'click'")
-    return tidy(ops.sem(clicks, ["context_h"], "mase"), "mean", "sem")
+    return tidy(ops.sem(average_scores(spark, sf), ["context_h", "kpi"], "mase"), "mean", "sem")
 
 
 TWO_RUNS = SWEEP + f""", runs AS (SELECT kpi, avg(smape) FILTER (model = 'seasonal_naive' AND context_h = 552) AS a, avg(smape) FILTER (model = 'historic_average' AND context_h = 552) AS b FROM swm GROUP BY 1)
@@ -204,7 +191,7 @@ TWO_RUNS = SWEEP + f""", runs AS (SELECT kpi, avg(smape) FILTER (model = 'season
 
 
 def two_runs(spark, sf):
-    s = sweep_scores(spark, sf).filter("context_h = 552 AND model IN ('seasonal_naive', 'historic_average')")
+    s = sweep_scores(spark, sf, [552]).filter("model IN ('seasonal_naive', 'historic_average')")
     return s.groupBy(F.col("model").alias("run"), "kpi").agg(F.avg("smape").alias("value"))
 
 
@@ -226,7 +213,7 @@ def compare_runs(spark, sf):
       CASE WHEN max(delta) OVER (PARTITION BY station_id) > 0.05 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM j""",
 )
 def drift_check(spark, sf):
-    scores = average_scores(spark, sf)
+    scores = average_scores(spark, sf, [336, 552])
     new, old = scores.filter("context_h = 552"), scores.filter("context_h = 336")
     return tidy(ops.drift_check(new, old, "mase", 0.05, ("station_id", "kpi")), "new", "old", "delta", "max_delta")
 
@@ -237,7 +224,7 @@ def drift_check(spark, sf):
     FROM swm WHERE context_h = 168 GROUP BY GROUPING SETS ((model, kpi), (model))""",
 )
 def ab_aggregate(spark, sf):
-    rows = sweep_scores(spark, sf).filter("context_h = 168").withColumnRenamed("model", "mode")
+    rows = sweep_scores(spark, sf, [168]).withColumnRenamed("model", "mode")
     return tidy(tidy(ops.ab_aggregate(rows), "avg_smape", digits=3), "avg_mase")
 
 
@@ -250,7 +237,7 @@ def ab_aggregate(spark, sf):
     FROM l GROUP BY 1, 2""",
 )
 def predictor_compare(spark, sf):
-    rows = sweep_scores(spark, sf).filter("context_h = 168").withColumnRenamed("model", "forecaster")
+    rows = sweep_scores(spark, sf, [168]).withColumnRenamed("model", "forecaster")
     return tidy(ops.predictor_compare(rows), "mean", "stdev", "min", "max")
 
 
@@ -297,17 +284,16 @@ WIDE = ", ".join(f"{rnd(f'max(CASE WHEN kpi = $${k}$$ THEN mase END)', 4)} AS ma
 
 @query(
     "regime_table",
-    SWEEP + f""", pts AS (SELECT CASE context_h WHEN 24 THEN '0' WHEN 168 THEN '1' WHEN 336 THEN '2' ELSE 'full' END AS finetune_weeks, kpi, avg(mase) AS mase
-      FROM hav WHERE context_h <> 72 GROUP BY 1, 2)
+    SWEEP + f""", pts AS (SELECT CASE context_h WHEN 552 THEN 'full' ELSE CAST(context_h // 168 AS VARCHAR) END AS finetune_weeks, kpi, avg(mase) AS mase
+      FROM hav GROUP BY 1, 2)
     SELECT finetune_weeks, CASE finetune_weeks WHEN '0' THEN 'zero' WHEN 'full' THEN 'full' ELSE 'few' END AS regime, {WIDE},
       row_number() OVER (ORDER BY finetune_weeks) AS "position" FROM pts GROUP BY 1""",
 )
 def regime_table(spark, sf):
     c = F.col("context_h")
-    weeks = F.when(c == 24, "0").when(c == 168, "1").when(c == 336, "2").otherwise("full")
+    weeks = F.when(c == SPLIT_HOUR, "full").otherwise(F.floor(c / 168).cast("string"))
     pts = (
         average_scores(spark, sf)
-        .filter("context_h <> 72")
         .groupBy(weeks.alias("finetune_weeks"), "kpi")
         .agg(F.avg("mase").alias("mase"))
         .withColumn("regime", shape.regime_label("finetune_weeks"))

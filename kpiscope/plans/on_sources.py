@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kpiscope.functions.exprs import settle
 from kpiscope.operators import forecast as fc
 from kpiscope.operators import graph_build as gb
+from kpiscope.operators import lag_models
 from kpiscope.plans import inputs as src
 from kpiscope.plans.on_audit import reports
 from kpiscope.plans.on_events import COLS, EVENTS, show, top_events
@@ -151,15 +152,35 @@ def stage_cache(spark, sf):
     )
 
 
-@query("fc_lag_regression")
-def fc_lag_regression(spark, sf):
-    return tidy(fc.lag_regression(src.inputs(spark, sf), KPIS), "pred", digits=3)
+# Learners have no SQL counterpart; tests compare them with plain loops.
 
 
-@query("fc_pooled_regression")
-def fc_pooled_regression(spark, sf):
-    """Linear learner of the ML library on pooled windows, scored hours of the held-out week."""
-    out = fc.pooled_regression(src.inputs(spark, sf), "ridge", context_h=24, stride_h=168)
-    return tidy(out, "pred", digits=3)
+def _lag_query(name, kind, **more):
+    @query(name)
+    def run(spark, sf):
+        return tidy(lag_models.lag_regression(src.inputs(spark, sf), KPIS, kind, **more), "pred", digits=3)
 
+    return run
 
+
+fc_lag_regression = _lag_query("fc_lag_regression", "ridge")
+# a sweep over the coefficients grows with the square of the context
+fc_lag_lasso = _lag_query("fc_lag_lasso", "lasso", context_h=6)
+fc_lag_elasticnet = _lag_query("fc_lag_elasticnet", "elasticnet", context_h=6)
+
+
+def _pooled_query(name, kind):
+    """A learner of the ML library on the windows of all series, one a day."""
+
+    @query(name)
+    def run(spark, sf):
+        return tidy(fc.pooled_regression(src.inputs(spark, sf), kind, context_h=24, stride_h=24), "pred", digits=3)
+
+    return run
+
+
+fc_pooled_regression = _pooled_query("fc_pooled_regression", "ridge")
+fc_pooled_lasso = _pooled_query("fc_pooled_lasso", "lasso")
+fc_pooled_elasticnet = _pooled_query("fc_pooled_elasticnet", "elasticnet")
+fc_pooled_forest = _pooled_query("fc_pooled_forest", "random_forest")
+fc_pooled_boosted = _pooled_query("fc_pooled_boosted", "gbt")

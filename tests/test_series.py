@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kpiscope.functions import catalog, labels
-from kpiscope.operators import features, forecast, metrics, panel, profiles
+from kpiscope.operators import features, forecast, lag_models, metrics, panel, profiles, sweeps
 
 
 def series(spark, values, station="s", kpi="k", start=0):
@@ -138,13 +138,25 @@ def test_settle_is_independent_of_summation_noise(spark):
     assert {r[0] for r in df.select(settle("v", 2)).collect()} == {2.68}
 
 
-def test_seasonal_naive_and_sweep(spark):
-    s = series(spark, range(48))
-    f = forecast.seasonal_naive(s, horizon=30, season=24).orderBy("h").collect()
-    assert [r["pred"] for r in f] == [24 + h % 24 for h in range(30)]
-    only = {"m": lambda d, k: forecast.historic_average(d, 1, keys=k)}
-    out = {r["context_h"]: r["pred"] for r in forecast.sweep(s, [2, 4], only).collect()}
-    assert out == {2: 46.5, 4: 45.5}
+def test_every_context_from_suffix_sums(spark):
+    rng = np.random.default_rng(1)
+    values = {("s", "a"): rng.normal(5, 1, 24 * 6 + 30), ("s", "b"): rng.normal(9, 2, 24 * 6 + 30), ("u", "a"): np.zeros(24 * 6 + 30)}
+    df = spark.createDataFrame([(*k, t, float(x)) for k, v in values.items() for t, x in enumerate(v)], "station_id string, kpi string, t int, value double")
+    split = 24 * 5
+    got = {(r["station_id"], r["kpi"], r["model"], r["context_h"]): r for r in sweeps.sweep_scores(df, split).collect()}
+    assert len(got) == 3 * 3 * 5
+    for (station, kpi), v in values.items():
+        truth, scale = v[split:], np.abs(v[24:split] - v[: split - 24]).mean()
+        for context in range(24, split + 1, 24):
+            preds = {"historic_average": np.full(len(truth), v[split - context : split].mean()), "window_average": np.full(len(truth), v[split - 24 : split].mean()), "seasonal_naive": np.array([v[split - 24 + h % 24] for h in range(len(truth))])}
+            for model, pred in preds.items():
+                r, mae = got[station, kpi, model, context], np.abs(pred - truth).mean()
+                assert r["mae"] == pytest.approx(mae) and r["rmse"] == pytest.approx(np.sqrt(((pred - truth) ** 2).mean()))
+                assert r["mase"] == pytest.approx(mae / scale if scale > 1e-8 else 0.0)
+    some = sweeps.sweep_scores(df, split, contexts=[48, 96], models=["historic_average"]).collect()
+    assert {(r["context_h"], r["mae"]) for r in some if r["kpi"] == "b"} == {(c, got["s", "b", "historic_average", c]["mae"]) for c in (48, 96)}
+    levels = {(r["kpi"], r["context_h"]): r["pred"] for r in sweeps.context_levels(df.filter(f"t < {split} AND station_id = 's'")).collect()}
+    assert levels == {(k, c): pytest.approx(values["s", k][split - c : split].mean()) for k in "ab" for c in range(24, split + 1, 24)}
 
 
 def test_external_model_is_checked(spark):
@@ -157,26 +169,74 @@ def test_external_model_is_checked(spark):
         forecast.external(s, lambda h, n: np.full(n, np.nan), horizon=3).collect()
 
 
-def test_lag_regression_matches_primal_ridge(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(60, 2)) + 5
-    rows = [("s", k, t, float(x[t, i])) for t in range(60) for i, k in enumerate(("a", "b"))]
-    df = spark.createDataFrame(rows, "station_id string, kpi string, t int, value double")
-    out = forecast.lag_regression(df, ["a", "b"], horizon=4, context_h=3, stride_h=2, ridge=1.0)
-    got = {(r["kpi"], r["h"]): r["pred"] for r in out.collect()}
+def lag_windows(x, context, horizon, stride):
+    """All training windows and the last context, by plain loops."""
 
     def feats(w):
         return np.concatenate([w.reshape(-1), w.mean(0), w.std(0), w[-1]])
 
-    starts = range(0, 60 - 7 + 1, 2)
-    a = np.stack([feats(x[s : s + 3]) for s in starts])
-    y = np.stack([x[s + 3 : s + 7].reshape(-1) for s in starts])
+    starts = range(0, len(x) - context - horizon + 1, stride)
+    a = np.stack([feats(x[s : s + context]) for s in starts])
+    return a, np.stack([x[s + context : s + context + horizon].reshape(-1) for s in starts]), feats(x[-context:])
+
+
+@pytest.mark.parametrize("piece_h", [1344, 20, 7])
+@pytest.mark.parametrize(("kind", "alpha"), [("ridge", 1.0), ("lasso", 0.05), ("elasticnet", 0.1)])
+def test_lag_models_from_sums_match_a_plain_loop(spark, kind, alpha, piece_h):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(120, 2)) + 5
+    rows = [("s", k, t, float(x[t, i])) for t in range(120) for i, k in enumerate(("a", "b"))]
+    df = spark.createDataFrame(rows, "station_id string, kpi string, t int, value double")
+    out = lag_models.lag_regression(df, ["a", "b"], kind, horizon=4, context_h=3, stride_h=2, alpha=alpha, piece_h=piece_h)
+    got = {(r["kpi"], r["h"]): r["pred"] for r in out.collect()}
+    a, y, now = lag_windows(x, 3, 4, 2)
     am, ym = a.mean(0), y.mean(0)
-    w = np.linalg.solve((a - am).T @ (a - am) + np.eye(a.shape[1]), (a - am).T @ (y - ym))
-    want = ((feats(x[-3:]) - am) @ w + ym).reshape(4, 2)
-    for h in range(4):
-        for i, k in enumerate(("a", "b")):
-            assert got[(k, h)] == pytest.approx(want[h, i], abs=1e-8)
+    ac, yc = a - am, y - ym
+    if kind == "ridge":
+        w = np.linalg.solve(ac.T @ ac + alpha * np.eye(a.shape[1]), ac.T @ yc)
+    else:
+        l1, l2 = (alpha, 0.0) if kind == "lasso" else (alpha / 2, alpha / 2)
+        w = np.zeros((a.shape[1], y.shape[1]))
+        for target in range(y.shape[1]):
+            for _ in range(3000):
+                for j in range(a.shape[1]):
+                    rest = yc[:, target] - ac @ w[:, target] + ac[:, j] * w[j, target]
+                    pull = ac[:, j] @ rest / len(a)
+                    w[j, target] = np.sign(pull) * max(abs(pull) - l1, 0) / (ac[:, j] @ ac[:, j] / len(a) + l2)
+                if kind == "elasticnet" and _ > 300:
+                    break
+        assert (w == 0).any() and (w != 0).any()
+    want = ((now - am) @ w + ym).reshape(4, 2)
+    assert got == {(k, h): pytest.approx(want[h, i], abs=1e-8 if kind == "ridge" else 0.01) for h in range(4) for i, k in enumerate(("a", "b"))}
+
+
+def test_one_feature_without_penalty_is_the_regression_slope(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=50), rng.normal(size=50)
+    df = spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y)], "x double, y double")
+    slope = df.select(F.regr_slope("y", "x")).first()[0]
+    xc, yc = x - x.mean(), y - y.mean()
+    for kind in lag_models.KINDS:
+        b = lag_models.coefficients(np.array([[xc @ xc]]), np.array([[xc @ yc]]), 50, np.ones(1), kind, 0.0, 1.0)
+        assert b[0, 0] == pytest.approx(slope)
+
+
+def test_coefficients_meet_the_conditions_of_a_minimum():
+    rng = np.random.default_rng(5)
+    a, y = rng.normal(size=(80, 12)), rng.normal(size=(80, 3))
+    a[:, 11] = a[:, 10]  # equal features
+    a, y = a - a.mean(0), y - y.mean(0)
+    for kind, ratio in (("lasso", 1.0), ("elasticnet", 0.3)):
+        b = lag_models.coefficients(a.T @ a, a.T @ y, 80, np.full(3, 1e-6), kind, 0.08, ratio)
+        pull = a.T @ (y - a @ b) / 80 - 0.08 * (1 - ratio) * b
+        assert np.abs(pull).max() <= 0.08 * ratio + 1e-6
+        assert np.allclose(pull[b != 0], 0.08 * ratio * np.sign(b[b != 0]), atol=1e-6)
+
+
+def test_lag_models_refuse_gaps_and_short_histories(spark):
+    for values, message in (([1.0] * 6, "too short"), ([1.0, 2.0, float("nan")] * 20, "missing")):
+        with pytest.raises(Exception, match=message):
+            lag_models.lag_regression(series(spark, values), ["k"], horizon=4, context_h=3).collect()
 
 
 @pytest.mark.parametrize("kind", ["lasso", "elasticnet", "random_forest", "gbt"])
