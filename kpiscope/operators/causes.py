@@ -1,7 +1,7 @@
 """Candidate causes of events from a KPI relationship graph.
 
-edges is (source_kpi, target_kpi, relation_type, strength, edge_ord), a KPI-level ontology. Events come ranked (see events.rank_topn), which bounds
-the rows per station before anything is joined.
+edges is (source_kpi, target_kpi, relation_type, strength, edge_ord), a KPI-level ontology; `attach` also takes a column spec_reference. Events come
+ranked (see events.rank_topn), all of a station if so asked.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from kpiscope.operators.events import strength_rank
 POSITIVE = ("INCREASES", "DETERMINES", "CAUSES")
 NEGATIVE = ("DECREASES", "LIMITS")
 
+#: Hours of a bucket of the interval join.
+BUCKET_HOURS = 12
+
 
 def direction_consistency(relation: str, source_dir: str, target_dir: str) -> Column:
     """Does the observed pair of directions fit the polarity of the edge? NULL when it cannot tell."""
@@ -31,13 +34,26 @@ def _event_edges(events: DataFrame, edges: DataFrame) -> DataFrame:
     return events.filter("kpi <> 'MULTI'").join(e, F.col("kpi") == F.col("target_kpi")).drop("target_kpi")
 
 
-def concurrent(events: DataFrame, edges: DataFrame, window: int = 6) -> DataFrame:
+def overlapping(targets: DataFrame, sources: DataFrame, keys: list[str], bucket_h: int = BUCKET_HOURS) -> DataFrame:
+    """Pairs of rows with equal keys whose intervals (a, b) and (c, d), ends included, share an hour.
+
+    Both sides list the buckets of time that their interval touches, and the bucket is part of the equality, so a row meets
+    only what lies near it. A pair that shares several buckets is kept in that of the first shared hour alone.
+    """
+    touched = lambda first, last: F.explode(F.sequence(F.floor(F.col(first) / bucket_h), F.floor(F.col(last) / bucket_h)))
+    left = targets.withColumn("_bucket", touched("a", "b"))
+    right = sources.withColumn("_bucket", touched("c", "d"))
+    met = left.join(right, [*keys, "_bucket"]).filter((F.col("c") <= F.col("b")) & (F.col("a") <= F.col("d")))
+    return met.filter(F.floor(F.greatest("a", "c") / bucket_h) == F.col("_bucket")).drop("_bucket", "a", "b", "c", "d")
+
+
+def concurrent(events: DataFrame, edges: DataFrame, window: int = 6, bucket_h: int = BUCKET_HOURS) -> DataFrame:
     """Strongest source event whose widened window touches the target event.
 
-    Interval join: the equality on (station, source KPI) carries the shuffle, the overlap is a
-    residual on the few ranked events of a station.
+    An interval join by buckets of time: for a fixed window its work grows with a station's events, not with their square,
+    unless they lie in the same hours.
     """
-    targets = _event_edges(events, edges)
+    targets = _event_edges(events, edges).withColumns({"a": F.col("t_start"), "b": F.col("t_end")})
     src = events.filter("kpi <> 'MULTI'").select(
         F.col("station_id"),
         F.col("kpi").alias("source_kpi"),
@@ -50,9 +66,10 @@ def concurrent(events: DataFrame, edges: DataFrame, window: int = 6) -> DataFram
             F.col("direction"),
             F.col("event_idx"),
         ).alias("s"),
+        (F.col("t_start") - window).alias("c"),
+        (F.col("t_end") + window).alias("d"),
     )
-    overlap = (F.col("s.t_end") + window >= F.col("t_start")) & (F.col("s.t_start") - window <= F.col("t_end"))
-    pairs = targets.join(src, ["station_id", "source_kpi"]).filter(overlap)
+    pairs = overlapping(targets, src, ["station_id", "source_kpi"], bucket_h)
     best = pairs.groupBy("station_id", "event_idx", "edge_ord").agg(
         F.max_by(
             F.struct("source_kpi", "relation_type", "strength", "direction", "t_start", "s"),
@@ -126,7 +143,7 @@ def multi_causes(events: DataFrame, edges: DataFrame, top_k: int = 5) -> DataFra
     return (
         hit.withColumn("rank", F.row_number().over(w))
         .filter(F.col("rank") <= top_k)
-        .select("station_id", "event_idx", "rank", "source_kpi", "target_kpi", "relation_type", "strength")
+        .select("station_id", "event_idx", "rank", "source_kpi", "target_kpi", "relation_type", "strength", "edge_ord")
     )
 
 
@@ -155,17 +172,30 @@ def infer(events: DataFrame, edges: DataFrame, marks: DataFrame, top_k: int = 5)
     return single.unionByName(joint, allowMissingColumns=True)
 
 
-def attach(events: DataFrame, causes: DataFrame) -> DataFrame:
-    """Events with their causes as one ordered array (at most top_k entries)."""
-    fields = ["rank", "source_kpi", "relation_type", "strength", "src_z_score", "lag_hours", "z_deviation", "consistent", "shared_mechanism"]
-    lists = causes.groupBy("station_id", "event_idx").agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("candidate_causes")
-    )
-    return events.join(lists, ["station_id", "event_idx"], "left")
+#: What an event carries of each cause, in this order.
+CAUSE_FIELDS = ("rank", "source_kpi", "relation_type", "strength", "spec_reference", "has_concurrent", "src_type", "src_z_score", "lag_hours", "z_deviation", "consistent", "shared_mechanism")
+
+
+def attach(events: DataFrame, causes: DataFrame, edges: DataFrame, environment: DataFrame | None = None) -> DataFrame:
+    """Enriched event records: events with candidate_causes as one ordered array (at most top_k entries) and the environment of their station.
+
+    Events without a cause have an empty array. environment is (station_id, ...), one row per station; its columns become a struct.
+    """
+    known = set(edges.columns)
+    reference = F.col("spec_reference") if "spec_reference" in known else F.lit(None).cast("string")
+    named = causes.join(edges.select("edge_ord", reference.alias("spec_reference")), "edge_ord", "left")
+    lists = named.groupBy("station_id", "event_idx").agg(F.array_sort(F.collect_list(F.struct(*CAUSE_FIELDS))).alias("candidate_causes"))
+    out = events.join(lists, ["station_id", "event_idx"], "left")
+    empty = F.array().cast(lists.schema["candidate_causes"].dataType)
+    out = out.withColumn("candidate_causes", F.coalesce("candidate_causes", empty))
+    if environment is None:
+        return out
+    around = environment.select("station_id", F.struct(*(c for c in environment.columns if c != "station_id")).alias("environmental_context"))
+    return out.join(around, "station_id", "left")
 
 
 def pairs_from_causes(events: DataFrame, causes: DataFrame) -> DataFrame:
-    """Distinct (source, target) KPI pairs named by any cause of a station."""
+    """Distinct (source, target) KPI pairs named by any cause of a station, those of joint events (target MULTI) included."""
     return (
         causes.join(events.select("station_id", "event_idx", "kpi"), ["station_id", "event_idx"])
         .select("station_id", "source_kpi", F.col("kpi").alias("target_kpi"))

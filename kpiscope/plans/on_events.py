@@ -27,8 +27,9 @@ KPI_EDGES = (
 
 
 def edges(spark):
-    rows = [(*e, i) for i, e in enumerate(KPI_EDGES)]
-    return small_table(spark, rows, "source_kpi string, target_kpi string, relation_type string, strength string, edge_ord int")
+    """The graph, each edge with the specification it is said to come from."""
+    rows = [(*e, i, f"TS 28.55{i % 4} §5.{i}") for i, e in enumerate(KPI_EDGES)]
+    return small_table(spark, rows, "source_kpi string, target_kpi string, relation_type string, strength string, edge_ord int, spec_reference string")
 
 
 def line(spark, sf):
@@ -239,16 +240,26 @@ def cause_rank(spark, sf):
 )
 def cause_multi(spark, sf):
     every = ev.rank_topn(all_events(spark, sf), src.dim(spark), top_n=None)
-    return cz.multi_causes(every, edges(spark))
+    return cz.multi_causes(every, edges(spark)).drop("edge_ord")
+
+
+JOINT = f"""SELECT t.station_id, t.event_idx, e.*, row_number() OVER (PARTITION BY t.station_id, t.event_idx ORDER BY {RANK} DESC, source_kpi, target_kpi) AS rnk
+      FROM rk t JOIN edge e ON list_contains(string_split(t.co, ','), e.source_kpi) AND list_contains(string_split(t.co, ','), e.target_kpi) WHERE t.type = 'multi_kpi'"""
+
+
+def all_causes(spark, sf, events):
+    return cz.infer(events, edges(spark), _marks(spark, sf))
 
 
 @query(
     "pairs_from_causes",
-    CAUSES + "SELECT DISTINCT c.station_id, c.source_kpi, t.kpi AS target_kpi FROM cr2 c JOIN rk t ON t.station_id = c.station_id AND t.event_idx = c.event_idx WHERE rnk <= 5",
+    CAUSES + f""", mc AS ({JOINT})
+    SELECT c.station_id, c.source_kpi, t.kpi AS target_kpi FROM cr2 c JOIN rk t ON t.station_id = c.station_id AND t.event_idx = c.event_idx WHERE rnk <= 5
+    UNION SELECT station_id, source_kpi, 'MULTI' FROM mc WHERE rnk <= 5""",
 )
 def pairs_from_causes(spark, sf):
     events = all_ranked(spark, sf)
-    return cz.pairs_from_causes(events, _single(spark, sf, events))
+    return cz.pairs_from_causes(events, all_causes(spark, sf, events))
 
 
 # Map elements: the parts a supplier ships, tagged from their size and type.
@@ -347,6 +358,35 @@ def env_factors(spark, sf):
     return out.select("station_id", "building_height_class", "transit_proximity", "telecom_infra", "osm_summary")
 
 
+ATTACHED = CAUSES + f""", mc AS ({JOINT}),
+  allc AS (SELECT station_id, event_idx, edge_ord, rnk, source_kpi, relation_type, strength, has_concurrent, lag_hours, consistent, false AS shared FROM cr2 WHERE rnk <= 5
+    UNION ALL SELECT station_id, event_idx, edge_ord, rnk, source_kpi, relation_type, strength, NULL, NULL, NULL, true FROM mc WHERE rnk <= 5),
+  said AS (SELECT station_id, event_idx, count(*) AS n_causes, string_agg(concat_ws(' ', source_kpi, relation_type, strength, 'TS 28.55' || (edge_ord % 4) || ' §5.' || edge_ord,
+      CASE WHEN shared THEN 'shared' WHEN has_concurrent = 1 THEN 'lag ' || lag_hours ELSE 'background' END, CASE WHEN consistent THEN 'consistent' WHEN NOT consistent THEN 'inconsistent' END), '; ' ORDER BY rnk) AS causes
+    FROM allc GROUP BY 1, 2)"""
+ENVIRONMENT = ELEMENTS[5:].replace("a0 AS", "oa0 AS").replace("a1 AS", "oa1 AS").replace("FROM a0", "FROM oa0")
+
+
+@query(
+    "cause_attach",
+    ATTACHED + ", " + ENVIRONMENT + f"""SELECT t.station_id, CAST(t.event_idx AS INTEGER) AS event_idx, t.kpi, t.type, coalesce(n_causes, 0)::INTEGER AS n_causes, coalesce(causes, '') AS causes,
+      CASE WHEN o.station_id IS NOT NULL THEN CASE WHEN coalesce({rnd('avg_h', 1)}, 0) >= 25 THEN 'high_rise' WHEN coalesce({rnd('avg_h', 1)}, 0) >= 10 THEN 'mid_rise' ELSE 'low_rise' END END AS building_height_class, o.hint AS environment_hint
+    FROM rk t LEFT JOIN said s ON s.station_id = t.station_id AND s.event_idx = t.event_idx LEFT JOIN oa1 o ON o.station_id = t.station_id""",
+)
+def cause_attach(spark, sf):
+    """Enriched events as text: causes with reference and evidence, and the surroundings."""
+    events = all_ranked(spark, sf)
+    out = cz.attach(events, all_causes(spark, sf, events), edges(spark), env.factor_classes(parsed_env(spark, sf)))
+    evidence = lambda c: F.when(c["shared_mechanism"], F.lit("shared")).when(c["has_concurrent"] == 1, F.concat(F.lit("lag "), c["lag_hours"].cast("string"))).otherwise("background")
+    fits = lambda c: F.when(c["consistent"], "consistent").when(~c["consistent"], "inconsistent")
+    told = F.transform("candidate_causes", lambda c: F.concat_ws(" ", c["source_kpi"], c["relation_type"], c["strength"], c["spec_reference"], evidence(c), fits(c)))
+    context = F.col("environmental_context")
+    return out.select(
+        "station_id", "event_idx", "kpi", "type", F.size("candidate_causes").alias("n_causes"), F.array_join(told, "; ").alias("causes"),
+        context["building_height_class"].alias("building_height_class"), context["environment_hint"].alias("environment_hint"),
+    )
+
+
 @query(
     "env_type",
     """WITH t AS (SELECT doc_id, lower(text) AS x FROM documents)

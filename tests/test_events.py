@@ -141,6 +141,33 @@ def test_background_cause(spark):
     assert [(m["source_kpi"], m["target_kpi"]) for m in multi] == [("RRC_Conn", "PRB_Util")]
 
 
+@pytest.mark.parametrize("bucket_h", [1, 5, 12, 500])
+def test_intervals_meet_once_by_buckets(spark, bucket_h):
+    rng = np.random.default_rng(4)
+    sides = []
+    for n in (60, 80):
+        start = rng.integers(-20, 160, n)
+        sides.append([(int(k), int(s), int(s + d), i) for i, (k, s, d) in enumerate(zip(rng.integers(0, 3, n), start, rng.integers(0, 30, n)))])
+    left = spark.createDataFrame(sides[0], "k int, a int, b int, l int")
+    right = spark.createDataFrame(sides[1], "k int, c int, d int, r int")
+    got = [(r["l"], r["r"]) for r in causes.overlapping(left, right, ["k"], bucket_h).collect()]
+    want = {(i, j) for k, a, b, i in sides[0] for m, c, d, j in sides[1] if k == m and c <= b and a <= d}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_attached_causes_are_ordered_and_empty_without_any(spark):
+    kind = "station_id string, event_idx int, kpi string, type string, t_start int, t_end int, magnitude double, z_score double, direction string, co_occurring_kpis array<string>"
+    rows = [("s", 0, "PRB_Util", "spike", 10, 10, 5.0, 4.0, "up", []), ("s", 1, "RRC_Conn", "spike", 14, 14, 5.0, 3.0, "up", []), ("s", 2, "DL_CQI", "spike", 90, 90, 1.0, 2.0, "up", [])]
+    ev = spark.createDataFrame(rows, kind)
+    edges = spark.createDataFrame([("RRC_Conn", "PRB_Util", "INCREASES", "strong", 0, "TS 1"), ("DL_CQI", "PRB_Util", "LIMITS", "weak", 1, "TS 2")], "source_kpi string, target_kpi string, relation_type string, strength string, edge_ord int, spec_reference string")
+    marks = spark.createDataFrame([("s", "DL_CQI", 10, 9.0, 5.0, 1.0)], "station_id string, kpi string, h int, pred double, mu double, sd double")
+    env = spark.createDataFrame([("s", "dense")], "station_id string, environment_hint string")
+    got = {r["event_idx"]: r for r in causes.attach(ev, causes.infer(ev, edges, marks), edges, env).collect()}
+    assert [(c["source_kpi"], c["spec_reference"], c["has_concurrent"], c["lag_hours"], c["z_deviation"]) for c in got[0]["candidate_causes"]] == [("RRC_Conn", "TS 1", 1, 4, None), ("DL_CQI", "TS 2", 0, None, 4.0)]
+    assert got[1]["candidate_causes"] == [] and got[2]["candidate_causes"] == []
+    assert got[2]["environmental_context"]["environment_hint"] == "dense"
+
+
 def test_magnitude(spark):
     df = spark.createDataFrame([(0.0009,), (0.001,), (-0.01,), (1.0,)], "s double")
     assert [r[0] for r in df.select(labels.sensitivity_magnitude("s")).collect()] == ["negligible", "weak", "meaningful", "strong"]
