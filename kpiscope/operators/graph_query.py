@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from kpiscope.functions.exprs import SERIES
@@ -123,10 +123,79 @@ def merge_nodes(base: DataFrame, extracted: DataFrame, min_confidence: float = 0
     )
 
 
+#: Fields of an extracted edge that a stored edge takes over, under the prefix extracted_.
+EXTRACTED = ("source_spec", "source_clause", "raw_text", "triple_type")
+
+
+def _accepted(edges: DataFrame, min_confidence: float, min_quality: float) -> Column:
+    return (F.coalesce("confidence", F.lit(0.0)) >= min_confidence) & (F.coalesce("quality_score", F.lit(1.0)) >= min_quality)
+
+
+def merge_edges(base: DataFrame, extracted: DataFrame, min_confidence: float = 0.5, min_quality: float = 0.5) -> DataFrame:
+    """Extracted edges merged into a base graph by their pair of ends, in one full outer join.
+
+    base is (source, target, relation_type, strength, condition, reason); all edges of a pair are enriched. extracted is (source, target,
+    relation_type, confidence, quality_score, ord, and EXTRACTED), merged in the order of ord: weak ones are skipped, a pair
+    that base lacks is added as a weak edge by its first one, and every field keeps its last value that is not null.
+    n_extracted and n_skipped count the extracted edges of a pair on its first row; they and `outcome` feed merge_edge_counts.
+    """
+    ok = _accepted(extracted, min_confidence, min_quality)
+    known = lambda c: F.when(ok & F.col(c).isNotNull(), F.col("ord"))
+    first = F.when(ok, F.col("ord"))
+    per = extracted.groupBy("source", "target").agg(
+        F.count_if(ok).alias("_n"),
+        F.count_if(~ok).alias("_skipped"),
+        F.min_by(F.struct("relation_type", "raw_text"), first).alias("_first"),
+        *(F.max_by(c, known(c)).alias(f"extracted_{c}") for c in EXTRACTED),
+    )
+    place = F.row_number().over(Window.partitionBy("source", "target").orderBy("relation_type", "strength"))
+    stored = base.select("source", "target", "relation_type", "strength", "condition", "reason", place.alias("_place"))
+    both = stored.join(per, ["source", "target"], "full_outer")
+    taken, old = F.coalesce("_n", F.lit(0)) > 0, F.col("_place").isNotNull()
+    outcome = F.when(taken & old, "enriched").when(taken, "added").when(old, "untouched").otherwise("skipped")
+    lead = F.coalesce("_place", F.lit(1)) == 1
+    count = lambda c: F.when(lead, F.coalesce(c, F.lit(0))).otherwise(0).cast("long")
+    fresh = taken & ~old
+    return both.select(
+        "source",
+        "target",
+        F.when(fresh, F.coalesce(F.col("_first.relation_type"), F.lit("RELATED_TO"))).otherwise(F.col("relation_type")).alias("relation_type"),
+        F.when(fresh, "weak").otherwise(F.col("strength")).alias("strength"),
+        F.when(fresh, "").otherwise(F.col("condition")).alias("condition"),
+        F.when(fresh, F.coalesce("_first.raw_text", F.lit(""))).otherwise(F.col("reason")).alias("reason"),
+        *(f"extracted_{c}" for c in EXTRACTED),
+        outcome.alias("outcome"),
+        count("_n").alias("n_extracted"),
+        count("_skipped").alias("n_skipped"),
+    )
+
+
+def merge_edge_counts(merged: DataFrame) -> list[Column]:
+    """Counts of a merge of edges, as aggregates for `observe` or `agg`: further edges of an added pair enrich it."""
+    fresh = F.col("outcome") == "added"
+    return [
+        F.coalesce(F.sum(fresh.cast("long")), F.lit(0)).alias("edges_added"),
+        F.coalesce(F.sum(F.col("n_extracted") - fresh.cast("long")), F.lit(0)).alias("edges_enriched"),
+        F.coalesce(F.sum("n_skipped"), F.lit(0)).alias("edges_skipped"),
+    ]
+
+
+def merge_endpoints(nodes: DataFrame, extracted: DataFrame, min_confidence: float = 0.5, min_quality: float = 0.5) -> DataFrame:
+    """(name): ends of accepted edges that no node has yet; they are created as plain KPI nodes."""
+    ends = extracted.filter(_accepted(extracted, min_confidence, min_quality)).select(F.explode(F.array("source", "target")).alias("name"))
+    return ends.filter("name is not null").distinct().join(nodes.select("name"), "name", "left_anti")
+
+
 def merge_counts(merged: DataFrame) -> DataFrame:
     return merged.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def counted(merged: DataFrame, counts: list[Column]) -> tuple[DataFrame, Observation]:
+    """The merged table with an observation: the counts come with the action that writes it, without a second pass."""
+    seen = Observation()
+    return merged.observe(seen, *counts), seen
+
+
 def sanitize_label(c: str | Column) -> Column:
     """Label made of word characters only."""
     text = F.col(c) if isinstance(c, str) else c
@@ -155,6 +224,25 @@ def upsert_typed(base: DataFrame, incoming: DataFrame, min_confidence: float) ->
     )
 
 
+def upsert_nodes(base: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Typed nodes upserted by (name, label): (name, label, props, outcome).
+
+    base is (name, label, props), incoming (name, node_type, props, ord), props a map of strings. Values that are not null
+    replace stored ones, later rows (ord) earlier ones; a node without a type is an Entity. Properties meet as rows of one union, so no
+    node gathers more than its own keys.
+    """
+    label = sanitize_label(F.coalesce(F.nullif("node_type", F.lit("")), F.lit("Entity")))
+    old = base.select("name", "label", "props", F.struct(F.lit(0).alias("fresh"), F.lit(0).cast("long").alias("ord")).alias("at"))
+    new = incoming.filter("name is not null").select("name", label.alias("label"), "props", F.struct(F.lit(1).alias("fresh"), F.col("ord").cast("long").alias("ord")).alias("at"))
+    rows = old.unionByName(new).repartition("name", "label")
+    pairs = rows.select("name", "label", "at", F.explode_outer("props").alias("key", "value"))
+    last = pairs.groupBy("name", "label", "key").agg(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("at"))).alias("value"), F.min("at.fresh").alias("least"), F.max("at.fresh").alias("most"))
+    held = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("key", "value")))))
+    nodes = last.groupBy("name", "label").agg(held.alias("props"), F.min("least").alias("least"), F.max("most").alias("most"))
+    outcome = F.when(F.col("most") == 0, "kept").when(F.col("least") == 1, "created").otherwise("updated")
+    return nodes.select("name", "label", "props", outcome.alias("outcome"))
+
+
 def search(defs: DataFrame, query: str, k: int = 10) -> DataFrame:
     """Definitions whose name, description or alias contains the query, best first."""
     q = query.lower()

@@ -609,6 +609,69 @@ def kg_upsert_typed(spark, sf):
     return tidy(out, "confidence", digits=5)
 
 
+def merge_sides(spark, sf):
+    """Stored edges (every third source) and extracted ones, some of them weak or of ends that are not stored."""
+    every = nation_edges(spark, sf).withColumn("raw_text", F.concat("reason", F.lit(" "), "relation_type"))
+    ord_ = F.concat("ord.l_returnflag", "ord.l_linestatus")
+    number = F.array_position(F.array(*[F.lit(x) for x in ("AF", "AO", "NF", "NO", "RF", "RO")]), ord_)
+    base = every.filter("strength IN ('critical', 'strong', 'weak')").select("source", "target", "relation_type", "strength", "condition", "reason")
+    spec = F.when(F.col("weight") % 2 == 0, F.col("spec_reference"))
+    extracted = every.select("source", "target", F.when(F.col("weight") % 3 > 0, F.col("relation_type")).alias("relation_type"), "confidence", "quality_score", number.alias("ord"), spec.alias("source_spec"), F.col("condition").alias("source_clause"), "raw_text", "triple_type")
+    return base, extracted
+
+
+EDGE_MERGE = E + """, x AS (SELECT *, reason || ' ' || raw_type AS raw_text, CASE WHEN weight % 3 > 0 THEN raw_type END AS rel, CASE WHEN weight % 2 = 0 THEN spec_reference END AS spec, confidence >= 0.95 AND quality_score >= 0.92 AS ok FROM ne),
+  b AS (SELECT source, target, raw_type, raw_strength, condition, reason, row_number() OVER (PARTITION BY source, target ORDER BY raw_type, raw_strength) AS place FROM ne WHERE raw_strength IN ('critical', 'strong', 'weak')),
+  p AS (SELECT source, target, count(*) FILTER (ok) AS n, count(*) FILTER (NOT ok) AS skipped, first(rel ORDER BY ord) FILTER (ok) AS rel, first(raw_text ORDER BY ord) FILTER (ok) AS txt,
+    arg_max(spec, ord) FILTER (ok AND spec IS NOT NULL) AS extracted_source_spec, arg_max(condition, ord) FILTER (ok) AS extracted_source_clause, arg_max(raw_text, ord) FILTER (ok) AS extracted_raw_text, arg_max(triple_type, ord) FILTER (ok) AS extracted_triple_type FROM x GROUP BY 1, 2),
+  em AS (SELECT coalesce(b.source, p.source) AS source, coalesce(b.target, p.target) AS target, CASE WHEN b.source IS NULL AND n > 0 THEN coalesce(rel, 'RELATED_TO') ELSE raw_type END AS relation_type,
+    CASE WHEN b.source IS NULL AND n > 0 THEN 'weak' ELSE raw_strength END AS strength, CASE WHEN b.source IS NULL AND n > 0 THEN '' ELSE condition END AS condition, CASE WHEN b.source IS NULL AND n > 0 THEN txt ELSE reason END AS reason,
+    extracted_source_spec, extracted_source_clause, extracted_raw_text, extracted_triple_type,
+    CASE WHEN coalesce(n, 0) > 0 AND b.source IS NOT NULL THEN 'enriched' WHEN coalesce(n, 0) > 0 THEN 'added' WHEN b.source IS NOT NULL THEN 'untouched' ELSE 'skipped' END AS outcome,
+    CASE WHEN coalesce(place, 1) = 1 THEN coalesce(n, 0) ELSE 0 END AS n_extracted, CASE WHEN coalesce(place, 1) = 1 THEN coalesce(skipped, 0) ELSE 0 END AS n_skipped
+    FROM b FULL OUTER JOIN p ON b.source = p.source AND b.target = p.target)
+"""
+
+
+@query("kg_merge_edges", EDGE_MERGE + "SELECT * FROM em")
+def kg_merge_edges(spark, sf):
+    return gq.merge_edges(*merge_sides(spark, sf), 0.95, 0.92)
+
+
+@query(
+    "kg_merge_edge_counts",
+    EDGE_MERGE + """SELECT count(*) FILTER (outcome = 'added') AS edges_added, CAST(sum(n_extracted) - count(*) FILTER (outcome = 'added') AS BIGINT) AS edges_enriched, CAST(sum(n_skipped) AS BIGINT) AS edges_skipped FROM em""",
+)
+def kg_merge_edge_counts(spark, sf):
+    merged = gq.merge_edges(*merge_sides(spark, sf), 0.95, 0.92)
+    return merged.agg(*gq.merge_edge_counts(merged))
+
+
+@query("kg_merge_endpoints", EDGE_MERGE + "SELECT DISTINCT n AS name FROM (SELECT source AS n, ok FROM x UNION ALL SELECT target, ok FROM x) WHERE ok AND n NOT IN (SELECT n_name FROM nation WHERE n_regionkey < 4)")
+def kg_merge_endpoints(spark, sf):
+    return gq.merge_endpoints(known(spark, sf), merge_sides(spark, sf)[1], 0.95, 0.92)
+
+
+@query(
+    "kg_upsert_nodes",
+    """WITH b AS (SELECT DISTINCT p_brand AS name, 'KPIDEFINITION' AS label FROM part),
+    i AS (SELECT p_partkey AS ord, p_brand AS name, CASE p_size % 3 WHEN 0 THEN 'KPIDefinition' WHEN 1 THEN 'KPI Set' END AS node_type, CASE WHEN p_size % 2 = 0 THEN p_type END AS formula, p_size FROM part),
+    l AS (SELECT *, CASE node_type WHEN 'KPIDefinition' THEN 'KPIDEFINITION' WHEN 'KPI Set' THEN 'KPI_SET' ELSE 'ENTITY' END AS label FROM i),
+    m AS (SELECT name, label, arg_max(formula, ord) FILTER (formula IS NOT NULL) AS formula, CAST(arg_max(p_size, ord) AS VARCHAR) AS size FROM l GROUP BY 1, 2)
+    SELECT coalesce(b.name, m.name) AS name, coalesce(b.label, m.label) AS label, coalesce(m.formula, CASE WHEN b.name IS NOT NULL THEN 'stored' END) AS formula, m.size, CASE WHEN b.name IS NOT NULL THEN 'old' END AS note,
+      CASE WHEN m.name IS NULL THEN 'kept' WHEN b.name IS NULL THEN 'created' ELSE 'updated' END AS outcome FROM b FULL OUTER JOIN m ON b.name = m.name AND b.label = m.label""",
+)
+def kg_upsert_nodes(spark, sf):
+    parts = load(spark, sf, "part")
+    stored = F.create_map(F.lit("formula"), F.lit("stored"), F.lit("note"), F.lit("old"))
+    base = parts.select(F.col("p_brand").alias("name")).distinct().select("name", F.lit("KPIDEFINITION").alias("label"), stored.alias("props"))
+    kind = F.when(F.col("p_size") % 3 == 0, "KPIDefinition").when(F.col("p_size") % 3 == 1, "KPI Set")
+    props = F.create_map(F.lit("formula"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.lit("size"), F.col("p_size").cast("string"))
+    incoming = parts.select(F.col("p_brand").alias("name"), kind.alias("node_type"), props.alias("props"), F.col("p_partkey").alias("ord"))
+    out = gq.upsert_nodes(base, incoming)
+    return out.select("name", "label", *(F.try_element_at("props", F.lit(k)).alias(k) for k in ("formula", "size", "note")), "outcome")
+
+
 @query(
     "kg_theta_sweep",
     E + f""", th AS (SELECT CAST(x AS DOUBLE) AS theta FROM (VALUES (0.88), (0.92), (0.95)) v(x)), mc AS (SELECT CAST(x AS DOUBLE) AS min_confidence FROM (VALUES (0.5), (0.95), (0.96)) v(x)),

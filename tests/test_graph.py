@@ -184,3 +184,37 @@ def test_hot_group_keeps_every_value(spark):
     assert d.count() == 50 and d.agg(F.max("ord")).first()[0] == 49
     values = gb.node_values(spark.createDataFrame(rows, TRIPLE)).filter("field = 'source_clauses'")
     assert values.count() == 20
+
+
+def test_edges_merge_in_order_with_counts_of_the_same_pass(spark):
+    from kpiscope.operators import graph_query as gq
+
+    base = spark.createDataFrame([("a", "b", "INCREASES", "strong", "c", "r"), ("a", "b", "LIMITS", "weak", "", ""), ("x", "y", "CAUSES", "weak", "", "")], "source string, target string, relation_type string, strength string, condition string, reason string")
+    rows = [
+        ("a", "b", "OTHER", 0.9, 0.9, 1, "TS 1", None, "one", "t"), ("a", "b", None, 0.9, None, 2, None, "5.1", "two", "t"), ("a", "b", "OTHER", 0.1, 0.9, 3, "no", "no", "no", "no"),
+        ("n", "m", None, 0.8, 0.8, 4, "TS 2", "7", "new", "t"), ("n", "m", "CAUSES", 0.8, 0.8, 5, "TS 3", None, None, "u"), ("q", "q", "CAUSES", None, 1.0, 6, "no", "no", "no", "no"),
+    ]
+    extracted = spark.createDataFrame(rows, "source string, target string, relation_type string, confidence double, quality_score double, ord int, source_spec string, source_clause string, raw_text string, triple_type string")
+    merged = gq.merge_edges(base, extracted)
+    out, seen = gq.counted(merged, gq.merge_edge_counts(merged))
+    got = {tuple(r)[:12] for r in out.collect()}
+    assert seen.get == {"edges_added": 1, "edges_enriched": 3, "edges_skipped": 2}
+    assert got == {
+        ("a", "b", "INCREASES", "strong", "c", "r", "TS 1", "5.1", "two", "t", "enriched", 2), ("a", "b", "LIMITS", "weak", "", "", "TS 1", "5.1", "two", "t", "enriched", 0),
+        ("x", "y", "CAUSES", "weak", "", "", None, None, None, None, "untouched", 0), ("n", "m", "RELATED_TO", "weak", "", "new", "TS 3", "7", "new", "u", "added", 2),
+        ("q", "q", None, None, None, None, None, None, None, None, "skipped", 0),
+    }
+    nodes = spark.createDataFrame([("a",), ("x",)], "name string")
+    assert {r["name"] for r in gq.merge_endpoints(nodes, extracted).collect()} == {"b", "n", "m"}
+
+
+def test_nodes_upsert_by_type(spark):
+    from kpiscope.operators import graph_query as gq
+
+    base = spark.createDataFrame([("k", "KPI_SET", {"a": "1", "b": "2"}), ("lone", "ENTITY", {})], "name string, label string, props map<string,string>")
+    rows = [("k", "kpi set", {"a": "9", "c": None}, 2), ("k", "kpi set", {"a": "8", "d": "4"}, 1), ("k", None, {"z": "0"}, 3), ("e", "", {}, 4), (None, "x", {}, 5)]
+    incoming = spark.createDataFrame(rows, "name string, node_type string, props map<string,string>, ord int")
+    got = {(r["name"], r["label"]): (r["props"], r["outcome"]) for r in gq.upsert_nodes(base, incoming).collect()}
+    assert got == {
+        ("k", "KPI_SET"): ({"a": "9", "b": "2", "d": "4"}, "updated"), ("k", "ENTITY"): ({"z": "0"}, "created"), ("lone", "ENTITY"): ({}, "kept"), ("e", "ENTITY"): ({}, "created"),
+    }
