@@ -15,65 +15,87 @@ from pyspark.sql import types as T
 
 from kpiscope.functions.exprs import col
 
-# Numbered heading at the start of a line.
-HEADING = r"(\d+(?:\.\d+)+)[ \t]+([^\n]+?)"
-HEADING_LINE = rf"(?m)^{HEADING}$"
+# A clause number that begins a line, and the two forms of file names.
+NUMBER = r"\d+(?:\.\d+)+"
+VERSIONED_NAME = r"ts_1(\d{5})v\d+p"
+DOTTED_NAME = r"ts[_\s]?(\d\d\.\d{3})"
 
 
 def spec_id(name: str | Column) -> Column:
-    """Specification number told by a file name; the name itself when there is none.
-
-    After `ts` and at most one separator stand two digits, a dot and three; or, with a leading 1 and a version, five digits.
-    """
+    """Specification number told by a file name (`ts_128552v190500p.pdf`, else `TS_38.214.pdf`); the name itself when there is none."""
     n = col(name)
-    tail = F.regexp_extract(F.lower(n), r"ts[_\s]?(1\d{5}v\d+p|\d\d\.\d{3})", 1)
-    digits = F.regexp_replace(F.when(tail.contains("."), tail).otherwise(F.substring(tail, 2, 5)), r"\.", "")
-    return F.when(tail == "", n).otherwise(F.concat(F.lit("TS "), F.substring(digits, 1, 2), F.lit("."), F.substring(digits, 3, 3)))
+    versioned, dotted = F.regexp_extract(F.lower(n), VERSIONED_NAME, 1), F.regexp_extract(F.lower(n), DOTTED_NAME, 1)
+    five = F.concat(F.lit("TS "), F.substring(versioned, 1, 2), F.lit("."), F.substring(versioned, 3, 3))
+    return F.when(versioned != "", five).when(dotted != "", F.concat(F.lit("TS "), dotted)).otherwise(n)
+
 
+def _numbered(pages: DataFrame) -> DataFrame:
+    """Lines of all pages with what they are: `bare` (only a clause number), `full` (number and title), `said` (not blank)."""
+    rows = pages.select("file", "page", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("no", "line"))
+    said = ~F.col("line").rlike(r"^\s*$")
+    return rows.withColumns({"said": said, "bare": F.col("line").rlike(rf"^{NUMBER}\s*$"), "full": F.col("line").rlike(rf"^{NUMBER}[^\S\n]+\S")})
 
-def page_parts(pages: DataFrame) -> DataFrame:
-    """Each page cut before its headings: part 0 belongs to the section that is still open."""
-    parts = F.split("text", rf"(?m)^(?={HEADING}$)", -1)
-    cut = pages.select("file", "page", F.posexplode(parts).alias("part", "chunk"))
-    is_head = F.col("chunk").rlike(rf"^{HEADING}(\n|$)")
-    return cut.withColumn("is_head", is_head)
 
+def heading_lines(pages: DataFrame) -> DataFrame:
+    """Lines with `opens` (a heading begins here) and `is_title` (it is the title of a number on a line before).
 
-def sections(pages: DataFrame, min_body: int = 0, max_depth: int | None = None, block: int = 512) -> DataFrame:
+    A number alone on its line takes the next line that is not blank as its title, whatever that is and however many pages on it stands;
+    of several numbers in a row every other one is a title. Whether a page begins with such an open number depends on the pages before it only
+    through the parity of the numbers that stand in a row up to its start, so pages are counted first, that parity is carried over the
+    pages of a file, and lines are looked at inside their page.
+    """
+    page = Window.partitionBy("file", "page").orderBy("no")
+    lines = _numbered(pages).withColumn("said_no", F.sum(F.col("said").cast("int")).over(page))
+    bound = F.col("said") & ~F.col("bare")  # ends a row of numbers
+    lines = lines.withColumn("_run", F.sum(bound.cast("int")).over(page.rowsBetween(Window.unboundedPreceding, -1)))
+    lines = lines.withColumn("_run", F.coalesce("_run", F.lit(0)))
+    in_run = Window.partitionBy("file", "page", "_run").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("_before", F.coalesce(F.sum(F.col("bare").cast("int")).over(in_run), F.lit(0)))
+
+    last_bound = F.max(F.when(bound, F.col("no")))
+    ends = lines.groupBy("file", "page").agg(
+        last_bound.alias("_bound"), F.max_by(F.col("_before") + F.col("bare").cast("int"), "no").alias("_open_run"), F.max_by(bound, "no").alias("_closed"), F.count_if("said").alias("_said")
+    )
+    # numbers in a row at the page's end: none if the last line closes the row
+    row_left = F.when(F.col("_closed"), 0).otherwise(F.col("_open_run")).cast("int")
+    order = Window.partitionBy("file").orderBy("page")
+    ends = ends.withColumns({"_left": row_left, "_reset": F.col("_bound").isNotNull().cast("int")}).withColumn("_group", F.sum("_reset").over(order))
+    carried = F.sum("_left").over(Window.partitionBy("file", "_group").orderBy("page"))
+    ends = ends.withColumn("_after", carried).withColumn("_carry", F.coalesce(F.lag("_after").over(order), F.lit(0)) % 2)
+    # a number that nothing follows in its file has no title and is no heading
+    last = F.max(F.when(F.col("_said") > 0, F.col("page"))).over(Window.partitionBy("file"))
+    state = ends.select("file", "page", "_carry", F.when(F.col("page") == last, F.col("_said")).alias("_last"))
+
+    row = F.col("_before") + F.when(F.col("_run") == 0, F.col("_carry")).otherwise(0)
+    taken = F.col("said") & (row % 2 == 1)
+    marked = lines.join(state, ["file", "page"]).withColumn("is_title", taken)
+    return marked.withColumn("opens", (F.col("full") | F.col("bare") & ~F.coalesce(F.col("said_no") == F.col("_last"), F.lit(False))) & ~F.col("is_title")).select("file", "page", "no", "line", "bare", "opens", "is_title")
+
+
+def sections(pages: DataFrame, min_body: int = 0, max_depth: int | None = None) -> DataFrame:
     """One row per numbered section: (file, section, clause, title, body, page_start, page_end).
 
-    Section numbers are a running count of headings. The count runs over blocks of pages first and
-    inside a block second, so a file of any length is spread over tasks; only the chunks of one
-    section meet in one row, its body.
+    Section numbers are a running count of headings: counted by page, added up over the pages of a file, and counted on inside a page, so
+    only one row a page of a file meets in a task. The lines of one section meet in one row, its body.
     """
-    parts = page_parts(pages).withColumn("_block", F.floor(F.col("page") / block))
-    heads = parts.groupBy("file", "_block").agg(F.sum(F.col("is_head").cast("int")).alias("_heads"))
-    before = F.sum("_heads").over(Window.partitionBy("file").orderBy("_block")) - F.col("_heads")
-    heads = heads.select("file", "_block", before.alias("_before"))
-    within = F.sum(F.col("is_head").cast("int")).over(Window.partitionBy("file", "_block").orderBy("page", "part"))
-    numbered = parts.withColumn("_within", within).join(heads, ["file", "_block"])
-    numbered = numbered.withColumn("section", (F.col("_before") + F.col("_within")).cast("int")).filter("section > 0")
+    lines = heading_lines(pages)
+    counts = lines.groupBy("file", "page").agg(F.sum(F.col("opens").cast("int")).alias("_n"))
+    counts = counts.withColumn("_base", F.sum("_n").over(Window.partitionBy("file").orderBy("page")) - F.col("_n")).drop("_n")
+    within = F.sum(F.col("opens").cast("int")).over(Window.partitionBy("file", "page").orderBy("no"))
+    numbered = lines.withColumn("_within", within).join(counts, ["file", "page"])
+    numbered = numbered.withColumn("section", (F.col("_base") + F.col("_within")).cast("int")).filter("section > 0")
+    title = F.when(F.col("is_title"), F.trim(F.regexp_replace("line", r"^\s+", ""))).when(F.col("opens") & ~F.col("bare"), F.trim(F.regexp_replace("line", rf"^{NUMBER}\s+", "")))
+    rest = F.when(~F.col("opens") & ~F.col("is_title"), F.struct("page", "no", "line"))
     whole = numbered.groupBy("file", "section").agg(
-        F.array_sort(F.collect_list(F.struct("page", "part", "chunk"))).alias("_c")
+        F.max(F.when(F.col("opens"), F.regexp_extract("line", rf"^{NUMBER}", 0))).alias("clause"),
+        F.max(title).alias("title"),
+        F.array_sort(F.collect_list(rest)).alias("_lines"),
+        F.min("page").alias("page_start"),
+        F.max("page").alias("page_end"),
     )
-    # pages are joined by a line break, parts of the same page already carry theirs
-    text = F.aggregate(
-        "_c",
-        F.struct(F.lit("").alias("s"), F.lit(None).cast(pages.schema["page"].dataType).alias("p")),
-        lambda acc, c: F.struct(
-            F.concat(acc["s"], F.when(acc["p"].isNull() | (acc["p"] == c["page"]), "").otherwise("\n"), c["chunk"]).alias("s"),
-            c["page"].alias("p"),
-        ),
-    )["s"]
-    out = whole.select("file", "section", text.alias("_t"), F.col("_c")[0]["page"].alias("page_start"), F.element_at("_c", -1)["page"].alias("page_end"))
-    out = out.select(
-        "file",
-        "section",
-        F.regexp_extract("_t", f"^{HEADING}(\n|$)", 1).alias("clause"),
-        F.trim(F.regexp_extract("_t", f"^{HEADING}(\n|$)", 2)).alias("title"),
-        F.trim(F.regexp_replace(F.regexp_replace("_t", r"^[^\n]*", ""), r"^\s+|\s+$", "")).alias("body"),
-        "page_start",
-        "page_end",
+    text = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    out = whole.select(
+        "file", "section", "clause", "title", F.regexp_replace(text, r"^\s+|\s+$", "").alias("body"), "page_start", "page_end"
     )
     depth = F.size(F.split("clause", r"\."))
     keep = F.length("body") >= min_body

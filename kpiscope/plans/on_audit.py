@@ -243,10 +243,12 @@ def cl_evidence(spark, sf):
 @query(
     "cl_rca_dedupe",
     R + """SELECT station_id, arm, 'click' AS kpi, '08:00–09:00' AS hour, 2 AS n_events, 'click: +' || m || '% spike at Day ' || (m + 1) || ' (' || ['Mon', 'Tue', 'Wed', 'Thu', 'Fri'][m + 1] || ') 08:00–09:00 (|z|=' || m || '.25)' AS title,
-      ['Mon', 'Tue', 'Wed', 'Thu', 'Fri'][m + 1] || ', Sun' AS days FROM rb""",
+      ['Mon', 'Tue', 'Wed', 'Thu', 'Fri'][m + 1] || ', Sun' AS days,
+      md5('click rises with load [Anomaly] and [Sensitivity] here / ' || trim('error moves [Sensitivity-Local: click ← error, negligible] ' || clean)) AS bullets_md5 FROM rb""",
 )
 def cl_rca_dedupe(spark, sf):
-    return au.rca_dedupe(reports(spark, sf))
+    out = au.rca_dedupe(reports(spark, sf))
+    return out.withColumn("bullets_md5", F.md5(F.array_join("bullets", " / "))).drop("bullets")
 
 
 def claims(spark, sf):

@@ -26,9 +26,10 @@ def tx_spec_id(spark, sf):
 
 
 def pages(spark, sf):
-    """Conversations read as files: even turns open a numbered section, odd turns carry it on."""
+    """Conversations read as files: even turns open a numbered section, odd turns carry it on. Every third file has its titles on the next line."""
     turn = F.col("turn")
-    head = F.concat((turn + 1).cast("string"), F.lit("."), (F.col("conv_id") % 7 + 1).cast("string"), F.lit(" Title "), "role", F.lit("\n"))
+    gap = F.when(F.col("conv_id") % 3 == 0, " \n\nTitle ").otherwise(" Title ")
+    head = F.concat((turn + 1).cast("string"), F.lit("."), (F.col("conv_id") % 7 + 1).cast("string"), gap, "role", F.lit("\n"))
     return load(spark, sf, "conversations").select(
         F.col("conv_id").alias("file"),
         turn.alias("page"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -94,14 +96,13 @@ def test_icc_and_verdict(spark):
 def test_sections_over_page_borders(spark):
     text = ["intro\n5.1 First\nbody a", "rest of a\n5.1.2 Deep\nbody b", "6.1 Last\nbody c"]
     pages = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, page int, text string")
-    for block in (512, 1):
-        got = spec_text.sections(pages, block=block).orderBy("section").collect()
-        assert [(r["clause"], r["title"], r["body"]) for r in got] == [
-            ("5.1", "First", "body a\nrest of a"),
-            ("5.1.2", "Deep", "body b"),
-            ("6.1", "Last", "body c"),
-        ]
-        assert [(r["page_start"], r["page_end"]) for r in got] == [(0, 1), (1, 1), (2, 2)]
+    got = spec_text.sections(pages).orderBy("section").collect()
+    assert [(r["clause"], r["title"], r["body"]) for r in got] == [
+        ("5.1", "First", "body a\nrest of a"),
+        ("5.1.2", "Deep", "body b"),
+        ("6.1", "Last", "body c"),
+    ]
+    assert [(r["page_start"], r["page_end"]) for r in got] == [(0, 1), (1, 1), (2, 2)]
     assert [r["clause"] for r in spec_text.sections(pages, max_depth=2).orderBy("section").collect()] == ["5.1", "6.1"]
 
 
@@ -133,9 +134,75 @@ def test_split_long_matches_straight_loop(spark, sf):
         assert got.get(r["doc_id"], []) == straight_split(r["text"], 900)
 
 
+def brute_sections(pages):
+    """Headings found over the whole text at once: a number, white space of any kind, the rest of a line."""
+    text = "\n".join(t or "" for _, t in pages)
+    starts, at = [], 0
+    for page, t in pages:
+        starts.append((at, page))
+        at += len(t or "") + 1
+    on_page = lambda offset: max((s, p) for s, p in starts if s <= offset)[1]
+    heads = list(re.finditer(r"(?m)^(\d+(?:\.\d+)+)\s+(.+?)$", text))
+    ends = [m.start() for m in heads[1:]] + [len(text) + 1]
+    return [(m[1], m[2].strip(" "), text[m.end() : end].strip(), on_page(m.start())) for m, end in zip(heads, ends)]
+
+
+def test_sections_with_titles_on_later_lines_and_pages(spark):
+    rng = random.Random(9)
+    parts = ["3.1", "3.1 ", "4.2.1 Title here", "text of it", "", "  indented", "12", "5.", "6.1.2\tTabbed", " 7.1 no heading"]
+    files = {f: [(p, "\n".join(rng.choice(parts) for _ in range(rng.randint(0, 5)))) for p in range(rng.randint(1, 8))] for f in range(120)}
+    files[500] = [(0, "3.1"), (1, ""), (2, "Definitions\nbody"), (3, "3.2"), (4, "3.3"), (5, "4.1 Name"), (6, "end\n9.9")]
+    df = spark.createDataFrame([(f, p, t) for f, pages in files.items() for p, t in pages], "file int, page int, text string")
+    got = {}
+    for r in spec_text.sections(df).orderBy("file", "section").collect():
+        got.setdefault(r["file"], []).append((r["clause"], r["title"], r["body"], r["page_start"]))
+    for f, pages in files.items():
+        assert got.get(f, []) == brute_sections(pages), (f, pages)
+    assert got[500][0] == ("3.1", "Definitions", "body", 0)
+
+
+def brute_tags(text):
+    return re.findall(r"\[([^\[\]]*)\]", text)
+
+
+def test_report_parts_against_plain_loops(spark):
+    """Citations, tags, pairs and rows of made-up reports, ragged tables and repeated sections among them."""
+    rng = random.Random(12)
+    words = ["TS 28.552", "3GPP TS38.214 Section 5.1.3", "per ts 28.554 §6.3.", "TS 28.5", "TS 38.101 sec. 7", "sections", "[Sensitivity]", "[Sensitivity: NEGLIGIBLE]", "[Sensitivity-Local: a ← view_x]", "[sensitivity < 0.001]", "[Other]", "[open", "x"]
+    rows = ["| click → purchase | positive | why |", "| KPI | Relationship | Mechanism |", "|---|---|---|", "| only | two |", "| view | -> click | decrease | more |", "| | b | c |", "no row", "|a|b|c|d|e|"]
+    reports = []
+    for i in range(150):
+        body = " ".join(rng.choice(words) for _ in range(6))
+        table = "\n".join(rng.choice(rows) for _ in range(5))
+        reports.append((f"s{i}", 0, f"# R\n## §2 Coupling\n{table}\n## §4 Events\n- {body}\n* plain\n{body}\n## §{rng.choice('25')} Last\n{table}\n"))
+    df = spark.createDataFrame(reports, "station_id string, arm int, report string")
+    cited = {}
+    for r in audit.spec_citations(df).orderBy("station_id", "cite_no").collect():
+        cited.setdefault(r["station_id"], []).append(r["citation"])
+    looked = df.select("station_id", audit.negligible_tags(F.col("report")).alias("n"), audit.local_sources(audit.section("report", 4)).alias("src"), audit.wide_rows(audit.section("report", 2)).alias("rows")).collect()
+    looked = {r["station_id"]: r for r in looked}
+    for s, _, text in reports:
+        found = re.findall(r"(?i)TS\s*(\d\d\.\d{3})(?:\s*(?:Section|sec\.?|§|Clause)\s*(\d+(?:\.\d+)*))?", text)
+        assert cited.get(s, []) == [f"TS {a}" + (f" §{b}" if b else "") for a, b in found], text
+        tags = brute_tags(text)
+        small = [t for t in tags if t.lower().startswith("sensitivity") and ("negligible" in t.lower() or "<0.001" in t.replace(" ", ""))]
+        assert looked[s]["n"] == len(small)
+        four = text[text.index("## §4") : text.rindex("## §")]
+        assert looked[s]["src"] == [t.split("← ")[1] for t in brute_tags(four) if t.startswith("Sensitivity-Local")]
+        two = text[text.rindex("## §2") :].split("## §4")[0]
+        assert looked[s]["rows"] == [[c.strip() for c in x.split("|")[1:-1]] for x in two.split("\n") if x.startswith("|") and x.count("|") >= 4]
+
+
+def test_root_causes_carry_the_bullets_of_their_first_entry(spark):
+    text = "## §4 X\n**click: +5% spike at Day 1 (Mon) 08:00–09:00 (|z|=3.1)**\n- first\n  - second [Tag]\ntext\n**view is stable**\n- not read\n**click: -2% drop at Day 3 (Wed) 08:00–09:00 (|z|=2)**\n- third\n**Odd title**\n- own"
+    got = audit.rca_dedupe(spark.createDataFrame([("s", 0, text)], "station_id string, arm int, report string")).collect()
+    assert {(r["kpi"], r["hour"], r["n_events"], r["days"], tuple(r["bullets"])) for r in got} == {("click", "08:00–09:00", 2, "Mon, Wed", ("first", "second [Tag]")), ("Odd title", "", 1, "", ("own",))}
+
+
 def test_spec_id_and_normalize(spark):
-    df = spark.createDataFrame([("ts_128552v190500p.pdf",), ("TS_38.211.pdf",), ("notes.pdf",)], "n string")
-    assert [r[0] for r in df.select(spec_text.spec_id("n")).collect()] == ["TS 28.552", "TS 38.211", "notes.pdf"]
+    names = ["ts_128552v190500p.pdf", "TS_38.211.pdf", "notes.pdf", "ts128552v16p", "x_ts28.552_ts_128533v1p", "TS 28.554"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(spec_text.spec_id("n")).collect()] == ["TS 28.552", "TS 38.211", "notes.pdf", "ts128552v16p", "TS 28.533", "TS 28.554"]
     t = spark.createDataFrame([("cali-\nbration  of\n\n\n\nx ",)], "t string")
     assert t.select(spec_text.normalize("t")).first()[0] == "calibration of\n\nx"
 
