@@ -5,9 +5,13 @@ Pairs are (comparison, station_id, a, b): values of the same station in two arms
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,40 +51,71 @@ def cohens_d(pairs: DataFrame) -> DataFrame:
     return s.withColumn("cohens_d", d).drop("_sd", "_flat")
 
 
-def _pick(n: Column, *parts: Column | str) -> Column:
-    """Index 0..n-1 from a hash of the parts."""
-    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)
+#: Prime below 2^31: products of two numbers under it fit a long.
+PRIME = (1 << 31) - 1
+#: Stations times resamples that are weighed at a time, and comparisons whose sums a task holds.
+WEIGHED, MOST_HELD = 1 << 20, 256
 
 
-def bootstrap_ci(pairs: DataFrame, n_boot: int = 10000, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Percentile interval of the mean difference from resampled stations.
+def poisson_steps() -> list[int]:
+    """Borders in 1..PRIME-1 between the counts 0, 1, 2, ... of a Poisson variable of mean 1."""
+    total, part, out = 0.0, math.exp(-1), []
+    for k in range(1, 13):
+        total += part
+        out.append(int(total * PRIME))
+        part /= k
+    return out
+
+
+def _place(text: Column) -> Column:
+    """A number in 1..PRIME-1 from a hash of a text."""
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(PRIME - 1)) + 1
 
-    Draw i of replicate r is a hash of (r, i), so a lost task draws the same stations again. Draws
-    meet the numbered differences by an equality join and are summed on the map side.
+
+def resampled(pairs: DataFrame, n_boot: int = 10000, seed: int = 42) -> DataFrame:
+    """(comparison, rep, n_drawn, mean): mean difference of every resample.
+
+    A station is drawn a Poisson number of times in each resample, told by a hash of station and resample, so a lost task draws the same
+    again and no station needs to know how many others there are. The draws are never rows: a task adds weights and weighted
+    differences up in one array of n_boot numbers a comparison, and only these sums are shuffled. Resamples that drew nothing are left out.
     """
-    keyed = pairs.select("comparison", "station_id", "diff")
-    order = Window.partitionBy("comparison", "_b").orderBy("_h")
-    hashed = keyed.withColumn("_h", F.md5(F.concat_ws(":", "comparison", F.col("station_id").cast("string"))))
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, 2))
-    sizes = hashed.groupBy("comparison", "_b").agg(F.count("*").alias("_s"))
-    w = Window.partitionBy("comparison").orderBy("_b")
-    sizes = sizes.select(
-        "comparison", "_b", (F.sum("_s").over(w) - F.col("_s")).alias("_o"), F.sum("_s").over(Window.partitionBy("comparison")).alias("n")
-    )  # at most 256 rows per comparison
-    rows = (
-        hashed.withColumn("_r", F.row_number().over(order))
-        .join(F.broadcast(sizes), ["comparison", "_b"])
-        .select("comparison", (F.col("_o") + F.col("_r") - 1).alias("i"), "n", "diff")
-    )
-    draws = rows.select("comparison", "i", "n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
-    draws = draws.withColumn("i", _pick(F.col("n"), F.col("rep").cast("string"), F.col("i").cast("string"), str(seed)))
-    means = draws.join(rows.select("comparison", "i", "diff"), ["comparison", "i"]).groupBy("comparison", "rep").agg(
-        F.avg("diff").alias("m")
-    )
-    return means.groupBy("comparison").agg(
-        F.percentile("m", F.lit(low)).alias("ci_low"), F.percentile("m", F.lit(high)).alias("ci_high")
-    )
+    keyed = pairs.select("comparison", _place(F.concat_ws(":", "comparison", F.col("station_id").cast("string"))).alias("place"), F.col("diff").cast("double").alias("diff"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps = [int(hashlib.md5(f"{r}:{seed}".encode()).hexdigest()[:15], 16) % (PRIME - 1) + 1 for r in range(1, n_boot + 1)]
+        by, steps, held = np.array(reps, dtype=np.int64), np.array(poisson_steps()), {}
+        rows = max(1, WEIGHED // n_boot)
+
+        def sums(name: str, parts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name] * n_boot), pa.array(np.arange(1, n_boot + 1), pa.int32()), pa.array(parts[0]), pa.array(parts[1])], names=["comparison", "rep", "drawn", "total"]
+            )
+
+        for batch in batches:
+            place, diff = batch.column("place").to_numpy(), batch.column("diff").to_numpy(zero_copy_only=False)
+            names = np.array(batch.column("comparison").to_pylist(), dtype=object)
+            for name in dict.fromkeys(names):
+                own = np.flatnonzero(names == name)
+                if name not in held and len(held) >= MOST_HELD:
+                    old = next(iter(held))
+                    yield sums(old, held.pop(old))
+                parts = held.setdefault(name, np.zeros((2, n_boot)))
+                for start in range(0, len(own), rows):
+                    at = own[start : start + rows]
+                    weight = np.searchsorted(steps, place[at][:, None] * by % PRIME, side="right").astype(np.float64)
+                    parts[0] += weight.sum(axis=0)
+                    parts[1] += diff[at] @ weight
+        for name, parts in held.items():
+            yield sums(name, parts)
+
+    added = keyed.mapInArrow(run, "comparison string, rep int, drawn double, total double").groupBy("comparison", "rep").agg(F.sum("drawn").alias("n_drawn"), F.sum("total").alias("total"))
+    return added.filter("n_drawn > 0").select("comparison", "rep", F.col("n_drawn").cast("long").alias("n_drawn"), (F.col("total") / F.col("n_drawn")).alias("mean"))
+
+
+def bootstrap_ci(pairs: DataFrame, n_boot: int = 10000, seed: int = 42, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """Percentile interval of the mean difference from resampled stations."""
+    means = resampled(pairs, n_boot, seed)
+    return means.groupBy("comparison").agg(F.percentile("mean", F.lit(low)).alias("ci_low"), F.percentile("mean", F.lit(high)).alias("ci_high"))
 
 
 def signed_ranks(pairs: DataFrame) -> DataFrame:
@@ -113,11 +148,15 @@ def signed_ranks(pairs: DataFrame) -> DataFrame:
     return zeros.join(w, "comparison", "left").na.fill(0.0, ["w_plus", "w_minus", "tie_term"]).na.fill(0, ["n_used"])
 
 
-def _signed_rank_p(w_plus: float, n: int, tie_term: float, n_zero: int) -> float:
-    """Two-sided p-value: exact count of rank subsets for small clean samples, else normal."""
+#: Up to so many pairs the p-value of clean samples is counted, if the method is left open.
+MOST_COUNTED = 50
+
+
+def _signed_rank_p(w_plus: float, n: int, tie_term: float, n_zero: int, method: str) -> float:
+    """Two-sided p-value: exact count of rank subsets, or the normal approximation."""
     if n == 0:
         return float("nan")
-    if n <= 50 and tie_term == 0 and n_zero == 0:
+    if method == "exact" or method == "auto" and n <= MOST_COUNTED and tie_term == 0 and n_zero == 0:
         ways = [1] + [0] * (n * (n + 1) // 2)
         for r in range(1, n + 1):
             for s in range(len(ways) - 1, r - 1, -1):
@@ -129,12 +168,17 @@ def _signed_rank_p(w_plus: float, n: int, tie_term: float, n_zero: int) -> float
     return math.erfc(abs(w_plus - mean) / math.sqrt(var) / math.sqrt(2)) if var > 0 else float("nan")
 
 
-def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """Signed-rank p-value per comparison; fewer than two pairs give 1."""
+def wilcoxon(pairs: DataFrame, method: str = "auto") -> DataFrame:
+    """Signed-rank p-value per comparison; fewer than two pairs give 1.
+
+    method is exact (right without ties), approx, or auto: exact for samples of up to MOST_COUNTED pairs without ties and zeros.
+    """
+    if method not in ("exact", "approx", "auto"):
+        raise ValueError(f"unknown method: {method}")
 
     @F.pandas_udf("double")
     def p_value(w: pd.Series, n: pd.Series, tie: pd.Series, zero: pd.Series) -> pd.Series:
-        return pd.Series([_signed_rank_p(float(a), int(b), float(c), int(d)) for a, b, c, d in zip(w, n, tie, zero)])
+        return pd.Series([_signed_rank_p(float(a), int(b), float(c), int(d), method) for a, b, c, d in zip(w, n, tie, zero)])
 
     s = signed_ranks(pairs)
     return s.withColumn(

@@ -9,7 +9,7 @@ from kpiscope.plans.on_profiles import tidy
 from kpiscope.plans.registry import query, rnd
 from kpiscope.sources.tables import load
 
-N_BOOT = 2000
+N_BOOT = 10_000
 
 
 def scores(spark, sf):
@@ -43,9 +43,12 @@ def st_pairs(spark, sf):
     return tidy(pairs(spark, sf), "a", "b", "diff", digits=5)
 
 
-BOOT = S + f""", ix AS (SELECT diff, row_number() OVER (ORDER BY md5('click vs view:' || station_id)) - 1 AS i, count(*) OVER () AS n FROM pr),
-  dr AS (SELECT r.r AS rep, ('0x' || substr(md5(r.r || ':' || ix.i || ':42'), 1, 8))::BIGINT % n AS j FROM ix, range(1, {N_BOOT + 1}) r(r)),
-  bm AS (SELECT rep, avg(ix.diff) AS m FROM dr JOIN ix ON ix.i = dr.j GROUP BY 1),
+PLACE = "('0x' || substr(md5({0}), 1, 15))::BIGINT % 2147483646 + 1"
+BOOT = S + f""", ix AS (SELECT diff, {PLACE.format("'click vs view:' || station_id")} AS a FROM pr),
+  rp AS (SELECT {PLACE.format("r || ':42'")} AS b, r FROM range(1, {N_BOOT + 1}) t(r)),
+  wt AS (SELECT r, diff, a * b % 2147483647 AS x FROM ix, rp),
+  cw AS (SELECT r, diff, {" + ".join(f"CAST(x >= {step} AS INTEGER)" for step in st.poisson_steps())} AS w FROM wt),
+  bm AS (SELECT r, sum(w * diff) / sum(w) AS m FROM cw GROUP BY 1 HAVING sum(w) > 0),
   ci AS (SELECT quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM bm)
 """
 

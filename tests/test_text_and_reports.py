@@ -74,6 +74,25 @@ def test_signed_ranks_with_ties(spark):
     assert r["n_zero"] == (d == 0).sum() and r["n_used"] == len(nz)
 
 
+def test_resamples_are_poisson_draws_of_stations(spark):
+    d = [0.5, -1.0, 2.0, 0.25, 3.0, -0.5] * 20
+    many = pairs(spark, d).unionByName(pairs(spark, [1.0, 2.0]).withColumn("comparison", F.lit("other"))).repartition(5)
+    got = stats.resampled(many, n_boot=500).collect()
+    main = [r for r in got if r["comparison"] != "other"]
+    assert len(main) == 500 and len([r for r in got if r["comparison"] == "other"]) < 500  # some drew nothing
+    drawn, means = np.array([r["n_drawn"] for r in main]), np.array([r["mean"] for r in main])
+    assert abs(drawn.mean() - 120) < 3 and abs(drawn.var() - 120) < 40
+    assert abs(means.mean() - np.mean(d)) < 0.03 and abs(means.std() - np.std(d) / 120**0.5) < 0.02
+    again = stats.resampled(many.repartition(2), n_boot=500).collect()
+    assert {(r["comparison"], r["rep"]): pytest.approx(r["mean"]) for r in got} == {(r["comparison"], r["rep"]): r["mean"] for r in again}
+
+
+def test_wilcoxon_methods(spark):
+    d = pairs(spark, [1, 2, 3, -4, 5, 6, -7, 8])
+    exact, approx = (stats.wilcoxon(d, m).first()["p_value"] for m in ("exact", "approx"))
+    assert stats.wilcoxon(d).first()["p_value"] == exact and exact != approx and abs(exact - approx) < 0.1
+
+
 def test_bootstrap_covers_the_mean(spark):
     rng = np.random.default_rng(1)
     d = rng.normal(1.0, 1.0, 80)
