@@ -104,7 +104,7 @@ def global_position(df: DataFrame, bucket: Column, order: list, name: str = "pos
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return (
         keyed.withColumn("_within", within)
-        .join(F.broadcast(sizes), "_bucket")
+        .join(sizes, "_bucket")
         .withColumn(name, F.col("_before") + F.col("_within"))
         .drop("_bucket", "_before", "_within")
     )

@@ -97,4 +97,4 @@ def axis_rollup(axes: dict[str, DataFrame], costs: DataFrame) -> DataFrame:
     for name, df in axes.items():
         tagged = df.withColumn("axis", F.lit(name))
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    return out.join(F.broadcast(costs), "axis", "left")  # one cost row per axis
+    return out.join(costs, "axis", "left")  # one cost row per axis

@@ -103,39 +103,68 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def embed_align(entities: DataFrame, ontology: DataFrame, block_size: int = 512) -> DataFrame:
-    """Nearest ontology vector by cosine: (entity_id, aligned_name, distance).
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once: a generator keeps the optimizer from repeating them where they are used."""
+    for name, value in columns.items():
+        df = df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+    return df
 
-    entities is (entity_id, vec), ontology (name, vec). The ontology is cut into blocks of bounded
-    size. One block travels to the executors as a single value and each entity keeps only its best
-    hit; more blocks are met by an equality join on the block number, again keeping one best hit per
-    entity and block. No entity-vector pair is ever a row.
+
+def _units(df: DataFrame) -> DataFrame:
+    """Column vec as u, of length 1 or of zeros."""
+    raw = _held(df.withColumn("vec", F.col("vec").cast("array<double>")), length=F.sqrt(_dot(F.col("vec"), F.col("vec"))))
+    size = F.when(F.col("length") < 1e-12, 1.0).otherwise(F.col("length"))
+    return _held(raw, u=F.transform("vec", lambda x: x / size)).drop("vec", "length")
+
+
+def _away(u: Column, w: Column) -> Column:
+    return F.sqrt(F.greatest(F.lit(0.0), _dot(u, u) + _dot(w, w) - 2 * _dot(u, w)))
+
+
+def embed_visits(entities: DataFrame, ontology: DataFrame, block_size: int = 512, n_pivots: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Blocks of ontology vectors, (block, refs), and the blocks each entity has to look into: (entity_id, u, blocks, n_blocks).
+
+    A few ontology vectors are pivots. Each vector belongs to its nearest pivot, and the vectors of a pivot are dealt to blocks of about
+    block_size. A block keeps, for each pivot, the least and greatest distance of its vectors. By the triangle inequality no vector of a
+    block can be nearer to an entity than the entity's own distances to the pivots allow; a block whose best possible product is below that
+    of the nearest pivot, itself a candidate, is left out. All of this is one plan, whatever the size of the ontology.
     """
-    def norm(v: Column) -> Column:
-        n = F.sqrt(_dot(v, v))
-        return F.when(n < 1e-12, 1.0).otherwise(n)
-
-    onto = ontology.select("name", F.col("vec").cast("array<double>").alias("vec"))
-    onto = onto.select("name", "vec", norm(F.col("vec")).alias("len"))
-    blocks = max(1, -(-onto.count() // block_size))
-    packed = onto.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")).groupBy("block").agg(
-        F.collect_list(F.struct("name", "vec", "len")).alias("refs")
-    )
-    ents = entities.select("entity_id", F.col("vec").cast("array<double>").alias("vec"))
-    if blocks == 1:
-        met = ents.withColumn("refs", packed.select("refs").scalar())
-    else:
-        met = ents.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block")
-    # smallest negative product first, so the smallest struct is the nearest name; ties go to the first name
-    scored = F.transform(
-        "refs", lambda r: F.struct((-_dot(F.col("vec"), r["vec"]) / r["len"]).alias("neg"), r["name"].alias("name"))
-    )
-    best = met.select("entity_id", F.array_min(scored).alias("b"), norm(F.col("vec")).alias("len"))
-    if blocks > 1:
-        best = best.groupBy("entity_id").agg(F.min("b").alias("b"), F.max("len").alias("len"))
-    return best.select(
-        "entity_id", F.col("b.name").alias("aligned_name"), (1 + F.col("b.neg") / F.col("len")).alias("distance")
+    onto = _units(ontology.select("name", "vec"))
+    picked = onto.select("u", F.struct(F.xxhash64("name"), "name").alias("h")).orderBy("h").limit(n_pivots)
+    pivots = picked.agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "u"))), lambda p: p["u"]).alias("p")).scalar()
+    placed = _held(_held(onto, p=pivots), d=F.transform("p", lambda p: _away(F.col("u"), p))).drop("p")
+    placed = placed.withColumn("pivot", (F.array_position("d", F.array_min("d")) - 1).cast("int"))
+    pieces = placed.groupBy("pivot").agg(F.ceil(F.count("*") / block_size).alias("pieces"))
+    dealt = placed.join(pieces, "pivot").withColumn("block", F.struct("pivot", F.pmod(F.xxhash64("name"), F.col("pieces")).alias("piece")))
+    reach = [side(F.get("d", F.lit(q))) for q in range(n_pivots) for side in (F.min, F.max)]
+    blocks = dealt.groupBy("block").agg(
+        F.collect_list(F.struct("name", "u")).alias("refs"), F.array(*reach).alias("reach"), F.max(_dot(F.col("u"), F.col("u"))).alias("longest")
     )
+    bounds = blocks.agg(F.collect_list(F.struct("block", "reach", "longest")).alias("b")).scalar()
+    ents = _held(_units(entities.select("entity_id", "vec")), p=pivots)
+    known = F.array_max(F.transform("p", lambda p: _dot(F.col("u"), p)))
+    ents = _held(ents, d=F.transform("p", lambda p: _away(F.col("u"), p)), known=known, own=_dot(F.col("u"), F.col("u"))).withColumn("b", bounds)
+
+    def hopeful(block: Column) -> Column:
+        gaps = F.transform("d", lambda d, q: F.greatest(F.get(block["reach"], 2 * q) - d, d - F.get(block["reach"], 2 * q + 1)))
+        near = F.greatest(F.lit(0.0), F.array_max(gaps))
+        return (F.col("own") + block["longest"] - near * near) / 2 >= F.col("known") - 1e-9
+
+    return blocks.select("block", "refs"), ents.select("entity_id", "u", F.transform(F.filter("b", hopeful), lambda b: b["block"]).alias("blocks"), F.size("b").alias("n_blocks"))
+
+
+def embed_align(entities: DataFrame, ontology: DataFrame, block_size: int = 512, n_pivots: int = 16) -> DataFrame:
+    """Nearest ontology vector by cosine: (entity_id, aligned_name, distance). Exact; ties go to the first name.
+
+    entities is (entity_id, vec), ontology (name, vec). An entity meets the blocks it has to look into (see embed_visits) by an equality
+    join and keeps one best hit of each. No entity-vector pair is ever a row.
+    """
+    blocks, ents = embed_visits(entities, ontology, block_size, n_pivots)
+    met = ents.select("entity_id", "u", F.explode("blocks").alias("block")).join(blocks, "block")
+    # smallest negative product first, so the smallest struct is the nearest name
+    scored = F.transform("refs", lambda r: F.struct((-_dot(F.col("u"), r["u"])).alias("neg"), r["name"].alias("name")))
+    best = met.select("entity_id", F.array_min(scored).alias("b")).groupBy("entity_id").agg(F.min("b").alias("b"))
+    return best.select("entity_id", F.col("b.name").alias("aligned_name"), (1 + F.col("b.neg")).alias("distance"))
 
 
 def conflict_groups(aligned: DataFrame, cap: int = 10) -> DataFrame:
@@ -165,8 +194,27 @@ def conflict_groups(aligned: DataFrame, cap: int = 10) -> DataFrame:
     return ranked.filter(F.size("_g") > 1).select("aligned_name", "predicate", rows.alias("rows"))
 
 
-def conflict_pairs(aligned: DataFrame, cap: int = 10) -> DataFrame:
-    """Pairs of the same subject and predicate with different objects, read off the short arrays."""
+def leading_conflicts(aligned: DataFrame) -> DataFrame:
+    """Every distinct object of a (name, predicate) group once against the group's leading row, in the columns of conflict_pairs.
+
+    The leading row is the most probable one (longest clause, then first on ties), likewise for each object. Both are found by aggregates
+    that combine on the map side, and a group gives fewer pairs than rows, so any size is seen whole.
+    """
+    keys = ["aligned_name", "predicate"]
+    row = F.struct("ord", "object", "relation_prob", "source_clause")
+    first = F.struct(-F.col("relation_prob"), -F.length(F.coalesce("source_clause", F.lit(""))), "ord")
+    marked = aligned.filter("object is not null").withColumn("_o", F.trim("object"))
+    each = marked.groupBy(*keys, "_o").agg(F.min_by(row, first).alias("b"), F.min(first).alias("_first"))
+    lead = each.groupBy(*keys).agg(F.min_by(F.struct("_o", "b"), "_first").alias("_lead"), F.count("*").alias("_n")).filter("_n > 1")
+    pairs = each.join(lead, keys).filter(F.col("_o") != F.col("_lead._o"))
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("_first"))
+    return pairs.select(*keys, F.lit(1).alias("i"), (order + 1).cast("int").alias("j"), F.col("_lead.b").alias("a"), "b")
+
+
+def conflict_pairs(aligned: DataFrame, cap: int | None = 10) -> DataFrame:
+    """Pairs of the same subject and predicate with different objects, read off the short arrays; cap None takes leading_conflicts."""
+    if cap is None:
+        return leading_conflicts(aligned)
     later = lambda a, i: F.transform(
         F.slice("rows", i + 2, F.size("rows")),
         lambda b, j: F.struct((i + 1).alias("i"), (i + j + 2).alias("j"), a.alias("a"), b.alias("b")),

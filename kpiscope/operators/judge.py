@@ -24,7 +24,11 @@ def likert(value: Column) -> Column:
 
 
 def parse_score(text: str | Column, field: str = "score") -> Column:
-    return likert(F.get_json_object(json_body(text), f"$.{field}"))
+    """Score of a field; a fraction counts only as a number, not as a string."""
+    body = json_body(text)
+    value = F.get_json_object(body, f"$.{field}")
+    quoted = body.rlike(rf'"{field}"\s*:\s*"')
+    return likert(F.when(~quoted | F.trim(value).rlike(r"^[+-]?\d+$"), value))
 
 
 def parse_answers(answers: DataFrame, text: str = "answer") -> DataFrame:

@@ -143,7 +143,7 @@ def nmae_nrmse_mean(station_metrics: DataFrame, scored: DataFrame) -> DataFrame:
     keys = [k for k in ("context_h", "kpi") if k in station_metrics.columns]
     mean = station_metrics.groupBy(*keys).agg(F.avg("mae").alias("avg_mae"), F.avg("rmse").alias("avg_rmse"))
     return (
-        mean.join(F.broadcast(level), "kpi")  # one row per KPI
+        mean.join(level, "kpi")  # one row per KPI
         .withColumn("nmae", F.col("avg_mae") / F.col("truth_mean"))
         .withColumn("nrmse", F.col("avg_rmse") / F.col("truth_mean"))
     )

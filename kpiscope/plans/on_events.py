@@ -141,9 +141,9 @@ END_HOUR = "printf('%02d', CASE WHEN (t_end + 1) % 24 = 0 THEN 24 ELSE (t_end +
 LABEL = f"CASE WHEN t_start // 24 = {END_DAY} THEN {START_DAY} || '–' || {END_HOUR} || ':00' ELSE {START_DAY} || ' → Day ' || ({END_DAY} + 1) || ' (' || {WKD.format(d=END_DAY)} || ') ' || {END_HOUR} || ':00' END"
 
 
-@query("event_time_label", EVENTS + f"SELECT station_id, kpi, type, t_start, t_end, {LABEL} AS hour_window_label FROM allev WHERE type <> 'spike'")
+@query("event_time_label", EVENTS + f"SELECT station_id, kpi, type, t_start, t_end, {LABEL} AS hour_window_label FROM allev")
 def event_time_label(spark, sf):
-    labelled = ev.with_time_labels(all_events(spark, sf).filter("type <> 'spike'"))
+    labelled = ev.with_time_labels(all_events(spark, sf))
     return labelled.select("station_id", "kpi", "type", "t_start", "t_end", "hour_window_label")
 
 

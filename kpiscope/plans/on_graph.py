@@ -155,6 +155,18 @@ def kg_conflict_pairs(spark, sf):
     )
 
 
+@query(
+    "kg_conflict_leading",
+    T + """, ob AS (SELECT *, row_number() OVER (PARTITION BY aligned_name, predicate, trim(object) ORDER BY relation_prob DESC, length(source_clause) DESC, ord) AS r FROM v),
+    q AS (SELECT *, row_number() OVER (PARTITION BY aligned_name, predicate ORDER BY relation_prob DESC, length(source_clause) DESC, ord) AS place FROM ob WHERE r = 1)
+    SELECT a.aligned_name, a.predicate, CAST(b.place AS INTEGER) AS j, a.object AS object_a, b.object AS object_b FROM q a JOIN q b ON a.aligned_name = b.aligned_name AND a.predicate = b.predicate AND a.place = 1 AND b.place > 1""",
+)
+def kg_conflict_leading(spark, sf):
+    """Conflicts without a cap: every object of a group against that of its leading row."""
+    pairs = gb.conflict_pairs(_aligned(spark, sf), cap=None)
+    return pairs.select("aligned_name", "predicate", "j", F.col("a.object").alias("object_a"), F.col("b.object").alias("object_b"))
+
+
 @query("kg_conflict_resolve")
 def kg_conflict_resolve(spark, sf):
     aligned = _aligned(spark, sf)

@@ -95,7 +95,7 @@ def finetune_slices(spark, sf):
         one = ops.finetune_slices(panel, weeks, end=SPLIT_HOUR).withColumn("weeks", F.lit(str(weeks)))
         parts = one if parts is None else parts.unionByName(one)
     totals = parts.groupBy("weeks").agg(F.sum("n_windows").alias("total_windows"))
-    return parts.join(F.broadcast(totals), "weeks").select("weeks", "station_id", "hours", "n_windows", "total_windows")
+    return parts.join(totals, "weeks").select("weeks", "station_id", "hours", "n_windows", "total_windows")
 
 
 @query(

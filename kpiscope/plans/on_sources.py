@@ -55,12 +55,15 @@ def scan_forecast(spark, sf):
     )
 
 
-@query("scan_metric_json", SCORES + f"SELECT 552 AS context_h, station_id::VARCHAR AS station_id, kpi, 'smape' AS metric, {rnd('smape', 2)} AS value FROM met UNION ALL SELECT 552, station_id::VARCHAR, kpi, 'mase', {rnd('mase', 4)} FROM met")
+@query(
+    "scan_metric_json",
+    SCORES + " UNION ALL ".join(f"SELECT 552 AS context_h, station_id::VARCHAR AS station_id, kpi, '{m}' AS metric, {rnd(m, 2 if m == 'smape' else 4)} AS value FROM met" for m in ("smape", "mase", "nrmse", "mae", "rmse")),
+)
 def scan_metric_json(spark, sf):
     path = scratch_folder(spark, "results")
     docs = results.station_documents(station_metrics(spark, sf), src.scored(spark, sf))
     results.write_station_documents(docs.withColumn("station_id", F.col("station_id").cast("string")), f"{path}/ctx_552h")
-    return results.read_metric_files(spark, path).filter("metric IN ('smape', 'mase')")
+    return results.read_metric_files(spark, path)
 
 
 @query("scan_kg_json", GRAPH + "SELECT 'edge' AS what, relation_type AS name, count(*) AS n FROM edges GROUP BY 2 UNION ALL SELECT 'node', node_type, count(*) FROM ntype GROUP BY 2")

@@ -12,10 +12,14 @@ RAW_COLUMNS = {raw: kpi for kpi, _, raw, _ in KPIS}
 PLACE_COLUMNS = ("latitude", "longitude", "eNB ID", "CELL No")
 
 
-def read_wide(spark: SparkSession, path: str, columns: dict[str, str] | None = None, hours: int = SERIES_HOURS) -> DataFrame:
+#: Ways a day is written, tried in this order.
+DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "d.M.yyyy")
+
+
+def read_wide(spark: SparkSession, path: str, columns: dict[str, str] | None = None, hours: int = SERIES_HOURS, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
     """Station rows with their hour index t, at most `hours` of them.
 
-    Missing columns and stations with fewer hours are errors. Headers are checked against each
+    Missing columns, days in another format, hours that occur twice and stations with fewer hours are errors. Headers are checked against each
     file, so files with another column order do not slip through.
     """
     columns = columns or RAW_COLUMNS
@@ -29,15 +33,18 @@ def read_wide(spark: SparkSession, path: str, columns: dict[str, str] | None = N
     place = [F.col(f"`{c}`") for c in PLACE_COLUMNS if c in raw.columns]
     named = raw.select(
         station.alias("station_id"),
-        F.col("DATE").alias("_d"),
+        F.coalesce(*(F.try_to_timestamp(F.trim("DATE"), F.lit(f)) for f in formats)).alias("_d"),
         F.col("HOUR").cast("int").alias("_h"),
         *place,
         *[F.col(f"`{c}`").cast("double").alias(k) for c, k in columns.items()],
     )
     w = Window.partitionBy("station_id")
-    placed = named.withColumn("t", F.row_number().over(w.orderBy("_d", "_h")) - 1).withColumn("_n", F.count("*").over(w))
-    full = require(placed, F.col("_n") >= hours, f"station has fewer than {hours} hours")
-    return full.filter(F.col("t") < hours).drop("_n", "_d", "_h")
+    dated = require(named, F.col("_d").isNotNull() & F.col("_h").between(0, 23), "station file has a date or hour that cannot be read")
+    ordered, now = w.orderBy("_d", "_h"), F.struct("_d", "_h")
+    placed = dated.withColumns({"t": F.row_number().over(ordered) - 1, "_before": F.lag(now).over(ordered)}).withColumn("_n", F.count("*").over(w))
+    once = require(placed, F.col("_before").isNull() | (F.col("_before") != now), "station has an hour twice")
+    full = require(once, F.col("_n") >= hours, f"station has fewer than {hours} hours")
+    return full.filter(F.col("t") < hours).drop("_n", "_d", "_h", "_before")
 
 
 def to_panel(wide: DataFrame, kpis: list[str] | None = None) -> DataFrame:

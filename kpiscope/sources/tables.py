@@ -43,8 +43,8 @@ def hourly_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gap-free hourly panel (station_id, kpi, t, value).
+def event_panel(spark: SparkSession, sf_dir: str, hours: int = PANEL_HOURS) -> DataFrame:
+    """Gap-free hourly panel (station_id, kpi, t, value) of so many hours at least; any type of event is a channel.
 
     A gap carries the last known value, hours before the first observation carry 0. Each
     observation is stretched to the hour before the next one, so no grid is joined: one shuffle
@@ -57,7 +57,8 @@ def event_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         "t",
         F.lag("t").over(w).alias("before"),
-        (F.coalesce(F.lead("t").over(w), F.lit(PANEL_HOURS)) - 1).alias("until"),
+        # an hour past the panel's end stays, stretched to itself alone
+        F.greatest("t", F.coalesce(F.lead("t").over(w), F.lit(hours)) - 1).alias("until"),
     )
     lead_in = F.when(
         F.col("before").isNull() & (F.col("t") > 0),

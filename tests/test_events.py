@@ -273,6 +273,15 @@ def test_osm(spark):
     assert [r["building_height_class"] for r in environment.factor_classes(cls).collect()] == ["high_rise", "mid_rise", "low_rise"]
 
 
+@pytest.mark.parametrize(
+    ("line", "column", "want"),
+    [("Telecom infrastructure: 4 cabinets", "telecom_masts", 0), ("telecom infrastructure: 4 Masts", "telecom_masts", 4), ("Buildings: unknown, 3 sheds", "building_count", 0), ("Buildings: 7 within 500m, Avg  Height = 14.5 m", "avg_building_height_m", 14.5),
+     ("Buildings: 7 WITHIN 500m, max height=20m", "max_building_height_m", 20.0), ("Transit hubs: 2\nTransit hubs: 5", "transit_hubs", 5), ("POI density: High (31 POIs within 500m)", "poi_count", 31), ("POI density: High (31 things)", "poi_count", 0)],
+)
+def test_summary_numbers_need_their_units(spark, line, column, want):
+    assert environment.parse_summaries(spark.createDataFrame([("s", line)], "station_id string, text string")).first()[column] == want
+
+
 def test_parse_summary_defaults(spark):
     text = "Location: Frisco, Texas\nPOI density: Very Low (no POIs within 500m)\nLand use: retail, forest/ park\nBuildings: 3 within 500m, avg height=9.5m, max height=12.0m"
     r = environment.parse_summaries(spark.createDataFrame([("s", text)], "station_id string, text string")).first()

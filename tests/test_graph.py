@@ -113,13 +113,25 @@ def test_conflicts_against_brute_force(spark, seed):
     assert {r["ord"] for r in kept.select("ord").collect()} == brute_conflicts(rows, verdict)
 
 
-def test_embedding_blocks_agree(spark):
+@pytest.mark.parametrize(("block_size", "n_pivots"), [(512, 16), (7, 4), (1, 1), (5, 60)])
+def test_nearest_vectors_are_those_of_a_full_scan(spark, block_size, n_pivots):
     rng = random.Random(5)
-    onto = spark.createDataFrame([(f"n{i}", [rng.gauss(0, 1) for _ in range(8)]) for i in range(40)], "name string, vec array<double>")
-    ents = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(30)], "entity_id int, vec array<double>")
-    one = {r["entity_id"]: (r["aligned_name"], round(r["distance"], 9)) for r in gb.embed_align(ents, onto).collect()}
-    many = {r["entity_id"]: (r["aligned_name"], round(r["distance"], 9)) for r in gb.embed_align(ents, onto, block_size=7).collect()}
-    assert one == many and len(one) == 30
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    near = lambda: [x + rng.gauss(0, 0.15) for x in rng.choice(centres)]
+    onto = [(f"n{i}", near()) for i in range(60)] + [("zero", [0.0] * 8)]
+    onto += [("copy", onto[3][1])]
+    ents = [(i, near()) for i in range(50)] + [(98, [-x for x in onto[0][1]]), (99, [0.0] * 8)]
+    unit = lambda v: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v]
+    want = {}
+    for i, v in ents:
+        scores = [(round(-sum(x * y for x, y in zip(unit(v), unit(w))), 12), name) for name, w in onto]
+        want[i] = (min(scores)[1], pytest.approx(1 + min(scores)[0], abs=1e-9))
+    e, o = spark.createDataFrame(ents, "entity_id int, vec array<double>"), spark.createDataFrame(onto, "name string, vec array<double>")
+    got = {r["entity_id"]: (r["aligned_name"], r["distance"]) for r in gb.embed_align(e, o, block_size, n_pivots).collect()}
+    assert got == want
+    looked = gb.embed_visits(e, o, block_size, n_pivots)[1].select(F.sum(F.size("blocks")), F.sum("n_blocks")).first()
+    if (block_size, n_pivots) == (7, 4):
+        assert looked[0] < 0.7 * looked[1]  # the others are provably farther
 
 
 def test_numeric_meta(spark):
@@ -186,6 +198,20 @@ def test_hot_group_keeps_every_value(spark):
     assert values.count() == 20
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_conflicts_without_a_cap_see_every_object_of_a_group(spark, seed):
+    rng = random.Random(seed)
+    rows = [triple(i, rng.choice("AB"), "p", rng.choice(["x", "y ", "z", "y", " x", *map(str, range(40))]), prob=rng.choice([0.2, 0.5, 0.9]), clause=rng.choice(["5", "5.1", "5.1.2"])) for i in range(150)]
+    df = spark.createDataFrame(rows, TRIPLE)
+    got = {(r["aligned_name"], r["a"]["object"], r["b"]["object"].strip()) for r in gb.conflict_pairs(df, cap=None).collect()}
+    want = set()
+    for name in "AB":
+        own = [r for r in df.collect() if r["aligned_name"] == name]
+        lead = min(own, key=lambda r: (-r["relation_prob"], -len(r["source_clause"] or ""), r["ord"]))
+        want |= {(name, lead["object"], o) for o in {r["object"].strip() for r in own} - {lead["object"].strip()}}
+    assert got == want and len(got) > 30
+
+
 def test_edges_merge_in_order_with_counts_of_the_same_pass(spark):
     from kpiscope.operators import graph_query as gq
 

@@ -248,6 +248,22 @@ def test_pooled_learners(spark, kind):
     assert len(got) == 6 and all(5 < p < 40 for p in got)
 
 
+def test_hours_past_the_panel_and_other_event_types_stay(spark, tmp_path):
+    import datetime
+
+    from kpiscope.sources.tables import event_panel
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(1, kind, start + datetime.timedelta(hours=h), float(h)) for kind in ("view", "sixth") for h in (3, 700, 719, 725, 760)]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {k: {} for k in ("view", "sixth")}
+    for r in event_panel(spark, str(tmp_path)).collect():
+        assert r["t"] not in got[r["kpi"]]
+        got[r["kpi"]][r["t"]] = r["value"]
+    want = {t: 0.0 if t < 3 else 3.0 if t < 700 else 700.0 if t < 719 else 719.0 for t in range(725)} | {t: 725.0 for t in range(725, 760)} | {760: 760.0}
+    assert got == {"view": want, "sixth": want}
+
+
 def test_panel_adapter_fills_gaps(spark, sf):
     from kpiscope.sources.tables import PANEL_HOURS, event_panel
 

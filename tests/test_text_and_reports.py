@@ -87,6 +87,23 @@ def test_resamples_are_poisson_draws_of_stations(spark):
     assert {(r["comparison"], r["rep"]): pytest.approx(r["mean"]) for r in got} == {(r["comparison"], r["rep"]): r["mean"] for r in again}
 
 
+@pytest.mark.parametrize(("value", "want"), [("4", 0.75), ("4.7", 0.75), ('"4"', 0.75), ('"4.7"', None), ('"x"', None), ("6", None), ("null", None)])
+def test_scores_in_strings_are_whole_numbers(spark, value, want):
+    df = spark.createDataFrame([(f'{{"score": {value}}}',)], "answer string")
+    assert judge.parse_answers(df).first()["score"] == want
+
+
+def test_hours_are_ordered_by_date_and_checked(spark, tmp_path):
+    head, kpis = "DATE,HOUR,raw a", {"raw a": "a"}
+    (tmp_path / "s1.csv").write_text("\n".join([head, "2024-1-10,0,3", "2024-1-9,1,2", "2024-1-9,0,1"]))
+    got = station_files.read_wide(spark, str(tmp_path / "s1.csv"), kpis, 3).orderBy("t").collect()
+    assert [r["a"] for r in got] == [1.0, 2.0, 3.0]
+    for bad, message in (("2024-1-9,0,9", "twice"), ("soon,0,9", "cannot be read")):
+        (tmp_path / "bad.csv").write_text("\n".join([head, "2024-1-9,0,1", "2024-1-9,1,2", bad]))
+        with pytest.raises(Exception, match=message):
+            station_files.read_wide(spark, str(tmp_path / "bad.csv"), kpis, 3).collect()
+
+
 def test_wilcoxon_methods(spark):
     d = pairs(spark, [1, 2, 3, -4, 5, 6, -7, 8])
     exact, approx = (stats.wilcoxon(d, m).first()["p_value"] for m in ("exact", "approx"))
