@@ -46,10 +46,11 @@ def _series(panel: DataFrame, split: int, step_h: int, season: int, contexts: Se
     border = past & (context % step_h == 0)
     if contexts is not None:
         border = border & context.isin([int(c) for c in contexts])
-    level = F.struct(F.lit(HISTORY_MEAN).alias("model"), context.cast("int").alias("context_h"), (F.col("_suffix") / context).alias("pred"))
+    level = F.struct(F.lit(0).alias("model"), context.cast("int").alias("context_h"), (F.col("_suffix") / context).alias("pred"))
     recent = past & (F.col("t") >= split - season)
     return marked.groupBy(*SERIES).agg(
         F.collect_list(F.when(border, level)).alias("levels"),
+        F.max(F.when(border, context)).cast("int").alias("longest"),
         F.avg(F.when(past, F.col("_step"))).alias("scale"),
         F.transform(F.array_sort(F.collect_list(F.when(recent, F.struct("t", "value")))), lambda x: x["value"]).alias("season"),
         F.avg(F.when(recent, F.col("value"))).alias("recent"),
@@ -65,12 +66,12 @@ def sweep_scores(panel: DataFrame, split: int, step_h: int = 24, season: int = 2
     if step_h % season:
         raise ValueError("a context must hold whole seasons")
     fixed = {"window_average": F.col("recent"), "seasonal_naive": F.get("season", F.col("h") % season)}
+    names = [HISTORY_MEAN, *fixed]  # models are numbers until the end, so that sums are kept in plain fields
     rows = _series(panel, split, step_h, season, contexts)
-    hours = rows.select(*SERIES, "scale", "levels", "season", "recent", F.inline("truth"))
-    once = [F.struct(F.lit(m).alias("model"), F.lit(None).cast("int").alias("context_h"), fixed[m].alias("pred")) for m in models if m != HISTORY_MEAN]
+    hours = rows.select(*SERIES, "scale", "levels", "longest", "season", "recent", F.inline("truth"))
+    once = [F.struct(F.lit(names.index(m)).alias("model"), F.lit(None).cast("int").alias("context_h"), fixed[m].alias("pred")) for m in models if m != HISTORY_MEAN]
     forecasts = F.concat(F.col("levels"), F.array(*once)) if HISTORY_MEAN in models and once else F.array(*once) if once else F.col("levels")
-    every = F.transform("levels", lambda x: x["context_h"])
-    fan = hours.select(*SERIES, "scale", "truth", every.alias("every"), F.inline(forecasts))
+    fan = hours.select(*SERIES, "scale", "truth", "longest", F.inline(forecasts))
     error = F.col("pred") - F.col("truth")
     total = F.abs("pred") + F.abs("truth")
     scored = fan.groupBy(*SERIES, "model", "context_h").agg(
@@ -78,12 +79,14 @@ def sweep_scores(panel: DataFrame, split: int, step_h: int = 24, season: int = 2
         F.avg(error * error).alias("mse"),
         F.coalesce(F.avg(F.when(total > 1e-8, 2 * F.abs(error) / total)) * 100, F.lit(0.0)).alias("smape"),
         (F.max("truth") - F.min("truth")).alias("_range"),
-        F.first("scale").alias("scale"),
-        F.first("every").alias("_every"),
+        F.max("scale").alias("scale"),
+        F.max("longest").alias("_longest"),
     )
-    asked: Column = F.when(F.col("context_h").isNull(), F.col("_every")).otherwise(F.array("context_h"))
-    out = scored.withColumn("rmse", F.sqrt("mse")).select(
-        "model", F.explode(asked).alias("context_h"), *SERIES, "smape", "mae", "rmse",
+    every = F.sequence(F.lit(step_h), F.col("_longest"), F.lit(step_h))
+    if contexts is not None:
+        every = F.filter(F.array(*[F.lit(int(c)) for c in sorted(contexts) if c % step_h == 0]), lambda c: c <= F.col("_longest"))
+    asked: Column = F.when(F.col("context_h").isNull(), every).otherwise(F.array("context_h"))
+    return scored.withColumn("rmse", F.sqrt("mse")).select(
+        F.get(F.array(*[F.lit(m) for m in names]), F.col("model")).alias("model"), F.explode(asked).alias("context_h"), *SERIES, "smape", "mae", "rmse",
         safe_ratio(F.col("mae"), F.col("scale"), 1e-8).alias("mase"), safe_ratio(F.col("rmse"), F.col("_range"), 1e-8).alias("nrmse"),
     )
-    return out
