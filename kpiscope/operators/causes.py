@@ -35,20 +35,21 @@ def _event_edges(events: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def overlapping(targets: DataFrame, sources: DataFrame, keys: list[str], bucket_h: int = BUCKET_HOURS) -> DataFrame:
-    """Pairs of rows with equal keys whose intervals (a, b) and (c, d), ends included, share an hour.
+    """Rows of targets beside those of sources with equal keys, and `meets`: their intervals (a, b) and (c, d), ends included, share an hour.
 
     Both sides list the buckets of time that their interval touches, and the bucket is part of the equality, so a row meets
-    only what lies near it. A pair that shares several buckets is kept in that of the first shared hour alone.
+    only what lies near it. A pair that shares several buckets meets in that of the first shared hour alone. Targets without any source
+    near them stay, with nulls.
     """
     touched = lambda first, last: F.explode(F.sequence(F.floor(F.col(first) / bucket_h), F.floor(F.col(last) / bucket_h)))
     left = targets.withColumn("_bucket", touched("a", "b"))
     right = sources.withColumn("_bucket", touched("c", "d"))
-    met = left.join(right, [*keys, "_bucket"]).filter((F.col("c") <= F.col("b")) & (F.col("a") <= F.col("d")))
-    return met.filter(F.floor(F.greatest("a", "c") / bucket_h) == F.col("_bucket")).drop("_bucket", "a", "b", "c", "d")
+    share = (F.col("c") <= F.col("b")) & (F.col("a") <= F.col("d")) & (F.floor(F.greatest("a", "c") / bucket_h) == F.col("_bucket"))
+    return left.join(right, [*keys, "_bucket"], "left").withColumn("meets", F.coalesce(share, F.lit(False))).drop("_bucket", "a", "b", "c", "d")
 
 
-def concurrent(events: DataFrame, edges: DataFrame, window: int = 6, bucket_h: int = BUCKET_HOURS) -> DataFrame:
-    """Strongest source event whose widened window touches the target event.
+def edge_evidence(events: DataFrame, edges: DataFrame, window: int = 6, bucket_h: int = BUCKET_HOURS) -> DataFrame:
+    """Every event with every edge that points at its KPI, and `s`: the strongest source event whose widened window touches it, or null.
 
     An interval join by buckets of time: for a fixed window its work grows with a station's events, not with their square,
     unless they lie in the same hours.
@@ -57,70 +58,58 @@ def concurrent(events: DataFrame, edges: DataFrame, window: int = 6, bucket_h: i
     src = events.filter("kpi <> 'MULTI'").select(
         F.col("station_id"),
         F.col("kpi").alias("source_kpi"),
-        F.struct(
-            F.col("type"),
-            F.col("t_start"),
-            F.col("t_end"),
-            F.col("magnitude"),
-            F.col("z_score"),
-            F.col("direction"),
-            F.col("event_idx"),
-        ).alias("s"),
+        F.struct("type", "t_start", "t_end", "magnitude", "z_score", "direction", "event_idx").alias("s"),
         (F.col("t_start") - window).alias("c"),
         (F.col("t_end") + window).alias("d"),
     )
-    pairs = overlapping(targets, src, ["station_id", "source_kpi"], bucket_h)
-    best = pairs.groupBy("station_id", "event_idx", "edge_ord").agg(
-        F.max_by(
-            F.struct("source_kpi", "relation_type", "strength", "direction", "t_start", "s"),
-            F.struct(F.abs("s.z_score"), -F.col("s.event_idx")),
-        ).alias("b")
-    )
-    return best.select(
-        "station_id",
-        "event_idx",
-        "edge_ord",
-        "b.source_kpi",
-        "b.relation_type",
-        "b.strength",
-        F.col("b.direction").alias("target_direction"),
-        F.col("b.s.type").alias("src_type"),
-        F.col("b.s.t_start").alias("src_t_start"),
-        F.col("b.s.t_end").alias("src_t_end"),
-        settle("b.s.magnitude", 4).alias("src_magnitude"),
-        settle("b.s.z_score", 3).alias("src_z_score"),
-        F.col("b.s.direction").alias("src_direction"),
-        (F.col("b.s.t_start") - F.col("b.t_start")).alias("lag_hours"),
-    ).withColumn("consistent", direction_consistency("relation_type", "src_direction", "target_direction"))
-
-
-def background(events: DataFrame, edges: DataFrame, marks: DataFrame, found: DataFrame, min_z: float = 1.5) -> DataFrame:
-    """Edges without a concurrent event whose source KPI is off during the event anyway.
-
-    Events list their hours and meet the forecast marks on (station, kpi, hour), an equality join
-    in place of a range join. The marks already carry the baseline moments.
+    met = overlapping(targets, src, ["station_id", "source_kpi"], bucket_h)
+    own = F.struct("source_kpi", "relation_type", "strength", "direction", "t_start", "t_end")
+    best = met.groupBy("station_id", "event_idx", "edge_ord").agg(
+        F.max(own).alias("own"), F.max_by("s", F.when(F.col("meets"), F.struct(F.abs("s.z_score"), -F.col("s.event_idx")))).alias("s")
+    )  # own is the same on all rows of an event and edge
+    return best.select("station_id", "event_idx", "edge_ord", "own.*", "s")
+
+
+#: What tells of a source event, in the columns of a cause.
+_EVIDENCE = ("src_type", "src_t_start", "src_t_end", "src_magnitude", "src_z_score", "src_direction", "lag_hours")
+
+
+def _with_evidence(rows: DataFrame) -> DataFrame:
+    s = F.col("s")
+    values = (s["type"], s["t_start"], s["t_end"], settle(s["magnitude"], 4), settle(s["z_score"], 3), s["direction"], s["t_start"] - F.col("t_start"))
+    named = rows.withColumns({n: F.when(s.isNotNull(), v) for n, v in zip(_EVIDENCE, values, strict=True)}).withColumnRenamed("direction", "target_direction")
+    fits = direction_consistency("relation_type", "src_direction", "target_direction")
+    return named.withColumn("consistent", F.when(s.isNotNull(), fits))
+
+
+def concurrent(events: DataFrame, edges: DataFrame, window: int = 6, bucket_h: int = BUCKET_HOURS) -> DataFrame:
+    """Edges with a concurrent source event, the strongest one."""
+    return _with_evidence(edge_evidence(events, edges, window, bucket_h).filter("s is not null")).drop("s", "t_start", "t_end")
+
+
+def weighed(evidence: DataFrame, marks: DataFrame, min_z: float = 1.5) -> DataFrame:
+    """Causes: edges with a concurrent event (has_concurrent 1), and those without whose source KPI is off during the event anyway (0).
+
+    Open edges list their event's hours and meet the forecast marks on (station, kpi, hour), an equality join in place of a
+    range join. Closed ones go through with one empty hour, so events are read once for both. The marks carry the baseline moments.
     """
-    open_edges = _event_edges(events, edges).join(
-        found.select("station_id", "event_idx", "edge_ord"), ["station_id", "event_idx", "edge_ord"], "left_anti"
-    )
-    hours = open_edges.select(
-        "station_id",
-        "event_idx",
-        "edge_ord",
-        "source_kpi",
-        "relation_type",
-        "strength",
-        F.explode(F.sequence("t_start", "t_end")).alias("h"),
-    )
+    hours = F.when(F.col("s").isNull(), F.sequence("t_start", "t_end"))
+    rows = _with_evidence(evidence).select("*", F.explode_outer(hours).alias("h"))
     f = marks.select("station_id", F.col("kpi").alias("source_kpi"), "h", "pred", "mu", "sd")
-    during = (
-        hours.join(f, ["station_id", "source_kpi", "h"])
-        .groupBy("station_id", "event_idx", "edge_ord", "source_kpi", "relation_type", "strength")
-        .agg(F.avg("pred").alias("mean_during_event"), F.max("mu").alias("baseline_mean"), F.max("sd").alias("_sd"))
+    keys = ["station_id", "event_idx", "edge_ord"]
+    own = ["source_kpi", "relation_type", "strength", "target_direction", *_EVIDENCE, "consistent"]
+    during = rows.join(f, ["station_id", "source_kpi", "h"], "left").groupBy(*keys, *own).agg(
+        F.avg("pred").alias("mean_during_event"), F.max("mu").alias("baseline_mean"), F.max("sd").alias("_sd")
     )
     spread = F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))
-    z = (F.col("mean_during_event") - F.col("baseline_mean")) / spread
-    return during.withColumn("z_deviation", z).filter(F.abs("z_deviation") >= min_z).drop("_sd")
+    out = during.withColumn("z_deviation", (F.col("mean_during_event") - F.col("baseline_mean")) / spread)
+    out = out.withColumn("has_concurrent", F.col("src_type").isNotNull().cast("int"))
+    return out.filter((F.col("has_concurrent") == 1) | (F.abs("z_deviation") >= min_z)).drop("_sd")
+
+
+def background(events: DataFrame, edges: DataFrame, marks: DataFrame, min_z: float = 1.5) -> DataFrame:
+    """Edges without a concurrent event whose source KPI is off during the event anyway."""
+    return weighed(edge_evidence(events, edges), marks, min_z).filter("has_concurrent = 0")
 
 
 def multi_causes(events: DataFrame, edges: DataFrame, top_k: int = 5) -> DataFrame:
@@ -147,11 +136,8 @@ def multi_causes(events: DataFrame, edges: DataFrame, top_k: int = 5) -> DataFra
     )
 
 
-def rank_causes(found: DataFrame, quiet: DataFrame, top_k: int = 5) -> DataFrame:
+def rank_causes(causes: DataFrame, top_k: int = 5) -> DataFrame:
     """Concurrent causes first, then by strength, z, small lag and consistency; best five per event."""
-    both = found.withColumn("has_concurrent", F.lit(1)).unionByName(
-        quiet.withColumn("has_concurrent", F.lit(0)), allowMissingColumns=True
-    )
     w = Window.partitionBy("station_id", "event_idx").orderBy(
         F.col("has_concurrent").desc(),
         strength_rank().desc(),
@@ -160,14 +146,12 @@ def rank_causes(found: DataFrame, quiet: DataFrame, top_k: int = 5) -> DataFrame
         F.coalesce(F.col("consistent").cast("int"), F.lit(0)).desc(),
         "edge_ord",
     )
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
+    return causes.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
 
 
 def infer(events: DataFrame, edges: DataFrame, marks: DataFrame, top_k: int = 5) -> DataFrame:
     """Ranked candidate causes of every event of every station."""
-    found = concurrent(events, edges)
-    quiet = background(events, edges, marks, found)
-    single = rank_causes(found, quiet, top_k).withColumn("shared_mechanism", F.lit(False))
+    single = rank_causes(weighed(edge_evidence(events, edges), marks), top_k).withColumn("shared_mechanism", F.lit(False))
     joint = multi_causes(events, edges, top_k).drop("target_kpi").withColumn("shared_mechanism", F.lit(True))
     return single.unionByName(joint, allowMissingColumns=True)
 

@@ -210,15 +210,13 @@ def cause_direction(spark, sf):
 )
 def cause_background(spark, sf):
     events, e = all_ranked(spark, sf), edges(spark)
-    out = cz.background(events, e, _marks(spark, sf), cz.concurrent(events, e))
+    out = cz.background(events, e, _marks(spark, sf))
     out = tidy(tidy(out, "mean_during_event", "baseline_mean"), "z_deviation", digits=3)
     return out.select("station_id", "event_idx", "source_kpi", "mean_during_event", "baseline_mean", "z_deviation")
 
 
-def _single(spark, sf, events=None):
-    events, e = events or all_ranked(spark, sf), edges(spark)
-    found = cz.concurrent(events, e)
-    return cz.rank_causes(found, cz.background(events, e, _marks(spark, sf), found))
+def _single(spark, sf):
+    return cz.rank_causes(cz.weighed(cz.edge_evidence(all_ranked(spark, sf), edges(spark)), _marks(spark, sf)))
 
 
 @query(

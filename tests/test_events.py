@@ -135,7 +135,7 @@ def test_background_cause(spark):
     line = events.timeline(
         spark.createDataFrame([("s", "RRC_Conn", h, 14.0 if 20 <= h <= 22 else 10.0) for h in range(168)], FC), alternating(spark, ["RRC_Conn"])
     )
-    r = causes.background(ev, edges, events.hour_marks(line), found).first()
+    r = causes.background(ev, edges, events.hour_marks(line)).first()
     assert r["z_deviation"] == pytest.approx(2.0)
     multi = causes.multi_causes(ev, edges).collect()
     assert [(m["source_kpi"], m["target_kpi"]) for m in multi] == [("RRC_Conn", "PRB_Util")]
@@ -150,7 +150,9 @@ def test_intervals_meet_once_by_buckets(spark, bucket_h):
         sides.append([(int(k), int(s), int(s + d), i) for i, (k, s, d) in enumerate(zip(rng.integers(0, 3, n), start, rng.integers(0, 30, n)))])
     left = spark.createDataFrame(sides[0], "k int, a int, b int, l int")
     right = spark.createDataFrame(sides[1], "k int, c int, d int, r int")
-    got = [(r["l"], r["r"]) for r in causes.overlapping(left, right, ["k"], bucket_h).collect()]
+    met = causes.overlapping(left, right, ["k"], bucket_h).collect()
+    got = [(r["l"], r["r"]) for r in met if r["meets"]]
+    assert {r["l"] for r in met} == set(range(60))
     want = {(i, j) for k, a, b, i in sides[0] for m, c, d, j in sides[1] if k == m and c <= b and a <= d}
     assert len(got) == len(want) and set(got) == want
 
