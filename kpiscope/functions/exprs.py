@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiscope.session import cut_lineage
+
 SERIES = ("station_id", "kpi")
 
 
@@ -110,6 +112,30 @@ def global_position(df: DataFrame, bucket: Column, order: list, name: str = "pos
     )
 
 
+def range_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Exact rank over the whole table (1-based) and the table size as `total`, for an order without ties.
+
+    Rows are sorted by ranges of all order columns, so rows that are equal in the first ones still spread over tasks. The sorted rows are
+    kept once, each with its partition and its place there; afterwards only one count per partition is added up.
+    """
+    kept = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    everything = Window.partitionBy(F.lit(0))
+    sizes = sizes.select(
+        "_part",
+        (F.sum("_size").over(everything.orderBy("_part")) - F.col("_size")).alias("_before"),
+        F.sum("_size").over(everything).alias("total"),
+    )  # one row per partition
+    return (
+        kept.withColumn("_part", part)
+        .withColumn("_within", within)
+        .join(sizes, "_part")
+        .withColumn(name, F.col("_before") + F.col("_within") + 1)
+        .drop("_at", "_part", "_before", "_within")
+    )
+
+
 def _literal(v) -> str:
     if v is None:
         return "NULL"

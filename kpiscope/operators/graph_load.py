@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.functions.exprs import col, first_per, global_position, has_any
+from kpiscope.functions.exprs import col, first_per, has_any, range_position
 
 # Canonical relation types, spellings mapped onto them, and their coupling sign.
 RELATION_TYPES = ("INCREASES", "DECREASES", "DETERMINES", "LIMITS", "CAUSES")
@@ -166,15 +166,53 @@ def relation_scores(rels: DataFrame, edges: DataFrame) -> DataFrame:
         .groupBy("source", "target", canonical_relation("relation_type").alias("relation_type"))
         .agg(F.max(F.coalesce("confidence", F.lit(1.0))).alias("_best"))
     )
-    base = _lookup({k: v[0] for k, v in STRENGTHS.items()}, F.col("strength"))
-    score = F.when(F.col("strength") == "extracted", F.coalesce("_best", F.lit(0.0))).otherwise(F.coalesce(base, F.lit(0.0)))
+    score = F.when(F.col("strength") == "extracted", F.coalesce("_best", F.lit(0.0))).otherwise(strength_score("strength"))
     return rels.join(conf, ["source", "target", "relation_type"], "left").withColumn("score", score).drop("_best")
 
 
-def drop_weakest(scored: DataFrame, fraction: float) -> DataFrame:
-    """Remove the weakest round(fraction * n) relationships; the stored order breaks ties."""
-    bucket = F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * 1024).cast("int")
-    ranked = global_position(scored, bucket, ["score", "source", "target", "relation_type"])
+def scored_relationships(edges: DataFrame, known: DataFrame, min_confidence: float = 0.7) -> DataFrame:
+    """relationships with the score of relation_scores, from one pass over the edges.
+
+    The first usable edge and the best confidence of a (source, target, type) are partial aggregates; the known names are
+    looked up for the groups, not for the edges.
+    """
+    conf, strength = F.coalesce("confidence", F.lit(1.0)), known_strength("strength")
+    blank = F.lit("")
+    kept = F.struct(
+        strength.alias("strength"),
+        conf.alias("confidence"),
+        F.nullif(F.col("condition"), blank).alias("condition"),
+        "reason",
+        F.nullif(F.col("spec_reference"), blank).alias("spec_reference"),
+    )
+    firm = (strength != "extracted") | (conf >= min_confidence)
+    groups = (
+        edges.filter(F.col("triple_type").isin(*RELATION_TRIPLES))
+        .withColumn("relation_type", canonical_relation("relation_type"))
+        .filter(F.col("relation_type").isin(*RELATION_TYPES))
+        .groupBy("source", "target", "relation_type")
+        .agg(F.min_by(kept, F.when(firm, F.col("ord"))).alias("_first"), F.max(conf).alias("_best"))
+        .filter("_first IS NOT NULL")
+    )
+    names = known.select("name").distinct()
+    groups = groups.join(names.select(F.col("name").alias("source")), "source", "left_semi").join(
+        names.select(F.col("name").alias("target")), "target", "left_semi"
+    )
+    rels = groups.select("source", "target", "relation_type", "_first.*", "_best")
+    return rels.withColumn("score", F.when(F.col("strength") == "extracted", F.col("_best")).otherwise(strength_score("strength"))).drop("_best")
+
+
+def strength_score(strength: str | Column) -> Column:
+    """Rank of a strength; an unknown one has none."""
+    return F.coalesce(_lookup({k: v[0] for k, v in STRENGTHS.items()}, col(strength)), F.lit(0.0))
+
+
+def drop_weakest(scored: DataFrame, fraction: float, stored: tuple[str, ...] = ("source", "target", "relation_type")) -> DataFrame:
+    """Remove the weakest round(fraction * n) rows by score; the stored order, which has no ties, decides between equal scores.
+
+    Serves relationships and, with stored = (source, target), directional rules.
+    """
+    ranked = range_position(scored, ["score", *stored])
     return ranked.filter(F.col("position") > F.bround(F.lit(fraction) * F.col("total"), 0)).drop("position", "total")
 
 

@@ -419,12 +419,24 @@ def kg_directional_rules(spark, sf):
     SELECT source, target, relation_type, strength, {rnd('score', 5)} AS score FROM p WHERE pos > round_even(0.3 * n, 0)""",
 )
 def kg_drop_fraction(spark, sf):
-    edges = nation_edges(spark, sf)
-    scored = gl.relation_scores(gl.relationships(edges, known(spark, sf), 0.95), edges)
+    scored = gl.scored_relationships(nation_edges(spark, sf), known(spark, sf), 0.95)
     out = gl.drop_weakest(scored, 0.3).select("source", "target", "relation_type", "strength", "score")
     return tidy(out, "score", digits=5)
 
 
+@query(
+    "kg_drop_rules",
+    E + """, sr AS (SELECT source, target, coupling, CASE WHEN strength = 'extracted' THEN 'moderate' ELSE strength END AS strength FROM rule),
+    p AS (SELECT *, row_number() OVER (ORDER BY CASE strength WHEN 'critical' THEN 1.0 WHEN 'strong' THEN 0.9 WHEN 'moderate' THEN 0.7 ELSE 0.5 END, source, target) AS pos, count(*) OVER () AS n FROM sr)
+    SELECT source, target, coupling, strength FROM p WHERE pos > round_even(0.3 * n, 0)""",
+)
+def kg_drop_rules(spark, sf):
+    """The weakest rules go by their strength, as relationships do."""
+    rules = gl.directional_rules(nation_edges(spark, sf), known(spark, sf), 0.95)
+    scored = rules.withColumn("score", gl.strength_score("strength"))
+    return gl.drop_weakest(scored, 0.3, ("source", "target")).select("source", "target", "coupling", "strength")
+
+
 @query("kg_related", E + "SELECT source, target, relation_type, 'affects' AS direction FROM rel WHERE source = 'NATION_3' UNION ALL SELECT source, target, relation_type, 'affected_by' FROM rel WHERE target = 'NATION_3'")
 def kg_related(spark, sf):
     return gq.related(rels(spark, sf), "NATION_3").select("source", "target", "relation_type", "direction")

@@ -244,3 +244,31 @@ def test_nodes_upsert_by_type(spark):
     assert got == {
         ("k", "KPI_SET"): ({"a": "9", "b": "2", "d": "4"}, "updated"), ("k", "ENTITY"): ({"z": "0"}, "created"), ("lone", "ENTITY"): ({}, "kept"), ("e", "ENTITY"): ({}, "created"),
     }
+
+
+def test_one_pass_scores_equal_the_joined_ones(spark):
+    rng = random.Random(5)
+    names = [f"K{i}" for i in range(9)]
+    kinds = ["increases", "ENABLES", "limits", "odd", None]
+    rows = [
+        edge(rng.choice(names), rng.choice(names), rng.choice(kinds), rng.choice(["critical", "extracted", None, "x"]), rng.choice([None, 0.2, 0.75, 0.9]), i)
+        for i in range(400)
+    ]
+    edges = spark.createDataFrame(rows, EDGE)
+    known = spark.createDataFrame([(n,) for n in names[:7]] * 2, "name string")
+    two = gl.relation_scores(gl.relationships(edges, known, 0.7), edges)
+    one = gl.scored_relationships(edges, known, 0.7)
+    order = ["source", "target", "relation_type"]
+    assert one.columns == two.columns
+    assert one.orderBy(*order).collect() == two.orderBy(*order).collect()
+    assert one.count() > 20
+
+
+def test_range_position_counts_ties_and_empty_tables(spark):
+    from kpiscope.functions.exprs import range_position
+
+    df = spark.range(5000).select((F.col("id") % 2).alias("score"), F.col("id").alias("name"))
+    got = [(r["score"], r["name"], r["position"], r["total"]) for r in range_position(df, ["score", "name"]).orderBy("position").collect()]
+    want = sorted((i % 2, i) for i in range(5000))
+    assert got == [(s, n, k, 5000) for k, (s, n) in enumerate(want, 1)]
+    assert range_position(df.filter("name < 0"), ["score", "name"]).count() == 0
