@@ -11,6 +11,7 @@ from kpiscope.operators import graph_query as gq
 from kpiscope.plans import inputs as src
 from kpiscope.plans.on_profiles import tidy
 from kpiscope.plans.registry import FORECAST, query, rnd, rnd_wide
+from kpiscope.session import scratch_folder
 from kpiscope.sources.tables import load
 
 
@@ -301,12 +302,24 @@ def kg_stats(spark, sf):
     return gb.graph_stats(gb.node_types(d), gb.graph_edges(d))
 
 
-@query("sink_kg", GRAPH + "SELECT (SELECT count(*) FROM ntype) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")
+@query(
+    "sink_kg",
+    GRAPH + """SELECT 'node' AS what, node_type AS name, count(*) AS n, NULL AS mean_quality FROM ntype GROUP BY 2
+    UNION ALL SELECT 'edge', relation_type, count(*), """ + rnd("avg(quality_score)", 5) + """ FROM edges GROUP BY 2
+    UNION ALL SELECT 'metadata', 'num_nodes', (SELECT count(*) FROM ntype), NULL UNION ALL SELECT 'metadata', 'num_edges', (SELECT count(*) FROM edges), NULL""",
+)
 def sink_kg(spark, sf):
-    from kpiscope.sources.graph_files import graph_counts
+    """The graph written with its metadata, and what the written tables hold."""
+    from kpiscope.sources.graph_files import read_written_graph, write_graph
 
+    path = scratch_folder(spark, "kg")
     d = deduped(spark, sf)
-    return graph_counts(gb.node_types(d), gb.graph_edges(d))
+    write_graph(gb.node_types(d), gb.graph_edges(d), path)
+    g = read_written_graph(spark, path)
+    nodes = g["nodes"].groupBy(F.col("node_type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "name", "n")
+    edges = g["edges"].groupBy(F.col("relation_type").alias("name")).agg(F.count("*").alias("n"), settle(F.avg("quality_score"), 5).alias("mean_quality"))
+    sizes = g["metadata"].select(F.lit("metadata").alias("what"), F.expr("stack(2, 'num_nodes', num_nodes, 'num_edges', num_edges) AS (name, n)"))
+    return nodes.unionByName(edges.withColumn("what", F.lit("edge")), allowMissingColumns=True).unionByName(sizes, allowMissingColumns=True)
 
 
 # KPI-level edges between nations, told by who ships to whom.

@@ -11,6 +11,8 @@ from kpiscope.plans import inputs as src
 from kpiscope.plans.on_events import EVENTS, all_ranked
 from kpiscope.plans.on_profiles import tidy
 from kpiscope.plans.registry import PANEL, query, rnd
+from kpiscope.session import scratch_folder
+from kpiscope.sources import sensitivity_files
 from kpiscope.sources.tables import PANEL_KPIS, SPLIT_HOUR
 
 def response(spark):
@@ -225,10 +227,13 @@ FLAT_SELECT = f"""SELECT 'global' AS scope, station_id, src AS source, tgt AS ta
     UNION ALL SELECT 'local', station_id, src, tgt, NULL, CAST(event_idx AS INTEGER), {rnd('s_raw', 5)}, {rnd('s_norm', 5)}, {MAG.format(s='s_norm')} FROM lcn"""
 
 
-def flat_table(spark, sf):
+def flat_rows(spark, sf):
     g = sn.normalize(coupled(spark, sf), caps(spark))
-    out = sn.flatten(g, sn.normalize(local_of(spark, sf), caps(spark)))
-    out = out.select(
+    return sn.flatten(g, sn.normalize(local_of(spark, sf), caps(spark)))
+
+
+def flat_table(spark, sf):
+    out = flat_rows(spark, sf).select(
         "scope",
         "station_id",
         F.col("src").alias("source"),
@@ -247,11 +252,20 @@ query("pt_flatten", FLAT + FLAT_SELECT)(flat_table)
 
 @query(
     "sink_sensitivity",
-    FLAT + f", f AS ({FLAT_SELECT}) SELECT scope, magnitude, count(*) AS n_rows, {rnd('max(abs(s_norm))', 4)} AS largest FROM f GROUP BY 1, 2",
+    FLAT + f", f AS ({FLAT_SELECT}) SELECT scope, magnitude, count(*) AS n_rows, count(DISTINCT station_id) AS n_stations, {rnd('max(abs(s_norm))', 4)} AS largest FROM f GROUP BY 1, 2"
+    " UNION ALL SELECT 'summary', 'table', count(DISTINCT src), count(DISTINCT station_id), NULL FROM nrm",
 )
 def sink_sensitivity(spark, sf):
-    return (
-        flat_table(spark, sf)
-        .groupBy("scope", "magnitude")
-        .agg(F.count("*").alias("n_rows"), settle(F.max(F.abs("s_norm")), 4).alias("largest"))
+    """The three files written, and what they hold: rows by magnitude, and one table per station."""
+    path = scratch_folder(spark, "sensitivity")
+    sensitivity_files.write_sensitivity(flat_rows(spark, sf), list(PANEL_KPIS), path)
+    back = sensitivity_files.read_sensitivity(spark, path)
+    wanted = ["scope", "station_id", "magnitude", settle("S_norm", 5).alias("S_norm")]
+    rows = back["global"].select(*wanted).unionByName(back["local"].select(*wanted))
+    counts = rows.groupBy("scope", "magnitude").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("station_id").alias("n_stations"), settle(F.max(F.abs("S_norm")), 4).alias("largest")
     )
+    text = spark.read.text(f"{path}/sensitivity_summary")
+    lines = text.filter("value LIKE '| %' AND value NOT LIKE '| Source |%'").select("station_id", F.split("value", " ")[1].alias("src"))
+    tables = lines.agg(F.lit("summary").alias("scope"), F.lit("table").alias("magnitude"), F.count_distinct("src").alias("n_rows"), F.count_distinct("station_id").alias("n_stations"))
+    return counts.unionByName(tables, allowMissingColumns=True)

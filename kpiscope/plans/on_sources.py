@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from kpiscope.functions.exprs import settle
 from kpiscope.operators import forecast as fc
 from kpiscope.operators import graph_build as gb
+from kpiscope.operators import graph_load as gl
 from kpiscope.operators import lag_models
 from kpiscope.plans import inputs as src
-from kpiscope.plans.on_audit import reports
 from kpiscope.plans.on_events import COLS, EVENTS, show, top_events
-from kpiscope.plans.on_graph import GRAPH, T, deduped, validated
+from kpiscope.plans.on_graph import CH, GRAPH, T, chain_tables, deduped, validated
 from kpiscope.plans.on_metrics import SCORES, station_metrics
 from kpiscope.plans.on_profiles import tidy
 from kpiscope.plans.registry import FORECAST, PANEL, query, rnd
@@ -66,20 +66,39 @@ def scan_metric_json(spark, sf):
     return results.read_metric_files(spark, path)
 
 
-@query("scan_kg_json", GRAPH + "SELECT 'edge' AS what, relation_type AS name, count(*) AS n FROM edges GROUP BY 2 UNION ALL SELECT 'node', node_type, count(*) FROM ntype GROUP BY 2")
+@query(
+    "scan_kg_json",
+    GRAPH + ", " + CH.removeprefix("WITH ") + """SELECT 'edge' AS what, relation_type AS name, count(*) AS n FROM edges GROUP BY 2 UNION ALL SELECT 'node', node_type, count(*) FROM ntype GROUP BY 2
+    UNION ALL SELECT 'node', 'Chain', count(*) FROM ch WHERE population = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'chain', name, n_steps FROM cs JOIN (SELECT name, min(population) AS p FROM cs GROUP BY 1) f USING (name) WHERE population = p
+      QUALIFY row_number() OVER (PARTITION BY name ORDER BY chain_id) = 1""",
+)
 def scan_kg_json(spark, sf):
-    """Graph written as node-link lines, one document per source node, and read back."""
+    """Graph and chains written as node-link lines and read back.
+
+    The edges of a pair of nodes share a document, under `edges` or `links`. Chains are nodes or stand at the top level, one to a document;
+    of equal names the node comes first, then the earlier one.
+    """
     path = scratch_folder(spark, "graph")
     d = deduped(spark, sf)
-    edges = gb.graph_edges(d).select(F.struct("source", "target", "relation_type", "triple_type").alias("e"), F.xxhash64("source", "target").alias("k"))
-    nodes = gb.node_types(d).select(F.struct(F.col("node_id").alias("id"), "node_type").alias("n"), F.xxhash64("node_id").alias("k"))
-    # one small document per element keeps every list bounded
-    edges.select(F.array("e").alias("links")).write.json(f"{path}/edges")
-    nodes.select(F.array("n").alias("nodes")).write.json(f"{path}/nodes")
+    pair = gb.graph_edges(d).groupBy("source", "target").agg(F.collect_list(F.struct("source", "target", "relation_type", "triple_type")).alias("all"))
+    new = F.xxhash64("source", "target") % 2 == 0
+    pair.select(F.when(new, F.col("all")).alias("edges"), F.when(~new, F.col("all")).alias("links")).write.json(f"{path}/edges")
+    gb.node_types(d).select(F.array(F.struct(F.col("node_id").alias("id"), "node_type")).alias("nodes")).write.json(f"{path}/nodes")
+    chains, steps = chain_tables(spark, sf)
+    listed = steps.groupBy("chain_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step_no", "step"))), lambda s: s["step"]).alias("steps"))
+    full = chains.join(listed, "chain_id", "left")
+    told = F.struct("name", "description", "steps", F.col("trigger").alias("trigger_condition"))
+    node = F.struct(F.col("chain_id").cast("string").alias("id"), F.lit("CausalChain").alias("node_type"), "name", "description", "steps", F.col("trigger").alias("trigger_condition"))
+    own = F.col("population") == 0
+    lines = full.select("chain_id", F.when(own, F.array(node)).alias("nodes"), F.when(~own, F.array(told)).alias("causal_chains"))
+    lines.orderBy("chain_id").drop("chain_id").write.json(f"{path}/chains")
     g = graph_files.read_graph(spark, f"{path}/*", multiline=False)
     e = g["edges"].groupBy(F.col("relation_type").alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit("edge"))
-    n = g["nodes"].groupBy(F.col("node_type").alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit("node"))
-    return e.unionByName(n)
+    kind = F.when(F.col("_c"), "Chain").otherwise(F.col("node_type"))
+    n = g["nodes"].withColumn("_c", F.col("name").isNotNull()).groupBy(kind.alias("name")).agg(F.count("*").alias("n")).withColumn("what", F.lit("node"))
+    c = gl.causal_chains(g["chains"], g["steps"]).select("name", F.col("n_steps").alias("n"), F.lit("chain").alias("what"))
+    return e.unionByName(n).unionByName(c)
 
 
 @query(
@@ -109,33 +128,43 @@ def scan_event_csv(spark, sf):
 
 @query(
     "scan_run_results",
-    """SELECT 'run_' || o_orderstatus || '_' || o_orderpriority AS run_name, o_orderstatus AS model_family, 'a' AS kpi, count(*) / 100.0::DOUBLE AS mae FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderstatus, o_orderpriority""",
+    """WITH r AS (SELECT 'run_' || o_orderstatus || '_' || o_orderpriority AS run_name, o_orderstatus AS model_family, count(*) AS c FROM orders GROUP BY ALL)
+    SELECT run_name, model_family, kpi, (c / 100.0)::DOUBLE AS mae, (c / d)::DOUBLE AS smape FROM r, (VALUES ('a', 2.0), ('b', 4.0)) k(kpi, d)""",
 )
 def scan_run_results(spark, sf):
-    """Run documents per order status and priority, selected by family and name prefix."""
+    """A result document per order status and priority, in the folder of its run, and all runs of the prefix read back."""
     path = scratch_folder(spark, "runs")
-    runs = load(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg((F.count("*") / 100).alias("mae"))
-    cell = F.struct(F.lit(1.0).alias("sMAPE"), F.lit(1.0).alias("MASE"), F.lit(1.0).alias("nRMSE"), F.col("mae").alias("MAE"))
+    runs = load(spark, sf, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").cast("double").alias("c"))
+
+    def cell(divisor: float):
+        return F.struct((F.col("c") / divisor).alias("sMAPE"), (F.col("c") / 100).alias("MAE"))
+
     docs = runs.select(
         F.concat_ws("_", F.lit("run"), "o_orderstatus", "o_orderpriority").alias("run_name"),
         F.struct(F.col("o_orderstatus").alias("model_family")).alias("model"),
-        F.struct(F.create_map(F.lit("a"), cell).alias("per_kpi")).alias("test"),
+        F.struct(F.create_map(F.lit("a"), cell(2.0), F.lit("b"), cell(4.0)).alias("per_kpi")).alias("test"),
     )
-    docs.write.json(path)
-    back = results.run_rows(spark.read.schema("run_name string, " + results.RUN_SCHEMA).json(path), family="F", prefix="run_")
-    return back.select("run_name", "model_family", "kpi", F.col("MAE").alias("mae"))
+    results.write_run_documents(docs, path)
+    back = results.read_run_results(spark, path, prefix="run_", files="part-*")
+    return back.select("run_name", "model_family", "kpi", F.col("MAE").alias("mae"), F.col("sMAPE").alias("smape"))
 
 
 @query(
     "scan_reports",
-    "SELECT CAST(doc_id // 2 AS VARCHAR) AS station_id, CAST(doc_id % 2 AS VARCHAR) AS arm, count(*) AS n FROM documents GROUP BY 1, 2",
+    "SELECT CAST(doc_id // 2 AS VARCHAR) AS station_id, CASE doc_id % 2 WHEN 0 THEN 'arm off' ELSE 'arm/on' END AS arm, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS report_md5 FROM documents",
 )
 def scan_reports(spark, sf):
-    """Reports kept as a table partitioned by station and arm, as run folders are."""
+    """Texts as reports in a folder per station and arm, read back whole."""
     path = scratch_folder(spark, "reports")
-    reports(spark, sf).write.parquet(path)
-    back = spark.read.parquet(path)
-    return back.groupBy(F.col("station_id").cast("string").alias("station_id"), F.col("arm").cast("string").alias("arm")).agg(F.count("*").alias("n"))
+    d = F.col("doc_id")
+    report_files.write_reports(
+        load(spark, sf, "documents").select(
+            F.floor(d / 2).alias("station_id"), F.when(d % 2 == 0, "arm off").otherwise("arm/on").alias("arm"), F.col("text").alias("report")
+        ),
+        path,
+    )
+    back = report_files.read_written_reports(spark, path)
+    return back.select("station_id", "arm", F.length("report").cast("long").alias("n_chars"), F.md5(F.col("report").cast("binary")).alias("report_md5"))
 
 
 @query(

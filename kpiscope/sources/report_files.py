@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kpiscope.sources.paths import folder
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(station_id, arm, report) from <station>/<arm>/explanation.md files."""
-    pattern = r"([^/]+)/([^/]+)/explanation\.md$"
+
+def read_reports(spark: SparkSession, path: str, files: str = "explanation.md") -> DataFrame:
+    """(station_id, arm, report) from <station>/<arm>/explanation.md files, each text whole."""
     return (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "explanation.md")
+        .option("pathGlobFilter", files)
         .text(path, wholetext=True)
-        .select(
-            F.regexp_extract("_metadata.file_path", pattern, 1).alias("station_id"),
-            F.regexp_extract("_metadata.file_path", pattern, 2).alias("arm"),
-            F.col("value").alias("report"),
-        )
+        .select(folder(2).alias("station_id"), folder(1).alias("arm"), F.col("value").alias("report"))
     )
 
 
+def write_reports(reports: DataFrame, path: str) -> None:
+    """A folder for each station and arm, as explanation runs leave them; read_written_reports reads it.
+
+    Files are named by Spark, so a task that runs twice leaves one of them. A report ends with a line break; a missing one is empty.
+    """
+    rows = reports.select("station_id", "arm", F.coalesce("report", F.lit("")).alias("value"))
+    rows.repartition("station_id").write.mode("overwrite").partitionBy("station_id", "arm").text(path)
+
+
+def read_written_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(station_id, arm, report) of write_reports, without the closing line break."""
+    return read_reports(spark, path, "part-*").withColumn("report", F.regexp_replace("report", r"\n\z", ""))
+
+
 def _score(c: str) -> Column:
     """Number, with the usual spellings of a missing one."""
     return F.when(~F.col(c).isin("", "nan", "None", "null"), F.col(c)).try_cast("double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kpiscope.functions.exprs import require, settle
 from kpiscope.operators.metrics import METRICS, rounded
 from kpiscope.operators.profiles import daily_means
+from kpiscope.sources.paths import folder
 
 METRIC_STRUCT = "smape double, mase double, nrmse double, mae double, rmse double"
 STATION_SCHEMA = (
@@ -62,15 +63,20 @@ RUN_SCHEMA = (
 )
 
 
-def read_run_results(spark: SparkSession, path: str, family: str | None = None, prefix: str | None = None) -> DataFrame:
+def write_run_documents(docs: DataFrame, path: str) -> None:
+    """A folder for each run_name with its result document; read_run_results(..., files="part-*") reads it."""
+    docs.write.mode("overwrite").partitionBy("run_name").json(path)
+
+
+def read_run_results(spark: SparkSession, path: str, family: str | None = None, prefix: str | None = None, files: str = "result.json") -> DataFrame:
     """(run, kpi) rows of every result.json below a folder; a selected run without test block is an error."""
     docs = (
         spark.read.schema(RUN_SCHEMA)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "result.json")
-        .option("multiLine", True)
+        .option("pathGlobFilter", files)
+        .option("multiLine", files == "result.json")
         .json(path)
-        .withColumn("run_name", F.regexp_extract("_metadata.file_path", r"([^/]+)/result\.json$", 1))
+        .withColumn("run_name", folder(1))
     )
     return run_rows(docs, family, prefix)
 
@@ -99,7 +105,7 @@ def read_skipped_runs(spark: SparkSession, path: str) -> DataFrame:
         .option("pathGlobFilter", "skipped.json")
         .option("multiLine", True)
         .json(path)
-        .withColumn("run_name", F.regexp_extract("_metadata.file_path", r"([^/]+)/skipped\.json$", 1))
+        .withColumn("run_name", folder(1))
     )
 
 

@@ -272,3 +272,32 @@ def test_range_position_counts_ties_and_empty_tables(spark):
     want = sorted((i % 2, i) for i in range(5000))
     assert got == [(s, n, k, 5000) for k, (s, n) in enumerate(want, 1)]
     assert range_position(df.filter("name < 0"), ["score", "name"]).count() == 0
+
+
+def test_graph_files_keep_order_over_files_and_lines(spark, tmp_path):
+    import json
+
+    from kpiscope.sources import graph_files
+
+    def chain(name, *steps):
+        return {"name": name, "steps": list(steps)}
+
+    (tmp_path / "g").mkdir()
+    first = [{"causal_chains": [chain("x", "1", "2")]}, {"causal_chains": [chain("x", "1"), chain("y", "1")]}]
+    (tmp_path / "g" / "a.json").write_text("\n".join(map(json.dumps, first)))
+    (tmp_path / "g" / "b.json").write_text(json.dumps({"causal_chains": [chain("y", "1", "2", "3")], "edges": [{"source": "a", "target": "b"}], "links": []}))
+    g = graph_files.read_graph(spark, str(tmp_path / "g"), multiline=False)
+    assert {r["name"]: r["n_steps"] for r in gl.causal_chains(g["chains"], g["steps"]).collect()} == {"x": 2, "y": 1}
+    assert g["chains"].select("chain_id").distinct().count() == 4
+    assert g["edges"].count() == 1
+
+
+def test_written_graph_carries_its_size(spark, tmp_path):
+    from kpiscope.sources import graph_files
+
+    nodes = spark.createDataFrame([("a", "T"), ("b", "T")], "node_id string, node_type string")
+    edges = spark.createDataFrame([("a", "b")], "source string, target string")
+    for e, n in ((edges, 1), (edges.limit(0), 0)):
+        graph_files.write_graph(nodes, e, str(tmp_path / "kg"))
+        m = graph_files.read_written_graph(spark, str(tmp_path / "kg"))["metadata"].first()
+        assert (m["num_nodes"], m["num_edges"]) == (2, n) and m["created_at"] is not None

@@ -311,3 +311,38 @@ def test_run_results(spark, tmp_path):
     assert results.resume(keys, str(tmp_path / "none"), ["k"]).count() == 2
     keys.filter("k = 1").write.parquet(str(tmp_path / "done"))
     assert [r["k"] for r in results.resume(keys, str(tmp_path / "done"), ["k"]).collect()] == [2]
+
+
+def test_written_reports_and_runs_come_back_whole(spark, tmp_path):
+    texts = {("7", "on/off"): "a\n\nb\n", ("7", "x y"): "", ("8+9", "50%"): "line", ("A=b", "on"): None}
+    df = spark.createDataFrame([(*k, v) for k, v in texts.items()], "station_id string, arm string, report string")
+    report_files.write_reports(df, str(tmp_path / "r"))
+    report_files.write_reports(df, str(tmp_path / "r"))
+    got = {(r["station_id"], r["arm"]): r["report"] for r in report_files.read_written_reports(spark, str(tmp_path / "r")).collect()}
+    assert got == {k: v or "" for k, v in texts.items()}
+    runs = spark.sql("""SELECT 'ft_4-NOT SPECIFIED' AS run_name, named_struct('model_family', 'f') AS model,
+        named_struct('per_kpi', map('k', named_struct('MAE', 1.5D))) AS test""")
+    results.write_run_documents(runs, str(tmp_path / "runs"))
+    back = results.read_run_results(spark, str(tmp_path / "runs"), "f", "ft_4-NOT ", files="part-*").collect()
+    assert [(r["run_name"], r["kpi"], r["MAE"], r["sMAPE"]) for r in back] == [("ft_4-NOT SPECIFIED", "k", 1.5, None)]
+
+
+def test_sensitivity_files(spark, tmp_path):
+    from kpiscope.sources import sensitivity_files
+
+    rows = [
+        ("global", 1, "a", "b", "mean", None, 0.5, 0.25, "strong"),
+        ("global", 1, "b", "a", "trend", None, -0.5, -0.125, "weak"),
+        ("local", 1, "a", "b", None, 3, 0.1, 0.2, "weak"),
+    ]
+    flat = spark.createDataFrame(rows, "scope string, station_id int, src string, tgt string, ptype string, event_idx int, s_raw double, s_norm double, magnitude string")
+    path = str(tmp_path / "s")
+    sensitivity_files.write_sensitivity(flat, ["a", "b"], path)
+    back = sensitivity_files.read_sensitivity(spark, path)
+    assert back["global"].columns == ["station_id", *sensitivity_files.GLOBAL_COLUMNS]
+    assert [tuple(r) for r in back["global"].orderBy("source").collect()] == [("1", "global", "a", "b", "mean", 0.5, 0.25, "strong"), ("1", "global", "b", "a", "trend", -0.5, -0.125, "weak")]
+    assert [tuple(r) for r in back["local"].collect()] == [("1", "local", 3, "a", "b", 0.1, 0.2, "weak")]
+    text = spark.read.text(f"{path}/sensitivity_summary", wholetext=True).first()["value"]
+    want = "## Global Sensitivity\n\n| Source | a | b |\n|---|---|---|\n| a | 0.0000 | 0.2500 |\n| b | 0.1250 | 0.0000 |\n"
+    assert text == want
+    sensitivity_files.write_sensitivity(flat.limit(0), ["a", "b"], str(tmp_path / "empty"))
