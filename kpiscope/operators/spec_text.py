@@ -133,7 +133,7 @@ def split_long(secs: DataFrame, max_chars: int, overlap: int = 200) -> DataFrame
     """Sections over the limit in overlapping parts; clause and title name the part.
 
     Where a cut falls depends on the cut before, so this is a vectorised Python helper. Sections
-    within the limit do not need it and keep their text.
+    within the limit, and those without a body, do not need it and stay as they are.
     """
     if max_chars // 2 <= overlap:
         raise ValueError("parts must be longer than twice the overlap")
@@ -142,7 +142,7 @@ def split_long(secs: DataFrame, max_chars: int, overlap: int = 200) -> DataFrame
     def parts_of(bodies: pd.Series) -> pd.Series:
         return bodies.map(lambda b: _split_body(b, max_chars, overlap))
 
-    long = F.length("body") > max_chars
+    long = F.coalesce(F.length("body") > max_chars, F.lit(False))
     short_rows = secs.filter(~long).withColumn("part_no", F.lit(1)).withColumn("n_parts", F.lit(1))
     cut = (
         secs.filter(long)

@@ -168,7 +168,18 @@ def kg_conflict_leading(spark, sf):
     return pairs.select("aligned_name", "predicate", "j", F.col("a.object").alias("object_a"), F.col("b.object").alias("object_b"))
 
 
-@query("kg_conflict_resolve")
+@query(
+    "kg_conflict_resolve",
+    CONF.replace("WITH", "WITH RECURSIVE", 1) + """, told AS (SELECT a.aligned_name, a.predicate, a.place AS i, b.place AS j, row_number() OVER (PARTITION BY a.aligned_name, a.predicate ORDER BY a.place, b.place) AS k,
+      CASE WHEN a.relation_prob < b.relation_prob OR (a.relation_prob = b.relation_prob AND len(string_split(a.source_clause, '.')) < len(string_split(b.source_clause, '.'))) THEN a.place ELSE b.place END AS loser
+      FROM g3 a JOIN g3 b ON a.aligned_name = b.aligned_name AND a.predicate = b.predicate AND a.place < b.place AND trim(a.object) <> trim(b.object) AND (length(a.object) + length(b.object)) % 2 = 0),
+    replay AS (SELECT DISTINCT aligned_name, predicate, 0::BIGINT AS k, 0::BIGINT AS lost FROM told
+      UNION ALL SELECT t.aligned_name, t.predicate, t.k, CASE WHEN ((lost >> i) | (lost >> j)) & 1 = 1 THEN lost ELSE lost | (1::BIGINT << loser) END
+        FROM replay r JOIN told t ON t.aligned_name = r.aligned_name AND t.predicate = r.predicate AND t.k = r.k + 1),
+    fin AS (SELECT aligned_name, predicate, arg_max(lost, k) AS lost FROM replay GROUP BY 1, 2),
+    gone AS (SELECT g3.ord FROM g3 JOIN fin ON g3.aligned_name = fin.aligned_name AND g3.predicate = fin.predicate WHERE (lost >> place) & 1 = 1)
+    SELECT aligned_name, predicate, count(*) AS kept FROM v WHERE ord NOT IN (SELECT ord FROM gone) GROUP BY 1, 2""",
+)
 def kg_conflict_resolve(spark, sf):
     aligned = _aligned(spark, sf)
     p = gb.conflict_pairs(aligned)

@@ -73,7 +73,34 @@ def st_signed_ranks(spark, sf):
     return st.signed_ranks(pairs(spark, sf))
 
 
-@query("st_wilcoxon")
+def wilcoxon_sql(pairs: str) -> str:
+    """CTEs over pairs(comparison, diff) that end in pv(comparison, n_used, w_plus, p_value).
+
+    Small clean samples count the rank subsets of each sum in a recursion over the ranks; others take the normal approximation, whose error
+    function is summed as a series of positive terms.
+    """
+    return f""", nzc AS (SELECT comparison, abs(round(diff, 12)) AS s, diff > 0 AS up FROM {pairs} WHERE round(diff, 12) <> 0),
+  rkc AS (SELECT *, rank() OVER (PARTITION BY comparison ORDER BY s) + (count(*) OVER (PARTITION BY comparison, s) - 1) / 2.0 AS r FROM nzc),
+  tic AS (SELECT comparison, sum(c * c * c - c)::DOUBLE AS tie_term FROM (SELECT comparison, count(*)::DOUBLE AS c FROM nzc GROUP BY comparison, s) GROUP BY 1),
+  wc AS (SELECT comparison, count(*) AS n, coalesce(sum(r) FILTER (up), 0)::DOUBLE AS w_plus FROM rkc GROUP BY 1),
+  al AS (SELECT p.comparison, p.n_pairs, p.n_zero, coalesce(n, 0) AS n, coalesce(w_plus, 0) AS w_plus, coalesce(tie_term, 0) AS tie_term
+    FROM (SELECT comparison, count(*) AS n_pairs, count(*) FILTER (round(diff, 12) = 0) AS n_zero FROM {pairs} GROUP BY 1) p LEFT JOIN wc ON wc.comparison = p.comparison LEFT JOIN tic ON tic.comparison = p.comparison),
+  ways AS (SELECT 0 AS n, 0 AS s, 1.0::DOUBLE AS c UNION ALL SELECT n + 1, s + b * (n + 1), sum(c) FROM ways, (VALUES (0), (1)) t(b) WHERE n < {st.MOST_COUNTED} GROUP BY ALL),
+  zs AS (SELECT *, abs(w_plus - n * (n + 1) / 4.0) / sqrt(greatest(n * (n + 1) * (2 * n + 1) - tie_term / 2, 1e-9) / 24.0) / sqrt(2.0) AS x,
+    n <= {st.MOST_COUNTED} AND tie_term = 0 AND n_zero = 0 AS counted FROM al),
+  pv AS (SELECT comparison, n AS n_used, w_plus, CASE WHEN n_pairs < 2 THEN 1 WHEN n = 0 THEN 'nan'::DOUBLE
+    WHEN counted THEN least(1, 2 * (SELECT sum(c) FROM ways WHERE ways.n = zs.n AND ways.s <= least(w_plus, zs.n * (zs.n + 1) / 2.0 - w_plus)) / pow(2, n))
+    WHEN x > 8 THEN 0 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * (SELECT sum(exp(2 * k * ln(2.0) + (2 * k + 1) * ln(greatest(x, 1e-300)) + lgamma(k + 1.0) - lgamma(2 * k + 2.0))) FROM range(300) t(k)) END AS p_value FROM zs)
+"""
+
+
+RECURSIVE = S.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(
+    "st_wilcoxon",
+    RECURSIVE + ", pc AS (SELECT 'click vs view' AS comparison, diff FROM pr)" + wilcoxon_sql("pc") + f"SELECT comparison, n_used, w_plus, {rnd('p_value', 6)} AS p_value FROM pv",
+)
 def st_wilcoxon(spark, sf):
     return tidy(st.wilcoxon(pairs(spark, sf)).select("comparison", "n_used", "w_plus", "p_value"), "p_value", digits=6)
 
@@ -83,7 +110,20 @@ def st_cohens_d(spark, sf):
     return tidy(st.cohens_d(pairs(spark, sf)), "mean_diff", "cohens_d", digits=5)
 
 
-@query("st_compare_table")
+@query(
+    "st_compare_table",
+    RECURSIVE + """, pc AS (SELECT 'click vs view' AS comparison, station_id, a, b, diff FROM pr UNION ALL SELECT 'purchase vs signup', station_id, p, s, p - s FROM
+      (SELECT station_id, coalesce(max(v) FILTER (arm = 'purchase'), 0) AS p, coalesce(max(v) FILTER (arm = 'signup'), 0) AS s FROM sc GROUP BY 1))"""
+    + wilcoxon_sql("pc")
+    + f""", ix AS (SELECT comparison, diff, {PLACE.format("comparison || ':' || station_id")} AS a FROM pc),
+    rp AS (SELECT {PLACE.format("r || ':42'")} AS b, r FROM range(1, {N_BOOT + 1}) t(r)),
+    cw AS (SELECT comparison, r, diff, {" + ".join(f"CAST(x >= {step} AS INTEGER)" for step in st.poisson_steps())} AS w FROM (SELECT comparison, r, diff, a * b % 2147483647 AS x FROM ix, rp)),
+    bm AS (SELECT comparison, r, sum(w * diff) / sum(w) AS m FROM cw GROUP BY 1, 2 HAVING sum(w) > 0),
+    ci AS (SELECT comparison, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM bm GROUP BY 1),
+    ag AS (SELECT comparison, count(*) AS n, avg(diff) AS mean_diff, avg(diff) / stddev_samp(diff) AS cohens_d, avg(a) AS mean_a, avg(b) AS mean_b FROM pc GROUP BY 1)
+    SELECT ag.comparison, n, {", ".join(f"{rnd(c, 5)} AS {c}" for c in ("mean_diff", "cohens_d", "mean_a", "mean_b", "ci_low", "ci_high", "p_value"))}
+    FROM ag JOIN ci ON ci.comparison = ag.comparison JOIN pv ON pv.comparison = ag.comparison""",
+)
 def st_compare_table(spark, sf):
     s = scores(spark, sf)
     both = st.paired(s, "faithfulness", "click", "view", need_events=True).unionByName(

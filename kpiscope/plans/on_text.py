@@ -59,12 +59,25 @@ def tx_section_tables(spark, sf):
     return tx.section_tables(tx.sections(pages(spark, sf)), tables).select("file", "section", "page", "tbl")
 
 
-@query("tx_split_long")
+# the last empty line, else the last full stop, in the second half of a part of 3,000 characters
+LINE, STOP = (f"length(regexp_extract(substr(text, start + 1501, 1500), '(?s)^.*{mark}'))" for mark in (r"\n\n", r"[.][ \n]"))
+CUT = f"CASE WHEN {LINE} > 0 THEN start + 1498 + {LINE} WHEN {STOP} > 0 THEN start + 1498 + {STOP} ELSE start + 3000 END"
+
+
+@query(
+    "tx_split_long",
+    f"""WITH RECURSIVE s AS (SELECT doc_id, lang, text, 0 AS k, 0::BIGINT AS start FROM documents WHERE length(text) > 3000
+      UNION ALL SELECT doc_id, lang, text, k + 1, greatest(start, {CUT} - 200) FROM s WHERE start + 3000 < length(text)),
+    p AS (SELECT doc_id, lang, k, trim(substr(text, start + 1, CASE WHEN start + 3000 < length(text) THEN {CUT} ELSE length(text) END - start), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM s),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS part_no, count(*) OVER (PARTITION BY doc_id) AS n_parts FROM p WHERE body <> '')
+    SELECT doc_id, '1.' || doc_id || '/' || part_no AS clause, coalesce(lang, 'null') || ' (part ' || part_no || '/' || n_parts || ')' AS title, part_no::INTEGER AS part_no, n_parts::INTEGER AS n_parts, length(body)::INTEGER AS body_length, md5(body) AS body_md5 FROM n
+    UNION ALL SELECT doc_id, '1.' || doc_id, lang, 1, 1, length(text)::INTEGER, md5(text) FROM documents WHERE NOT coalesce(length(text) > 3000, false)""",
+)
 def tx_split_long(spark, sf):
     docs = load(spark, sf, "documents").select(
         F.col("doc_id"), F.concat(F.lit("1."), F.col("doc_id")).alias("clause"), F.col("lang").alias("title"), F.col("text").alias("body")
     )
-    return tx.split_long(docs, 3000).select("doc_id", "clause", "title", "part_no", "n_parts", F.length("body").alias("body_length"))
+    return tx.split_long(docs, 3000).select("doc_id", "clause", "title", "part_no", "n_parts", F.length("body").alias("body_length"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
 @query(

@@ -346,3 +346,9 @@ def test_sensitivity_files(spark, tmp_path):
     want = "## Global Sensitivity\n\n| Source | a | b |\n|---|---|---|\n| a | 0.0000 | 0.2500 |\n| b | 0.1250 | 0.0000 |\n"
     assert text == want
     sensitivity_files.write_sensitivity(flat.limit(0), ["a", "b"], str(tmp_path / "empty"))
+
+
+def test_split_keeps_sections_without_a_body(spark):
+    df = spark.createDataFrame([("1", "t", None), ("2", "t", ""), ("3", "t", "x" * 25)], "clause string, title string, body string")
+    got = sorted((r["clause"], r["part_no"], r["n_parts"], r["body"]) for r in spec_text.split_long(df, 20, 4).collect())
+    assert got == [("1", 1, 1, None), ("2", 1, 1, ""), ("3/1", 1, 2, "x" * 20), ("3/2", 2, 2, "x" * 9)]
