@@ -334,6 +334,21 @@ def counter_edges(triples: DataFrame) -> DataFrame:
     ).withColumn("relation_type", F.lit("uses_counter"))
 
 
+def node_measurements(triples: DataFrame) -> DataFrame:
+    """Counters listed for a KPI definition, each once: (node_id, place, measurement), places in the order of first mention.
+
+    They stay rows, so a node with very many counters is sorted with spilling instead of being gathered in a list.
+    """
+    p = F.lower("predicate")
+    names = F.when(p == "has_measurements", split_counters("object")).otherwise(F.array(F.trim("object")))
+    told = triples.filter((F.col("triple_type") == "kpi_definition") & p.isin(*COUNTER_PREDICATES)).select(
+        node_id().alias("node_id"), "ord", F.posexplode(names).alias("pos", "measurement")
+    )
+    first = told.groupBy("node_id", "measurement").agg(F.min(F.struct("ord", "pos")).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("node_id").orderBy("_first"))
+    return first.select("node_id", place.alias("place"), "measurement")
+
+
 def node_sightings(triples: DataFrame) -> DataFrame:
     """Every mention of a node with the type it would get: (node_id, node_type, ord, side)."""
     tt, et = F.col("triple_type"), F.col("entity_type")

@@ -55,13 +55,41 @@ R = """WITH rb AS (SELECT doc_id, doc_id // 2 AS station_id, doc_id % 2 AS arm,
 """
 
 
-@query(
-    "au_sections",
-    R + """SELECT station_id, arm, '§3' AS tag, 13 + length('urban area ' || a) + 2 AS n FROM rb
-    UNION ALL SELECT station_id, arm, '§5', length('## §5 Actions') + 1 + length('| Action | Priority | Note |') + 1 + 14 + length('| ' || clean || ' | high | now |') + 1 FROM rb""",
-)
+#: The whole report of every document, as text, and its sections as SQL cuts them out of it.
+TEXT = R + """, rt AS (SELECT station_id, arm, '# Report
+
+## §1 Forecast
+| KPI | Unit | Min / Mean / Max | Baseline | sMAPE |
+|---|---|---|---|---|
+| click | n | ' || a || '.50 / ' || (a + 1) || '.25 / ' || (a + 2) || '.00 | baseline ' || a || '.75 | sMAPE 12.5% |
+| view | n | 1.00 / x / ' || a || '.10 | n/a | MASE 0.' || m || ' |
+| other | n | 1 / 2 / 3 | - | - |
+## §2 Coupling
+| Source → Target | Coupling | Mechanism |
+|---|---|---|
+| click → purchase | ' || CASE m WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'increase and decrease' END || ' | per 3GPP TS 28.552 §5.1.' || m || ' |
+| error → view | ' || CASE WHEN arm = 0 THEN 'decrease' ELSE 'positive' END || ' | see TS 38.' || (m + 100) || ' |
+## §3 Spatial
+urban area ' || a || '
+## §4 Anomalies
+**click: +' || m || '% spike at Day ' || (m + 1) || ' (' || ['Mon', 'Tue', 'Wed', 'Thu', 'Fri'][m + 1] || ') 08:00–09:00 (|z|=' || m || '.25)**
+- click rises with load [Anomaly] and [Sensitivity] here
+- error moves [Sensitivity-Local: click ← error, negligible] ' || clean || '
+**click: +9% spike at Day 7 (Sun) 08:00–09:00 (|z|=' || a || '.10)**
+**view is stable**
+## §5 Actions
+| Action | Priority | Note |
+|---|---|---|
+| ' || clean || ' | high | now |
+' AS report FROM rb),
+  cut AS (SELECT station_id, arm, unnest(p) AS part, generate_subscripts(p, 1) AS no, len(p) AS total FROM (SELECT *, string_split(report, chr(10) || '## §') AS p FROM rt)),
+  sect AS (SELECT station_id, arm, no, '§' || part[1] AS tag, '## §' || part || CASE WHEN no < total THEN chr(10) ELSE '' END AS text FROM cut WHERE no > 1)
+"""
+
+
+@query("au_sections", TEXT + "SELECT station_id, arm, tag, length(text) AS n, md5(text) AS text_md5 FROM sect")
 def au_sections(spark, sf):
-    return au.sections(reports(spark, sf)).filter("tag IN ('§3', '§5')").select("station_id", "arm", "tag", F.length("text").cast("long").alias("n"))
+    return au.sections(reports(spark, sf)).select("station_id", "arm", "tag", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(
@@ -230,13 +258,11 @@ def cl_atomic_claims(spark, sf):
 
 @query(
     "cl_evidence",
-    R + f"""SELECT station_id, arm, 2 AS context_no, length('## §3 Spatial') + 1 + length('urban area ' || a) AS n FROM rb
-    UNION ALL SELECT station_id, arm, 1, length('## §2 Coupling') + 1 + length('| Source → Target | Coupling | Mechanism |') + 1 + 13 + 1 + length('| click → purchase | ' || {SIGN} || ' | per 3GPP TS 28.552 §5.1.' || m || ' |') + 1
-      + length('| error → view | ' || CASE WHEN arm = 0 THEN 'decrease' ELSE 'positive' END || ' | see TS 38.' || (m + 100) || ' |') FROM rb""",
+    TEXT + "SELECT station_id, arm, CAST(no - 2 AS INTEGER) AS context_no, length(t) AS n, md5(t) AS context_md5 FROM (SELECT *, rtrim(text, chr(10)) AS t FROM sect WHERE tag IN ('§1', '§2', '§3'))",
 )
 def cl_evidence(spark, sf):
-    return au.evidence_contexts(reports(spark, sf)).filter("context_no > 0").select(
-        "station_id", "arm", "context_no", F.length("context").cast("long").alias("n")
+    return au.evidence_contexts(reports(spark, sf)).select(
+        "station_id", "arm", "context_no", F.length("context").cast("long").alias("n"), F.md5(F.col("context").cast("binary")).alias("context_md5")
     )
 
 

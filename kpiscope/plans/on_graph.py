@@ -294,6 +294,17 @@ def kg_kpi_attributes(spark, sf):
     return gb.kpi_attributes(deduped(spark, sf)).select("node_id", "formula", "unit", "min_value")
 
 
+@query(
+    "kg_node_measurements",
+    GRAPH + """, lists AS (SELECT node_id, ord, list_filter(list_transform(string_split(replace(object, ';', ','), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM d WHERE predicate = 'has_measurements'),
+    m AS (SELECT node_id, ord, unnest(l) AS measurement, generate_subscripts(l, 1) AS pos FROM lists),
+    f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY node_id, measurement ORDER BY ord, pos) = 1)
+    SELECT node_id, CAST(row_number() OVER (PARTITION BY node_id ORDER BY ord, pos) AS INTEGER) AS place, measurement FROM f""",
+)
+def kg_node_measurements(spark, sf):
+    return gb.node_measurements(deduped(spark, sf))
+
+
 @query("kg_counter_edges", GRAPH + "SELECT node_id AS source, counter AS target, count(*) AS n FROM cnt GROUP BY 1, 2")
 def kg_counter_edges(spark, sf):
     return gb.counter_edges(deduped(spark, sf)).groupBy(gb.node_id().alias("source"), F.col("counter").alias("target")).agg(F.count("*").alias("n"))
@@ -468,14 +479,14 @@ def kg_related(spark, sf):
 
 @query(
     "kg_neighbourhood",
-    E + """, thin AS (SELECT * FROM rel WHERE strength = 'critical' AND relation_type = 'LIMITS'), un AS (SELECT source AS a, target AS b FROM thin UNION SELECT target, source FROM thin),
+    E + """, un AS (SELECT source AS a, target AS b FROM rel WHERE strength = 'critical' UNION SELECT target, source FROM rel WHERE strength = 'critical'),
     n1 AS (SELECT 'NATION_3' AS n UNION SELECT b FROM un WHERE a = 'NATION_3'), n2 AS (SELECT n FROM n1 UNION SELECT b FROM un JOIN n1 ON a = n)
-    SELECT source, target, relation_type, strength FROM thin WHERE source IN (SELECT n FROM n2) OR target IN (SELECT n FROM n2)""",
+    SELECT source, target, relation_type, strength FROM rel WHERE strength = 'critical' AND (source IN (SELECT n FROM n2) OR target IN (SELECT n FROM n2))""",
 )
 def kg_neighbourhood(spark, sf):
-    thin = rels(spark, sf).filter("strength = 'critical' AND relation_type = 'LIMITS'")
+    critical = rels(spark, sf).filter("strength = 'critical'")  # the feature: relations of one strength around a KPI
     start = load(spark, sf, "nation").filter("n_name = 'NATION_3'").select(F.col("n_name").alias("name"))
-    return gq.neighbourhood(thin, start).select("source", "target", "relation_type", "strength")
+    return gq.neighbourhood(critical, start).select("source", "target", "relation_type", "strength")
 
 
 @query(

@@ -454,13 +454,13 @@ def fc_seasonal_naive(spark, sf):
 
 @query(
     "fc_sample_median",
-    PANEL + f"""SELECT station_id, kpi, t % 24 AS h, {rnd('quantile_disc(value, 0.5)', 4)} AS lower_median, {rnd('median(value)', 4)} AS mean_median
-    FROM panel WHERE t >= 384 AND t < 480 GROUP BY 1, 2, 3""",
+    PANEL + f"""SELECT station_id, kpi, t % 12 AS h, {rnd('quantile_disc(value, 0.5)', 4)} AS lower_median, {rnd('median(value)', 4)} AS mean_median
+    FROM panel WHERE t < 552 GROUP BY 1, 2, 3""",
 )
 def fc_sample_median(spark, sf):
-    days = src.inputs(spark, sf).filter("t >= 384 AND t < 480")
-    samples = days.select(
-        "station_id", "kpi", (F.col("t") % 24).alias("h"), F.floor(F.col("t") / 24).alias("sample"), F.col("value").alias("pred")
+    """Every half day of the input is a sample of the next one; their even number tells the two medians apart."""
+    samples = src.inputs(spark, sf).select(
+        "station_id", "kpi", (F.col("t") % 12).alias("h"), F.floor(F.col("t") / 12).alias("sample"), F.col("value").alias("pred")
     )
     lower = fc.sample_median(samples, "lower").withColumnRenamed("pred", "lower_median")
     mean = fc.sample_median(samples, "mean").withColumnRenamed("pred", "mean_median")

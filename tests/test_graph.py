@@ -301,3 +301,15 @@ def test_written_graph_carries_its_size(spark, tmp_path):
         graph_files.write_graph(nodes, e, str(tmp_path / "kg"))
         m = graph_files.read_written_graph(spark, str(tmp_path / "kg"))["metadata"].first()
         assert (m["num_nodes"], m["num_edges"]) == (2, n) and m["created_at"] is not None
+
+
+def test_measurements_of_a_node_in_order_of_mention(spark):
+    rows = [
+        triple(0, "A", "has_measurements", "C2; C1 ,, C2", "kpi_definition"),
+        triple(1, "A", "uses_counter", " C3 ", "kpi_definition"),
+        triple(2, "A", "has_measurements", "C4,C1", "kpi_definition"),
+        triple(3, "A", "has_measurements", "C9", "relationship"),
+        triple(4, "B", "has_measurements", " ; ", "kpi_definition"),
+    ]
+    got = gb.node_measurements(spark.createDataFrame(rows, TRIPLE)).orderBy("node_id", "place").collect()
+    assert [(r["node_id"], r["place"], r["measurement"]) for r in got] == [("A", i, c) for i, c in enumerate(("C2", "C1", "C3", "C4"), 1)]
