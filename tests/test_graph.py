@@ -306,7 +306,7 @@ def test_written_graph_carries_its_size(spark, tmp_path):
 def test_measurements_of_a_node_in_order_of_mention(spark):
     rows = [
         triple(0, "A", "has_measurements", "C2; C1 ,, C2", "kpi_definition"),
-        triple(1, "A", "uses_counter", " C3 ", "kpi_definition"),
+        triple(1, "A", "uses_counter", "C3", "kpi_definition"),
         triple(2, "A", "has_measurements", "C4,C1", "kpi_definition"),
         triple(3, "A", "has_measurements", "C9", "relationship"),
         triple(4, "B", "has_measurements", " ; ", "kpi_definition"),
