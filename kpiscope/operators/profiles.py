@@ -77,11 +77,11 @@ def daily_means(df: DataFrame, value: str = "value", order: str = "t", max_days:
 
 
 def diurnal_profile(inputs: DataFrame) -> DataFrame:
-    """Average day of each series with its peak and trough hour (earliest on ties)."""
+    """Average day of each series with its peak and trough hour (earliest on ties; means that agree to 6 digits tie)."""
     hours = inputs.groupBy(*SERIES, (F.col("t") % 24).alias("hour")).agg(F.avg("value").alias("hour_mean"))
-    w = Window.partitionBy(*SERIES)
-    return hours.withColumn("peak_hour", earliest_argmax("hour", "hour_mean").over(w)).withColumn(
-        "trough_hour", earliest_argmin("hour", "hour_mean").over(w)
+    w, mean = Window.partitionBy(*SERIES), settle("hour_mean", 6)
+    return hours.withColumn("peak_hour", earliest_argmax("hour", mean).over(w)).withColumn(
+        "trough_hour", earliest_argmin("hour", mean).over(w)
     )
 
 

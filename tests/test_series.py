@@ -131,6 +131,14 @@ def test_diurnal_ties_take_first_hour(spark):
     assert (rows["peak_hour"], rows["trough_hour"]) == (1, 0)
 
 
+def test_diurnal_ties_ignore_summation_noise(spark):
+    assert 0.1 + 0.2 + 0.3 > 0.3 + 0.2 + 0.1
+    days = [{0: a, 1: b, 2: 2 + b, 3: 2 + a} for a, b in ((0.1, 0.3), (0.2, 0.2), (0.3, 0.1))]
+    df = series(spark, [d.get(h, 1.0) for d in days for h in range(24)]).coalesce(1).sortWithinPartitions("t")
+    got = profiles.diurnal_profile(df).select("peak_hour", "trough_hour").distinct().collect()
+    assert [tuple(r) for r in got] == [(2, 0)]
+
+
 def test_settle_is_independent_of_summation_noise(spark):
     from kpiscope.functions.exprs import settle
 
