@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiscope.functions.exprs import first_per
-
 # Attribute predicates of KPI definitions and the node column each one sets.
 ATTRIBUTES = {
     "formula": ("calculated_by", "has_formula"),
@@ -306,8 +304,20 @@ def feedback_replace(triples: DataFrame, flagged: DataFrame, re_extracted: DataF
     )
 
 
+#: What node types and edges need of a triple.
+GRAPH_COLUMNS = (
+    "subject", "predicate", "object", "ord", "triple_type", "entity_type", "aligned_name", "mapped_to", "align_conf", "source_spec",
+    "source_clause", "raw_text", "min_pct_source", "min_pct_target", "mechanism", "fine_clause", "integrate_score",
+)
+
+
 def dedupe_triples(triples: DataFrame) -> DataFrame:
-    return first_per(triples, ["subject", "predicate", "object"], "ord")
+    """First triple of each subject, predicate and object.
+
+    A rank filter, which runs before the shuffle as well; unlike an aggregate of whole rows it moves only the columns that are used later.
+    """
+    first = Window.partitionBy("subject", "predicate", "object").orderBy("ord")
+    return triples.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
 
 
 def node_id() -> Column:

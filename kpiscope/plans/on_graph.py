@@ -257,7 +257,14 @@ GRAPH = T + """, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def deduped(spark, sf):
-    return gb.dedupe_triples(validated(spark, sf))
+    """Validated triples, each once; alignment and scores follow from a triple itself, so they are added to those that stay."""
+    return gb.integrate_scores(gb.align(gb.dedupe_triples(gb.normalize_triples(triples(spark, sf))), alignments(spark, sf)))
+
+
+def deduped_once(spark, sf, path, columns=gb.GRAPH_COLUMNS):
+    """Deduplicated triples kept as a table, for queries that write both nodes and edges of them."""
+    deduped(spark, sf).select(*columns).write.parquet(f"{path}/triples")
+    return spark.read.parquet(f"{path}/triples")
 
 
 @query("kg_node_type", GRAPH + "SELECT * FROM ntype")
@@ -335,7 +342,7 @@ def sink_kg(spark, sf):
     from kpiscope.sources.graph_files import read_written_graph, write_graph
 
     path = scratch_folder(spark, "kg")
-    d = deduped(spark, sf)
+    d = deduped_once(spark, sf, scratch_folder(spark, "stage"))
     write_graph(gb.node_types(d), gb.graph_edges(d), path)
     g = read_written_graph(spark, path)
     nodes = g["nodes"].groupBy(F.col("node_type").alias("name")).agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "name", "n")

@@ -11,7 +11,7 @@ from kpiscope.operators import graph_load as gl
 from kpiscope.operators import lag_models
 from kpiscope.plans import inputs as src
 from kpiscope.plans.on_events import COLS, EVENTS, show, top_events
-from kpiscope.plans.on_graph import CH, GRAPH, T, chain_tables, deduped, validated
+from kpiscope.plans.on_graph import CH, GRAPH, T, chain_tables, deduped_once, validated
 from kpiscope.plans.on_metrics import SCORES, station_metrics
 from kpiscope.plans.on_profiles import tidy
 from kpiscope.plans.registry import FORECAST, PANEL, query, rnd
@@ -80,7 +80,7 @@ def scan_kg_json(spark, sf):
     of equal names the node comes first, then the earlier one.
     """
     path = scratch_folder(spark, "graph")
-    d = deduped(spark, sf)
+    d = deduped_once(spark, sf, scratch_folder(spark, "stage"))
     pair = gb.graph_edges(d).groupBy("source", "target").agg(F.collect_list(F.struct("source", "target", "relation_type", "triple_type")).alias("all"))
     new = F.xxhash64("source", "target") % 2 == 0
     pair.select(F.when(new, F.col("all")).alias("edges"), F.when(~new, F.col("all")).alias("links")).write.json(f"{path}/edges")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kpiscope.plans import inputs
+from kpiscope.plans import inputs, on_graph
 from kpiscope.sources import tables
 
 
@@ -12,3 +12,10 @@ def test_tasks_of_the_panel_follow_the_event_log(spark, sf, monkeypatch):
     monkeypatch.setattr(tables, "EVENTS_PER_TASK", n // 20)
     for df in (inputs.panel(spark, sf), inputs.timeline(spark, sf)):
         assert df.rdd.getNumPartitions() >= 20
+
+
+def test_deduplication_moves_only_used_columns(spark, sf, capsys):
+    on_graph.kg_node_type(spark, sf).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "aligned_name" in plan
+    assert not any(c in plan.split("Window")[-1] for c in ("raw_text", "integrate_score", "min_pct_source", "mechanism"))
