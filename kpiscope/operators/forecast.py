@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiscope.functions.exprs import SERIES, col, horizon_steps
+from kpiscope.functions.exprs import SERIES, col, horizon_steps, require
 
 
 def _level(values: DataFrame, horizon: int, keys: tuple[str, ...]) -> DataFrame:
@@ -132,9 +133,9 @@ def pooled_regression(
     """Learners of the ML library on pooled windows of all series, horizon hour as a feature.
 
     kinds: ridge, lasso, elasticnet, random_forest, gbt. Every window yields one training row per
-    hour ahead; the learners aggregate their statistics over partitions.
+    hour ahead; the learners aggregate their statistics over partitions. Learners pass over the rows several times: what
+    the hours of a window share is one array, made once and kept while the model is fitted; the rows are made anew in each pass.
     """
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
@@ -150,16 +151,21 @@ def pooled_regression(
     if kind not in makers:
         raise ValueError(f"unknown learner: {kind}")
 
-    def assembled(windows: DataFrame) -> DataFrame:
-        named = windows.withColumn("lags", array_to_vector("x")).withColumn("phase", (F.col("h") % 24).cast("double"))
-        named = named.withColumn("ahead", F.col("h").cast("double"))
-        cols = ["lags", "x_mean", "x_std", "x_last", "phase", "ahead"]
-        return VectorAssembler(inputCols=cols, outputCol="features").transform(named)
+    def shared(windows: DataFrame) -> DataFrame:
+        whole = require(lag_features(windows), ~F.isnan("x_mean"), "window with a missing value")
+        return whole.withColumn("known", F.concat("x", F.array("x_mean", "x_std", "x_last"))).drop("x", "x_mean", "x_std", "x_last")
 
-    train = lag_features(supervised_windows(inputs, context_h, horizon, stride_h))
-    rows = train.select(*SERIES, "x", "x_mean", "x_std", "x_last", F.posexplode("y").alias("h", "label"))
-    model = makers[kind](featuresCol="features", labelCol="label", predictionCol="pred", **params).fit(assembled(rows))
+    def assembled(rows: DataFrame) -> DataFrame:
+        hour = F.array((F.col("h") % 24).cast("double"), F.col("h").cast("double"))
+        return rows.withColumn("features", array_to_vector(F.concat("known", hour)))
+
+    train = shared(supervised_windows(inputs, context_h, horizon, stride_h)).select("known", "y").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = train.select("known", F.posexplode("y").alias("h", "label"))
+    try:
+        model = makers[kind](featuresCol="features", labelCol="label", predictionCol="pred", **params).fit(assembled(rows))
+    finally:
+        train.unpersist()
     last = F.max("t").over(Window.partitionBy(*SERIES))
     tail = inputs.withColumn("_last", last).filter(F.col("t") > F.col("_last") - context_h).drop("_last")
-    now = lag_features(supervised_windows(tail, context_h, 0, 1))
+    now = shared(supervised_windows(tail, context_h, 0, 1))
     return model.transform(assembled(horizon_steps(now, horizon))).select(*SERIES, "h", "pred")

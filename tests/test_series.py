@@ -256,6 +256,24 @@ def test_pooled_learners(spark, kind):
     assert len(got) == 6 and all(5 < p < 40 for p in got)
 
 
+def test_pooled_learners_keep_their_windows_for_all_passes(spark, monkeypatch):
+    """A learner passes over its rows several times; the windows behind them are made once and let go afterwards."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    fit, kept = RandomForestRegressor.fit, []
+
+    def watched(self, df, *more):
+        plan = df._jdf.queryExecution().withCachedData().toString()
+        kept.append("InMemoryRelation" in plan and "collect_list" not in plan.split("InMemoryRelation")[0])
+        return fit(self, df, *more)
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", watched)
+    s = series(spark, [10 + (t % 24) for t in range(24 * 6)])
+    out = forecast.pooled_regression(s, "random_forest", horizon=6, context_h=24, stride_h=24, numTrees=2)
+    assert kept == [True] and out.count() == 6
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
 def test_hours_past_the_panel_and_other_event_types_stay(spark, tmp_path):
     import datetime
 
