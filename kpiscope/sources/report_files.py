@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import shutil
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from kpiscope.sources.paths import folder, folder_name, folder_value, mounted_path
 
-from kpiscope.sources.paths import folder
+REPORT_FILE = "explanation.md"
+#: Folders that one task reads.
+STATIONS_PER_TASK = 1000
 
 
-def read_reports(spark: SparkSession, path: str, files: str = "explanation.md") -> DataFrame:
+def read_reports(spark: SparkSession, path: str, files: str = REPORT_FILE) -> DataFrame:
     """(station_id, arm, report) from <station>/<arm>/explanation.md files, each text whole."""
     return (
         spark.read.option("recursiveFileLookup", True)
@@ -19,17 +30,84 @@ def read_reports(spark: SparkSession, path: str, files: str = "explanation.md")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """A folder for each station and arm, as explanation runs leave them; read_written_reports reads it.
+    """A folder for each station and arm with one file, as explanation runs leave them; read_written_reports reads it.
 
-    Files are named by Spark, so a task that runs twice leaves one of them. A report ends with a line break; a missing one is empty.
+    A report ends with a line break; a missing one is empty. A task that runs twice leaves one file of each name. On a
+    file system that all tasks mount they write the files themselves, as Spark's commit moves each file on the driver; elsewhere Spark writes them.
     """
-    rows = reports.select("station_id", "arm", F.coalesce("report", F.lit("")).alias("value"))
-    rows.repartition("station_id").write.mode("overwrite").partitionBy("station_id", "arm").text(path)
+    spark, keys = reports.sparkSession, ["station_id", "arm"]
+    rows = reports.select(*[F.col(k).cast("string").alias(k) for k in keys], F.coalesce("report", F.lit("")).alias("value"))
+    mounted = mounted_path(spark, path)
+    if mounted is None:
+        rows.repartition("station_id").write.mode("overwrite").partitionBy(*keys).text(path)
+        return
+    shutil.rmtree(mounted, ignore_errors=True)
+    os.makedirs(mounted)
+    spark.dataSource.register(ReportFolders)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: by their bytes all files would fall to few tasks
+    ordered = rows.repartition(tasks, "station_id").sortWithinPartitions(*keys)
+    ordered.select(*keys, F.col("value").cast("binary").alias("report")).write.format(ReportFolders.name()).mode("append").save(mounted)
 
 
 def read_written_reports(spark: SparkSession, path: str) -> DataFrame:
     """(station_id, arm, report) of write_reports, without the closing line break."""
-    return read_reports(spark, path, "part-*").withColumn("report", F.regexp_replace("report", r"\n\z", ""))
+    mounted = mounted_path(spark, path)
+    if mounted is None:
+        back = read_reports(spark, path, "part-*")
+    else:
+        spark.dataSource.register(ReportFolders)
+        back = spark.read.format(ReportFolders.name()).load(mounted).withColumn("report", F.col("report").cast("string"))
+    return back.withColumn("report", F.regexp_replace("report", r"\n\z", ""))
+
+
+class ReportFolders(DataSource):
+    """`station_id=<name>/arm=<name>/explanation.md` files that tasks write and read by themselves; reports are bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "report_folders"
+
+    def schema(self) -> str:
+        return "station_id string, arm string, report binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _FolderWriter(self.options["path"])
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FolderReader(self.options["path"])
+
+
+class _FolderWriter(DataSourceWriter):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def write(self, iterator) -> WriterCommitMessage:
+        """Rows arrive in order of the folders; rows of one folder make one text."""
+        for (station, arm), rows in itertools.groupby(iterator, key=lambda r: (r["station_id"], r["arm"])):
+            at = os.path.join(self.path, folder_name("station_id", station), folder_name("arm", arm))
+            os.makedirs(at, exist_ok=True)
+            draft = os.path.join(at, f".{uuid.uuid4().hex}")
+            with open(draft, "wb") as out:
+                out.writelines(bytes(r["report"]) + b"\n" for r in rows)
+            os.replace(draft, os.path.join(at, REPORT_FILE))
+        return WriterCommitMessage()
+
+
+class _FolderReader(DataSourceReader):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def partitions(self) -> list[InputPartition]:
+        names = sorted(e.name for e in os.scandir(self.path) if e.is_dir())
+        return [InputPartition(names[i : i + STATIONS_PER_TASK]) for i in range(0, len(names), STATIONS_PER_TASK)] or [InputPartition([])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for station in partition.value:
+            for arm in sorted(os.listdir(os.path.join(self.path, station))):
+                file = os.path.join(self.path, station, arm, REPORT_FILE)
+                if os.path.exists(file):  # not so in a folder that a lost task began
+                    with open(file, "rb") as text:
+                        yield folder_value(station), folder_value(arm), text.read()
 
 
 def _score(c: str) -> Column:
