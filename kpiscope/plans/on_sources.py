@@ -196,7 +196,7 @@ def _lag_query(name, kind, **more):
 
 
 fc_lag_regression = _lag_query("fc_lag_regression", "ridge")
-# a sweep over the coefficients grows with the square of the context
+# the sums of products grow with the square of the context
 fc_lag_lasso = _lag_query("fc_lag_lasso", "lasso", context_h=6)
 fc_lag_elasticnet = _lag_query("fc_lag_elasticnet", "elasticnet", context_h=6)
 

@@ -241,6 +241,20 @@ def test_coefficients_meet_the_conditions_of_a_minimum():
         assert np.allclose(pull[b != 0], 0.08 * ratio * np.sign(b[b != 0]), atol=1e-6)
 
 
+def test_coefficients_are_a_minimum_with_fewer_windows_than_features():
+    """Sixteen windows of carried values: 1,000 sweeps of coordinate descent ended far from the minimum."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.uniform(0, 300, size=(100, 3)), 6, axis=0)[:552] + np.repeat(rng.uniform(0, 50, size=(300, 3)), 2, axis=0)[:552]
+    a, y, _ = lag_windows(x, 6, 168, 24)
+    n, level = len(a), np.abs(y.mean(0))
+    a, y = a - a.mean(0), y - y.mean(0)
+    for kind, ratio in (("lasso", 1.0), ("elasticnet", 0.5)):
+        b = lag_models.coefficients(a.T @ a, a.T @ y, n, level, kind, 1.0, ratio)
+        pull = a.T @ (y - a @ b) / n - (1 - ratio) * b
+        assert np.abs(pull).max() <= ratio + 0.01
+        assert np.allclose(pull[b != 0], ratio * np.sign(b[b != 0]), atol=0.01)
+
+
 def test_lag_models_refuse_gaps_and_short_histories(spark):
     for values, message in (([1.0] * 6, "too short"), ([1.0, 2.0, float("nan")] * 20, "missing")):
         with pytest.raises(Exception, match=message):
