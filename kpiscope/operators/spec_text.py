@@ -8,7 +8,6 @@ from __future__ import annotations
 import bisect
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,21 +131,22 @@ def _split_body(body: str, limit: int, overlap: int) -> list[str]:
 def split_long(secs: DataFrame, max_chars: int, overlap: int = 200) -> DataFrame:
     """Sections over the limit in overlapping parts; clause and title name the part.
 
-    Where a cut falls depends on the cut before, so this is a vectorised Python helper. Sections
+    Where a cut falls depends on the cut before, so this is a Python helper. It takes plain rows, which Spark sends a hundred
+    at a time: an Arrow batch would hold ten thousand long bodies and all their parts. Sections
     within the limit, and those without a body, do not need it and stay as they are.
     """
     if max_chars // 2 <= overlap:
         raise ValueError("parts must be longer than twice the overlap")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def parts_of(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: _split_body(b, max_chars, overlap))
+    @F.udf(T.ArrayType(T.StringType()), useArrow=False)
+    def parts_of(body: str) -> list[str]:
+        return _split_body(body, max_chars, overlap)
 
     long = F.coalesce(F.length("body") > max_chars, F.lit(False))
     short_rows = secs.filter(~long).withColumn("part_no", F.lit(1)).withColumn("n_parts", F.lit(1))
     cut = (
         secs.filter(long)
-        .withColumn("_p", parts_of("body"))
+        .withColumn("_p", parts_of.asNondeterministic()("body"))  # else a filter on its size cuts every body a second time
         .withColumn("n_parts", F.size("_p"))
         .select(*[c for c in secs.columns if c != "body"], "n_parts", F.posexplode("_p").alias("_i", "body"))
         .withColumn("part_no", F.col("_i") + 1)

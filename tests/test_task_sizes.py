@@ -19,3 +19,13 @@ def test_deduplication_moves_only_used_columns(spark, sf, capsys):
     plan = capsys.readouterr().out
     assert "aligned_name" in plan
     assert not any(c in plan.split("Window")[-1] for c in ("raw_text", "integrate_score", "min_pct_source", "mechanism"))
+
+
+def test_long_sections_reach_python_few_at_a_time(spark, sf, capsys):
+    """A batch of Arrow holds ten thousand bodies and their parts, whatever their length."""
+    from kpiscope.plans import on_text
+
+    on_text.tx_split_long(spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert "ArrowEvalPython" not in plan
+    assert plan.count("BatchEvalPython") == 1
