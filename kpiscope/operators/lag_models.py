@@ -3,7 +3,8 @@
 A model forecasts every hour of the horizon and every channel from the flattened context over all channels with mean, deviation
 and last value of each. A window of training data is never a row and a station's windows never meet: hours are dealt to
 pieces of a station's time axis (a piece also holds the hours that its last windows reach into), each piece is reduced in its task to sums of
-features, targets and their products, and these sums, a size that the features fix, are added by station. The coefficients
+features, targets and their products, and these sums, a size that the features fix, are added by station. A piece of few windows sends its
+hours, which are less than its sums. The coefficients
 come from the sums: a linear system for ridge, a search over sets of coefficients for lasso and elastic net.
 
 A station with any missing hour or channel, or too short for one window, fails the job with a message, as a silent gap
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("ridge", "lasso", "elasticnet")
+SUMS = ("sx", "sy", "sxx", "sxy")
 #: Hours of a piece; longer histories are spread over more tasks.
 PIECE_HOURS = 1344
 #: A coefficient joins a model if its slope would move its feature by more than this share of the targets' mean level.
@@ -41,9 +43,17 @@ def pieces(inputs: DataFrame, reach: int, piece_h: int = PIECE_HOURS) -> DataFra
     return aged.select("station_id", F.explode(F.sequence(first, F.floor(F.col("t") / piece_h).cast("int"))).alias("piece"), "kpi", "t", "value", "last")
 
 
+def _sums(x: np.ndarray, at: np.ndarray, context_h: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Sums over the windows that begin at these hours: features, targets, products of features, of features and targets."""
+    a = features(np.stack([x[s : s + context_h] for s in at]))
+    y = np.stack([x[s + context_h : s + reach].reshape(-1) for s in at])
+    return a.sum(axis=0), y.sum(axis=0), a.T @ a, a.T @ y
+
+
 def statistics(inputs: DataFrame, kpis: Sequence[str], horizon: int, context_h: int, stride_h: int, piece_h: int = PIECE_HOURS) -> DataFrame:
-    """Sums of each piece: n windows, and as packed doubles sx, sy, sxx, sxy; now holds the features of the station's last context.
+    """What each piece adds to its station: n windows, and as packed doubles sx, sy, sxx, sxy; now holds the features of the station's last context.
 
+    Sums of fewer windows than features are larger than the hours behind them: such a piece sends its hours instead, with the first window's place.
     t counts from 0 without gaps.
     """
     names, reach = list(kpis), context_h + horizon
@@ -56,16 +66,17 @@ def statistics(inputs: DataFrame, kpis: Sequence[str], horizon: int, context_h:
             raise ValueError("station has missing hours or KPIs")
         begin = int(pdf["piece"].iloc[0]) * piece_h
         own = range(-(-begin // stride_h) * stride_h, min(begin + piece_h, last - reach + 2), stride_h)
-        at = np.array(own, dtype=int) - start
-        a = features(np.stack([x[s : s + context_h] for s in at])) if len(at) else np.zeros((0, len(names) * (context_h + 3)))
-        y = np.stack([x[s + context_h : s + reach].reshape(-1) for s in at]) if len(at) else np.zeros((0, horizon * len(names)))
         edge = last + 1 - context_h
         now = features(x[None, edge - start : edge - start + context_h])[0].tobytes() if begin <= edge < begin + piece_h else None
-        sums = {"n": len(at), "sx": a.sum(axis=0), "sy": y.sum(axis=0), "sxx": a.T @ a, "sxy": a.T @ y}
-        row = {k: v.tobytes() if k != "n" else v for k, v in sums.items()}
-        return pd.DataFrame([{"station_id": pdf["station_id"].iloc[0], **row, "now": now}])
-
-    schema = f"station_id {station_type}, n long, sx binary, sy binary, sxx binary, sxy binary, now binary"
+        row = {"station_id": pdf["station_id"].iloc[0], "n": len(own), "now": now, "hours": None, "first": 0} | dict.fromkeys(SUMS)
+        if len(own) >= len(names) * (context_h + 3):
+            sums = _sums(x, np.array(own, dtype=int) - start, context_h, reach)
+            row |= {k: v.tobytes() for k, v in zip(SUMS, sums)}
+        elif len(own):
+            row |= {"hours": np.ascontiguousarray(x).tobytes(), "first": own[0] - start}
+        return pd.DataFrame([row])
+
+    schema = f"station_id {station_type}, n long, now binary, hours binary, first long, " + ", ".join(f"{k} binary" for k in SUMS)
     return pieces(inputs, reach, piece_h).groupBy("station_id", "piece").applyInPandas(reduced, schema)
 
 
@@ -163,8 +174,16 @@ def lag_regression(
         n = int(pdf["n"].sum())
         if not n:
             raise ValueError("history too short for one training window")
-        sx, sy, sxx, sxy = (sum(np.frombuffer(b) for b in pdf[c]) for c in ("sx", "sy", "sxx", "sxy"))
-        sxx, sxy = sxx.reshape(len(sx), -1), sxy.reshape(len(sx), -1)
+        width, height = len(names) * (context_h + 3), len(names) * horizon
+        sx, sy, sxx, sxy = (np.zeros(s) for s in (width, height, (width, width), (width, height)))
+        for piece in pdf[pdf["n"] > 0].itertuples():
+            if piece.hours is None:
+                adds = [np.frombuffer(getattr(piece, k)).reshape(total.shape) for k, total in zip(SUMS, (sx, sy, sxx, sxy))]
+            else:
+                at = piece.first + stride_h * np.arange(piece.n)
+                adds = _sums(np.frombuffer(piece.hours).reshape(-1, len(names)), at, context_h, context_h + horizon)
+            for total, more in zip((sx, sy, sxx, sxy), adds):
+                total += more
         mean_x, mean_y = sx / n, sy / n
         level = np.maximum(np.abs(mean_y), 1e-9)
         b = coefficients(sxx - n * np.outer(mean_x, mean_x), sxy - n * np.outer(mean_x, mean_y), n, level, kind, alpha, share)
@@ -175,4 +194,6 @@ def lag_regression(
         )
 
     sums = statistics(inputs, names, horizon, context_h, stride_h, piece_h)
-    return sums.groupBy("station_id").applyInPandas(solved, f"station_id {station_type}, kpi string, h int, pred double")
+    # a fixed number of tasks: merged by the little they read, few would do all the solving
+    dealt = sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), "station_id")
+    return dealt.groupBy("station_id").applyInPandas(solved, f"station_id {station_type}, kpi string, h int, pred double")

@@ -190,7 +190,7 @@ def stage_cache(spark, sf):
 def _lag_query(name, kind, **more):
     @query(name)
     def run(spark, sf):
-        return tidy(lag_models.lag_regression(src.inputs(spark, sf), KPIS, kind, **more), "pred", digits=3)
+        return tidy(lag_models.lag_regression(src.inputs(spark, sf, by=("station_id",)), KPIS, kind, **more), "pred", digits=3)
 
     return run
 

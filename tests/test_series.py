@@ -255,6 +255,15 @@ def test_coefficients_are_a_minimum_with_fewer_windows_than_features():
         assert np.allclose(pull[b != 0], ratio * np.sign(b[b != 0]), atol=0.01)
 
 
+def test_pieces_of_few_windows_send_hours(spark):
+    """Sums of products, a megabyte a station with a day of context, were moved whatever the number of windows."""
+    df = series(spark, [float(t % 7) for t in range(120)])
+    few = lag_models.statistics(df, ["k"], horizon=4, context_h=3, stride_h=30).collect()
+    many = lag_models.statistics(df, ["k"], horizon=4, context_h=3, stride_h=2).collect()
+    assert [(r["n"], len(r["hours"]), r["sxx"]) for r in few] == [(4, 120 * 8, None)]
+    assert [(r["n"], r["hours"], len(r["sxx"])) for r in many] == [(57, None, 6 * 6 * 8)]
+
+
 def test_lag_models_refuse_gaps_and_short_histories(spark):
     for values, message in (([1.0] * 6, "too short"), ([1.0, 2.0, float("nan")] * 20, "missing")):
         with pytest.raises(Exception, match=message):
