@@ -70,25 +70,25 @@ def islands(
     )
 
 
-def supervised_windows(panel: DataFrame, context_h: int, horizon_h: int, stride_h: int) -> DataFrame:
+def supervised_windows(panel: DataFrame, context_h: int, horizon_h: int, stride_h: int, last: bool = False) -> DataFrame:
     """Sliding (x, y) pairs per series; series too short for one window give none.
 
+    With last also the last context of each series, if none of its hours is missing: there y is null.
+
     Each series becomes one array (bounded by its length in hours) and windows are slices of it,
     so the only shuffle is the one that gathers a series.
     """
-    series = panel.groupBy(*SERIES).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("s")
-    )
+    series = panel.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("_s"))
     last_start = F.size("s") - (context_h + horizon_h)
-    starts = series.filter(last_start >= 0).withColumn(
-        "start", F.explode(F.sequence(F.lit(0), last_start, F.lit(stride_h)))
-    )
-    return starts.select(
-        *SERIES,
-        "start",
-        F.slice("s", F.col("start") + 1, F.lit(context_h)).alias("x"),
-        F.slice("s", F.col("start") + 1 + context_h, F.lit(horizon_h)).alias("y"),
-    )
+    starts = F.when(last_start >= 0, F.sequence(F.lit(0), last_start, F.lit(stride_h))).otherwise(F.array().cast("array<int>"))
+    y = F.slice("s", F.col("start") + 1 + context_h, F.lit(horizon_h))
+    if last:
+        edge = F.size("s") - context_h
+        whole = (edge >= 0) & (F.element_at("_s", -1)["t"] - F.get("_s", edge)["t"] == context_h - 1)
+        starts = F.concat(starts, F.when(whole, F.array(edge)).otherwise(F.array().cast("array<int>")))
+        y = F.when(F.col("start") <= last_start, y)
+    placed = series.withColumn("s", F.transform("_s", lambda s: s["value"])).withColumn("start", F.explode(starts))
+    return placed.select(*SERIES, "start", F.slice("s", F.col("start") + 1, F.lit(context_h)).alias("x"), y.alias("y"))
 
 
 def array_mean(a: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiscope.functions.exprs import SERIES, col, horizon_steps, require
+from kpiscope.operators.features import lag_features, supervised_windows
+from kpiscope.session import cut_lineage
 
 
 def _level(values: DataFrame, horizon: int, keys: tuple[str, ...]) -> DataFrame:
@@ -122,6 +124,12 @@ def evaluation_truth(panel: DataFrame, train_end: int, val_end: int, horizon: in
     )
 
 
+def _known(windows: DataFrame) -> DataFrame:
+    """Windows with the features that all hours ahead share as one array."""
+    whole = require(lag_features(windows), ~F.isnan("x_mean"), "window with a missing value")
+    return whole.withColumn("known", F.concat("x", F.array("x_mean", "x_std", "x_last"))).drop("x", "x_mean", "x_std", "x_last")
+
+
 def pooled_regression(
     inputs: DataFrame,
     kind: str = "random_forest",
@@ -139,8 +147,6 @@ def pooled_regression(
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    from kpiscope.operators.features import lag_features, supervised_windows
-
     makers = {
         "ridge": lambda **p: LinearRegression(elasticNetParam=0.0, **{"regParam": 1.0, **p}),
         "lasso": lambda **p: LinearRegression(elasticNetParam=1.0, **{"regParam": 0.1, **p}),
@@ -151,15 +157,11 @@ def pooled_regression(
     if kind not in makers:
         raise ValueError(f"unknown learner: {kind}")
 
-    def shared(windows: DataFrame) -> DataFrame:
-        whole = require(lag_features(windows), ~F.isnan("x_mean"), "window with a missing value")
-        return whole.withColumn("known", F.concat("x", F.array("x_mean", "x_std", "x_last"))).drop("x", "x_mean", "x_std", "x_last")
-
     def assembled(rows: DataFrame) -> DataFrame:
         hour = F.array((F.col("h") % 24).cast("double"), F.col("h").cast("double"))
         return rows.withColumn("features", array_to_vector(F.concat("known", hour)))
 
-    train = shared(supervised_windows(inputs, context_h, horizon, stride_h)).select("known", "y").persist(StorageLevel.MEMORY_AND_DISK)
+    train = _known(supervised_windows(inputs, context_h, horizon, stride_h)).select("known", "y").persist(StorageLevel.MEMORY_AND_DISK)
     rows = train.select("known", F.posexplode("y").alias("h", "label"))
     try:
         model = makers[kind](featuresCol="features", labelCol="label", predictionCol="pred", **params).fit(assembled(rows))
@@ -167,5 +169,23 @@ def pooled_regression(
         train.unpersist()
     last = F.max("t").over(Window.partitionBy(*SERIES))
     tail = inputs.withColumn("_last", last).filter(F.col("t") > F.col("_last") - context_h).drop("_last")
-    now = shared(supervised_windows(tail, context_h, 0, 1))
+    now = _known(supervised_windows(tail, context_h, 0, 1))
     return model.transform(assembled(horizon_steps(now, horizon))).select(*SERIES, "h", "pred")
+
+
+def pooled_trees(inputs: DataFrame, kind: str = "forest", horizon: int = 168, context_h: int = 24, stride_h: int = 24, **params) -> DataFrame:
+    """Trees on the rows of pooled_regression, fitted without making them: see window_trees. kinds: forest, boosted.
+
+    Windows and last contexts come from one pass over the panel; they are kept until the model is fitted, and the contexts are
+    written then.
+    """
+    from kpiscope.operators import window_trees
+
+    windows = _known(supervised_windows(inputs, context_h, horizon, stride_h, last=True))
+    kept = windows.select(*SERIES, F.xxhash64(*SERIES, "start").alias("id"), "known", "y").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cells, model = window_trees.fit(kept.filter("y is not null").select("id", "known", "y"), kind, context_h + 3, horizon, **params)
+        now = cut_lineage(kept.filter("y is null").select(*SERIES, "known"))
+    finally:
+        kept.unpersist()
+    return window_trees.predict(now, cells, model)

@@ -214,5 +214,17 @@ def _pooled_query(name, kind):
 fc_pooled_regression = _pooled_query("fc_pooled_regression", "ridge")
 fc_pooled_lasso = _pooled_query("fc_pooled_lasso", "lasso")
 fc_pooled_elasticnet = _pooled_query("fc_pooled_elasticnet", "elasticnet")
+
+
+def _tree_query(name, kind):
+    """Trees on the same windows."""
+
+    @query(name)
+    def run(spark, sf):
+        return tidy(fc.pooled_trees(src.inputs(spark, sf), kind, context_h=24, stride_h=24), "pred", digits=3)
+
+    return run
+
+
+fc_pooled_boosted = _tree_query("fc_pooled_boosted", "boosted")
 fc_pooled_forest = _pooled_query("fc_pooled_forest", "random_forest")
-fc_pooled_boosted = _pooled_query("fc_pooled_boosted", "gbt")
