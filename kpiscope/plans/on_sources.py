@@ -227,4 +227,4 @@ def _tree_query(name, kind):
 
 
 fc_pooled_boosted = _tree_query("fc_pooled_boosted", "boosted")
-fc_pooled_forest = _pooled_query("fc_pooled_forest", "random_forest")
+fc_pooled_forest = _tree_query("fc_pooled_forest", "forest")

@@ -64,3 +64,35 @@ def test_last_contexts_come_with_the_windows(spark):
     assert {(r["station_id"], r["start"]): (list(r["x"]), r["y"] and list(r["y"])) for r in rows if r["y"] is not None} == own
     last = [(r["station_id"], r["start"]) for r in rows if r["y"] is None]
     assert last == [("s0", 192)]
+
+
+def test_forest_is_the_same_however_windows_are_dealt(spark):
+    """Draws belong to the window, not to the task; the rows of a resample are of mean and variance 1."""
+    df = panel(spark, days=8)
+    one, many = (by_hour(forecast.pooled_trees(x, "forest", horizon=30, trees=5, depth=3)) for x in (df.coalesce(1), df.repartition(7, "station_id")))
+    assert one == {k: pytest.approx(v, abs=1e-9) for k, v in many.items()}
+    counts = window_trees.draws(np.arange(-20, 20), 42, 20, 168)
+    assert counts.shape == (20, 40, 168)
+    assert counts.mean() == pytest.approx(1, abs=0.02) and counts.var() == pytest.approx(1, abs=0.03)
+
+
+def test_forest_without_resampling_is_a_tree_of_the_ml_library(spark):
+    df = panel(spark)
+    want = by_hour(forecast.pooled_regression(df, "random_forest", horizon=30, numTrees=1, maxDepth=4, bootstrap=False))
+    got = by_hour(forecast.pooled_trees(df, "boosted", horizon=30, rounds=1, depth=4))
+    assert len(set(want.values())) > 5
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+
+
+def test_forest_query_makes_no_row_per_hour(spark, sf, monkeypatch):
+    """The ML library keeps a copy of every row with its draws, on disk where memory ends."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from kpiscope.plans import on_sources
+
+    def refused(self, *_):
+        raise AssertionError("rows made")
+
+    monkeypatch.setattr(RandomForestRegressor, "fit", refused)
+    out = on_sources.fc_pooled_forest(spark, sf)
+    assert out.agg(F.count("pred"), F.countDistinct("station_id", "kpi")).first()[0] % 168 == 0
