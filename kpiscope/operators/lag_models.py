@@ -5,7 +5,7 @@ and last value of each. A window of training data is never a row and a station's
 pieces of a station's time axis (a piece also holds the hours that its last windows reach into), each piece is reduced in its task to sums of
 features, targets and their products, and these sums, a size that the features fix, are added by station. A piece of few windows sends its
 hours, which are less than its sums. The coefficients
-come from the sums: a linear system for ridge, a search over sets of coefficients for lasso and elastic net.
+come from the sums: a linear system for ridge, a search over sets of coefficients for lasso, Newton steps on the residuals for elastic net.
 
 A station with any missing hour or channel, or too short for one window, fails the job with a message, as a silent gap
 would corrupt every metric downstream.
@@ -25,7 +25,7 @@ SUMS = ("sx", "sy", "sxx", "sxy")
 #: Hours of a piece; longer histories are spread over more tasks.
 PIECE_HOURS = 1344
 #: A coefficient joins a model if its slope would move its feature by more than this share of the targets' mean level.
-TOLERANCE, MOST_STEPS = 1e-7, 100_000
+TOLERANCE, MOST_STEPS, MOST_HALVINGS = 1e-7, 100_000, 30
 #: Share of the largest sum that counts as rounding.
 ROUNDING = 1e-9
 
@@ -92,7 +92,7 @@ def coefficients(sxx: np.ndarray, sxy: np.ndarray, n: int, level: np.ndarray, ki
 
 
 def _penalised(gram: np.ndarray, rhs: np.ndarray, l1: float, l2: float, level: np.ndarray) -> np.ndarray:
-    """The minimum with penalties, for all targets at once by feature-sign search.
+    """The minimum with penalties, for all targets at once: _with_squares if l2 is more than rounding, else by feature-sign search.
 
     Each target has a set of coefficients with signs. A step goes to the minimum over that set, or as far as the first
     coefficient that would change its sign, which leaves the set. At the minimum of its set, a target takes in the coefficient that
@@ -102,9 +102,12 @@ def _penalised(gram: np.ndarray, rhs: np.ndarray, l1: float, l2: float, level: n
     size = np.diag(gram)
     if not size.any():
         return np.zeros_like(rhs)
-    l2 = l2 + ROUNDING * size.max() / 10  # more features than windows: keeps a set of dependent features solvable
+    squares, l2 = l2 > ROUNDING * size.max(), l2 + ROUNDING * size.max() / 10  # more features than windows: keeps a set of dependent features solvable
     values, axes = np.linalg.eigh(gram)
-    roots = (axes * np.sqrt(np.maximum(values, 0)))[:, values > ROUNDING / 1000 * values[-1]]  # gram = roots @ roots.T
+    some = values > ROUNDING / 1000 * values[-1]
+    roots = axes[:, some] * np.sqrt(values[some])  # gram = roots @ roots.T
+    if squares:
+        return _with_squares(roots, values[some], rhs.T @ axes[:, some] / np.sqrt(values[some]), l1, l2)
     noise = ROUNDING * np.abs(rhs).max()
     least = np.maximum(noise, TOLERANCE * level[:, None] * np.sqrt(size))
     out, signs = np.zeros((targets, features)), np.zeros((targets, features))
@@ -133,6 +136,47 @@ def _penalised(gram: np.ndarray, rhs: np.ndarray, l1: float, l2: float, level: n
     raise ValueError("no minimum found")
 
 
+def _with_squares(roots: np.ndarray, values: np.ndarray, aim: np.ndarray, l1: float, l2: float) -> np.ndarray:
+    """The minimum if the penalty has squares, by Newton steps on each target's residuals (targets x rank, in the space of the roots).
+
+    At the minimum b is what pull = roots @ residuals has beyond l1, divided by l2, and residuals = aim - roots.T @ b. These are the only zero
+    of the gradient of |residuals|^2 / 2 + |beyond|^2 / (2 * l2) - aim @ residuals, which is quadratic as long as the same pulls are beyond l1. A step
+    goes to the minimum of the quadratic, which is the end if it keeps that set, or is halved until the function falls. The first residuals are those of ridge.
+    """
+    targets, rank = aim.shape
+    products = (roots[:, :, None] * roots[:, None, :]).reshape(len(roots), -1) / l2
+    held, todo = aim / (1 + values / l2), np.arange(targets)
+
+    def beyond(residuals: np.ndarray) -> np.ndarray:
+        pull = residuals @ roots.T
+        return pull - np.clip(pull, -l1, l1)
+
+    def size(residuals: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return (residuals**2 / 2 - aim[own] * residuals).sum(axis=1) + (beyond(residuals) ** 2).sum(axis=1) / (2 * l2)
+
+    for _ in range(MOST_STEPS):
+        now = held[todo]
+        out = beyond(now)
+        sign = np.sign(out)
+        inner = (np.abs(sign) @ products).reshape(-1, rank, rank) + np.eye(rank)
+        step = np.linalg.solve(inner, (aim[todo] + l1 / l2 * sign @ roots)[:, :, None])[:, :, 0] - now
+        fall = ((now + out @ roots / l2 - aim[todo]) * step).sum(axis=1)
+        same = (np.sign(beyond(now + step)) == sign).all(axis=1)
+        before, share, open_ = size(now, todo), np.ones(len(todo)), np.flatnonzero(~same)
+        for _ in range(MOST_HALVINGS):
+            after = size(now[open_] + share[open_, None] * step[open_], todo[open_])
+            open_ = open_[after > before[open_] + 1e-4 * share[open_] * fall[open_]]
+            if not len(open_):
+                break
+            share[open_] /= 2
+        share[open_] = 1.0  # what the function falls by is rounding
+        held[todo] = now + share[:, None] * step
+        todo = todo[~same & (fall < -ROUNDING / 1000 * np.abs(before))]
+        if not len(todo):
+            return (beyond(held) / l2).T
+    raise ValueError("no minimum found")
+
+
 def _face_step(gram: np.ndarray, roots: np.ndarray, l2: float, on: np.ndarray, pull: np.ndarray) -> np.ndarray:
     """Steps (targets x features) to the minimum over each target's own features, zero elsewhere; the smaller system of features or rank is solved."""
     most, rank = int(on.sum(axis=1).max()), roots.shape[1]

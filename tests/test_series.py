@@ -255,6 +255,22 @@ def test_coefficients_are_a_minimum_with_fewer_windows_than_features():
         assert np.allclose(pull[b != 0], ratio * np.sign(b[b != 0]), atol=0.01)
 
 
+def test_elastic_net_takes_few_systems_and_ends_at_the_minimum(monkeypatch):
+    """Features came and went one at a time: about 50 systems for each target here."""
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.uniform(0, 500, size=(70, 5)), 8, axis=0)[:552] + np.repeat(rng.uniform(0, 20, size=(276, 5)), 2, axis=0)
+    a, y, _ = lag_windows(x, 6, 168, 24)
+    n, level = len(a), np.abs(y.mean(0))
+    a, y = a - a.mean(0), y - y.mean(0)
+    solve, systems = np.linalg.solve, []
+    monkeypatch.setattr(np.linalg, "solve", lambda left, right: systems.append(len(left)) or solve(left, right))
+    b = lag_models.coefficients(a.T @ a, a.T @ y, n, level, "elasticnet", 1.0, 0.5)
+    assert sum(systems) < 20 * y.shape[1]
+    pull = a.T @ (y - a @ b) / n - 0.5 * b
+    assert (b == 0).any() and np.abs(pull).max() <= 0.5 + 5e-4
+    assert np.allclose(pull[b != 0], 0.5 * np.sign(b[b != 0]), atol=5e-4)
+
+
 def test_pieces_of_few_windows_send_hours(spark):
     """Sums of products, a megabyte a station with a day of context, were moved whatever the number of windows."""
     df = series(spark, [float(t % 7) for t in range(120)])
