@@ -69,7 +69,8 @@ def words(text: Column) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lower-cased and nothing else. Texts of ASCII alone take lower(), which is much faster and does the same there."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def hash64(*cols: Column | int) -> Column:
