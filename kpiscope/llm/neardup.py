@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpiscope.llm.shared import bounded_batches, lower_ascii, sheltered, stash, words
+from kpiscope.llm.shared import LOWER, UPPER, bounded_batches, sheltered, stash, words
 
 WIDTH, SHINGLE = 4, 5
 LEAST_ENTRIES, MOST_ENTRIES, MOST_MISSED = 32, 128, 4e-6
@@ -95,7 +95,7 @@ def signature(found: np.ndarray, entries: int) -> np.ndarray:
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.select("uid", F.transform(words(lower_ascii(F.col("text"))), lambda w: F.xxhash64(w)).alias("words"))
+    return docs.select("uid", F.transform(words(F.translate("text", UPPER, LOWER)), lambda w: F.xxhash64(w)).alias("words"))
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
